@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reporting",)
+MODULES = ("reporting", "imports")
 
 
 def load_registry():

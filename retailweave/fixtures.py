@@ -182,3 +182,233 @@ def fact(spark: SparkSession, sf_dir: str, periods: dict[str, cal.Period] | None
         _money(F.col("net") * (F.lit(1) + F.col("l_tax").cast("decimal(4,2)"))).alias("total_ttc"),
         _money(F.col("net") * size * F.lit("0.01").cast("decimal(4,2)")).alias("margin_ht"),
     )
+
+
+# --- competitor domain ---------------------------------------------------------------------------------
+
+COMPETITORS = (
+    (1, "Alpha Sound", "c1.example.com", "index"),
+    (2, "Bravo Music", "c2.example.com", "stock"),
+    (3, "Charlie", "c3.example.com", "tokens"),
+    (4, "Delta Audio", "c4.example.com", "signature"),
+)
+
+
+def competitors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(COMPETITORS, "id int, name string, domain string, profile string")
+
+
+def _page_url(competitor: Column, product: Column) -> Column:
+    return F.concat(
+        F.lit("https://c"), competitor.cast("string"), F.lit(".example.com/p"), product.cast("string"), F.lit("/x")
+    )
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id_product"),
+        _product_code().alias("reference"),
+        F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("ean13"),
+        F.col("p_brand").alias("manufacturer_name"),
+        F.when(F.col("p_size") == 50, " ").otherwise(F.concat_ws(" ", "p_brand", "p_name")).alias("product_name"),
+        _money(F.col("p_retailprice")).alias("price_tax_incl"),
+    )
+
+
+def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observation per line item; the price moves with the ordered quantity around the list price."""
+    factor = F.lit("0.50").cast("decimal(4,2)") + F.col("l_quantity").cast("decimal(5,2)") * F.lit("0.02").cast(
+        "decimal(4,2)"
+    )
+    competitor = (F.col("l_suppkey") % 4 + 1).cast("int")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            competitor.alias("competitor_id"),
+            F.col("l_partkey").alias("id_product"),
+            _page_url(competitor, F.col("l_partkey")).alias("url"),
+            _money(_money(F.col("p_retailprice")) * factor).alias("price"),
+            F.lit("seed").alias("source"),
+            F.col("l_shipdate").alias("observed_at"),
+        )
+    )
+
+
+def _observed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        price_history(spark, sf_dir)
+        .groupBy("id_product", "competitor_id", "url")
+        .agg(F.max(F.struct("observed_at", "price")).alias("last"), F.min("observed_at").alias("created_at"))
+        .select("id_product", "competitor_id", "url", "last.price", "last.observed_at", "created_at")
+    )
+
+
+def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        _observed_pairs(spark, sf_dir)
+        .where(F.col("id_product") % 3 != 0)
+        .select(
+            "id_product",
+            "competitor_id",
+            "url",
+            F.col("price").alias("competitor_price"),
+            F.lit(None).cast("int").alias("last_http_status"),
+            (F.col("id_product") % 3).cast("int").alias("consecutive_http_failures"),
+            "created_at",
+            F.col("observed_at").alias("updated_at"),
+        )
+    )
+
+
+def _choose(col: Column, values: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (col % len(values)).cast("int") + 1)
+
+
+def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return (
+        _observed_pairs(spark, sf_dir)
+        .join(parts, F.col("id_product") == F.col("p_partkey"))
+        .select(
+            "id_product",
+            "competitor_id",
+            _choose(F.col("id_product"), ("matched", "not_found", "pending", "error")).alias("result"),
+            "url",
+            F.when(F.col("p_size") % 9 == 0, "").otherwise(F.concat_ws(" ", "p_name", "p_brand")).alias("competitor_title"),
+            F.col("p_brand").alias("competitor_brand"),
+            F.when(F.col("p_size") % 4 == 0, "").otherwise(F.concat("url", F.lit(".jpg"))).alias("competitor_image_url"),
+            F.when(F.col("p_size") % 10 == 0, "gone").otherwise("ok").alias("competitor_page_status"),
+            F.concat(F.lit("Home > "), F.col("p_type")).alias("competitor_breadcrumb"),
+            (F.col("p_size") * 2).alias("score"),
+            F.col("price").alias("competitor_price"),
+            _choose(F.col("id_product"), ("pending", "postponed", "valid", "rejected", "ignored")).alias("validation_status"),
+            F.col("p_name").alias("matched_query"),
+            F.lit(None).cast("string").alias("message"),
+            F.col("observed_at").alias("last_tested_at"),
+        )
+    )
+
+
+def rejected_urls(tests_df: DataFrame) -> DataFrame:
+    return tests_df.where("validation_status = 'rejected'").select("competitor_id", "url").distinct()
+
+
+def reference_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two dated rows per product; the newer one of some products has no usable price."""
+    price = F.col("p_retailprice").cast(MONEY)
+    rows = F.array(
+        F.struct(_money(price * F.lit("0.95").cast("decimal(4,2)")).alias("price_ttc"), F.lit(dt.date(2001, 1, 1)).alias("date_upd")),
+        F.struct(
+            F.when(F.col("p_size") % 7 == 0, F.lit(0).cast(MONEY))
+            .otherwise(_money(price * F.lit("0.90").cast("decimal(4,2)")))
+            .alias("price_ttc"),
+            F.lit(dt.date(2001, 6, 1)).alias("date_upd"),
+        ),
+    )
+    return (
+        table(spark, sf_dir, "part")
+        .where(F.col("p_partkey") % 4 == 0)
+        .select(F.col("p_partkey").alias("id_product"), F.explode(rows).alias("r"))
+        .select("id_product", "r.*")
+    )
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id_product"), F.col("p_partkey").alias("id_category_default")
+    )
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree by integer division; blank names at size 50 and a two-node cycle between categories 8 and 9."""
+    key = F.col("p_partkey")
+    parent = F.when(key == 9, 8).when(key == 8, 9).otherwise(F.floor(key / 10)).cast("bigint")
+    return table(spark, sf_dir, "part").where(key > 0).select(
+        key.alias("id_category"),
+        parent.alias("id_parent"),
+        F.when(F.col("p_size") == 50, " ").otherwise(_word(0)).alias("name"),
+    )
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    j = F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)]))
+    return (
+        table(spark, sf_dir, "part")
+        .where(key > 0)
+        .select(key.alias("id_product"), size, j.alias("j"))
+        .select(
+            (F.col("id_product") * 10 + F.col("j")).alias("id_image"),
+            "id_product",
+            F.when(size % 4 == F.col("j"), 1).otherwise(0).alias("cover"),
+            ((F.col("j") + size) % 3).alias("position"),
+            F.when(size % 5 == F.col("j"), 1).when(size % 5 == 0, 0).alias("shop_cover"),
+        )
+    )
+
+
+def image_shop(images_df: DataFrame) -> DataFrame:
+    return images_df.where("shop_cover IS NOT NULL").select("id_image", F.col("shop_cover").alias("cover"))
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Competitor catalogue: own parts with reshuffled titles, some used, some packs, references kept on half."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    competitor = (key % 4 + 1).cast("int")
+    suffix = F.concat(
+        F.when(size % 7 == 0, " pack").otherwise(""), F.when(size % 11 == 0, " used").otherwise("")
+    )
+    shift = (size - 25).cast("decimal(4,0)") * F.lit("0.01").cast("decimal(4,2)")
+    return table(spark, sf_dir, "part").select(
+        competitor.alias("competitor_id"),
+        _page_url(competitor, key).alias("url"),
+        F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "), _product_code(), suffix).alias("title"),
+        F.when(key % 2 == 0, _product_code()).otherwise("").alias("reference"),
+        F.when(key % 3 == 0, F.lpad(key.cast("string"), 13, "0")).otherwise("").alias("ean"),
+        F.col("p_brand").alias("brand"),
+        F.concat(F.lit("Home > "), F.col("p_type"), F.lit(" > "), _word(1)).alias("breadcrumb"),
+        _money(_money(F.col("p_retailprice")) * (F.lit(1) + shift)).alias("price"),
+    )
+
+
+def incoming_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test outcomes in arrival order (`seq`), several per (product, competitor)."""
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    competitor = (F.col("event_id") % 4 + 1).cast("int")
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        F.col("user_id").alias("id_product"),
+        competitor.alias("competitor_id"),
+        F.when(kind == "purchase", "matched")
+        .when(kind == "view", "pending")
+        .when(kind == "click", "not_found")
+        .when(kind == "error", "error")
+        .otherwise("")
+        .alias("result"),
+        F.when(k % 7 == 0, " ").otherwise(_page_url(competitor, F.col("user_id"))).alias("url"),
+        F.concat(F.lit("  Title "), k.cast("string")).alias("competitor_title"),
+        F.when(k != 50, k).alias("score"),
+        F.when(k % 11 == 0, "n/a")
+        .otherwise(F.translate(F.col("value").cast("decimal(12,2)").cast("string"), ".", ","))
+        .alias("competitor_price"),
+        F.when(k % 13 == 0, " GONE ").otherwise("weird").alias("competitor_page_status"),
+        F.col("ts").alias("tested_at"),
+    )
+
+
+def url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch outcomes per (competitor, product): 404/410/500 failures and price observations."""
+    kind = F.col("event_type")
+    competitor = (F.col("user_id") % 4 + 1).cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        F.col("ts").alias("event_at"),
+        competitor.alias("competitor_id"),
+        F.col("user_id").alias("id_product"),
+        _page_url(competitor, F.col("user_id")).alias("url"),
+        F.when(kind == "error", 404).when(kind == "signup", 410).when(kind == "purchase", 500).alias("http_status"),
+        F.when(kind.isin("view", "click"), F.col("value").cast(MONEY)).alias("price"),
+    )
