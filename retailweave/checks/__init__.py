@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reporting", "imports")
+MODULES = ("reporting", "imports", "competition")
 
 
 def load_registry():
