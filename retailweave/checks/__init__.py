@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reporting", "imports", "competition")
+MODULES = ("reporting", "imports", "competition", "matching")
 
 
 def load_registry():

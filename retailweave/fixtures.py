@@ -412,3 +412,103 @@ def url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "error", 404).when(kind == "signup", 410).when(kind == "purchase", 500).alias("http_status"),
         F.when(kind.isin("view", "click"), F.col("value").cast(MONEY)).alias("price"),
     )
+
+
+# --- matching ------------------------------------------------------------------------------------------
+
+MODEL_SUFFIXES = (
+    "Mk II LH",
+    "Les Paul '59 SB",
+    "Bass Amp 2019 bk",
+    "Stratocaster III left handed",
+    "Pedal pack v2 x",
+    "piano VIII wine candy",
+)
+
+
+def match_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed(spark, sf_dir).select(
+        "id_product",
+        F.col("reference").alias("supplier_reference"),
+        F.col("ean13").alias("ean"),
+        F.col("manufacturer_name").alias("brand"),
+        F.col("product_name").alias("name"),
+        F.col("price_tax_incl").alias("source_price"),
+    )
+
+
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product names with variants, years, colours and handedness, and a competitor's way to write them."""
+    suffix = _choose(F.col("p_size"), MODEL_SUFFIXES)
+    other = _choose(F.col("p_size") + F.col("p_partkey") % 2, MODEL_SUFFIXES)
+    price = _money(F.col("p_retailprice"))
+    shift = (F.col("p_size") - 25).cast("decimal(4,0)") * F.lit("0.02").cast("decimal(4,2)")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id_product"),
+        (F.col("p_partkey") % 4 + 1).cast("int").alias("competitor_id"),
+        F.concat_ws(" ", "p_brand", "p_name", suffix).alias("name"),
+        F.concat_ws(" ", "p_name", other, "p_brand").alias("c_title"),
+        F.col("p_brand").alias("brand"),
+        F.when(F.col("p_size") % 8 == 0, "").otherwise(F.col("p_brand")).alias("c_brand"),
+        price.alias("source_price"),
+        _money(price * (F.lit(1) + shift)).alias("c_price"),
+    )
+
+
+def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals written in four ways; whole euros in the last one."""
+    cents = F.col("o_totalprice").cast("decimal(14,2)")
+    english = F.format_number(cents, 2)
+    plain = cents.cast("string")
+    way = F.col("o_orderkey") % 4
+    text = (
+        F.when(way == 0, F.concat(F.translate(F.replace(F.replace(english, F.lit(","), F.lit("_")), F.lit("."), F.lit(",")), "_", "."), F.lit(" €")))
+        .when(way == 1, english)
+        .when(way == 2, F.concat(F.translate(plain, ".", ","), F.lit(" EUR")))
+        .otherwise(F.concat(F.translate(F.format_number(F.floor("o_totalprice"), 0), ",", " "), F.lit(" €")))
+    )
+    value = F.when(way == 3, F.floor("o_totalprice").cast("double")).otherwise(cents.cast("double"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), value.alias("value"))
+
+
+PROFILES = ("index", "stock", "tokens", "signature", "other", "other", "index")
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages written from the orders: seven ways to show a price, a title, a reference and a search payload."""
+    key = F.col("o_orderkey").cast("string")
+    way = F.col("o_orderkey") % len(PROFILES)
+    cents = F.col("o_totalprice").cast("decimal(14,2)").cast("string")
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    price = (
+        F.when(way == 0, cat('<div class="x fwb lh1 fs40 fs30-md fs28-sm"> ', F.translate(cents, ".", ","), " €</div>"))
+        .when(way == 1, cat('<script type="application/ld+json">{"name":"Item ', key, '","mpn":"M-', key, '","gtin13":"', F.lpad(key, 13, "7"),
+                            '","offers":{"price":"', cents, '"}}</script>'))
+        .when(way == 2, cat("<meta content='", cents, "' itemprop='price'>"))
+        .when(way == 3, cat('<span class="price"><b>', F.translate(cents, ".", ","), "</b> €</span>"))
+        .when(way == 4, cat("<p>Prix : ", F.translate(cents, ".", ","), " € TTC</p>"))
+        .when(way == 5, cat('<meta property="og:price:amount" content="', cents, '">'))
+        .otherwise(cat('<script>var p = {"salePrice": "', cents, '"};</script>'))
+    )
+    reference = (
+        F.when(way == 0, cat("<p><span>Référence marque :</span> <span> R-", key, " </span></p>"))
+        .when(way == 3, cat('<ul><li class="spec-item">Réf : S-', key, '</li><li class="spec-item">EAN : ', F.lpad(key, 8, "3"), "</li></ul>"))
+        .otherwise("")
+    )
+    crumb = F.when(way % 2 == 0, cat('<nav class="top breadcrumb"><a href="/">Accueil</a> » <a href="/g">Guitares &amp; cie</a> / <b>', key, "x</b></nav>")).otherwise("")
+    image = F.when(way == 2, '<meta property="og:image" content="//img.example.com/a.jpg">').when(way == 3, cat('<img id="photoCover" data-src="i/', key, '.jpg">')).otherwise("")
+    search = F.when(
+        way == 2,
+        cat("<script>tho.bootstrapModule('search.index', [{\"articleListsSettings\":{\"articles\":[{\"title\":\"T [", key,
+            ']","manufacturer":"M","relativeLink":"a', key, '.htm"},{"model":"dup","relativeLink":"a', key,
+            '.htm"}],"alternativeArticles":[{"name":"N","url":"b.htm"},{"title":"x"}]}}], {"k":[1]});</script>'),
+    ).otherwise("")
+    url = F.when(way == 3, cat("https://c4.example.com/p", key, "/x")).otherwise(cat("https://Shop.example.com/item/", key, "/?a=1#f"))
+    head = F.when(way == 5, cat('<meta property="og:title" content="Social ', key, '">')).otherwise(cat("<title>Doc ", key, "</title>"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("page_id"),
+        url.alias("url"),
+        _choose(F.col("o_orderkey"), PROFILES).alias("profile"),
+        cat("<html><head>", head, image, "</head><body>", crumb, price, reference, search, "</body></html>").alias("html"),
+        F.col("o_totalprice").cast("decimal(14,2)").cast("double").alias("expected"),
+    )
