@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reporting", "imports", "competition", "matching")
+MODULES = ("reporting", "imports", "competition", "matching", "streams")
 
 
 def load_registry():

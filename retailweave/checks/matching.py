@@ -108,7 +108,7 @@ def _(spark, sf):
     return X.generate_candidates(fx.match_products(spark, sf), fx.listings(spark, sf))
 
 
-_PAIRS = f"""pairs AS (SELECT c.*, f.ean13 AS ean, f.reference, {norm('l.title')} AS t, {norm('matched_query')} AS q,
+_PAIRS = f"""cpairs AS (SELECT c.*, f.ean13 AS ean, f.reference, {norm('l.title')} AS t, {norm('matched_query')} AS q,
     {norm('manufacturer_name')} AS b, {norm('product_name')} AS n, {norm('f.reference')} AS r, {norm('l.reference')} AS hr,
     {norm('l.brand')} AS m, l.ean AS c_ean, l.title AS c_title, CAST(l.price AS DOUBLE) AS c_price, f.price_tax_incl AS source_price
   FROM cands c JOIN feed f USING (id_product) JOIN listings l USING (competitor_id, url))"""
@@ -127,7 +127,7 @@ def _pairs(spark, sf, order="base"):
 
 @query(
     "m5_base_scores",
-    with_ci(f"SELECT id_product, competitor_id, url, {_BASE} AS score FROM pairs", _queries_sql("base"), _LISTINGS, _PAIRS),
+    with_ci(f"SELECT id_product, competitor_id, url, {_BASE} AS score FROM cpairs", _queries_sql("base"), _LISTINGS, _PAIRS),
 )
 def _(spark, sf):
     return X.score_candidates(_pairs(spark, sf), "base").select("id_product", "competitor_id", "url", "score")
@@ -146,7 +146,7 @@ _INDEX = f"""greatest(0, least(100, CAST(CASE WHEN {_EAN} <> '' AND {_EAN} = {_C
 @query(
     "m6_index_scores",
     with_ci(
-        f"SELECT * FROM (SELECT id_product, competitor_id, url, {_INDEX} AS score FROM pairs) WHERE score >= 90",
+        f"SELECT * FROM (SELECT id_product, competitor_id, url, {_INDEX} AS score FROM cpairs) WHERE score >= 90",
         _queries_sql("index"),
         _LISTINGS,
         _PAIRS,
@@ -343,7 +343,7 @@ _VERIFY = f"""SELECT id_product, competitor_id, url, evidence, evidence <> '' AS
     WHEN r <> '' AND contains(pt, r) AND shows THEN 'title_reference'
     WHEN t <> '' AND contains(pt, t) AND (b = '' OR shows) THEN 'title' ELSE '' END AS evidence
   FROM (SELECT *, b = '' OR m = '' OR contains(m, b) OR contains(b, m) AS ok, b <> '' AND (contains(pt, b) OR contains(px, b)) AS shows
-    FROM (SELECT *, CASE WHEN len(url) % 3 = 0 THEN r ELSE '' END AS pr, CASE WHEN len(url) % 2 = 0 THEN t ELSE q END AS pt, b AS px FROM pairs)))"""
+    FROM (SELECT *, CASE WHEN len(url) % 3 = 0 THEN r ELSE '' END AS pr, CASE WHEN len(url) % 2 = 0 THEN t ELSE q END AS pt, b AS px FROM cpairs)))"""
 
 
 @query("m16_verify_listings", with_ci(_VERIFY, _queries_sql("base"), _LISTINGS, _PAIRS))
@@ -390,7 +390,7 @@ def _(spark, sf):
 
 # --- ranking and decisions ----------------------------------------------------------------------------
 
-_RANKED = f"""scored AS (SELECT *, {_BASE} AS score FROM pairs),
+_RANKED = f"""scored AS (SELECT *, {_BASE} AS score FROM cpairs),
   ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id_product, competitor_id ORDER BY score DESC, position, url)
     AS INTEGER) AS rank FROM scored) WHERE rank <= 5)"""
 _RANK_CTES = (_queries_sql("base"), _LISTINGS, _PAIRS, _RANKED)

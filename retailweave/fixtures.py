@@ -92,9 +92,10 @@ def dimensions(articles_df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw invoice lines. Line ids repeat; (line_version) orders the repeats."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+def invoice_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Raw invoice lines. Line ids repeat; (line_version) orders the repeats. `lineitem` may be a stream."""
+    li = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    o = table(spark, sf_dir, "orders")
     net = _money(_money(F.col("l_extendedprice")) * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")))
     size = F.pmod(F.col("l_partkey"), F.lit(50)).cast("decimal(4,0)")
     with_net = li.withColumn("net", net)
@@ -399,11 +400,12 @@ def incoming_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def url_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Fetch outcomes per (competitor, product): 404/410/500 failures and price observations."""
+    rows = table(spark, sf_dir, "events") if events is None else events
     kind = F.col("event_type")
     competitor = (F.col("user_id") % 4 + 1).cast("int")
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         F.col("event_id").alias("seq"),
         F.col("ts").alias("event_at"),
         competitor.alias("competitor_id"),

@@ -27,22 +27,30 @@ def same_url(a: Column | str, b: Column | str) -> Column:
 
 
 def absolute_url(base: Column | str, href: Column | str) -> Column:
-    """href seen from a page: absolute, protocol-relative, root-relative, fragment, query or relative path."""
-    page, link = _c(base), F.trim(_c(href))
-    origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    no_fragment = F.regexp_replace(page, "#.*$", "")
-    no_query = F.regexp_replace(no_fragment, r"\?.*$", "")
-    folder = F.regexp_replace(no_query, r"(?<=[^/:])/[^/]*$", "")
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("#"), F.concat(no_fragment, link))
-        .when(link.startswith("?"), F.concat(no_query, link))
-        .when(link == "", page)
-        .otherwise(F.concat(folder, F.lit("/"), link))
-    )
+    """href seen from a page: absolute, protocol-relative, root-relative, fragment, query or relative path.
+
+    Both inputs go through a one-element transform, so each is worked out once however often the rules name it.
+    """
+
+    def resolve(pair: Column) -> Column:
+        page, link = pair["page"], F.trim(pair["link"])
+        origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+        no_fragment = F.regexp_replace(page, "#.*$", "")
+        no_query = F.regexp_replace(no_fragment, r"\?.*$", "")
+        folder = F.regexp_replace(no_query, r"(?<=[^/:])/[^/]*$", "")
+        return (
+            F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(scheme, link))
+            .when(link.startswith("/"), F.concat(origin, link))
+            .when(link.startswith("#"), F.concat(no_fragment, link))
+            .when(link.startswith("?"), F.concat(no_query, link))
+            .when(link == "", page)
+            .otherwise(F.concat(folder, F.lit("/"), link))
+        )
+
+    pair = F.struct(_c(base).alias("page"), _c(href).alias("link"))
+    return F.get(F.transform(F.array(pair), resolve), F.lit(0))
 
 
 def url_path(col: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.prices import coerce_price, parse_price
+from ..functions.prices import parse_price
 from ..functions.urls import absolute_url, url_path
 
 # Where sites show prices, titles, images, references and breadcrumbs.
@@ -29,7 +29,7 @@ PRODUCT_PATH, LISTING_PATH = r"(?i)/p\d+/", r"(?i)/m\d+-"
 CATALOGUE_TITLES = ("catalogue france",)
 EMBEDDED_MARKER = "tho.bootstrapModule('search.index',"
 REFERENCE_LABEL = r"(?i)R[ée]f[ée]rence\s+marque\s*:\s*(?:</[^>]+>\s*<[^>]+>\s*)?([^<\n\r]+)"
-SPEC_REFERENCE_LABELS, SPEC_EAN_LABELS = ("sku", "référence", "reference", "ref"), ("ean", "gtin")
+SPEC_REFERENCE_LABELS, SPEC_EAN_LABELS = ("sku", "reference", "ref"), ("ean", "gtin")  # accents folded
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&euro;", "€"), ("&amp;", "&"))
 
 PRICE_LD = "array<struct<name:string,mpn:string,sku:string,gtin13:string,gtin:string,ean:string,offers:struct<price:string,priceSpecification:struct<price:string>>>>"
@@ -46,7 +46,7 @@ def _c(col: Column | str) -> Column:
 
 def _first_text(*values: Column) -> Column:
     """First value that is not blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
+    return F.get(F.filter(F.transform(F.array(*values), lambda v: F.trim(v)), lambda v: v != ""), F.lit(0))
 
 
 def plain_text(fragment: Column | str) -> Column:
@@ -70,11 +70,10 @@ def element_text(html: Column | str, tag: str) -> Column:
     return plain_text(F.regexp_extract(_c(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
 
 
-def class_text(html: Column | str, classes: str) -> Column:
-    """Text of the first element that carries every class."""
+def class_fragment(html: Column | str, classes: str) -> Column:
+    """Inner mark-up of the first element that carries every class."""
     wanted = "".join(rf"""(?=[^"']*(?<![\w-]){c}(?![\w-]))""" for c in classes.split())
-    found = F.regexp_extract(_c(html), rf"""(?is)<(\w+)\b[^>]*\sclass\s*=\s*["']{wanted}[^"']*["'][^>]*>(.*?)</\1>""", 2)
-    return plain_text(found)
+    return F.regexp_extract(_c(html), rf"""(?is)<(\w+)\b[^>]*\sclass\s*=\s*["']{wanted}[^"']*["'][^>]*>(.*?)</\1>""", 2)
 
 
 def ld_entries(html: Column | str) -> Column:
@@ -91,26 +90,23 @@ def _first_of(entries: Column, pick) -> Column:
     return F.get(values, F.lit(0))
 
 
-def ld_price(entries: Column) -> Column:
-    return _first_of(
-        entries,
-        lambda e: F.coalesce(parse_price(e["offers"]["price"]), parse_price(e["offers"]["priceSpecification"]["price"])),
+def ld_price_texts(entries: Column) -> Column:
+    return F.flatten(
+        F.transform(entries, lambda e: F.array(e["offers"]["price"], e["offers"]["priceSpecification"]["price"]))
     )
 
 
-def meta_price(html: Column | str) -> Column:
-    return F.coalesce(*[parse_price(meta_content(html, k, v)) for k, v in META_PRICES])
+def meta_fragments(html: Column | str) -> list[Column]:
+    return [meta_content(html, k, v) for k, v in META_PRICES]
 
 
-def euro_price(html: Column | str) -> Column:
-    return parse_price(F.regexp_extract(_c(html), r"([0-9][0-9 ., ]*)\s*€", 1))
+def euro_fragment(html: Column | str) -> Column:
+    return F.regexp_extract(_c(html), r"([0-9][0-9 .,\u00A0]*)\s*€", 1)
 
 
-def embedded_price(html: Column | str) -> Column:
+def script_fragments(html: Column | str) -> list[Column]:
     """Price keys of scripts on the index sites."""
-    return F.coalesce(
-        *[coerce_price(F.regexp_extract(_c(html), rf'(?i)"{k}"\s*:\s*"?(\d+(?:[.,]\d+)?)', 1)) for k in INDEX_PRICE_KEYS]
-    )
+    return [F.regexp_extract(_c(html), rf'(?i)"{k}"\s*:\s*"?(\d+(?:[.,]\d+)?)', 1) for k in INDEX_PRICE_KEYS]
 
 
 def is_product_page(url: Column | str, html: Column | str) -> Column:
@@ -137,19 +133,19 @@ def extract_page_prices(pages: DataFrame) -> DataFrame:
     index: class, script keys, meta; tokens: class, meta; stock: class, meta, JSON-LD; signature: class, on product
     pages only; other sites: meta, then the first amount in euros.
     """
-    rows = pages.withColumn("__ld", ld_entries("html"))
-    by_class = {
-        p: F.coalesce(*[parse_price(class_text("html", c)) for c in classes]) for p, classes in PRICE_CLASSES.items()
-    }
+    classes = {p: [class_fragment("html", c) for c in found] for p, found in PRICE_CLASSES.items()}
+    meta = meta_fragments("html")
     profile = F.coalesce("profile", F.lit(""))
-    price = (
-        F.when(profile == "index", F.coalesce(by_class["index"], meta_price("html"), embedded_price("html")))
-        .when(profile == "tokens", F.coalesce(by_class["tokens"], meta_price("html")))
-        .when(profile == "stock", F.coalesce(by_class["stock"], meta_price("html"), ld_price(F.col("__ld"))))
-        .when(profile == "signature", F.when(is_product_page("url", "html"), by_class["signature"]))
-        .otherwise(F.coalesce(meta_price("html"), euro_price("html")))
+    texts = (
+        F.when(profile == "index", F.array(*classes["index"], *meta, *script_fragments("html")))
+        .when(profile == "tokens", F.array(*classes["tokens"], *meta))
+        .when(profile == "stock", F.concat(F.array(*classes["stock"], *meta), ld_price_texts(ld_entries("html"))))
+        .when(profile == "signature", F.when(is_product_page("url", "html"), F.array(*classes["signature"])))
+        .otherwise(F.array(*meta, euro_fragment("html")))
     )
-    return rows.withColumn("price", price).drop("__ld")
+    prices = F.transform("__texts", lambda t: parse_price(plain_text(F.coalesce(t, F.lit("")))))
+    found = F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
+    return pages.withColumn("__texts", texts).withColumn("price", found).drop("__texts")
 
 
 def extract_titles(pages: DataFrame) -> DataFrame:
@@ -216,7 +212,8 @@ def extract_image(pages: DataFrame) -> DataFrame:
         attribute(first, "src"),
         attribute(first, "data-src"),
     )
-    return pages.withColumn("image_url", F.when(found.isNotNull(), absolute_url("url", found)))
+    resolved = F.when(F.col("__found").isNotNull(), absolute_url("url", "__found"))
+    return pages.withColumn("__found", found).withColumn("image_url", resolved).drop("__found")
 
 
 def extract_references(pages: DataFrame) -> DataFrame:
@@ -228,9 +225,12 @@ def extract_references(pages: DataFrame) -> DataFrame:
     )
 
     def spec(labels: tuple[str, ...]) -> Column:
-        label = "|".join(labels)
-        values = F.transform(specs, lambda s: F.regexp_extract(s, rf"(?iu)^(?:{label})\S*[\s:|-]+(.*)$", 1))
-        return F.get(F.filter(values, lambda v: F.trim(v) != ""), F.lit(0))
+        def value(item: Column) -> Column:
+            named = T.normalize_text(item).rlike("^(" + "|".join(labels) + ")")
+            rest = F.regexp_replace(F.regexp_replace(item, r"^\S+", ""), r"^[\s:|-]+", "")
+            return F.when(named, F.nullif(F.trim(rest), F.lit("")))
+
+        return _first_of(specs, value)
 
     def ld(*keys: str) -> Column:
         return _first_of(F.col("__ld"), lambda e: F.coalesce(*[F.nullif(F.trim(e[k]), F.lit("")) for k in keys]))

@@ -1,4 +1,4 @@
-"""Session helpers: shared working folders and size-checked broadcasts."""
+"""Session helpers: shared working folders, lineage cuts and storage paths."""
 
 from __future__ import annotations
 
@@ -26,6 +26,17 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, file system) of a folder on whatever storage it lives."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = hadoop_path(spark, path)
+    return bool(fs.exists(hadoop))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_root(df.sparkSession)

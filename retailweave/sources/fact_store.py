@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import work_path
+from ..session import hadoop_path, path_exists, work_path
 from .incremental import ensure_columns, upsert
 
 KEY = "source_line_id"
@@ -14,23 +14,13 @@ MONTH = "invoice_month"
 KEPT = ("imported_at",)
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop, fs = _hadoop_path(spark, path)
-    return bool(fs.exists(hadoop))
-
-
 def empty_fact(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.FACT)
 
 
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
     """The stored fact with every current column; columns older files lack are null. Empty when absent."""
-    if not exists(spark, path):
+    if not path_exists(spark, path):
         return empty_fact(spark).withColumn(MONTH, F.lit(None).cast("string"))
     stored = spark.read.option("mergeSchema", "true").parquet(path).withColumn(MONTH, F.col(MONTH).cast("string"))
     return ensure_columns(stored, {f.name: f.dataType.simpleString() for f in schemas.FACT})
@@ -67,7 +57,7 @@ def upsert_fact(spark: SparkSession, path: str, incoming: DataFrame) -> int:
     n = batch.count()
     if n == 0:
         return 0
-    if not exists(spark, path):
+    if not path_exists(spark, path):
         _write(batch, path)
         return n
 
@@ -88,6 +78,6 @@ def upsert_fact(spark: SparkSession, path: str, incoming: DataFrame) -> int:
         emptied = [m for m in left if m not in still]
     _write(merged, path)
     for month in emptied:
-        hadoop, fs = _hadoop_path(spark, f"{path.rstrip('/')}/{MONTH}={month}")
+        hadoop, fs = hadoop_path(spark, f"{path.rstrip('/')}/{MONTH}={month}")
         fs.delete(hadoop, True)
     return n
