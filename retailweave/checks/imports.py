@@ -153,7 +153,7 @@ def _stamps_as_text(df):
 @query("p1_fact_mapping", f"WITH {_DIMS} {_FACT35} FROM src WHERE {_KEEP}")
 def _(spark, sf):
     rows = job.fact_rows(fx.invoice_lines(spark, sf), _catalogue(spark, sf), fx.AS_OF, NOW)
-    return _stamps_as_text(rows.drop("line_version"))
+    return _stamps_as_text(rows)
 
 
 @query(

@@ -112,4 +112,4 @@ _PARTS = (
 )
 def _(spark, sf):
     fact = fx.fact(spark, sf, C.home_periods(reporting.STD))
-    return digest(home_report(spark, fact, reporting.STD, reporting.TARGET, persist=False))
+    return digest(home_report(spark, fact, reporting.STD, reporting.TARGET))

@@ -20,22 +20,26 @@ def parse_price(col: Column | str) -> Column:
     With both separators the last one is the decimal one; a repeated separator groups thousands; a single one
     followed by exactly three digits does too (`1.770 €` is 1770).
     """
-    text = F.translate(F.coalesce(_c(col), F.lit("")), " ", " ")
-    text = F.regexp_replace(text, "(?i)eur|€", "")
+    text = F.regexp_replace(F.translate(F.coalesce(_c(col), F.lit("")), "\u00a0", " "), "(?i)eur|€", "")
     number = F.regexp_replace(F.regexp_extract(text, r"([0-9][0-9\s.,]*)", 1), r"\s+", "")
-    has_comma, has_dot = number.contains(","), number.contains(".")
-    no_comma, no_dot = F.replace(number, F.lit(","), F.lit("")), F.replace(number, F.lit("."), F.lit(""))
-    comma_last = F.instr(F.reverse(number), ",") < F.instr(F.reverse(number), ".")
-    both = F.when(comma_last, F.translate(no_dot, ",", ".")).otherwise(no_comma)
-    thousands = number.rlike(r"^[0-9]+[.,][0-9]{3}$")
-    plain = (
-        F.when(has_comma & has_dot, both)
-        .when(_count(number, ",") > 1, no_comma)
-        .when(_count(number, ".") > 1, no_dot)
-        .when(thousands, F.translate(number, ",.", ""))
-        .otherwise(F.translate(number, ",", "."))
-    )
-    return plain.try_cast("double")
+
+    def read(n: Column) -> Column:
+        has_comma, has_dot = n.contains(","), n.contains(".")
+        no_comma, no_dot = F.replace(n, F.lit(","), F.lit("")), F.replace(n, F.lit("."), F.lit(""))
+        comma_last = F.instr(F.reverse(n), ",") < F.instr(F.reverse(n), ".")
+        both = F.when(comma_last, F.translate(no_dot, ",", ".")).otherwise(no_comma)
+        thousands = n.rlike(r"^[0-9]+[.,][0-9]{3}$")
+        plain = (
+            F.when(has_comma & has_dot, both)
+            .when(_count(n, ",") > 1, no_comma)
+            .when(_count(n, ".") > 1, no_dot)
+            .when(thousands, F.translate(n, ",.", ""))
+            .otherwise(F.translate(n, ",", "."))
+        )
+        return plain.try_cast("double")
+
+    # a one-element transform: the number is cut out once, however often the rules look at it
+    return F.get(F.transform(F.array(number), read), F.lit(0))
 
 
 def coerce_price(col: Column | str) -> Column:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import labels as L
-from ..sources.incremental import line_date
 
 ZERO_STAMPS = ("", "0000-00-00", "0000-00-00 00:00:00")
 
@@ -75,54 +75,89 @@ def invoice_number(invoice_id: str = "IDFAC", post_number: str = "NumFacPoste")
     return F.when(key != 0, key.cast("string")).otherwise(L.text_or_empty(post_number))
 
 
-def build_fact(enriched: DataFrame, as_of: dt.date, imported_at: dt.datetime) -> DataFrame:
-    """The 35 fact columns of accepted, enriched lines."""
-    stamp = F.col("__stamp")
-    article_or_line = lambda a, l: F.trim(F.coalesce(L.blank_to_null(a), F.coalesce(F.col(l), F.lit(""))))
-    number = lambda name: F.coalesce(F.col(name), F.lit(0))
+LINE_MEASURES = {
+    "quantity": "Q_FAC",
+    "unit_price_ttc": "PrixTTC",
+    "total_ht": "TotalHT",
+    "total_ttc": "TotalTTC",
+    "margin_ht": "MARGE",
+    "discount_percent": "Remise",
+    "discount_amount": "RemiseMontant",
+    "tax_rate": "TauxTVA",
+}
+
+
+def _number(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0))
+
+
+def line_facts(lines: DataFrame, as_of: dt.date, carry: Sequence[str] = ()) -> DataFrame:
+    """The part of a fact row that a line alone decides. Unusable lines leave before anything is joined."""
+    kept = lines.where(L.not_excluded("IDART", F.lit("")) & (_number("Q_FAC") != 0))
+    stamp = F.col("invoice_datetime")
+    return (
+        kept.withColumn("invoice_datetime", resolve_invoice_ts(as_of))
+        .select(
+            F.col("IDLigneFac").alias("source_line_id"),
+            F.col("IDFAC").alias("source_invoice_id"),
+            invoice_number().alias("invoice_number"),
+            stamp.cast("date").alias("invoice_date"),
+            stamp,
+            _number("IDART").alias("product_id"),
+            L.text_or_empty("CODE").alias("line_code"),
+            L.text_or_empty("DESIGNATION_PRODUIT").alias("line_name"),
+            L.int_or_null("IDCLI").alias("customer_id"),
+            L.text_or_empty("MODE_VENTE").alias("mode_vente"),
+            "WEB",
+            "SITE",
+            *[_number(source).alias(name) for name, source in LINE_MEASURES.items()],
+            L.text_or_empty("OrigineData").alias("raw_origin"),
+            L.text_or_empty("TypePiece").alias("raw_type_piece"),
+            *carry,
+        )
+    )
+
+
+ARTICLE_TEXTS = {
+    "article_code": "article_code",
+    "article_name": "article_name",
+    "rayon_name": "Rayon",
+    "family_name": "Famille",
+    "subfamily_name": "SSFam",
+    "brand_name": "NOM_FAB",
+    "supplier_name": "supplier",
+    "supplier_reference": "REF_FOU",
+}
+ARTICLE_IDS = {"ray_id": "IDRAY", "family_id": "IDFAM", "subfamily_id": "IDSSFAM", "brand_id": "ID_FAB", "supplier_id": "IDFOU"}
+
+
+def article_facts(enriched: DataFrame) -> DataFrame:
+    """The part an article alone decides, worked out once per article."""
+    return enriched.select(
+        F.col("IDART").alias("product_id"),
+        *[L.text_or_empty(source).alias(name) for name, source in ARTICLE_TEXTS.items()],
+        *[L.int_or_null(source).alias(name) for name, source in ARTICLE_IDS.items()],
+    )
+
+
+def accept(line_part: DataFrame, article_part: DataFrame) -> DataFrame:
+    """Lines beside their article (left join), without trade-ins."""
+    joined = line_part.join(article_part, "product_id", "left")
+    return joined.where(L.not_excluded("product_id", "supplier_reference"))
+
+
+def finish_fact(accepted: DataFrame, imported_at: dt.datetime, carry: Sequence[str] = ()) -> DataFrame:
+    """The 35 fact columns; the article's code and name go before the line's own."""
     now = F.lit(imported_at.isoformat(sep=" ")).cast("timestamp_ntz")
     values = {
-        "source_line_id": F.col("IDLigneFac"),
-        "source_invoice_id": F.col("IDFAC"),
-        "invoice_number": invoice_number(),
-        "invoice_date": stamp.cast("date"),
-        "invoice_datetime": stamp,
-        "product_id": number("IDART"),
-        "product_code": article_or_line("article_code", "CODE"),
-        "product_name": article_or_line("article_name", "DESIGNATION_PRODUIT"),
-        "ray_id": L.int_or_null("IDRAY"),
-        "rayon_name": L.text_or_empty("Rayon"),
-        "family_id": L.int_or_null("IDFAM"),
-        "family_name": L.text_or_empty("Famille"),
-        "subfamily_id": L.int_or_null("IDSSFAM"),
-        "subfamily_name": L.text_or_empty("SSFam"),
-        "brand_id": L.int_or_null("ID_FAB"),
-        "brand_name": L.text_or_empty("NOM_FAB"),
-        "supplier_id": L.int_or_null("IDFOU"),
-        "supplier_name": L.text_or_empty("supplier"),
-        "supplier_reference": L.text_or_empty("REF_FOU"),
-        "customer_id": L.int_or_null("IDCLI"),
-        "mode_vente": L.text_or_empty("MODE_VENTE"),
-        "channel_code": L.resolve_channel("IDRAY", "WEB", "SITE"),
-        "channel_name": L.resolve_channel("IDRAY", "WEB", "SITE", name=True),
-        "quantity": number("Q_FAC"),
-        "unit_price_ttc": number("PrixTTC"),
-        "total_ht": number("TotalHT"),
-        "total_ttc": number("TotalTTC"),
-        "margin_ht": number("MARGE"),
-        "discount_percent": number("Remise"),
-        "discount_amount": number("RemiseMontant"),
-        "tax_rate": number("TauxTVA"),
-        "raw_origin": L.text_or_empty("OrigineData"),
-        "raw_type_piece": L.text_or_empty("TypePiece"),
+        "product_code": F.coalesce(L.blank_to_null("article_code"), F.col("line_code")),
+        "product_name": F.coalesce(L.blank_to_null("article_name"), F.col("line_name")),
+        "channel_code": L.resolve_channel("ray_id", "WEB", "SITE"),
+        "channel_name": L.resolve_channel("ray_id", "WEB", "SITE", name=True),
         "imported_at": now,
         "updated_at": now,
+        **{name: F.coalesce(F.col(name), F.lit("")) for name in ARTICLE_TEXTS if name not in ("article_code", "article_name")},
     }
-    kinds = {f.name: f.dataType for f in schemas.FACT}
-    passthrough = [c for c in enriched.columns if c == "line_version"]
-    return enriched.withColumn("__stamp", resolve_invoice_ts(as_of)).select(
-        *[expr.cast(kinds[name]).alias(name) for name, expr in values.items()], *passthrough
+    return accepted.select(
+        *[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schemas.FACT], *carry
     )
-
-
-__all__ = ["build_fact", "enrich_articles", "enrich_lines", "invoice_number", "keep_line", "line_date", "resolve_invoice_ts"]

@@ -122,8 +122,19 @@ def generate_candidates(
     )
 
 
+PRODUCT_KEYS = {"brand": "brand", "name": "name", "reference": "supplier_reference"}
+LISTING_KEYS = {"title": "c_title", "manufacturer": "c_brand", "hit_reference": "c_reference"}
+QUERY_KEYS = {"query": "matched_query"}
+
+
+def _with_keys(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Adds the normalised form of the columns as __<key>, unless it is there already."""
+    return df.withColumns({f"__{k}": T.normalize_text(c) for k, c in keys.items() if f"__{k}" not in df.columns})
+
+
 def attach_facts(candidates: DataFrame, products: DataFrame, listings: DataFrame) -> DataFrame:
-    """Candidate pairs with the facts of both sides (c_ prefix: competitor)."""
+    """Candidate pairs with the facts of both sides (c_ prefix: competitor). Text is normalised on the two
+    catalogues before the joins, once per product and listing instead of once per pair."""
     theirs = listings.select(
         "competitor_id",
         "url",
@@ -134,23 +145,20 @@ def attach_facts(candidates: DataFrame, products: DataFrame, listings: DataFrame
         F.col("breadcrumb").alias("c_breadcrumb"),
         F.col("price").alias("c_price"),
     )
-    return candidates.join(products, "id_product").join(theirs, ["competitor_id", "url"])
+    mine = _with_keys(products, PRODUCT_KEYS)
+    return candidates.join(mine, "id_product").join(_with_keys(theirs, LISTING_KEYS), ["competitor_id", "url"])
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Without the helper columns."""
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
 # --- scores -------------------------------------------------------------------------------------------
 
 
 def _normalized(df: DataFrame) -> DataFrame:
-    names = {
-        "title": "c_title",
-        "query": "matched_query",
-        "brand": "brand",
-        "name": "name",
-        "reference": "supplier_reference",
-        "manufacturer": "c_brand",
-        "hit_reference": "c_reference",
-    }
-    return df.withColumns({f"__{k}": T.normalize_text(v) for k, v in names.items()})
+    return _with_keys(df, PRODUCT_KEYS | LISTING_KEYS | QUERY_KEYS)
 
 
 def _points(condition: Column, value: int) -> Column:
@@ -318,7 +326,7 @@ def score_candidates(pairs: DataFrame, kind: str = "base") -> DataFrame:
         rows = _score_tokens(drop_b_stock(rows).where(brand_overlap("brand", "c_brand")))
     else:
         rows = _score_signature(rows)
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+    return plain(rows)
 
 
 def drop_b_stock(df: DataFrame, title: str = "c_title") -> DataFrame:
@@ -366,36 +374,28 @@ def category_affinity(path: Column | str, breadcrumb: Column | str) -> Column:
 def verify_listings(pairs: DataFrame) -> DataFrame:
     """Does the listing's page carry the product? Expects page_reference, page_title and page_text beside the
     pair; adds `verified` and the `evidence`: page_reference, ean, reference, title_ean, title_reference or title."""
-    n = T.normalize_text
-    rows = pairs.withColumns(
-        {
-            "__ref": n("supplier_reference"),
-            "__page_ref": n("page_reference"),
-            "__hit_ref": n("c_reference"),
-            "__brand": n("brand"),
-            "__hit_brand": n("c_brand"),
-            "__title": n("page_title"),
-            "__text": n("page_text"),
-            "__hit_title": n("c_title"),
-            "__ean": T.valid_ean("ean"),
-            "__hit_ean": T.valid_ean("c_ean"),
-        }
+    page = {"page_ref": "page_reference", "page_title": "page_title", "page_text": "page_text"}
+    rows = _with_keys(pairs, PRODUCT_KEYS | LISTING_KEYS | page).withColumns(
+        {"__ean": T.valid_ean("ean"), "__hit_ean": T.valid_ean("c_ean")}
     )
     c = F.col
+    no_brand = c("__brand") == ""
     brand_ok = (
-        (c("__brand") == "") | (c("__hit_brand") == "") | F.contains("__hit_brand", "__brand") | F.contains("__brand", "__hit_brand")
+        no_brand
+        | (c("__manufacturer") == "")
+        | F.contains("__manufacturer", "__brand")
+        | F.contains("__brand", "__manufacturer")
     )
-    shows_brand = _inside("__brand", "__title") | _inside("__brand", "__text")
+    shows_brand = _inside("__brand", "__page_title") | _inside("__brand", "__page_text")
     evidence = (
-        F.when(T.same_reference(c("__ref"), c("__page_ref")) & brand_ok, "page_reference")
+        F.when(T.same_reference(c("__reference"), c("__page_ref")) & brand_ok, "page_reference")
         .when((c("__ean") != "") & (c("__ean") == c("__hit_ean")), "ean")
-        .when(T.same_reference(c("__ref"), c("__hit_ref")) & brand_ok, "reference")
-        .when(_inside("__ean", "__title"), "title_ean")
-        .when(_inside("__ref", "__title") & shows_brand, "title_reference")
-        .when(_inside("__hit_title", "__title") & ((c("__brand") == "") | shows_brand), "title")
+        .when(T.same_reference(c("__reference"), c("__hit_reference")) & brand_ok, "reference")
+        .when(_inside("__ean", "__page_title"), "title_ean")
+        .when(_inside("__reference", "__page_title") & shows_brand, "title_reference")
+        .when(_inside("__title", "__page_title") & (no_brand | shows_brand), "title")
     )
-    out = rows.withColumn("evidence", evidence).withColumn("verified", F.col("evidence").isNotNull())
-    return out.drop(*[x for x in out.columns if x.startswith("__")])
+    return plain(rows.withColumn("evidence", evidence).withColumn("verified", F.col("evidence").isNotNull()))
 
 
 def rank_candidates(scored: DataFrame, k: int = TOP["base"]) -> DataFrame:

@@ -44,9 +44,14 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _filled(value: Column) -> Column:
+    """Trimmed value, null when blank; names `value` once, so it is worked out once."""
+    return F.get(F.filter(F.array(F.trim(value)), lambda v: v != ""), F.lit(0))
+
+
 def _first_text(*values: Column) -> Column:
-    """First value that is not blank, trimmed."""
-    return F.get(F.filter(F.transform(F.array(*values), lambda v: F.trim(v)), lambda v: v != ""), F.lit(0))
+    """First value that is not blank, trimmed; later values are only worked out when needed."""
+    return F.coalesce(*[_filled(v) for v in values])
 
 
 def plain_text(fragment: Column | str) -> Column:
@@ -143,7 +148,8 @@ def extract_page_prices(pages: DataFrame) -> DataFrame:
         .when(profile == "signature", F.when(is_product_page("url", "html"), F.array(*classes["signature"])))
         .otherwise(F.array(*meta, euro_fragment("html")))
     )
-    prices = F.transform("__texts", lambda t: parse_price(plain_text(F.coalesce(t, F.lit("")))))
+    shown = F.filter("__texts", lambda t: t != "")
+    prices = F.transform(shown, lambda t: parse_price(plain_text(t)))
     found = F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
     return pages.withColumn("__texts", texts).withColumn("price", found).drop("__texts")
 

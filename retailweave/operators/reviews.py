@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..sources.incremental import ensure_columns, latest_per_key, upsert
 from ..sources.observations import append_observations, decimal_price, delete_observations, valid_observations
-from .scan import previous_value, running_sum
+from .scan import previous_values, run_length
 
 # Thresholds and text lengths.
 SCORE_FLOOR = 30
@@ -114,8 +114,8 @@ def test_actions(tests: DataFrame, incoming: DataFrame, chunk_rows: int | None =
     scan = {} if chunk_rows is None else {"chunk_rows": chunk_rows}
     live = events.where("kind <> 'invalid'")
     up = F.when(F.col("kind") == "upsert", F.struct("validation_status", "seq"))
-    live = previous_value(live, PAIR, "seq", up, "prev_up", **scan)
-    live = previous_value(live, PAIR, "seq", F.when(F.col("kind") == "low", F.col("seq")), "prev_low", **scan)
+    low = F.when(F.col("kind") == "low", F.col("seq"))
+    live = previous_values(live, PAIR, "seq", {"prev_up": up, "prev_low": low}, **scan)
     live = live.join(tests.select(*PAIR, F.col("validation_status").alias("stored")), PAIR, "left")
     status = F.coalesce("prev_up.validation_status", "stored")
     removed = (status == "pending") & (F.col("prev_low") > F.coalesce("prev_up.seq", F.lit(-1)))
@@ -228,16 +228,11 @@ def url_health(
     usable = (F.col("id_product") > 0) & (F.trim(F.coalesce("url", F.lit(""))) != "")
     log = events.where(usable & (F.col("price").isNotNull() | F.col("http_status").isNotNull())).join(stored, PAIR)
     observed = F.col("price").isNotNull()
-    log = previous_value(log, PAIR, "seq", F.when(observed, F.trim("url")), "seen_url", **scan)
+    log = previous_values(log, PAIR, "seq", {"seen_url": F.when(observed, F.trim("url"))}, **scan)
     log = log.where(observed | (F.trim("url") == F.coalesce("seen_url", "stored_url")))
 
-    gone = ~observed & F.col("http_status").isin(*GONE_STATUSES)
-    log = log.withColumn("gone", F.coalesce(gone, F.lit(False)).cast("int"))
-    log = running_sum(log, PAIR, "seq", F.col("gone"), "gone_so_far", **scan)
-    reset = F.when(F.col("gone") == 0, F.struct("gone_so_far"))
-    log = previous_value(log, PAIR, "seq", reset, "last_reset", **scan)
-    start = F.coalesce(F.col("last_reset.gone_so_far"), -F.col("stored_run"))
-    log = log.withColumn("run", F.when(F.col("gone") == 1, F.col("gone_so_far") - start).otherwise(0).cast("int"))
+    gone = F.coalesce(~observed & F.col("http_status").isin(*GONE_STATUSES), F.lit(False))
+    log = run_length(log, PAIR, "seq", gone, F.col("stored_run"), "run", **scan)
 
     end = log.where(F.col("run") >= threshold).groupBy(*PAIR).agg(F.min("seq").alias("end_seq"))
     log = log.join(end, PAIR, "left").where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq")))

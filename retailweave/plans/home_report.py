@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from ..functions import labels as L
 from ..operators import aggregates as A
 from ..operators import comparisons as C
 from ..operators.filters import Filters, apply_filters
+from ..session import work_path
 
 BASE_COLUMNS = (
     "invoice_date", "invoice_number", "product_id", "product_code", "product_name", "rayon_name", "family_name",
@@ -21,14 +21,11 @@ BASE_COLUMNS = (
 
 @dataclass
 class HomeReport:
-    """Named sections. `base` is persisted; call `close` when the sections have been read."""
+    """Named sections over one base."""
 
     base: DataFrame
     sections: dict[str, DataFrame] = field(default_factory=dict)
 
-    def close(self) -> None:
-        self.base.unpersist()
-
 
 def report_base(fact: DataFrame, filters: Filters) -> DataFrame:
     """The rows of all report periods that pass the filters, with the report's columns only."""
@@ -36,13 +33,15 @@ def report_base(fact: DataFrame, filters: Filters) -> DataFrame:
 
 
 def home_report(
-    spark: SparkSession, fact: DataFrame, filters: Filters, target: float = 0.0, persist: bool = True
+    spark: SparkSession, fact: DataFrame, filters: Filters, target: float = 0.0, materialize: bool = True
 ) -> HomeReport:
-    """All sections. The fact is scanned once into the base; the number of scans of the base does not grow with
-    periods, channels, brands or categories. Lost cached blocks are recomputed from the fact."""
+    """All sections. The fact is scanned once into the base, a narrow table in the shared folder that outlives lost
+    executors; the number of scans of the base does not grow with periods, channels, brands or categories."""
     base = report_base(fact, filters)
-    if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    if materialize:
+        path = work_path(spark, "home-base")
+        base.write.parquet(path)
+        base = spark.read.parquet(path)
     summary = A.period_summary(base, filters)
     total = summary.select("total_ht")
     brands, categories = C.brand_highlights(base, filters), C.category_highlights(base, filters)

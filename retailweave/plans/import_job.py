@@ -9,7 +9,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fact_build import build_fact, enrich_articles, enrich_lines, keep_line
+from ..operators.fact_build import (
+    accept,
+    article_facts,
+    enrich_articles,
+    enrich_lines,
+    finish_fact,
+    keep_line,
+    line_facts,
+)
 from ..sources import fact_store
 from ..sources.incremental import high_water_mark, latest_per_key, parse_since, scan_after, scan_since
 
@@ -45,11 +53,14 @@ def fact_rows(
     version: str | None = None,
 ) -> DataFrame:
     """Fact rows of raw lines, one per line id: the largest `version` of a repeated line wins."""
+    carry = [version] if version else []
     order = [F.col(version).desc()] if version else []
-    rows = build_fact(accepted_lines(lines, catalogue, max_rows, order), as_of, imported_at)
+    rows = accept(line_facts(lines, as_of, carry), article_facts(catalogue.enriched()))
+    if max_rows is not None:
+        rows = rows.orderBy(fact_store.KEY, *order).limit(max_rows)
     if version:
         rows = latest_per_key(rows, [fact_store.KEY], order).drop(version)
-    return rows
+    return finish_fact(rows, imported_at)
 
 
 def import_invoice_lines(
