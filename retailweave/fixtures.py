@@ -143,45 +143,63 @@ def fact(spark: SparkSession, sf_dir: str, periods: dict[str, cal.Period] | None
     if periods:
         low, high = cal.span(periods)
         o = o.where((F.col("o_orderdate") >= F.lit(low)) & (F.col("o_orderdate") < F.lit(high + dt.timedelta(days=1))))
-    net = _money(_money(F.col("l_extendedprice")) * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")))
-    lines = (
-        li.where(~((F.col("l_linenumber") == 7) & (F.col("l_quantity") == 50)))
-        .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(p.where(F.col("p_size") != 1), F.col("l_partkey") == F.col("p_partkey"))
-        .withColumn("invoice_date", F.to_date("o_orderdate"))
+    # What one table decides is worked out on that table, before the joins.
+    brand_no = "CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)"
+    code = "CASE WHEN p_type = 'PROMO' THEN 'B-' WHEN p_size = 2 THEN 'DEPV' WHEN p_size = 3 THEN 'X-OCCAS-' ELSE 'A-' END"
+    articles_side = p.where("p_size <> 1").selectExpr(
+        "p_partkey AS product_id",
+        f"nullif(CAST(array_position(array{RAYONS}, p_type) AS INT), 0) AS ray_id",
+        f"concat({code}, CAST(p_partkey AS STRING)) AS product_code",
+        "p_name AS product_name",
+        "p_type AS rayon_name",
+        "split(p_name, ' ')[1] AS family_name",
+        "CASE WHEN p_size % 5 = 0 THEN '' ELSE split(p_name, ' ')[0] END AS subfamily_name",
+        f"CASE WHEN {brand_no} <> 25 THEN {brand_no} END AS brand_id",
+        f"CASE WHEN {brand_no} = 24 THEN '' ELSE p_brand END AS brand_name",
+        "concat('REF-', CAST(p_partkey AS STRING)) AS supplier_reference",
+    )
+    invoices = o.selectExpr(
+        "o_orderkey AS source_invoice_id",
+        "to_date(o_orderdate) AS invoice_date",
+        "o_custkey AS customer_id",
+        "CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS WEB",
+    )
+    lines = li.where("NOT (l_linenumber = 7 AND l_quantity = 50)").selectExpr(
+        "*",
+        "CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(12,2)) AS total_ht",
+        "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 END AS SITE",
     )
-    lines = latest_per_key(
-        lines,
+    rows = lines.join(invoices, F.col("l_orderkey") == F.col("source_invoice_id")).join(
+        articles_side, F.col("l_partkey") == F.col("product_id")
+    )
+    rows = latest_per_key(
+        rows,
         ["l_orderkey", "l_linenumber", "invoice_date"],
         [F.col(c).desc() for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity")],
     )
-    web = F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)
-    site = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1)
-    size = F.pmod(F.col("l_partkey"), F.lit(50)).cast("decimal(4,0)")
-    return lines.withColumn("net", net).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_line_id"),
-        F.col("l_orderkey").alias("source_invoice_id"),
-        F.when(F.col("l_orderkey") != 0, F.col("l_orderkey").cast("string"))
-        .otherwise(F.concat(F.lit("POSTE-"), F.col("l_linenumber").cast("string")))
-        .alias("invoice_number"),
-        F.col("invoice_date"),
-        F.col("l_partkey").alias("product_id"),
-        _product_code().alias("product_code"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("rayon_name"),
-        _word(1).alias("family_name"),
-        F.when(F.col("p_size") % 5 == 0, "").otherwise(_word(0)).alias("subfamily_name"),
-        F.when(_brand_number() != 25, _brand_number()).alias("brand_id"),
-        F.when(_brand_number() == 24, "").otherwise(F.col("p_brand")).alias("brand_name"),
-        F.lit("").alias("supplier_name"),
-        F.concat(F.lit("REF-"), F.col("l_partkey").cast("string")).alias("supplier_reference"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("l_linestatus").alias("mode_vente"),
-        L.resolve_channel(_rayon_id(), web, site, name=True).alias("channel_name"),
-        F.col("l_quantity").cast("decimal(12,3)").alias("quantity"),
-        F.col("net").alias("total_ht"),
-        _money(F.col("net") * (F.lit(1) + F.col("l_tax").cast("decimal(4,2)"))).alias("total_ttc"),
-        _money(F.col("net") * size * F.lit("0.01").cast("decimal(4,2)")).alias("margin_ht"),
+    return rows.withColumn("channel_name", L.resolve_channel("ray_id", "WEB", "SITE", name=True)).selectExpr(
+        "l_orderkey * 10 + l_linenumber AS source_line_id",
+        "source_invoice_id",
+        "CASE WHEN l_orderkey <> 0 THEN CAST(l_orderkey AS STRING)"
+        " ELSE concat('POSTE-', CAST(l_linenumber AS STRING)) END AS invoice_number",
+        "invoice_date",
+        "product_id",
+        "product_code",
+        "product_name",
+        "rayon_name",
+        "family_name",
+        "subfamily_name",
+        "brand_id",
+        "brand_name",
+        "'' AS supplier_name",
+        "supplier_reference",
+        "customer_id",
+        "l_linestatus AS mode_vente",
+        "channel_name",
+        "CAST(l_quantity AS DECIMAL(12,3)) AS quantity",
+        "total_ht",
+        "CAST(total_ht * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(12,2)) AS total_ttc",
+        "CAST(total_ht * CAST(pmod(l_partkey, 50) AS DECIMAL(4,0)) * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS margin_ht",
     )
 
 

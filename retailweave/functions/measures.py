@@ -10,8 +10,20 @@ def _d(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("double")
 
 
+def pct_sql(current: str, previous: str, guard: str = "gt0") -> str:
+    """(c-p)/p*100 as SQL text. `gt0` needs a positive base, `ne0` (the KPI cards) any non-zero one."""
+    cur, prev = f"CAST({current} AS DOUBLE)", f"CAST({previous} AS DOUBLE)"
+    test = "<>" if guard == "ne0" else ">"
+    return f"CASE WHEN {prev} {test} 0 THEN ({cur} - {prev}) / {prev} * 100.0D END"
+
+
+def ratio_sql(value: str, base: str) -> str:
+    return f"CASE WHEN {base} > 0 THEN CAST({value} AS DOUBLE) / CAST({base} AS DOUBLE) ELSE 0.0D END"
+
+
 def pct_change(current: Column | str, previous: Column | str, guard: str = "gt0") -> Column:
-    """(c-p)/p*100. `gt0` needs a positive base, `ne0` (the KPI cards) any non-zero one."""
+    if isinstance(current, str) and isinstance(previous, str):
+        return F.expr(pct_sql(current, previous, guard))
     cur, prev = _d(current), _d(previous)
     ok = prev != 0 if guard == "ne0" else prev > 0
     return F.when(ok, (cur - prev) / prev * F.lit(100.0))
@@ -19,6 +31,8 @@ def pct_change(current: Column | str, previous: Column | str, guard: str = "gt0"
 
 def ratio(value: Column | str, base: Column | str) -> Column:
     """value/base, 0 when the base is not positive (average baskets)."""
+    if isinstance(value, str) and isinstance(base, str):
+        return F.expr(ratio_sql(value, base))
     return F.when(_d(base) > 0, _d(value) / _d(base)).otherwise(F.lit(0.0))
 
 

@@ -43,32 +43,33 @@ def multi_period(
         *[expr.alias(name) for name, expr in keys.items()],
         *[expr.alias(name) for name, expr in carry.items()],
         *[cond.alias(f"__in_{name}") for name, cond in slices.items()],
-        *[F.col(MEASURES[m]) for m in measures if m in MEASURES],
+        *[MEASURES[m] for m in measures if m in MEASURES],
         *(["invoice_number"] if "invoices" in measures else []),
     )
-    sums: list[Column] = []
-    for name in slices:
-        inside = F.col(f"__in_{name}")
-        sums += [F.sum(F.when(inside, F.col(MEASURES[m]))).alias(f"{name}_{m}") for m in measures if m in MEASURES]
-        if "lines" in measures:
-            sums.append(F.sum(F.when(inside, 1).otherwise(0)).alias(f"{name}_lines"))
-    kept = [F.min(name).alias(name) for name in carry]
+    # Plain SQL text from here on: dozens of like expressions, each one call to the JVM.
+    sums = [
+        f"sum(CASE WHEN __in_{name} THEN {MEASURES[m]} END) AS {name}_{m}"
+        for name in slices
+        for m in measures
+        if m in MEASURES
+    ]
+    if "lines" in measures:
+        sums += [f"sum(CASE WHEN __in_{name} THEN 1 ELSE 0 END) AS {name}_lines" for name in slices]
+    kept = [f"min({name}) AS {name}" for name in carry]
 
     if "invoices" in measures:
         flags = [
-            F.max(F.when(F.col(f"__in_{n}") & F.col("invoice_number").isNotNull(), 1).otherwise(0)).alias(
-                f"{n}_invoices"
-            )
-            for n in slices
+            f"max(CASE WHEN __in_{name} AND invoice_number IS NOT NULL THEN 1 ELSE 0 END) AS {name}_invoices"
+            for name in slices
         ]
-        base = base.groupBy(*keys, "invoice_number").agg(*sums, *flags, *kept)
+        base = base.groupBy(*keys, "invoice_number").agg(*map(F.expr, sums + flags + kept))
         additive = [c for c in base.columns if c not in keys and c not in carry and c != "invoice_number"]
-        sums = [F.sum(c).alias(c) for c in additive]
-        kept = [F.min(name).alias(name) for name in carry]
+        sums = [f"sum({c}) AS {c}" for c in additive]
 
-    out = base.groupBy(*keys).agg(*sums, *kept) if keys else base.agg(*sums, *kept)
-    columns = [c for c in out.columns if c not in keys and c not in carry]
-    return out.select(*keys, *carry, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns])
+    out = base.groupBy(*keys).agg(*map(F.expr, sums + kept))
+    return out.selectExpr(
+        *keys, *carry, *[f"coalesce({c}, 0) AS {c}" for c in out.columns if c not in keys and c not in carry]
+    )
 
 
 def as_report(df: DataFrame) -> DataFrame:

@@ -109,10 +109,10 @@ CARDS = (
 )
 
 
-def _value(period: str, measure: str) -> Column:
+def _value(period: str, measure: str) -> str:
     if measure == "basket":
-        return M.ratio(f"{period}_total", f"{period}_invoices")
-    return F.col(f"{period}_{measure}").cast("double")
+        return "(" + M.ratio_sql(f"{period}_total", f"{period}_invoices") + ")"
+    return f"CAST({period}_{measure} AS DOUBLE)"
 
 
 def kpi_cards(fact: DataFrame, filters: Filters, target: float = 0.0) -> DataFrame:
@@ -125,25 +125,20 @@ def kpi_cards(fact: DataFrame, filters: Filters, target: float = 0.0) -> DataFra
     for position, (label, measure, base, kind) in enumerate(CARDS, start=1):
         current = _value("current", measure)
         if base == "objective":
-            previous = F.lit(float(target)) if target > 0 else current
+            previous = f"{float(target)}D" if target > 0 else current
         else:
             previous = _value(base, measure)
-        trends = [
-            M.pct_change(_value(f"t{t}_current", measure), _value(f"t{t}_previous", measure)).alias(f"trend_{t}")
-            for t in TRENDS
-        ]
-        cards.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(label).alias("label"),
-                F.lit(kind).alias("type"),
-                current.alias("current"),
-                previous.alias("previous"),
-                M.pct_change(current, previous, guard="ne0").alias("delta"),
-                *trends,
-            )
-        )
-    return row.select(F.inline(F.array(*cards)))
+        fields = {
+            "position": str(position),
+            "label": f"'{label}'",
+            "type": f"'{kind}'",
+            "current": current,
+            "previous": previous,
+            "delta": M.pct_sql(current, previous, guard="ne0"),
+            **{f"trend_{t}": M.pct_sql(_value(f"t{t}_current", measure), _value(f"t{t}_previous", measure)) for t in TRENDS},
+        }
+        cards.append("named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")")
+    return row.selectExpr(f"inline(array({', '.join(cards)}))")
 
 
 # --- channels -----------------------------------------------------------------------------------------
@@ -253,9 +248,11 @@ def goods_comparison(fact: DataFrame, filters: Filters, k: int = COMPARISON_CARD
         + F.col("previous_year_occ_lines") > 0
     )
     totals = [f"{p}_{s}_total" for p in CURRENT_VS_YEAR for s in GOODS_SPLIT_NAMES]
-    company = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals])
-    cards = company.select(F.lit("Global").alias("label"), F.lit(0).alias("place"), *totals).unionByName(
-        seen.select(L.channel_label("channel_name").alias("label"), F.lit(1).alias("place"), *totals)
+    cards = (
+        seen.withColumn("label", L.channel_label("channel_name"))
+        .rollup("label")
+        .agg(F.grouping("label").alias("company"), *[F.sum(c).alias(c) for c in totals])
+        .withColumns({"place": 1 - F.col("company"), "label": F.when(F.col("company") == 1, "Global").otherwise(F.col("label"))})
     )
     current = F.col("current_new_total") + F.col("current_occ_total")
     previous = F.col("previous_year_new_total") + F.col("previous_year_occ_total")

@@ -711,12 +711,9 @@ def report_totals(report: DataFrame) -> DataFrame:
 def recent_scrapes(history: DataFrame, competitors: DataFrame, as_of: dt.datetime, hours: int = 24) -> DataFrame:
     """Observations of the last hours by competitor, with the overall count as the null-competitor row."""
     since = F.lit((as_of - dt.timedelta(hours=hours)).isoformat(sep=" ")).cast("timestamp_ntz")
-    return (
-        history.where(F.col("observed_at") >= since)
-        .join(competitors.select(F.col("id").alias("competitor_id"), F.col("name").alias("competitor")), "competitor_id", "left")
-        .rollup("competitor")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = history.where(F.col("observed_at") >= since).groupBy("competitor_id").agg(F.count("*").alias("n"))
+    names = competitors.select(F.col("id").alias("competitor_id"), F.col("name").alias("competitor"))
+    return counts.join(names, "competitor_id").rollup("competitor").agg(F.sum("n").alias("n"))
 
 
 def product_dossier(

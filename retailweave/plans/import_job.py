@@ -19,7 +19,7 @@ from ..operators.fact_build import (
     line_facts,
 )
 from ..sources import fact_store
-from ..sources.incremental import high_water_mark, latest_per_key, parse_since, scan_after, scan_since
+from ..sources.incremental import latest_per_key, parse_since, scan_after, scan_since
 
 LINE_KEY = "IDLigneFac"
 
@@ -77,8 +77,7 @@ def import_invoice_lines(
     """Loads lines above the store's highest id, or all lines since a date, and returns the row counts."""
     day = parse_since(since)
     if day is None:
-        cursor = high_water_mark(fact_store.read_fact(spark, target)).first()[0]
-        todo = scan_after(lines, LINE_KEY, cursor)
+        todo = scan_after(lines, LINE_KEY, fact_store.cursor(spark, target))
     else:
         todo = scan_since(lines, day)
     rows = fact_rows(todo, catalogue, as_of, imported_at, max_rows, version)

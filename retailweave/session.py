@@ -8,17 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only where the cluster names none (tests, local runs) a folder of our own is set.
+    Only where the cluster names none (tests, local runs) a folder of our own is used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="retailweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        root = _own_roots.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="retailweave-")
+        _own_roots[context.applicationId] = root
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..session import hadoop_path, path_exists, work_path
-from .incremental import ensure_columns, upsert
+from .incremental import high_water_mark, upsert
 
 KEY = "source_line_id"
 MONTH = "invoice_month"
@@ -19,11 +20,32 @@ def empty_fact(spark: SparkSession) -> DataFrame:
 
 
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
-    """The stored fact with every current column; columns older files lack are null. Empty when absent."""
+    """The stored fact. The schema is given, not collected from the files: columns older files lack are null, and
+    opening a large store costs no scan of footers. Empty when absent."""
     if not path_exists(spark, path):
         return empty_fact(spark).withColumn(MONTH, F.lit(None).cast("string"))
-    stored = spark.read.option("mergeSchema", "true").parquet(path).withColumn(MONTH, F.col(MONTH).cast("string"))
-    return ensure_columns(stored, {f.name: f.dataType.simpleString() for f in schemas.FACT})
+    return spark.read.schema(T.StructType([*schemas.FACT.fields, T.StructField(MONTH, T.StringType())])).parquet(path)
+
+
+def _cursor_path(path: str) -> str:
+    return f"{path.rstrip('/')}/_cursor"  # hidden from readers of the store
+
+
+def cursor(spark: SparkSession, path: str) -> int:
+    """Highest imported line id: from the one-row cursor file, else from the store itself.
+
+    A cursor that lags behind (a run lost between commit and cursor) only makes the next run repeat lines.
+    """
+    if path_exists(spark, _cursor_path(path)):
+        return spark.read.parquet(_cursor_path(path)).first()[0]
+    return high_water_mark(read_fact(spark, path), KEY).first()[0]
+
+
+def _advance_cursor(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    top = max(cursor(spark, path), high_water_mark(batch, KEY).first()[0])
+    spark.range(1).select(F.lit(top).cast("bigint").alias("high_water_mark")).coalesce(1).write.mode("overwrite").parquet(
+        _cursor_path(path)
+    )
 
 
 def with_month(df: DataFrame) -> DataFrame:
@@ -59,6 +81,7 @@ def upsert_fact(spark: SparkSession, path: str, incoming: DataFrame) -> int:
         return 0
     if not path_exists(spark, path):
         _write(batch, path)
+        _advance_cursor(spark, path, batch)
         return n
 
     stored = read_fact(spark, path)
@@ -80,4 +103,5 @@ def upsert_fact(spark: SparkSession, path: str, incoming: DataFrame) -> int:
     for month in emptied:
         hadoop, fs = hadoop_path(spark, f"{path.rstrip('/')}/{MONTH}={month}")
         fs.delete(hadoop, True)
+    _advance_cursor(spark, path, batch)
     return n
