@@ -147,7 +147,8 @@ _KEEP = "NOT (l_linenumber = 7 AND l_quantity = 50) AND REF_FOU NOT LIKE 'REPRIS
 def _stamps_as_text(df):
     stamps = [f.name for f in df.schema if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))]
     text = df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in stamps})
-    return as_report(text).fillna(0)  # null ids shown as 0
+    ids = [f.name for f in df.schema if isinstance(f.dataType, (T.IntegerType, T.LongType)) and f.name != "source_line_id"]
+    return as_report(text).fillna(0, ids)  # null ids shown as 0
 
 
 @query("p1_fact_mapping", f"WITH {_DIMS} {_FACT35} FROM src WHERE {_KEEP}")

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import labels as L
 
-ZERO_STAMPS = ("", "0000-00-00", "0000-00-00 00:00:00")
-
-
 def enrich_articles(
     articles: DataFrame, rayons: DataFrame, families: DataFrame, subfamilies: DataFrame, brands: DataFrame
 ) -> DataFrame:
@@ -54,20 +51,15 @@ def keep_line() -> Column:
 
 
 def _stamp(name: str) -> Column:
-    text = F.trim(F.col(name).cast("string"))
-    return F.when(~text.isin(*ZERO_STAMPS), F.try_to_timestamp(text).cast("timestamp_ntz"))
+    """Blank text, the zero date and anything unreadable are null."""
+    return F.col(name).try_cast("timestamp_ntz")
 
 
 def resolve_invoice_ts(as_of: dt.date) -> Column:
     """Full stamp, else date and time (a bad time counts as midnight), else `as_of`."""
     day = _stamp("DateFacture").cast("date")
-    clock = F.coalesce(L.nullable_trim("HeureFacture"), F.lit("00:00:00"))
-    combined = F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), clock)).cast("timestamp_ntz")
-    return F.coalesce(
-        _stamp("DH_Facture"),
-        F.when(day.isNotNull(), F.coalesce(combined, day.cast("timestamp_ntz"))),
-        F.lit(as_of).cast("timestamp_ntz"),
-    )
+    at = F.concat(day.cast("string"), F.lit(" "), F.coalesce("HeureFacture", F.lit(""))).try_cast("timestamp_ntz")
+    return F.coalesce(_stamp("DH_Facture"), at, day.cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz"))
 
 
 def invoice_number(invoice_id: str = "IDFAC", post_number: str = "NumFacPoste") -> Column:
