@@ -58,6 +58,11 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def collated(df: DataFrame, columns: Sequence[str], collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """Case- and accent-insensitive text columns: equality, grouping, joins and sorting follow the collation."""
+    return df.withColumns({c: F.collate(F.col(c), collation) for c in columns})
+
+
 # Latin letters, marks and symbols, general punctuation, letter-like signs and full-width forms.
 FOLDED_RANGES = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2000, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
 

@@ -163,3 +163,10 @@ def test_urls(spark):
         "https://x.com/a/b.html?q=1#top", "https://x.com/a/b.html?p=2", "https://x.com/a/b.html?q=1#f",
     ]
     assert column(spark, ["a.html"], absolute_url(F.lit("https://x.com"), "v")) == ["https://x.com/a.html"]
+
+
+def test_collated_columns_group_and_match_without_case_and_accents(spark):
+    df = spark.createDataFrame([("École", 1), ("ecole", 2), ("WEB", 3)], "channel string, n int")
+    loose = T.collated(df, ["channel"])
+    assert sorted(r["s"] for r in loose.groupBy("channel").agg(F.sum("n").alias("s")).collect()) == [3, 3]
+    assert loose.where(F.col("channel") == "ÉCOLE").count() == 2 and df.where(F.col("channel") == "ÉCOLE").count() == 0
