@@ -66,9 +66,9 @@ def _(spark, sf):
     return W.pending_work(fx.feed(spark, sf), fx.finals(spark, sf), fx.tests(spark, sf), fx.competitors(spark))
 
 
-def _half_history(spark, sf):
-    """History without the products whose id ends in 1, so some finals were never scraped."""
-    return fx.price_history(spark, sf).where(F.col("id_product") % 10 != 1)
+def _early_history(spark, sf):
+    """Observations before 1996: final urls first seen later were never scraped."""
+    return fx.price_history(spark, sf).where("observed_at < TIMESTAMP_NTZ '1996-01-01 00:00:00'")
 
 
 @query(
@@ -76,13 +76,13 @@ def _half_history(spark, sf):
     with_ci("""SELECT f.id_product, f.competitor_id, c.name AS competitor_name, c.domain AS competitor_domain, f.url,
       CAST(f.competitor_price AS DOUBLE) AS source_price, CAST(h.last AS DATE) AS last_scraped_at
       FROM finals f JOIN comp c ON c.id = f.competitor_id
-      LEFT JOIN (SELECT competitor_id, id_product, url, max(observed_at) AS last FROM history WHERE id_product % 10 <> 1
+      LEFT JOIN (SELECT competitor_id, id_product, url, max(observed_at) AS last FROM history WHERE observed_at < TIMESTAMP '1996-01-01'
         GROUP BY ALL) h ON h.competitor_id = f.competitor_id AND h.id_product = f.id_product AND h.url = f.url
       WHERE f.competitor_id = 4 ORDER BY (f.id_product <= 700), (h.last IS NOT NULL), h.last, f.id_product LIMIT 200"""),
 )
 def _(spark, sf):
     out = W.price_worklist(
-        fx.finals(spark, sf), fx.competitors(spark), _half_history(spark, sf), 4, after_id=700, limit=200
+        fx.finals(spark, sf), fx.competitors(spark), _early_history(spark, sf), 4, after_id=700, limit=200
     )
     return _day(out, "last_scraped_at")
 

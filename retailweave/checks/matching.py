@@ -10,8 +10,7 @@ from ..functions.prices import parse_price
 from ..functions.urls import canonical_url
 from ..operators import matching as X
 from ..operators import pages as P
-from ..operators.aggregates import as_report
-from .competitor_sql import FEED, URL, with_ci
+from .competitor_sql import URL, with_ci
 from .fact_sql import CODE
 from .registry import query
 
@@ -39,20 +38,20 @@ def simplify(x: str) -> str:
 # --- text ---------------------------------------------------------------------------------------------
 
 
-@query(
-    "m1_normalise_text",
-    """SELECT doc_id, md5(t) AS digest, length(t) AS chars FROM (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(
-      strip_accents(nfc_normalize(text)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)""",
-)
+_NORMALISED = """SELECT doc_id, md5(t) AS digest, length(t) AS chars FROM (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(
+  strip_accents(nfc_normalize(text)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)"""
+
+
+@query("m1_normalise_text", _NORMALISED)
 def _(spark, sf):
     docs = T.normalize_columns(fx.table(spark, sf, "documents"), ["text"])
     return docs.select("doc_id", F.md5("text_norm").alias("digest"), F.length("text_norm").cast("bigint").alias("chars"))
 
 
-@query("m1_normalise_text_exact")
+@query("m1_normalise_text_exact", _NORMALISED)
 def _(spark, sf):
     docs = T.normalize_columns(fx.table(spark, sf, "documents"), ["text"], exact=True)
-    return docs.select("doc_id", F.md5("text_norm").alias("digest"))
+    return docs.select("doc_id", F.md5("text_norm").alias("digest"), F.length("text_norm").cast("bigint").alias("chars"))
 
 
 @query("m2_simplify_name", with_ci(f"SELECT id_product, {simplify(norm('product_name'))} AS simple FROM feed"))

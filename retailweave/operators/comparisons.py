@@ -183,11 +183,12 @@ def channel_shares(fact: DataFrame, filters: Filters) -> DataFrame:
     periods = {"current": filters.period}
     rows = _channel_periods(fact, filters, periods, ("total", "margin", "lines")).where("current_lines > 0")
     bases = rows.agg(F.sum("current_total").alias("s"), F.max("current_total").alias("m"))
+    base = bases.select(F.struct("s", "m")).scalar()  # one sub-query, named twice
     return rows.select(
         "channel_name",
         F.col("current_total").cast("double").alias("current"),
-        M.share("current_total", bases.select("s").scalar()).alias("share_global"),
-        M.share("current_total", F.greatest(bases.select("m").scalar(), F.lit(0))).alias("share_of_max"),
+        M.share("current_total", base["s"]).alias("share_global"),
+        M.share("current_total", F.greatest(base["m"], F.lit(0))).alias("share_of_max"),
         M.margin_rate("current_margin", "current_total").alias("margin_percent"),
     )
 
@@ -543,7 +544,7 @@ def goods_shares(fact: DataFrame, filters: Filters) -> DataFrame:
     both = {"all": F.lit(True), **goods_splits()}
     by_channel = multi_period(rows, periods, {"channel_name": L.channel()}, ("total",), splits=both)
     company = by_channel.agg(*[F.sum(f"current_{s}_total").cast("double").alias(s) for s in both])
-    base = {s: company.select(s).scalar() for s in both}
+    base = company.select(F.struct(*both)).scalar()
     return by_channel.select(
         "channel_name",
         F.col("current_all_total").cast("double").alias("current"),

@@ -6,7 +6,7 @@ Inputs: products (id_product, supplier_reference, ean, brand, name, source_price
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 import pandas as pd
 
@@ -16,6 +16,7 @@ from ..sources.incremental import top_k_per
 
 # Thresholds, word lists and weights of the scorers.
 SEARCH_PAGE = 10
+WORD_BLOCK = 50_000  # our own: listings of one word a task looks through
 TOP = {"base": 5, "index": 5, "tokens": 3, "signature": 3}
 INDEX_KEEP = 90
 NOT_FOUND_BELOW, MATCHED_ABOVE, SELECTED_MATCH = 30, 90, 95
@@ -79,30 +80,36 @@ def listing_words(listings: DataFrame) -> DataFrame:
     return listings.select("competitor_id", "url", T.normalize_text("title").alias("title_norm"), F.array_distinct(found).alias("found_by"))
 
 
-def search_listings(queries: DataFrame, listings: DataFrame, page: int = SEARCH_PAGE, salts: int = 16) -> DataFrame:
+def search_listings(queries: DataFrame, listings: DataFrame, page: int = SEARCH_PAGE, block_rows: int = WORD_BLOCK) -> DataFrame:
     """Site search: per competitor and distinct query, one page of the listings that hold every word of it.
 
-    A query is looked up by its rarest word only, and the listings of a word are spread over `salts` tasks, so a
-    word that fills a third of the catalogue neither multiplies pairs nor lands in one task. Ranking keeps the best
-    page per query before the shuffle. The page size belongs to the question, as on a real site.
+    A query is looked up by its rarest word only. The listings of a word that fills more than `block_rows` are cut
+    into blocks and its queries repeated per block, so a word of a third of the catalogue neither multiplies pairs
+    nor lands in one task. Ranking keeps the best page per query before the shuffle. The page size belongs to the
+    question, as on a real site.
     """
     asked = queries.select("query").distinct().withColumn("query_norm", T.normalize_text("query"))
     asked = asked.withColumn("needs", F.array_distinct(T.words("query_norm"))).where(F.size("needs") > 0)
-    indexed = listing_words(listings)
-    postings = indexed.select("*", F.explode("found_by").alias("word"))
+    postings = listing_words(listings).withColumn("word", F.explode("found_by"))
     frequency = postings.groupBy("competitor_id", "word").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / block_rows).cast("int")
 
     rarest = (
         asked.select("query", F.size("needs").alias("wanted"), F.explode("needs").alias("word"))
         .join(frequency, "word")
         .groupBy("competitor_id", "query")
-        .agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count("*").alias("known"), F.first("wanted").alias("wanted"))
+        .agg(F.min(F.struct("n", "word")).alias("key"), F.count("*").alias("known"), F.first("wanted").alias("wanted"))
         .where(F.col("known") == F.col("wanted"))  # a word no listing has: nothing to find
-        .select("competitor_id", "query", "word")
+        .select("competitor_id", "query", "key.word", "key.n")
     )
-    keyed = rarest.join(asked, "query").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    spread = postings.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int"))
-    hits = keyed.join(spread, ["competitor_id", "word", "salt"]).where(F.size(F.array_except("needs", "found_by")) == 0)
+    keyed = rarest.join(asked, "query").select(
+        "*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    ).drop("n")
+    crowded = frequency.where(F.col("n") > block_rows).select("competitor_id", "word", blocks.alias("blocks"))
+    spread = postings.join(crowded, ["competitor_id", "word"], "left").withColumn(
+        "block", F.coalesce(F.pmod(F.xxhash64("url"), F.col("blocks")).cast("int"), F.lit(0))
+    )
+    hits = keyed.join(spread, ["competitor_id", "word", "block"]).where(F.size(F.array_except("needs", "found_by")) == 0)
     order = [
         T.holds_phrase(F.col("title_norm"), F.col("query_norm")).desc(),
         F.length("title_norm"),
@@ -407,18 +414,16 @@ def rank_candidates(scored: DataFrame, k: int = TOP["base"]) -> DataFrame:
 def merge_selections(ranked: DataFrame, selections: DataFrame) -> DataFrame:
     """Best candidate per pair. An external verdict (id_product, competitor_id, best_index, confidence) on the top
     three replaces choice and score; index and confidence are clamped."""
-    pool = ranked.where("rank <= 3")
-    sizes = pool.groupBy(*PAIR).agg(F.max("rank").alias("pool"))
-    picks = sizes.join(selections.select(*PAIR, "best_index", "confidence"), PAIR, "left").select(
-        *PAIR,
-        F.coalesce(F.greatest(F.lit(0), F.least(F.col("pool") - 1, F.col("best_index"))) + 1, F.lit(1)).alias("rank"),
-        F.greatest(F.lit(0), F.least(F.lit(100), F.col("confidence"))).alias("confidence"),
-        F.col("best_index").isNotNull().alias("selected"),
-    )
+    whole_pool = Window.partitionBy(*PAIR)  # at most three rows, and partitioned by the ranking already
+    pool = ranked.where("rank <= 3").withColumn("__pool", F.max("rank").over(whole_pool))
+    rows = pool.join(selections.select(*PAIR, "best_index", "confidence"), PAIR, "left")
+    chosen = F.greatest(F.lit(0), F.least(F.col("__pool") - 1, F.col("best_index"))) + 1
+    verdict = F.greatest(F.lit(0), F.least(F.lit(100), F.col("confidence")))
     return (
-        pool.join(picks, [*PAIR, "rank"])
-        .withColumn("score", F.when(F.col("selected"), F.col("confidence")).otherwise(F.col("score")))
-        .drop("confidence")
+        rows.where(F.col("rank") == F.coalesce(chosen, F.lit(1)))
+        .withColumn("selected", F.col("best_index").isNotNull())
+        .withColumn("score", F.when(F.col("selected"), verdict).otherwise(F.col("score")))
+        .drop("__pool", "best_index", "confidence")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +19,24 @@ BASE_COLUMNS = (
 )
 
 
-@dataclass
-class HomeReport:
-    """Named sections over one base."""
+class HomeReport(Mapping):
+    """Sections by name over one base. A section's plan is built when it is first asked for."""
 
-    base: DataFrame
-    sections: dict[str, DataFrame] = field(default_factory=dict)
+    def __init__(self, base: DataFrame, builders: dict[str, Callable[[], DataFrame]]):
+        self.base = base
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
 
 
 def report_base(fact: DataFrame, filters: Filters) -> DataFrame:
@@ -42,39 +54,42 @@ def home_report(
         path = work_path(spark, "home-base")
         base.write.parquet(path)
         base = spark.read.parquet(path)
-    summary = A.period_summary(base, filters)
-    total = summary.select("total_ht")
-    brands, categories = C.brand_highlights(base, filters), C.category_highlights(base, filters)
-    sections = {
-        "summary": summary,
-        "objective": C.objective_summary(base, filters, target),
-        "cards": C.kpi_cards(base, filters, target),
-        "new_goods": C.goods_summary(base, filters, occasion=False),
-        "new_goods_channels": C.goods_channel_summaries(base, filters, occasion=False),
-        "occasion": C.goods_summary(base, filters, occasion=True),
-        "occasion_channels": C.goods_channel_summaries(base, filters, occasion=True),
-        "comparison": C.goods_comparison(base, filters),
-        "brands": C.exclude_brands(brands),
-        "brand_channels": C.channel_breakdown(base, filters, {"brand_id": L.brand_key()}),
-        "brand_chart": C.summary_series(brands, "brand_name", "current_global_total", total),
-        "categories": categories,
-        "category_channels": C.channel_breakdown(base, filters, {"category_name": L.category_path()}),
-        "category_chart": C.summary_series(categories, "category_name", "current_global_total", total),
-        "channels": C.channel_summaries(base, filters),
-        "channel_shares": C.channel_shares(base, filters),
-        "channel_brands": C.channel_highlights(base, filters),
-        "trend": C.aligned_trend(base, filters, spark),
-        "alerts": C.alerts(base, filters),
-        "filter_options": A.filter_options(fact),
+
+    def chart(section: str, label: str) -> DataFrame:
+        return C.summary_series(report[section], label, "current_global_total", report["summary"].select("total_ht"))
+
+    builders = {
+        "summary": lambda: A.period_summary(base, filters),
+        "objective": lambda: C.objective_summary(base, filters, target),
+        "cards": lambda: C.kpi_cards(base, filters, target),
+        "new_goods": lambda: C.goods_summary(base, filters, occasion=False),
+        "new_goods_channels": lambda: C.goods_channel_summaries(base, filters, occasion=False),
+        "occasion": lambda: C.goods_summary(base, filters, occasion=True),
+        "occasion_channels": lambda: C.goods_channel_summaries(base, filters, occasion=True),
+        "comparison": lambda: C.goods_comparison(base, filters),
+        "all_brands": lambda: C.brand_highlights(base, filters),
+        "brands": lambda: C.exclude_brands(report["all_brands"]),
+        "brand_channels": lambda: C.channel_breakdown(base, filters, {"brand_id": L.brand_key()}),
+        "brand_chart": lambda: chart("brands", "brand_name"),
+        "categories": lambda: C.category_highlights(base, filters),
+        "category_channels": lambda: C.channel_breakdown(base, filters, {"category_name": L.category_path()}),
+        "category_chart": lambda: chart("categories", "category_name"),
+        "channels": lambda: C.channel_summaries(base, filters),
+        "channel_shares": lambda: C.channel_shares(base, filters),
+        "channel_brands": lambda: C.channel_highlights(base, filters),
+        "trend": lambda: C.aligned_trend(base, filters, spark),
+        "alerts": lambda: C.alerts(base, filters),
+        "filter_options": lambda: A.filter_options(fact),
     }
-    return HomeReport(base, sections)
+    report = HomeReport(base, builders)
+    return report
 
 
 def digest(report: HomeReport) -> DataFrame:
     """The comparable figures of the main sections in one table: section, label, current, previous."""
 
     def part(section: str, label: str, current: str, previous: str) -> DataFrame:
-        return report.sections[section].select(
+        return report[section].select(
             F.lit(section).alias("section"),
             F.col(label).cast("string").alias("label"),
             F.col(current).cast("double").alias("current"),

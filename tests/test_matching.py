@@ -26,7 +26,7 @@ def test_search_equals_brute_force_with_a_hot_word(spark):
     )
     queries = ["guitar", "red guitar", "Guitar pro", "x1", "zzz", "zzz guitar", "blue amp red", "-"]
     asked = spark.createDataFrame([(q,) for q in queries], "query string")
-    got = {(r["competitor_id"], r["query"], r["url"]) for r in X.search_listings(asked, listings, page=3, salts=4).collect()}
+    got = {(r["competitor_id"], r["query"], r["url"]) for r in X.search_listings(asked, listings, page=3, block_rows=9).collect()}
     want = set()
     for c, q in itertools.product((1, 2), queries):
         need = normal(q).split()
