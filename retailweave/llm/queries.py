@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, line_templates, pfair, pu_quality
+from . import icws, leaks, line_templates, pfair, pu_quality
 from .registry import query
 
 
@@ -57,6 +57,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_icws_near_dup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = icws.near_duplicates(docs)
+    doc_id = F.when(F.col("doc") < icws.LAST_ID, F.col("doc"))
+    return found.select(
+        doc_id.alias("doc_id"), F.col("component").alias("component_id"), "kept", F.hex("content").alias("content"), "rows"
+    )
+
+
 @query("op8_pu_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
