@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import icws, leaks, line_templates, pfair, pu_quality
+from . import embed_forest, html_blocks, icws, leaks, line_templates, pfair, pii, pu_quality, token_counts, url_templates
 from .registry import query
 
 
@@ -13,6 +14,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_embedding_forest")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_forest.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"),
+    )
+
+
+@query("op3_html_blocks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_blocks.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+URL_RULES = (
+    url_templates.Rule("net", "/", "block"),
+    url_templates.Rule("example.net", "/en/", "allow"),
+    url_templates.Rule("example.com", "/de/", "block"),
+    url_templates.Rule("org", "/fr/", "allow"),
+)
+
+
+@query("op4_url_templates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_templates.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select(
+        "page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.template", "judged.purity"
+    )
+
+
 LEAKS_SQL = r"""
 WITH item_words AS (
     SELECT item_id, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -57,6 +97,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(F.col("pii.base"), k.name).alias(f"n_{k.name}") for k in pii.KINDS if k.base]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(F.col("pii.base")), 256).alias("base_sha256"),
+        pii.listed(F.col("pii.all")).alias("spans"),
+    )
+
+
 @query("op7_icws_near_dup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
