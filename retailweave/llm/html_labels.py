@@ -158,7 +158,19 @@ _BARE_LIST = """
  </body>
 """
 
-_TEXTS = (_SEMANTIC, _CLASSED, _BARE, _BARE_LONG, _BARE_EDGES, _BARE_LIST, _MAIN)
+_LINK_LISTS = """
+ <div>
+-<div><a href="/1">Spring tours by bus and by boat</a> <a href="/2">Summer tours on foot</a> <a href="/3">Autumn tours to the vineyards</a> <a href="/4">Winter tours with skis and sledges</a> and more</div>
+ </div>
++<h1>A week on the canal</h1>
++<p>We took the boat over on Saturday, were shown how the locks work, and were on our own from then on, with a map and a kettle.</p>
++<p>On the second day it rained so hard that we stayed where we were, in front of an inn, and played cards with the crew of another boat.</p>
+-<p>More of this: <a href="/5">Ten days on the lakes in a sailing boat without a motor</a>, <a href="/6">A month on the road with a horse and cart</a> and <a href="/7">By train around the whole country</a></p>
++<p>The rest of the week was dry, and <a href="/8">the long tunnel</a>, which we had been warned of, turned out to be the best part of it.</p>
+-<p><a href="/9">All tours of this year with dates and prices for groups of four people or more</a> <a href="/10">Terms of travel for groups and for single guests</a></p>
+"""
+
+_TEXTS = (_SEMANTIC, _CLASSED, _BARE, _BARE_LONG, _BARE_EDGES, _BARE_LIST, _LINK_LISTS, _MAIN)
 
 
 def labelled_pages() -> list[tuple[str, list[bool]]]:
