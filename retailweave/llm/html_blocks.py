@@ -186,7 +186,6 @@ def blocks(page: str) -> list[Block]:
 
 FEATURES = (
     "words", "density", "words_before", "density_before", "words_after", "density_after", "place", "heading", "listed",
-    "sentence",
 )
 
 
@@ -194,7 +193,7 @@ def features(found: Sequence[Block]) -> np.ndarray:
     """(blocks, features); a page's ends count as blocks without words."""
     words = np.array([0, *[b.words for b in found], 0], float)
     density = np.array([0, *[b.linked / b.words for b in found], 0], float)
-    own = np.array([(b.place, b.heading, b.listed, b.text[-1:] in ".!?…:;\"'»”") for b in found], float).reshape(-1, 4)
+    own = np.array([(b.place, b.heading, b.listed) for b in found], float).reshape(-1, 3)
     flat = [words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]]
     return np.column_stack([*flat, own])
 
