@@ -9,7 +9,8 @@ Character references are decoded as HTML5 says, white space inside a block becom
 and form controls are no text at all; an element of this kind that is never closed reaches to the end of the page.
 
 Defined cases: null and empty pages, and pages without main text, give an empty text; broken markup is read as far as it
-goes, a tag that never ends is text; repeated rows give the same text; other columns pass through.
+goes, a tag that never ends is text; repeated rows give the same text; other columns pass through, but for one with
+the result's name, which the result replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .columns import clear_of
+
 #: HTML element names by their part in a page.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -261,8 +264,7 @@ def main_text(page: str | None, tree: Node) -> str:
 
 def extract_main_text(pages: DataFrame, *, html_column: str = "html", result: str = "text") -> DataFrame:
     """Adds `result`, the main text of each page."""
-    if result in pages.columns:
-        raise ValueError(f"the pages have a column {result}")
+    pages = clear_of(pages, result)
     place, tree = pages.columns.index(html_column), trained_tree()
     schema = T.StructType([*pages.schema.fields, T.StructField(result, T.StringType())])
 

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import work_path
+from .columns import free_prefix
 from .graph import connected_components
 from .words import WordHashes, mix, shingles, utf8, words
 
@@ -379,20 +380,21 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without all but one of each group of near-duplicates; repeated rows of the kept one go as well."""
+    name = free_prefix(docs)
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    stay = found.where("kept").select(F.col("doc").alias("__doc"), F.col("content").alias("__content"))
+    stay = found.where("kept").select(F.col("doc").alias(f"{name}doc"), F.col("content").alias(f"{name}content"))
     stay = _written(docs.sparkSession, stay, "icws-stay")
     place = docs.columns.index(text)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contents = pa.array([_content(words(t)) for t in utf8(batch.column(place))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, contents], names=[*batch.schema.names, "__content"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, contents], names=[*batch.schema.names, f"{name}content"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__content", T.BinaryType())])
-    rows = docs.mapInArrow(named, schema).withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)))
-    same = (F.col("r.__doc") == F.col("s.__doc")) & F.col("r.__content").eqNullSafe(F.col("s.__content"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(f"{name}content", T.BinaryType())])
+    rows = docs.mapInArrow(named, schema).withColumn(f"{name}doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)))
+    same = (F.col(f"r.{name}doc") == F.col(f"s.{name}doc")) & F.col(f"r.{name}content").eqNullSafe(F.col(f"s.{name}content"))
     kept = rows.alias("r").join(stay.alias("s"), same).select("r.*")
-    turn = F.row_number().over(Window.partitionBy("__doc", "__content").orderBy("__doc"))
-    kept = kept.withColumn("__turn", turn).where(F.col("__content").isNull() | (F.col("__turn") == 1))
+    turn = F.row_number().over(Window.partitionBy(f"{name}doc", f"{name}content").orderBy(f"{name}doc"))
+    kept = kept.withColumn(f"{name}turn", turn).where(F.col(f"{name}content").isNull() | (F.col(f"{name}turn") == 1))
     return kept.select(*docs.columns)

@@ -8,7 +8,8 @@ benchmark text, and a larger benchmark is dealt into as many parts as that needs
 hits are joined to the documents.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no window; repeated items and
-documents count as often as they are there; an empty benchmark hits nothing; other columns pass through as they are.
+documents count as often as they are there; an empty benchmark hits nothing; other columns pass through as they are, but for
+one with the result's name, which the result replaces.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import clear_of, free_prefix
 from .words import mix, utf8, words
 
 WINDOW = 10
@@ -148,8 +150,7 @@ def find_leaks(
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Adds `result`: words, hit words, hit runs (first and last word) and the items hit, of every document."""
-    if result in docs.columns:
-        raise ValueError(f"the documents have a column {result}")
+    docs = clear_of(docs, result)
     parts = _parts(benchmark, item, item_text, n, part_bytes)
     if len(parts) == 1:
         return _scan(docs, parts[0], text, result)
@@ -164,17 +165,22 @@ def find_leaks(
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    counted = _scan(docs, WindowIndex([], n), text, result).withColumn("__k", key)
-    marked = counted.join(found.withColumnRenamed("k", "__k"), "__k", "left")
+    counted = _scan(docs, WindowIndex([], n), text, result)
+    name = free_prefix(docs)
+    counted = counted.withColumn(f"{name}k", key)
+    renamed = found.select(
+        F.col("k").alias(f"{name}k"), F.col("spans").alias(f"{name}spans"), F.col("items").alias(f"{name}items")
+    )
+    marked = counted.join(renamed, f"{name}k", "left")
     merged = F.expr(
-        "aggregate(array_sort(spans), cast(array() as array<array<bigint>>), (a, s) -> "
+        f"aggregate(array_sort({name}spans), cast(array() as array<array<bigint>>), (a, s) -> "
         "CASE WHEN size(a) > 0 AND s[0] <= element_at(a, -1)[1] + 1 "
         "THEN concat(slice(a, 1, size(a) - 1), array(array(element_at(a, -1)[0], greatest(s[1], element_at(a, -1)[1])))) "
         "ELSE concat(a, array(s)) END)"
     )
     spans = F.coalesce(merged, F.array().cast("array<array<bigint>>"))
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0] + 1)
-    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    items = F.coalesce(f"{name}items", F.array().cast("array<bigint>"))
     whole = F.struct(F.col(f"{result}.n_words"), n_hit.alias("n_hit"), spans.alias("spans"), items.alias("items"))
     return marked.withColumn(result, whole).select(*docs.columns, result)
 
@@ -185,7 +191,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", h
     Cutting goes on until nothing is hit any more, since words on both sides of a cut may form a new window. A document
     of which no word is left goes; documents without a hit stay as they are, empty ones too.
     """
-    result = "__leak"
+    result = f"{free_prefix(docs)}leak"
     found = find_leaks(docs, benchmark, text=text, result=result, **options)
     if how == "documents":
         return found.where(F.col(f"{result}.n_hit") == 0).drop(result)

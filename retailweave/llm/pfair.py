@@ -12,7 +12,7 @@ Within a source documents follow md5(doc_id), a shuffled order that does not dep
 no task that sees a whole source: rows are numbered inside hash buckets of a source and the buckets' counts summed up.
 
 Defined cases: a null source is a source of its own; a source that the target does not name gets one share; repeated
-rows follow each other; null ids come last in their source; an empty table gives an empty one.
+rows follow each other; columns with the names of the results are replaced by them; null ids come last in their source; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import clear_of, free_prefix
+
 BLOCK_ROWS = 8
 PERIOD = 1000
 
@@ -81,9 +83,8 @@ def mix_sources(
     Sorted by (slot, place) the documents are the mixture.
     """
     spark = docs.sparkSession
-    clash = {"block", "release", "deadline", "slot", "place"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"the documents have columns {sorted(clash)}")
+    docs = clear_of(docs, "block", "release", "deadline", "slot", "place")
+    name = free_prefix(docs)
     names = docs.select(F.col(source).alias("source")).distinct()
     target = (
         names.alias("n")
@@ -92,37 +93,37 @@ def mix_sources(
     )
     # so many buckets that both a bucket's rows and a source's buckets grow with the root of the input
     digits = max(1, math.ceil(math.log(max(docs.count(), 1) ** 0.5, 16)))
-    rows = docs.withColumn("__order", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = rows.withColumn("__order", F.when(F.col(doc_id).isNull(), F.lit("g" * 32)).otherwise(F.col("__order")))
-    rows = rows.withColumns({"__bucket": F.substring("__order", 1, digits), "__source": F.struct(F.col(source))})
+    rows = docs.withColumn(f"{name}order", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    rows = rows.withColumn(f"{name}order", F.when(F.col(doc_id).isNull(), F.lit("g" * 32)).otherwise(F.col(f"{name}order")))
+    rows = rows.withColumns({f"{name}bucket": F.substring(f"{name}order", 1, digits), f"{name}source": F.struct(F.col(source))})
     counts = docs.select(
-        F.struct(F.col(source)).alias("__source"),
+        F.struct(F.col(source)).alias(f"{name}source"),
         F.when(F.col(doc_id).isNull(), F.lit("g" * digits))
         .otherwise(F.substring(F.md5(F.col(doc_id).cast("string")), 1, digits))
-        .alias("__bucket"),
+        .alias(f"{name}bucket"),
     )
-    counts = counts.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__source", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
-
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", doc_id)
-    rows = rows.withColumn("__number", F.row_number().over(inside) - 1)
-    rows = rows.join(offsets, ["__source", "__bucket"])
-    number = F.col("__offset") + F.col("__number")
+    counts = counts.groupBy(f"{name}source", f"{name}bucket").agg(F.count(F.lit(1)).alias(f"{name}rows"))
+    before = Window.partitionBy(f"{name}source").orderBy(f"{name}bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(f"{name}source", f"{name}bucket", F.coalesce(F.sum(f"{name}rows").over(before), F.lit(0)).alias(f"{name}offset"))
+
+    inside = Window.partitionBy(f"{name}source", f"{name}bucket").orderBy(f"{name}order", doc_id)
+    rows = rows.withColumn(f"{name}number", F.row_number().over(inside) - 1)
+    rows = rows.join(offsets, [f"{name}source", f"{name}bucket"])
+    number = F.col(f"{name}offset") + F.col(f"{name}number")
     rows = rows.withColumns(
         {"block": F.floor(number / block_rows).cast("long"), "place": F.pmod(number, F.lit(block_rows)).cast("long")}
     )
 
     plan = period_slots(target)
     plan = plan.groupBy("source").agg(
-        F.first("shares").alias("__shares"), F.first("period").alias("__period"), F.array_sort(F.collect_list("slot")).alias("__slots")
+        F.first("shares").alias(f"{name}shares"), F.first("period").alias(f"{name}period"), F.array_sort(F.collect_list("slot")).alias(f"{name}slots")
     )
-    plan = plan.select(F.struct(F.col("source").alias(source)).alias("__source"), "__shares", "__period", "__slots")
-    rows = rows.join(plan, "__source")
+    plan = plan.select(F.struct(F.col("source").alias(source)).alias(f"{name}source"), f"{name}shares", f"{name}period", f"{name}slots")
+    rows = rows.join(plan, f"{name}source")
     due = {
-        "release": "(block * __period) div __shares",
-        "deadline": "((block + 1) * __period + __shares - 1) div __shares",
-        "slot": "(block div __shares) * __period + __slots[cast(block % __shares AS int)]",
+        "release": f"(block * {name}period) div {name}shares",
+        "deadline": f"((block + 1) * {name}period + {name}shares - 1) div {name}shares",
+        "slot": f"(block div {name}shares) * {name}period + {name}slots[cast(block % {name}shares AS int)]",
     }
     rows = rows.withColumns({k: F.expr(v) for k, v in due.items()})
     return rows.select(*docs.columns, "block", "release", "deadline", "slot", "place")

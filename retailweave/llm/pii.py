@@ -9,7 +9,7 @@ The patterns match what their plain forms match, but every character of a text i
 a run is only entered at its start or where the last match ended, and repetition never gives back.
 
 Spans are offsets in code points, the end exclusive. Defined cases: null is read as an empty text; empty texts have no
-spans; other columns pass through; an empty table gives an empty one.
+spans; other columns pass through, but for one with the result's name, which the result replaces; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import clear_of, free_prefix
+
 THRESHOLD = 0.5
 NEAR = 40
 RAISE, LOWER = 0.3, 0.3
@@ -171,20 +173,20 @@ def find_pii(
     docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, result: str = "pii"
 ) -> DataFrame:
     """Adds `result`: (base, all), each an array of (start, kind_order, stop, kind, score) by start, then kind."""
-    if result in docs.columns or "__t" in docs.columns:
-        raise ValueError(f"the documents have a column {result} or __t")
-    rows = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    spans = {f"__{k.name}": _of_kind("__t", i, k) for i, k in enumerate(KINDS)}
+    docs = clear_of(docs, result)
+    name = free_prefix(docs)
+    rows = docs.withColumn(f"{name}t", F.coalesce(F.col(text), F.lit("")))
+    spans = {f"{name}{k.name}": _of_kind(f"{name}t", i, k) for i, k in enumerate(KINDS)}
     rows = rows.withColumns(spans)
-    base = F.array_sort(F.concat(*[F.col(f"__{k.name}") for k in KINDS if k.base]))
-    more = F.concat(*[F.col(f"__{k.name}") for k in KINDS if not k.base])
-    rows = rows.withColumns({"__base": base, "__more": more})
+    base = F.array_sort(F.concat(*[F.col(f"{name}{k.name}") for k in KINDS if k.base]))
+    more = F.concat(*[F.col(f"{name}{k.name}") for k in KINDS if not k.base])
+    rows = rows.withColumns({f"{name}base": base, f"{name}more": more})
     free = F.filter(
-        "__more",
+        f"{name}more",
         lambda s: (s["score"] >= threshold)
-        & ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
+        & ~F.exists(f"{name}base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
     )
-    rows = rows.withColumn(result, F.struct(F.col("__base").alias("base"), F.array_sort(F.concat("__base", free)).alias("all")))
+    rows = rows.withColumn(result, F.struct(F.col(f"{name}base").alias("base"), F.array_sort(F.concat(f"{name}base", free)).alias("all")))
     return rows.select(*docs.columns, result)
 
 

@@ -12,7 +12,8 @@ languages are not among them. The model is a logistic one over the features and
 every document is scored.
 
 Defined cases: null and empty texts have the features of an empty text and are scored like any other; labels of null
-count as none; without positives every score is 0.5; other columns pass through; an empty table gives an empty one.
+count as none; without positives every score is 0.5; other columns pass through, but for one
+with the result's name, which the result replaces; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import clear_of
 from .words import utf8
 
 SAMPLE = 20_000
@@ -446,8 +448,7 @@ def train(
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", result: str = "score") -> DataFrame:
     """Adds `result` (0 to 1) to every document."""
-    if result in docs.columns:
-        raise ValueError(f"the documents have a column {result}")
+    docs = clear_of(docs, result)
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(result, T.DoubleType())])
 

@@ -13,7 +13,7 @@ ones only. This needs the same first split outside the library, which is held ag
 it is used on; texts with other characters or with a special token's string go to the library whole.
 
 Defined cases: null is an empty text; empty texts have 0 tokens; rows that repeat an id are counted each on their own;
-other columns pass through; an empty table gives an empty one.
+other columns pass through, but for one with the result's name, which the result replaces; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import work_path
+from .columns import clear_of, free_prefix
 
 CHUNK = 1 << 16
 OVERLAP = 512
@@ -217,12 +218,12 @@ def count_tokens(
     result: str = "n_tokens",
 ) -> DataFrame:
     """Adds `result`, the tokens of the whole text under the tokenizer file at `path`, the same on every machine."""
-    if result in docs.columns or "__key" in docs.columns:
-        raise ValueError(f"the documents have a column {result} or __key")
+    docs = clear_of(docs, result)
+    name = f"{free_prefix(docs)}key"
     long = F.coalesce(F.length(text), F.lit(0)) > chunk
     short = _counted_whole(docs.where(~long), text, path, result)
-    huge = docs.where(long).withColumn("__key", F.sha2(F.col(text), 256))
-    texts = huge.select(F.col("__key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    huge = docs.where(long).withColumn(name, F.sha2(F.col(text), 256))
+    texts = huge.select(F.col(name).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
     counts = huge_text_counts(texts, path, chunk=chunk, overlap=overlap)
-    counts = counts.select(F.col("key").alias("__key"), F.col("n_tokens").alias(result))
-    return short.unionByName(huge.join(counts, "__key").select(*docs.columns, result))
+    counts = counts.select(F.col("key").alias(name), F.col("n_tokens").alias(result))
+    return short.unionByName(huge.join(counts, name).select(*docs.columns, result))

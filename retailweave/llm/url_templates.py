@@ -15,7 +15,8 @@ All counting is done on (host, template) rows, so a host with a third of all url
 the last join, which carries the verdicts back, sees single urls; its other side is unique.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule and is judged by the template of
-the empty host; repeated rows are judged alike; an empty table gives an empty one; other columns pass through. Segments
+the empty host; repeated rows are judged alike; an empty table gives an empty one; other columns pass through, but for one
+with the name `judged`, which the result replaces. Segments
 beyond `DEPTH` are one wildcard.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
+from .columns import clear_of, free_prefix
 
 DEPTH = 4
 SHAPE_GAP = 0.25
@@ -176,32 +178,33 @@ def judge_templates(
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", **options) -> DataFrame:
     """Adds `judged` (host, path, rule, template, purity, verdict) to every url."""
-    if "judged" in pages.columns:
-        raise ValueError("the pages have a column judged")
+    pages = clear_of(pages, "judged")
+    name = free_prefix(pages)
     host, path = host_and_path(F.col(url))
-    rule = fitting_rule(F.col("__u.host"), F.col("__u.path"), rules)
-    seen = pages.withColumn("__u", F.struct(host.alias("host"), path.alias("path"))).withColumn("__rule", rule)
+    rule = fitting_rule(F.col(f"{name}u.host"), F.col(f"{name}u.path"), rules)
+    seen = pages.withColumn(f"{name}u", F.struct(host.alias("host"), path.alias("path"))).withColumn(f"{name}rule", rule)
     ruled = F.lit(None).cast("string")
     for r in rules:
-        ruled = F.when(F.col("__rule") == r.name, F.lit(r.verdict)).otherwise(ruled)
-    seen = seen.withColumn("__ruled", ruled)
-    label = F.when(F.col("__ruled").isNotNull(), (F.col("__ruled") == "block").cast("int"))
-    templates = judge_templates(seen.select("__u.host", "__u.path", label.alias("label")), **options)
+        ruled = F.when(F.col(f"{name}rule") == r.name, F.lit(r.verdict)).otherwise(ruled)
+    seen = seen.withColumn(f"{name}ruled", ruled)
+    label = F.when(F.col(f"{name}ruled").isNotNull(), (F.col(f"{name}ruled") == "block").cast("int"))
+    templates = judge_templates(seen.select(f"{name}u.host", f"{name}u.path", label.alias("label")), **options)
     spark = pages.sparkSession
     written = work_path(spark, "url-judged")
     templates.write.parquet(written)
     templates = spark.read.schema(templates.schema).parquet(written).select(
-        F.struct("host", F.col("raw").alias("t")).alias("__k"), "template", "purity", "verdict"
+        F.struct("host", F.col("raw").alias("t")).alias(f"{name}k"),
+        F.struct("template", "purity", "verdict").alias(f"{name}v"),
     )
     depth = options.get("depth", DEPTH)
-    seen = seen.withColumn("__k", F.struct(F.col("__u.host").alias("host"), template(F.col("__u.path"), depth).alias("t")))
-    out = seen.join(templates, "__k", "left")
+    seen = seen.withColumn(f"{name}k", F.struct(F.col(f"{name}u.host").alias("host"), template(F.col(f"{name}u.path"), depth).alias("t")))
+    out = seen.join(templates, f"{name}k", "left")
     judged = F.struct(
-        F.col("__u.host").alias("host"),
-        F.col("__u.path").alias("path"),
-        F.col("__rule").alias("rule"),
-        F.col("template"),
-        F.col("purity"),
-        F.coalesce("__ruled", "verdict").alias("verdict"),
+        F.col(f"{name}u.host").alias("host"),
+        F.col(f"{name}u.path").alias("path"),
+        F.col(f"{name}rule").alias("rule"),
+        F.col(f"{name}v.template").alias("template"),
+        F.col(f"{name}v.purity").alias("purity"),
+        F.coalesce(f"{name}ruled", f"{name}v.verdict").alias("verdict"),
     )
     return out.select(*pages.columns, judged.alias("judged"))
