@@ -2,17 +2,22 @@
 
 A line's tokens are its runs of anything but blank, tab and carriage return. Tokens with a digit are variable fields and
 read `<*>`. The tree's first level is the token count, the next ones the first `DEPTH` tokens. Lines that are the same
-after masking are one template. In a leaf that holds several, each position takes the token that more than half of the
-leaf's masked lines have there, else `<*>`; lines that agree with this at `SIMILARITY` of their positions or more share
+after masking are one template. In a leaf that holds several, lines are compared cell by cell: a line has `CELLS` cells
+of one or more tokens in a row (fewer cells if it has fewer tokens). A cell takes what more than half of the leaf's masked
+lines have there, else it is a variable field; lines that agree with this in `SIMILARITY` of their cells or more share
 the leaf's template. A template recurs if enough documents have it: `min_docs` of them for lines of `long_tokens`
 tokens or more, `short_docs` for shorter ones. Lines under `min_tokens` tokens say too little and never count.
 
 A recurring template stays in the first document that has it (smallest id) and is dropped from all others, so each
 passage is still there once. A document goes altogether if lines were dropped from it and less than `residue` of its
-tokens is left.
+characters is left.
+
+Texts are read twice: once for the lines' hashes, of fixed size, which all statistics work on, and once, shuffled by
+document, to rebuild the texts.
 
 Defined cases: a null id is an id of its own after all others; rows with the same id are one document when counting;
-null and empty texts have no lines, lose none and stay; an empty table gives an empty one; other columns pass through.
+null and empty texts have no lines, lose none and stay; an empty table gives an empty one; other columns pass through,
+but for one with the name `line_dedup`, which the result replaces.
 """
 
 from __future__ import annotations
@@ -21,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_path
+from .columns import clear_of, free_prefix
 
 DEPTH = 3
-SIMILARITY = 0.7
+CELLS = 16
+SIMILARITY = 0.6
 MIN_TOKENS = 3
 LONG_TOKENS = 8
 MIN_DOCS = 2
@@ -31,56 +38,55 @@ SHORT_DOCS = 5
 RESIDUE = 0.2
 LAST_ID = 2**63 - 1
 
-_BLANKS = " \t\r"
-
 
-def _masked(line: Column) -> Column:
-    """The line with blanks evened out and every token that has a digit as `<*>`."""
-    even = F.btrim(F.regexp_replace(line, r"[ \t\r]+", " "), F.lit(" "))
-    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(even)
+def _masked(text: Column) -> Column:
+    """The text with blanks evened out line by line and every token that has a digit as `<*>`; lines stay as many.
 
+    The patterns are tried only on texts that need them, and enter a token only at its start.
+    """
+    even = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n ?", "\n")
+    even = F.when(text.rlike(r"[\t\r]|  |^ | $|\n | \n"), F.btrim(even, F.lit(" "))).otherwise(text)
+    digits = F.regexp_replace(even, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")
+    return F.when(text.rlike("[0-9]"), digits).otherwise(even)
 
-def _tokens(masked: Column) -> Column:
-    return F.when(masked == "", F.array().cast("array<string>")).otherwise(F.split(masked, " ", -1))
 
+def _key(masked_line: Column) -> Column:
+    return F.xxhash64(masked_line)
 
-def _key(masked: Column) -> Column:
-    return F.xxhash64(masked)
 
-
-def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth: int) -> DataFrame:
-    """(doc, key, leaf, n, masked) of every line with `min_tokens` tokens or more."""
+def _line_index(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth: int) -> DataFrame:
+    """(doc, key, leaf, n, cells) of every line with `min_tokens` tokens or more."""
     lines = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"),
-        F.explode(F.split(F.col(text), "\n", -1)).alias("line"),
+        F.explode(F.split(_masked(F.col(text)), "\n", -1)).alias("line"),
+    )
+    cells = (
+        f"transform(sequence(0, least(size(t), {CELLS}) - 1), c -> hash(slice(t, c * size(t) div least(size(t), {CELLS}) + 1, "
+        f"(c + 1) * size(t) div least(size(t), {CELLS}) - c * size(t) div least(size(t), {CELLS}))))"
     )
-    lines = lines.select("doc", _masked(F.col("line")).alias("masked"))
-    lines = lines.select("doc", "masked", _tokens(F.col("masked")).alias("tokens"))
-    n = F.size("tokens")
-    return lines.where(n >= min_tokens).select(
-        "doc",
-        _key(F.col("masked")).alias("key"),
-        F.xxhash64(n, F.slice("tokens", 1, depth)).alias("leaf"),
-        n.alias("n"),
-        "masked",
+    # the one-element array binds the tokens, which are used several times
+    parsed = F.expr(
+        "transform(array(split(line, ' ', -1)), t -> named_struct('n', size(t), "
+        f"'leaf', xxhash64(size(t), slice(t, 1, {depth})), 'cells', {cells}))[0]"
     )
+    some = F.length("line") >= 2 * min_tokens - 1
+    lines = lines.where(some).select("doc", _key(F.col("line")).alias("key"), parsed.alias("p"))
+    return lines.where(F.col("p.n") >= min_tokens).select("doc", "key", "p.leaf", "p.n", "p.cells")
 
 
-def _leaf_templates(lines: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
+def _leaf_templates(index: DataFrame, similarity: float) -> DataFrame:
     """(key, template): masked lines that share their leaf's template with other masked lines."""
     crowded = index.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("leaf")
-    distinct = lines.join(crowded, "leaf", "left_semi").dropDuplicates(["key"]).select("key", "leaf", "n", "masked")
-    tokens = distinct.select("leaf", F.posexplode(_tokens(F.col("masked"))).alias("at", "token"))
-    counted = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("c"))
-    agreed = counted.groupBy("leaf", "at").agg(
-        F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("all")
-    )
-    agreed = agreed.withColumn("token", F.when(F.col("top.c") * 2 > F.col("all"), F.col("top.token")))
-    templates = agreed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
-    templates = templates.select("leaf", F.transform("t", lambda x: x["token"]).alias("template"))
-    same = F.zip_with(_tokens(F.col("masked")), "template", lambda a, b: F.when(a == b, 1).otherwise(0))
+    distinct = index.join(crowded, "leaf", "left_semi").select("key", "leaf", "cells").dropDuplicates(["key"])
+    cells = distinct.select("leaf", F.posexplode("cells").alias("at", "cell"))
+    counted = cells.groupBy("leaf", "at", "cell").agg(F.count(F.lit(1)).alias("c"))
+    agreed = counted.groupBy("leaf", "at").agg(F.max(F.struct("c", "cell")).alias("top"), F.sum("c").alias("all"))
+    agreed = agreed.withColumn("cell", F.when(F.col("top.c") * 2 > F.col("all"), F.col("top.cell")))
+    templates = agreed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "cell"))).alias("t"))
+    templates = templates.select("leaf", F.transform("t", lambda x: x["cell"]).alias("template"))
+    same = F.zip_with("cells", "template", lambda a, b: F.when(a == b, 1).otherwise(0))
     agreement = F.aggregate(same, F.lit(0), lambda a, x: a + x)
-    matched = distinct.join(templates, "leaf").where(agreement >= F.col("n") * similarity)
+    matched = distinct.join(templates, "leaf").where(agreement >= F.size("cells") * similarity)
     return matched.select("key", F.col("leaf").alias("template"))
 
 
@@ -98,9 +104,8 @@ def dropped_lines(
 ) -> DataFrame:
     """(doc, keys): per document the masked lines that recur elsewhere and are not its to keep."""
     spark = docs.sparkSession
-    lines = _lines(docs, doc_id, text, min_tokens, depth)
-    index = _written(spark, lines.groupBy("doc", "key", "leaf", "n").count().drop("count"), "line-index")
-    matched = _written(spark, _leaf_templates(lines, index, similarity), "line-templates")
+    index = _written(spark, _line_index(docs, doc_id, text, min_tokens, depth), "line-index")
+    matched = _written(spark, _leaf_templates(index, similarity), "line-templates")
     kinds = index.join(matched, "key", "left").select(
         "doc", "key", "n", F.coalesce("template", "key").alias("kind"), F.col("template").isNotNull().alias("wide")
     )
@@ -119,39 +124,33 @@ def drop_recurring_lines(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", residue: float = RESIDUE, **options
 ) -> DataFrame:
     """Adds `line_dedup` (n_lines, n_dropped, text, kept) to every document."""
-    if "line_dedup" in docs.columns:
-        raise ValueError("the documents have a column line_dedup")
+    docs = clear_of(docs, "line_dedup")
+    name = free_prefix(docs)
     gone = dropped_lines(docs, doc_id=doc_id, text=text, **options)
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("keys").alias("__keys"))
-    rows = docs.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))).join(gone, "__doc", "left")
-    lines = F.split(F.col(text), "\n", -1)
-    stay = F.filter(lines, lambda line: ~F.array_contains(F.col("__keys"), _key(_masked(line))))
-    n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(lines))
-    untouched = F.col("__keys").isNull()
-    rows = rows.withColumn("__stay", F.when(~untouched, stay))
-    rows = rows.withColumn("__cut", F.when(untouched, 0).otherwise(n_lines - F.size("__stay")))
-    cleaned = F.when(untouched | (F.col("__cut") == 0), F.col(text)).otherwise(F.array_join("__stay", "\n"))
-    rows = rows.withColumn("__text", cleaned)
-    left, whole = _n_tokens(F.col("__text")), _n_tokens(F.col(text))
-    kept = (F.col("__cut") == 0) | (left >= whole * residue) & (left > 0)
+    gone = gone.select(F.col("doc").alias(f"{name}doc"), F.col("keys").alias(f"{name}keys"))
+    rows = docs.withColumn(f"{name}doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))).join(gone, f"{name}doc", "left")
+    whole, stay = F.length(text), F.length(f"{name}text")
+    both = F.arrays_zip(F.split(F.col(text), "\n", -1).alias("line"), F.split(_masked(F.col(text)), "\n", -1).alias("masked"))
+    left = F.filter(both, lambda x: ~F.array_contains(F.col(f"{name}keys"), _key(x["masked"])))
+    touched = F.col(f"{name}keys").isNotNull() & F.col(text).isNotNull()
+    rows = rows.withColumn(f"{name}left", F.when(touched, F.transform(left, lambda x: x["line"])))
+    n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(whole - F.length(F.translate(text, "\n", "")) + 1)
+    rows = rows.withColumn(f"{name}lines", n_lines)
+    cut = F.when(touched, F.col(f"{name}lines") - F.size(f"{name}left")).otherwise(0)
+    cleaned = F.when(touched, F.array_join(f"{name}left", "\n")).otherwise(F.col(text))
+    rows = rows.withColumns({f"{name}cut": cut, f"{name}text": cleaned})
+    kept = (F.col(f"{name}cut") == 0) | (stay >= whole * residue) & (stay > 0)
     return rows.select(
         *docs.columns,
         F.struct(
-            n_lines.cast("long").alias("n_lines"),
-            F.col("__cut").cast("long").alias("n_dropped"),
-            F.col("__text").alias("text"),
+            F.col(f"{name}lines").cast("long").alias("n_lines"),
+            F.col(f"{name}cut").cast("long").alias("n_dropped"),
+            F.col(f"{name}text").alias("text"),
             kept.alias("kept"),
         ).alias("line_dedup"),
     )
 
 
-def _n_tokens(text: Column) -> Column:
-    even = F.btrim(F.regexp_replace(text, r"[ \t\r\n]+", " "), F.lit(" "))
-    return F.when(F.coalesce(even, F.lit("")) == "", 0).otherwise(
-        F.length(even) - F.length(F.translate(even, " ", "")) + 1
-    )
-
-
 def _written(spark, df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: short lineage, and joins that can split hot keys."""
     path = work_path(spark, label)

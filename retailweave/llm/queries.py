@@ -178,17 +178,19 @@ lines AS (
 tokens AS (SELECT *, CASE WHEN m = '' THEN []::VARCHAR[] ELSE string_split(m, ' ') END AS tk FROM masked),
 counted AS (SELECT *, len(tk) AS n, array_to_string([len(tk)::VARCHAR] || tk[1:{line_templates.DEPTH}], ' ') AS leaf FROM tokens),
 index AS (SELECT DISTINCT doc, m, leaf, n, tk FROM counted WHERE n >= {line_templates.MIN_TOKENS}),
-kinds AS (SELECT DISTINCT m, leaf, n, tk FROM index),
+kinds AS (SELECT DISTINCT m, leaf, n, tk, least(n, {line_templates.CELLS}) AS k FROM index),
 crowded AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1),
-members AS (SELECT kinds.* FROM kinds JOIN crowded USING (leaf)),
-cells AS (SELECT leaf, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS pos FROM members),
-tops AS (SELECT leaf, pos, token, count(*) AS c, sum(count(*)) OVER (PARTITION BY leaf, pos) AS everyone FROM cells GROUP BY leaf, pos, token),
-agreed AS (SELECT leaf, pos, max(CASE WHEN c * 2 > everyone THEN token END) AS token FROM tops GROUP BY ALL),
-fit AS (
-    SELECT m, leaf, n, count(CASE WHEN members.tk[pos] = token THEN 1 END) AS same
-    FROM members JOIN agreed USING (leaf) GROUP BY ALL
-), wide AS (SELECT m, leaf FROM fit WHERE same >= n * {line_templates.SIMILARITY}),
-named AS (
+members AS (
+    SELECT m, leaf, k, list_transform(range(k), lambda c: array_to_string(tk[c * n // k + 1:(c + 1) * n // k], ' ')) AS cells
+    FROM kinds JOIN crowded USING (leaf)
+),
+spread AS (SELECT m, leaf, k, unnest(cells) AS cell, unnest(range(1, k + 1)) AS pos FROM members),
+tops AS (SELECT leaf, pos, cell, count(*) AS c, sum(count(*)) OVER (PARTITION BY leaf, pos) AS everyone FROM spread GROUP BY leaf, pos, cell),
+agreed AS (SELECT leaf, pos, cell FROM tops WHERE c * 2 > everyone),
+wide AS (
+    SELECT m, s.leaf FROM spread s LEFT JOIN agreed a ON s.leaf = a.leaf AND s.pos = a.pos AND s.cell = a.cell
+    GROUP BY m, s.leaf HAVING count(a.cell) >= max(k) * {line_templates.SIMILARITY}
+), named AS (
     SELECT doc, i.m, n, coalesce('leaf ' || w.leaf, 'line ' || i.m) AS kind FROM index i LEFT JOIN wide w ON i.m = w.m
 ), recurring AS (
     SELECT kind, min(doc) AS first FROM named GROUP BY kind
@@ -196,12 +198,12 @@ named AS (
 ), gone AS (SELECT DISTINCT doc, m FROM named JOIN recurring USING (kind) WHERE doc <> first),
 rebuilt AS (
     SELECT r, count(*) AS n_lines, count(gone.m) AS n_dropped,
-           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone.m IS NULL), '') AS stay,
-           sum(counted.n) AS whole, coalesce(sum(counted.n) FILTER (WHERE gone.m IS NULL), 0) AS rest
+           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone.m IS NULL), '') AS stay
     FROM counted LEFT JOIN gone ON counted.doc = gone.doc AND counted.m = gone.m GROUP BY r
 )
 SELECT d.doc_id, CASE WHEN d.text = '' THEN 0 ELSE n_lines END::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped,
-       stay AS text, n_dropped = 0 OR (rest > 0 AND rest >= whole * {line_templates.RESIDUE}) AS kept
+       stay AS text,
+       n_dropped = 0 OR (length(stay) > 0 AND length(stay) >= length(d.text) * {line_templates.RESIDUE}) AS kept
 FROM docs d JOIN rebuilt USING (r)
 """
 
