@@ -54,6 +54,17 @@ def _(spark, sf):
     return docs.select("doc_id", F.md5("text_norm").alias("digest"), F.length("text_norm").cast("bigint").alias("chars"))
 
 
+@query(
+    "m1_normalise_symbols",
+    """SELECT doc_id, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(nfc_normalize(text)),
+      '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) || ' mk ii iii viii no 1 2 mm 13 a b fi ae' AS t FROM documents)""",
+)
+def _(spark, sf):
+    marked = F.concat("text", F.lit(" – Mk Ⅱ ⅲ Ⅷ № ① ② ㎜ ⅓ Ａ 𝐁 ﬁ a\u0300e\u0301"))
+    docs = T.normalize_columns(fx.table(spark, sf, "documents").withColumn("text", marked), ["text"])
+    return docs.select("doc_id", F.md5("text_norm").alias("digest"))
+
+
 @query("m2_simplify_name", with_ci(f"SELECT id_product, {simplify(norm('product_name'))} AS simple FROM feed"))
 def _(spark, sf):
     return fx.feed(spark, sf).select("id_product", T.simplify_name(T.normalize_text("product_name")).alias("simple"))
@@ -558,7 +569,7 @@ def _(spark, sf):
 
 @query(
     "m26_product_pages",
-    "SELECT o_orderkey AS page_id, o_orderkey % 7 IN (3, 5) AS is_product FROM orders",
+    "SELECT o_orderkey AS page_id, o_orderkey % 7 IN (3, 5) OR o_orderkey % 7 = 6 AND o_orderkey // 7 % 2 = 1 AS is_product FROM orders",
 )
 def _(spark, sf):
     return fx.shop_pages(spark, sf).select("page_id", P.is_product_page("url", "html").alias("is_product"))

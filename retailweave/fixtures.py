@@ -495,13 +495,27 @@ PROFILES = ("index", "stock", "tokens", "signature", "other", "other", "index")
 
 
 def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product pages written from the orders: seven ways to show a price, a title, a reference and a search payload."""
+    """Product pages written from the orders: seven ways to show a price, a title, a reference and a search payload.
+
+    Every other page has a snare for its way: nested boxes, another element with the same class, a second meta price.
+    """
     key = F.col("o_orderkey").cast("string")
     way = F.col("o_orderkey") % len(PROFILES)
     cents = F.col("o_totalprice").cast("decimal(14,2)").cast("string")
     cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    comma = F.translate(cents, ".", ",")
+    snare = F.floor(F.col("o_orderkey") / len(PROFILES)) % 2 == 1
+    snared = (
+        F.when(way == 0, cat('<div class="fwb lh1 fs40 fs30-md fs28-sm"><div>Prix <div>TTC</div></div><div>', comma, " €</div></div><div>1 €</div>"))
+        .when(way == 1, cat('<script type="application/ld+json">{"name":"Item ', key, '","mpn":"M-', key, '","gtin13":"', F.lpad(key, 13, "7"),
+                            '","offers":{"price":"1.00"}}</script><div class="product-final-price"><div>TTC</div><div><b>', comma, "</b></div></div>"))
+        .when(way == 2, cat('<span class="price">9,00 €</span><div class="price"><span>', comma, " €</span></div>"))
+        .when(way == 3, cat('<div class="price">9,00 €</div><span class="big price"><span><b>', comma, "</b></span> €</span>"))
+        .when(way == 6, cat('<meta itemprop="price" content="9.00"><meta property="og:price:amount" content="', cents, '">'))
+    )
     price = (
-        F.when(way == 0, cat('<div class="x fwb lh1 fs40 fs30-md fs28-sm"> ', F.translate(cents, ".", ","), " €</div>"))
+        F.when(snare & snared.isNotNull(), snared)
+        .when(way == 0, cat('<div class="x fwb lh1 fs40 fs30-md fs28-sm"> ', F.translate(cents, ".", ","), " €</div>"))
         .when(way == 1, cat('<script type="application/ld+json">{"name":"Item ', key, '","mpn":"M-', key, '","gtin13":"', F.lpad(key, 13, "7"),
                             '","offers":{"price":"', cents, '"}}</script>'))
         .when(way == 2, cat("<meta content='", cents, "' itemprop='price'>"))

@@ -63,38 +63,40 @@ def collated(df: DataFrame, columns: Sequence[str], collation: str = "UNICODE_CI
     return df.withColumns({c: F.collate(F.col(c), collation) for c in columns})
 
 
-# Latin letters, marks and symbols, general punctuation, letter-like signs and full-width forms.
-FOLDED_RANGES = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2000, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
-
-
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(characters, their one-letter forms, characters with longer forms), from the compatibility decomposition."""
-    single, target, longer = [], [], []
-    for low, high in FOLDED_RANGES:
-        for code in range(low, high):
-            char = chr(code)
-            ascii_form = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode("ascii")
-            if len(ascii_form) == 1:
-                single.append(char)
-                target.append(ascii_form)
-            elif ascii_form and low < 0x0250:
-                longer.append((char, ascii_form))
-            elif ascii_form in ("fi", "fl", "ff", "ffi", "ffl", "st", "TM", "..."):
-                longer.append((char, ascii_form))
-    return "".join(single), "".join(target), tuple(longer)
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """(characters, their one-letter forms, characters with longer forms), by the compatibility decomposition."""
+    single, target, longer = [], [], {}
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        char = chr(code)
+        form = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode("ascii")
+        if len(form) == 1:
+            single.append(char)
+            target.append(form)
+        elif form:
+            longer[char] = form
+    return "".join(single), "".join(target), longer
 
 
 def fold_accents(col: Column | str) -> Column:
-    """ASCII form of Latin text; characters without one are dropped."""
+    """ASCII form of a text, character by character; characters without one are dropped.
+
+    Characters with longer forms are looked up one by one, only in texts that have any.
+    """
     single, target, longer = _folding()
-    out = F.translate(_c(col), single, target)
-    rare = "[" + "".join(char for char, _ in longer) + "]"
-    expanded = out
-    for char, form in longer:
-        expanded = F.replace(expanded, F.lit(char), F.lit(form))
-    out = F.when(out.rlike(rare), expanded).otherwise(out)
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+    rare = "[" + "".join(longer) + "]"
+    forms = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+
+    def fold(text: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(rare), F.lit(0)), lambda c: forms[c])
+        around = F.zip_with(F.split(text, rare, -1), found, lambda t, f: F.concat(t, F.coalesce(f, F.lit(""))))
+        return F.when(text.rlike(rare), F.array_join(around, "")).otherwise(text)
+
+    # a one-element transform: each step's text is worked out once, however often it is looked at
+    plain = F.get(F.transform(F.array(F.translate(_c(col), single, target)), fold), F.lit(0))
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
 
 
 def normalize_text(col: Column | str) -> Column:

@@ -1,7 +1,8 @@
 """Extraction jobs over a table of fetched pages (page_id, url, html[, profile]).
 
 There is no HTML library on the executors: rules are regular expressions on the mark-up, evaluated JVM-side. They
-cover attributes in any order and quoting style; an element's text ends at its first closing tag.
+cover attributes in any order and quoting style. An element's text ends at its own closing tag, with up to
+`NESTED` elements of its name inside each other; beyond that, and where tags do not pair, at the first closing tag.
 """
 
 from __future__ import annotations
@@ -15,18 +16,31 @@ from ..functions.urls import absolute_url, url_path
 
 # Where sites show prices, titles, images, references and breadcrumbs.
 META_PRICES = (("itemprop", "price"), ("property", "product:price:amount"), ("property", "og:price:amount"))
-PRICE_CLASSES = {  # site profile: class lists tried in order
-    "index": ("fwb fs40 fs30-md fs28-sm lh1", "col-20 wsnw"),
-    "tokens": ("price fx-text fx-text--no-margin", "price", "price fx-text"),
-    "stock": ("product-final-price",),
-    "signature": ("price",),
+INDEX_META_PRICES = (("property", "product:price:amount"), ("property", "og:price:amount"), ("itemprop", "price"))
+PRICE_RULES = {  # site profile: (element, or "" for any, and classes) tried in order
+    "index": (
+        ("div", "fwb fs40 fs30-md fs28-sm lh1"),
+        ("", "fwb fs40 fs30-md fs28-sm lh1"),
+        ("", "col-20 wsnw"),
+    ),
+    "tokens": (
+        ("div", "price fx-text fx-text--no-margin"),
+        ("span", "fx-typography-price-primary"),
+        ("div", "price"),
+        ("", "price fx-text"),
+    ),
+    "stock": (("", "product-final-price"),),
+    "signature": (("span", "price"), ("", "price")),
 }
+STOCK_INNER_CLASS = "price-decimal"  # inside the element of the rule above
 INDEX_PRICE_KEYS = ("price", "salePrice", "price_amount")
 TITLE_METAS = (("property", "og:title"), ("name", "title"), ("itemprop", "name"))
 IMAGE_METAS = (("property", "og:image"), ("name", "twitter:image"), ("property", "og:image:secure_url"))
 BREADCRUMB_CLASSES = ("breadcrumb", "breadcrumbs")
 PRODUCT_PATH, LISTING_PATH = r"(?i)/p\d+/", r"(?i)/m\d+-"
 CATALOGUE_TITLES = ("catalogue france",)
+CATALOGUE_TITLES_WHOLE = ("epiphone",)
+NESTED = 4  # our own: depth of elements of one name inside each other
 EMBEDDED_MARKER = "tho.bootstrapModule('search.index',"
 REFERENCE_LABEL = r"(?i)R[ée]f[ée]rence\s+marque\s*:\s*(?:</[^>]+>\s*<[^>]+>\s*)?([^<\n\r]+)"
 SPEC_REFERENCE_LABELS, SPEC_EAN_LABELS = ("sku", "reference", "ref"), ("ean", "gtin")  # accents folded
@@ -75,10 +89,15 @@ def element_text(html: Column | str, tag: str) -> Column:
     return plain_text(F.regexp_extract(_c(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
 
 
-def class_fragment(html: Column | str, classes: str) -> Column:
-    """Inner mark-up of the first element that carries every class."""
+def class_fragment(html: Column | str, classes: str, element: str = "") -> Column:
+    """Inner mark-up of the first element (of the given name, if any) that carries every class."""
     wanted = "".join(rf"""(?=[^"']*(?<![\w-]){c}(?![\w-]))""" for c in classes.split())
-    return F.regexp_extract(_c(html), rf"""(?is)<(\w+)\b[^>]*\sclass\s*=\s*["']{wanted}[^"']*["'][^>]*>(.*?)</\1>""", 2)
+    # possessive, so neither depth nor length of the element costs stack or a second try
+    inner = r"(?:[^<]++|<(?!/?\1\b))*+"
+    for _ in range(NESTED):
+        inner = rf"(?:[^<]++|<(?!/?\1\b)|<\1\b[^>]*+>{inner}</\1\s*+>)*+"
+    opening = rf"""<({element or r"\w+"})\b[^>]*\sclass\s*=\s*["']{wanted}[^"']*["'][^>]*>"""
+    return F.regexp_extract(_c(html), rf"(?is){opening}({inner}(?=</\1)|.*?)</\1\s*>", 2)
 
 
 def ld_entries(html: Column | str) -> Column:
@@ -101,8 +120,8 @@ def ld_price_texts(entries: Column) -> Column:
     )
 
 
-def meta_fragments(html: Column | str) -> list[Column]:
-    return [meta_content(html, k, v) for k, v in META_PRICES]
+def meta_fragments(html: Column | str, metas: tuple[tuple[str, str], ...] = META_PRICES) -> list[Column]:
+    return [meta_content(html, k, v) for k, v in metas]
 
 
 def euro_fragment(html: Column | str) -> Column:
@@ -125,7 +144,7 @@ def is_product_page(url: Column | str, html: Column | str) -> Column:
         has_price = has_price | page.contains(f'{key}="{value}"')
     return (
         F.when(url_path(url).rlike(PRODUCT_PATH), True)
-        .when(T.contains_any(title, CATALOGUE_TITLES), False)
+        .when(T.contains_any(title, CATALOGUE_TITLES) | title.isin(*CATALOGUE_TITLES_WHOLE), False)
         .when(canonical.rlike(PRODUCT_PATH), True)
         .when(canonical.rlike(LISTING_PATH), False)
         .otherwise(has_price)
@@ -133,25 +152,31 @@ def is_product_page(url: Column | str, html: Column | str) -> Column:
 
 
 def extract_page_prices(pages: DataFrame) -> DataFrame:
-    """Price of each page by its site profile's rules: first rule that gives one.
+    """Price of each page by its site profile's rules: first rule that gives one; later rules are not tried.
 
-    index: class, script keys, meta; tokens: class, meta; stock: class, meta, JSON-LD; signature: class, on product
+    index: class, meta, script keys; tokens: class, meta; stock: class, meta, JSON-LD; signature: class, on product
     pages only; other sites: meta, then the first amount in euros.
     """
-    classes = {p: [class_fragment("html", c) for c in found] for p, found in PRICE_CLASSES.items()}
+
+    def first_price(*fragments: Column) -> Column:
+        return F.coalesce(*[parse_price(plain_text(f)) for f in fragments])
+
+    classes = {p: [class_fragment("html", c, e) for e, c in found] for p, found in PRICE_RULES.items()}
+    classes["stock"] += [class_fragment(f, STOCK_INNER_CLASS) for f in classes["stock"]]
     meta = meta_fragments("html")
+    ld = F.filter(F.transform(ld_price_texts(ld_entries("html")), lambda t: parse_price(plain_text(t))), lambda p: p.isNotNull())
     profile = F.coalesce("profile", F.lit(""))
-    texts = (
-        F.when(profile == "index", F.array(*classes["index"], *meta, *script_fragments("html")))
-        .when(profile == "tokens", F.array(*classes["tokens"], *meta))
-        .when(profile == "stock", F.concat(F.array(*classes["stock"], *meta), ld_price_texts(ld_entries("html"))))
-        .when(profile == "signature", F.when(is_product_page("url", "html"), F.array(*classes["signature"])))
-        .otherwise(F.array(*meta, euro_fragment("html")))
+    price = (
+        F.when(
+            profile == "index",
+            first_price(*classes["index"], *meta_fragments("html", INDEX_META_PRICES), *script_fragments("html")),
+        )
+        .when(profile == "tokens", first_price(*classes["tokens"], *meta))
+        .when(profile == "stock", F.coalesce(first_price(*classes["stock"], *meta), F.get(ld, F.lit(0))))
+        .when(profile == "signature", F.when(is_product_page("url", "html"), first_price(*classes["signature"])))
+        .otherwise(first_price(*meta, euro_fragment("html")))
     )
-    shown = F.filter("__texts", lambda t: t != "")
-    prices = F.transform(shown, lambda t: parse_price(plain_text(t)))
-    found = F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
-    return pages.withColumn("__texts", texts).withColumn("price", found).drop("__texts")
+    return pages.withColumn("price", price)
 
 
 def extract_titles(pages: DataFrame) -> DataFrame:

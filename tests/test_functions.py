@@ -140,10 +140,16 @@ def normal(value):
 
 
 def test_normalisation_matches_unicode_decomposition(spark):
-    words = ["Crème Brûlée", "Ångström½", "naïve—œuvre", "Ⅷ ﬁn", "ＡＢ１", "été", "ß ø ł", "a b", "²³", "…x", "Ǆ", ""]
+    words = ["Crème Brûlée", "Ångström½", "naïve—œuvre", "Ⅷ ﬁn", "ＡＢ１", "été", "ß ø ł", "a b", "²³", "…x", "Ǆ", "", "Mk Ⅱ", "Mk Ⅲ", "№ ⅓", "① ㎜", "𝐀𝟗 🄰", "ﷺ ㏂"]
     assert column(spark, words, T.normalize_exact("v")) == [normal(w) for w in words]
-    latin = [w for w in words if "Ⅷ" not in w]
-    assert column(spark, latin, T.normalize_text("v")) == [normal(w) for w in latin]
+    assert column(spark, words, T.normalize_text("v")) == [normal(w) for w in words]
+
+
+def test_native_folding_covers_every_character(spark):
+    chars = [f"a{chr(c)}b" for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    chars = [c for c in chars if unicodedata.category(c[1]) not in ("Cn", "Co")]
+    texts = ["".join(chars[i : i + 50]) for i in range(0, len(chars), 50)]
+    assert column(spark, texts, T.normalize_text("v")) == [normal(t) for t in texts]
 
 
 def test_core_name_ean_and_year(spark):

@@ -220,3 +220,20 @@ def test_hash_distance(spark):
     assert [r["hash"] for r in hashes.orderBy("id").collect()] == [6, 5]
     pairs = spark.createDataFrame([(1, 2)], "id_a int, id_b int")
     assert X.hamming_pairs(pairs, hashes, hashes).first()["distance"] == 2
+
+
+def test_page_prices_follow_the_site_rules(spark):
+    rows = [
+        (1, "https://x.com/a", "stock", '<div class="product-final-price"><div>Prix</div><div>12,50 €</div></div>', 12.5),
+        (2, "https://x.com/a", "tokens", '<span class="price">9,00 €</span><div class="price">11,00 €</div>', 11.0),
+        (3, "https://x.com/a", "tokens", '<div class="price">-</div><span class="fx-typography-price-primary">13 €</span>', 13.0),
+        (4, "https://x.com/a", "index", '<meta itemprop="price" content="1"><meta property="og:price:amount" content="2">', 2.0),
+        (5, "https://x.com/a", "other", '<meta itemprop="price" content="1"><meta property="og:price:amount" content="2">', 1.0),
+        (6, "https://x.com/a", "signature", '<title> Epiphone </title><meta itemprop="price" content="5"><b class="price">5 €</b>', None),
+        (7, "https://x.com/p1/a", "signature", '<title>Epiphone</title><b class="price">6 €</b><span class="price">5 €</span>', 5.0),
+        (8, "https://x.com/a", "stock", '<div class="product-final-price"><div>7 €</div>', 7.0),
+        (9, "https://x.com/a", "stock", '<div class="product-final-price">' + "<div>" * 3 + "x" * 50_000 + "</div>" * 3 + "8 €</div>", 8.0),
+    ]
+    pages = spark.createDataFrame([r[:4] for r in rows], "page_id long, url string, profile string, html string")
+    got = {r["page_id"]: r["price"] for r in P.extract_page_prices(pages).collect()}
+    assert got == {r[0]: r[4] for r in rows}
