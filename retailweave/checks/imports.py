@@ -157,10 +157,13 @@ def _(spark, sf):
     return _stamps_as_text(rows)
 
 
+_IMPORTED = f"""WITH {_DIMS} SELECT * EXCLUDE (rn) FROM ({_FACT35.replace('SELECT', 'SELECT row_number() OVER (PARTITION BY line_id'
+      + ' ORDER BY ' + VERSION.format('DESC') + ') AS rn,', 1)} FROM src WHERE {_KEEP} AND line_id > 0) WHERE rn = 1"""
+
+
 @query(
     "s6_incremental_import",
-    f"""WITH {_DIMS} SELECT * EXCLUDE (rn) FROM ({_FACT35.replace('SELECT', 'SELECT row_number() OVER (PARTITION BY line_id'
-      + ' ORDER BY ' + VERSION.format('DESC') + ') AS rn,', 1)} FROM src WHERE {_KEEP} AND line_id > 0) WHERE rn = 1""",
+    _IMPORTED,
 )
 def _(spark, sf):
     """Two runs into a new store: a backfill of the recent lines, then everything again since the first day."""
@@ -171,6 +174,18 @@ def _(spark, sf):
     return _stamps_as_text(fact_store.read_fact(spark, target).drop("invoice_month"))
 
 
+@query("s6_cursor_import", _IMPORTED)
+def _(spark, sf):
+    """Three runs by the cursor into a new store: two of a limited number of rows, one of the rest."""
+    target = work_path(spark, "fact-store")
+    lines, catalogue = fx.invoice_lines(spark, sf), _catalogue(spark, sf)
+    for max_rows in (1000, 2000, None):
+        job.import_invoice_lines(
+            spark, lines, catalogue, target, fx.AS_OF, NOW, max_rows=max_rows, version="line_version"
+        )
+    return _stamps_as_text(fact_store.read_fact(spark, target).drop("invoice_month"))
+
+
 @query(
     "p2_channel_resolution",
     f"""SELECT l_orderkey * 10 + l_linenumber AS line_id, {CHANNEL_CODE} AS code, {CHANNEL_NAME} AS name

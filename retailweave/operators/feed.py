@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..session import cut_lineage
 from ..sources.incremental import latest_per_key
+from .filters import like_pattern
 
 # Fixed values.
 BATCH_MIN, BATCH_MAX, BATCH_DEFAULT = 1, 200, 50
@@ -167,7 +170,7 @@ def envelope(items: DataFrame, competitor_id: int, mode: str, after_id: int, lim
 # --- categories and images ----------------------------------------------------------------------------
 
 
-def category_paths(categories: DataFrame, max_depth: int | None = None) -> DataFrame:
+def category_paths(categories: DataFrame) -> DataFrame:
     """`root > … > leaf` of every category by walking the parents one level per step.
 
     Only unfinished walks take part in a step. A walk ends at the root, at a missing parent or where it would
@@ -184,7 +187,7 @@ def category_paths(categories: DataFrame, max_depth: int | None = None) -> DataF
         F.array().cast("array<bigint>").alias("seen"),
         F.array().cast("array<string>").alias("names"),
     )
-    finished, depth = None, 0
+    finished = None
     while True:
         step = walks.join(nodes, F.col("at") == F.col("__id"), "left")
         step = cut_lineage(
@@ -200,8 +203,8 @@ def category_paths(categories: DataFrame, max_depth: int | None = None) -> DataF
         open_walk = (F.col("at") > 0) & ~F.array_contains("seen", F.col("at"))
         closed = step.where(~open_walk)
         finished = closed if finished is None else finished.unionByName(closed)
-        walks, depth = step.where(open_walk), depth + 1
-        if walks.isEmpty() or depth == max_depth:
+        walks = step.where(open_walk)
+        if walks.isEmpty():
             break
     return finished.select("id_category", L.blank_to_null(F.array_join("names", " > ")).alias("category_path"))
 
@@ -244,11 +247,11 @@ def search_products(feed: DataFrame, query: str, limit: int = 20) -> DataFrame:
     needle = query.strip()
     if not needle:
         return feed.limit(0).select(*snapshot_columns())
-    pattern = f"%{needle.lower()}%"
+    pattern = like_pattern(needle)
     hit = F.lit(False)
     for name in ("reference", "ean13", "manufacturer_name", "product_name"):
         hit = hit | F.coalesce(F.lower(F.trim(F.col(name))).like(pattern), F.lit(False))
-    if needle.isdigit():
+    if re.fullmatch("[0-9]{1,18}", needle):
         hit = hit | (F.col("id_product") == int(needle))
     in_name = F.lower(F.coalesce("product_name", F.lit(""))).like(pattern)
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +55,7 @@ class Filters:
             start=start,
             end=end,
             channel=str(raw.get("channel") or "") or None,
-            brand_id=int(brand) if brand.lstrip("-").isdigit() else None,
+            brand_id=int(brand) if re.fullmatch("-?[0-9]{1,18}", brand) else None,
             category=str(raw.get("category") or "") or None,
             occasion=occasion if occasion in OCCASION_MODES else None,
             q=str(raw.get("q") or "").strip() or None,
@@ -74,9 +75,14 @@ class Filters:
         return replace(self, channel=channel)
 
 
+def like_pattern(needle: str) -> str:
+    """LIKE pattern for containment: % and _ keep their meaning, a backslash counts as one unless it escapes them."""
+    return "%" + re.sub(r"\\([%_\\])|\\", lambda m: m[0] if m[1] else r"\\", needle.lower()) + "%"
+
+
 def search_predicate(needle: str, columns: tuple[str, ...] = SEARCH_COLUMNS) -> Column:
     """Case-insensitive containment in any column; % and _ in the needle keep their LIKE meaning."""
-    pattern = f"%{needle.lower()}%"
+    pattern = like_pattern(needle)
     out = F.lit(False)
     for name in columns:
         out = out | F.lower(F.coalesce(F.col(name), F.lit(""))).like(pattern)

@@ -14,11 +14,13 @@ _own_roots: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only where the cluster names none (tests, local runs) a folder of our own is used.
+    Only a local run may leave it unset and gets a folder of its own.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _own_roots.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="retailweave-")
         _own_roots[context.applicationId] = root
     if context.getCheckpointDir() is None:
@@ -41,6 +43,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop))
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    hadoop, fs = hadoop_path(spark, path)
+    fs.delete(hadoop, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_root(df.sparkSession)

@@ -1,4 +1,8 @@
-"""The stored fact: Parquet folders by invoice month, upserted by line id."""
+"""The stored fact: Parquet folders by invoice month, upserted by line id.
+
+Lines above the cursor are appended: the store is neither read nor rewritten. Other batches look their ids up in the
+store's row groups that can hold them, by the files' id statistics, and rewrite the months of the lines found.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..session import hadoop_path, path_exists, work_path
+from ..session import path_exists, remove_path, work_path
 from .incremental import high_water_mark, upsert
 
 KEY = "source_line_id"
@@ -24,7 +28,8 @@ def read_fact(spark: SparkSession, path: str) -> DataFrame:
     opening a large store costs no scan of footers. Empty when absent."""
     if not path_exists(spark, path):
         return empty_fact(spark).withColumn(MONTH, F.lit(None).cast("string"))
-    return spark.read.schema(T.StructType([*schemas.FACT.fields, T.StructField(MONTH, T.StringType())])).parquet(path)
+    schema = T.StructType([*schemas.FACT.fields, T.StructField(MONTH, T.StringType())])
+    return spark.read.schema(schema).parquet(path).where(F.col(KEY).isNotNull())  # a month all lines left holds a null
 
 
 def _cursor_path(path: str) -> str:
@@ -34,7 +39,8 @@ def _cursor_path(path: str) -> str:
 def cursor(spark: SparkSession, path: str) -> int:
     """Highest imported line id: from the one-row cursor file, else from the store itself.
 
-    A cursor that lags behind (a run lost between commit and cursor) only makes the next run repeat lines.
+    A cursor that lags behind (a run lost between commit and cursor) only makes the next run repeat lines; the mark
+    of the unfinished run keeps them from being appended twice.
     """
     if path_exists(spark, _cursor_path(path)):
         return spark.read.parquet(_cursor_path(path)).first()[0]
@@ -48,11 +54,15 @@ def _advance_cursor(spark: SparkSession, path: str, batch: DataFrame) -> None:
     )
 
 
+def _pending_path(path: str) -> str:
+    return f"{path.rstrip('/')}/_pending"  # there while an append has not moved the cursor yet
+
+
 def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn(MONTH, F.date_format("invoice_date", "yyyy-MM"))
 
 
-def _write(df: DataFrame, path: str) -> None:
+def _write(df: DataFrame, path: str, append: bool = False) -> None:
     columns = [f.name for f in schemas.FACT]
     # One shuffle on (month, id block): a month is spread over several writers, so a busy month is no straggler.
     block = F.floor(F.col(KEY) / 5_000_000)
@@ -60,7 +70,7 @@ def _write(df: DataFrame, path: str) -> None:
         with_month(df.select(*columns))
         .repartition(MONTH, block)
         .sortWithinPartitions(MONTH, "invoice_date")
-        .write.mode("overwrite")
+        .write.mode("append" if append else "overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH)
         .parquet(path)
@@ -70,38 +80,51 @@ def _write(df: DataFrame, path: str) -> None:
 def upsert_fact(spark: SparkSession, path: str, incoming: DataFrame) -> int:
     """Merges rows (one per line id) into the store; returns their number.
 
-    Only the months that hold an incoming or a replaced line are rewritten. The swap happens at commit, so a
-    failed or repeated run leaves a whole store behind.
+    Rows that all lie above the cursor are appended. Else only the months that hold an incoming or a replaced line are
+    rewritten, months that all their lines leave among them, all in one commit. A failed or repeated run leaves a
+    whole store behind. The batch's staging folder is removed at the end.
     """
     staging = work_path(spark, "fact-batch")
     with_month(incoming).write.parquet(staging)
-    batch = spark.read.parquet(staging)
-    n = batch.count()
-    if n == 0:
-        return 0
-    if not path_exists(spark, path):
-        _write(batch, path)
+    batch = spark.read.schema(with_month(empty_fact(spark)).schema).parquet(staging)
+    ids = batch.agg(F.count(F.lit(1)).alias("n"), F.min(KEY).alias("low"), F.max(KEY).alias("high")).first()
+    if ids["n"]:
+        _merge(spark, path, batch, ids["low"], ids["high"])
+    remove_path(spark, staging)
+    return ids["n"]
+
+
+def _merge(spark: SparkSession, path: str, batch: DataFrame, low: int, high: int) -> None:
+    unfinished = path_exists(spark, _pending_path(path))
+    if not path_exists(spark, path) or not unfinished and low > cursor(spark, path):
+        spark.range(1).write.mode("overwrite").parquet(_pending_path(path))
+        _write(batch, path, append=True)
         _advance_cursor(spark, path, batch)
-        return n
+        remove_path(spark, _pending_path(path))
+        return
 
     stored = read_fact(spark, path)
     new_home = batch.select(KEY, F.col(MONTH).alias("new_month"))
-    replaced = stored.select(KEY, MONTH).join(new_home, KEY)
+    within = stored.select(KEY, MONTH).where(F.col(KEY).between(low, high))
+    replaced = within.join(new_home, KEY).groupBy(MONTH).agg(
+        F.count(F.when(F.col(MONTH) != F.col("new_month"), 1)).alias("leaving")
+    )
     # Calendar months: a short list whatever the number of lines.
-    months = replaced.select(MONTH).union(batch.select(MONTH)).distinct()
-    touched = sorted(r[0] for r in months.collect())
-    left = [r[0] for r in replaced.where(F.col(MONTH) != F.col("new_month")).select(MONTH).distinct().collect()]
+    leaving = {r[MONTH]: r["leaving"] for r in replaced.collect()}
+    arriving = {r[0] for r in batch.select(MONTH).distinct().collect()}
+    touched = sorted({*leaving, *arriving})
+    left = [m for m, n in leaving.items() if n and m not in arriving]
+    sizes = stored.where(F.col(MONTH).isin(*left)).groupBy(MONTH).count().collect() if left else []
+    emptied = [r[MONTH] for r in sizes if r["count"] == leaving[r[MONTH]]]
 
-    old = stored.where(F.col(MONTH).isin(*touched))
     columns = [f.name for f in schemas.FACT]
+    old = stored.where(F.col(MONTH).isin(*touched))
     merged = upsert(old.select(*columns), batch.select(*columns), [KEY], KEPT)
-    emptied = []
-    if left:  # lines changed month: a month they all left is not rewritten by the dynamic overwrite
-        still = {r[0] for r in with_month(merged).where(F.col(MONTH).isin(*left)).select(MONTH).distinct().collect()}
-        emptied = [m for m in left if m not in still]
+    if emptied:  # the dynamic overwrite replaces only months it has a row for
+        marks = spark.createDataFrame([(m,) for m in emptied], "m string")
+        day = F.to_date(F.concat("m", F.lit("-01")))
+        nulls = {f.name: F.lit(None).cast(f.dataType) for f in schemas.FACT if f.name != "invoice_date"}
+        merged = merged.unionByName(marks.select(day.alias("invoice_date"), *[c.alias(n) for n, c in nulls.items()]))
     _write(merged, path)
-    for month in emptied:
-        hadoop, fs = hadoop_path(spark, f"{path.rstrip('/')}/{MONTH}={month}")
-        fs.delete(hadoop, True)
     _advance_cursor(spark, path, batch)
-    return n
+    remove_path(spark, _pending_path(path))

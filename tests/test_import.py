@@ -77,6 +77,35 @@ def test_line_that_changes_month_leaves_no_copy(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, "2001-02"), (2, "2001-02")]
 
 
+def fact_line(spark, key, day, name="x"):
+    empty = fact_store.empty_fact(spark)
+    values = {"source_line_id": key, "invoice_date": dt.date.fromisoformat(day), "imported_at": EARLY, "product_name": name}
+    return spark.createDataFrame([tuple(values.get(f.name) for f in empty.schema)], empty.schema)
+
+
+def test_new_lines_leave_old_files_in_place(spark, tmp_path):
+    target = tmp_path / "fact"
+    fact_store.upsert_fact(spark, str(target), fact_line(spark, 1, "2001-01-05").union(fact_line(spark, 2, "2001-02-05")))
+    before = {p: p.stat().st_mtime_ns for p in target.rglob("part-*") if "_cursor" not in str(p)}
+    fact_store.upsert_fact(spark, str(target), fact_line(spark, 3, "2001-02-06").union(fact_line(spark, 4, "2001-03-06")))
+    after = {p: p.stat().st_mtime_ns for p in target.rglob("part-*") if "_cursor" not in str(p)}
+    assert before.items() <= after.items() and len(after) > len(before)
+    assert sorted(rows(spark, target)) == [1, 2, 3, 4]
+
+
+def test_run_lost_before_the_cursor_moved_is_repeated_without_copies(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "fact")
+    fact_store.upsert_fact(spark, target, fact_line(spark, 1, "2001-01-05"))
+    with monkeypatch.context() as patch:
+        patch.setattr(fact_store, "_advance_cursor", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            fact_store.upsert_fact(spark, target, fact_line(spark, 2, "2001-01-06"))
+    assert fact_store.cursor(spark, target) == 1
+    fact_store.upsert_fact(spark, target, fact_line(spark, 2, "2001-01-06", "y").union(fact_line(spark, 3, "2001-01-07")))
+    got = fact_store.read_fact(spark, target).select("source_line_id", "product_name").collect()
+    assert sorted(map(tuple, got)) == [(1, "x"), (2, "y"), (3, "x")]
+
+
 def test_upsert_keeps_chosen_columns(spark):
     old = spark.createDataFrame([(1, "a", "t0"), (2, "b", "t0")], "k int, v string, at string")
     new = spark.createDataFrame([(2, "B", "t1"), (3, "C", "t1")], "k int, v string, at string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from retailweave import fixtures as fx
@@ -168,3 +170,30 @@ def test_review_sequences(spark):
     assert {(r["id_product"], r["url"], r["competitor_price"]) for r in out.finals.collect()} == {(1, "u1", 5), (2, "u2", None)}
     assert sorted((r["id_product"], r["source"]) for r in out.history.collect()) == [(1, "review")]
     assert {r["url"] for r in out.rejected.collect()} == {"u1", "u3"}
+
+
+def test_search_text_may_hold_anything(spark):
+    from retailweave.operators import feed as feeds
+    from retailweave.operators.filters import Filters, like_pattern, search_predicate
+
+    assert like_pattern("a\\b") == "%a\\\\b%" and like_pattern("5\\%") == "%5\\%%" and like_pattern("a\\") == "%a\\\\%"
+    rows = spark.createDataFrame([("a\\b",), ("ab",), ("5%",), ("56",)], "product_name string")
+    hit = lambda needle: [r[0] for r in rows.where(search_predicate(needle, ("product_name",))).collect()]
+    assert hit("a\\b") == ["a\\b"] and hit("5\\%") == ["5%"] and hit("5%") == ["5%", "56"] and hit("\\") == ["a\\b"]
+    for brand, want in (("--5", None), ("-5", -5), ("\u00b2", None), ("9" * 30, None), (" 7 ", 7)):
+        assert Filters.from_raw({"brand_id": brand}, dt.date(2001, 8, 1)).brand_id == want
+    columns = "id_product long, reference string, ean13 string, manufacturer_name string, product_name string, price_tax_incl double"
+    feed = spark.createDataFrame([(7, "a\\b", "", "", "n", 1.0)], columns)
+    for needle, want in (("\u00b2", 0), ("a\\b", 1), ("7", 1), ("9" * 40, 0), ("\\", 1)):
+        assert feeds.search_products(feed, needle).count() == want
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from retailweave import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: conf, master="spark://x:1", applicationId="a", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        session.shared_root(SimpleNamespace(sparkContext=context, conf=conf))
