@@ -66,23 +66,18 @@ def _(spark, sf):
     return W.pending_work(fx.feed(spark, sf), fx.finals(spark, sf), fx.tests(spark, sf), fx.competitors(spark))
 
 
-def _early_history(spark, sf):
-    """Observations before 1996: final urls first seen later were never scraped."""
-    return fx.price_history(spark, sf).where("observed_at < TIMESTAMP_NTZ '1996-01-01 00:00:00'")
-
-
 @query(
     "j6_price_worklist",
     with_ci("""SELECT f.id_product, f.competitor_id, c.name AS competitor_name, c.domain AS competitor_domain, f.url,
       CAST(f.competitor_price AS DOUBLE) AS source_price, CAST(h.last AS DATE) AS last_scraped_at
       FROM finals f JOIN comp c ON c.id = f.competitor_id
-      LEFT JOIN (SELECT competitor_id, id_product, url, max(observed_at) AS last FROM history WHERE observed_at < TIMESTAMP '1996-01-01'
+      LEFT JOIN (SELECT competitor_id, id_product, url, max(observed_at) AS last FROM history
         GROUP BY ALL) h ON h.competitor_id = f.competitor_id AND h.id_product = f.id_product AND h.url = f.url
       WHERE f.competitor_id = 4 ORDER BY (f.id_product <= 700), (h.last IS NOT NULL), h.last, f.id_product LIMIT 200"""),
 )
 def _(spark, sf):
     out = W.price_worklist(
-        fx.finals(spark, sf), fx.competitors(spark), _early_history(spark, sf), 4, after_id=700, limit=200
+        fx.finals(spark, sf), fx.competitors(spark), fx.price_history(spark, sf), 4, after_id=700, limit=200
     )
     return _day(out, "last_scraped_at")
 
@@ -685,12 +680,13 @@ _HEALTH = """log AS (SELECT e.*, f.consecutive_http_failures AS stored, f.url AS
     JOIN finals f USING (id_product, competitor_id) WHERE e.id_product > 0),
   health AS (SELECT id_product, competitor_id, list_reduce(
       list_prepend({'run': any_value(stored), 'st': CAST(NULL AS INTEGER), 'obs': false, 'price': CAST(NULL AS DECIMAL(12,2)),
-          'fails': CAST(0 AS BIGINT), 'dead': false},
-        list({'run': 0, 'st': http_status, 'obs': price IS NOT NULL, 'price': price, 'fails': CAST(0 AS BIGINT), 'dead': false} ORDER BY seq)),
+          'fails': CAST(0 AS BIGINT), 'dead': false, 'seen': CAST(0 AS BIGINT), 'err_at': '', 'err': ''},
+        list({'run': 0, 'st': http_status, 'obs': price IS NOT NULL, 'price': price, 'fails': CAST(0 AS BIGINT), 'dead': false,
+          'seen': CAST(0 AS BIGINT), 'err_at': strftime(event_at, '%Y-%m-%d %H:%M:%S'), 'err': error} ORDER BY seq)),
       lambda a, x: CASE WHEN a.dead THEN a
-        WHEN x.obs THEN {'run': 0, 'st': CAST(NULL AS INTEGER), 'obs': true, 'price': x.price, 'fails': a.fails, 'dead': false}
-        WHEN x.st IN (404, 410) THEN {'run': a.run + 1, 'st': x.st, 'obs': false, 'price': a.price, 'fails': a.fails + 1, 'dead': a.run + 1 >= 3}
-        ELSE {'run': 0, 'st': x.st, 'obs': false, 'price': a.price, 'fails': a.fails + 1, 'dead': false} END) AS s
+        WHEN x.obs THEN {'run': 0, 'st': CAST(NULL AS INTEGER), 'obs': true, 'price': x.price, 'fails': a.fails, 'dead': false, 'seen': a.seen + 1, 'err_at': '', 'err': ''}
+        WHEN x.st IN (404, 410) THEN {'run': a.run + 1, 'st': x.st, 'obs': false, 'price': a.price, 'fails': a.fails + 1, 'dead': a.run + 1 >= 3, 'seen': a.seen, 'err_at': x.err_at, 'err': x.err}
+        ELSE {'run': 0, 'st': x.st, 'obs': false, 'price': a.price, 'fails': a.fails + 1, 'dead': false, 'seen': a.seen, 'err_at': x.err_at, 'err': x.err} END) AS s
     FROM log GROUP BY 1, 2)"""
 
 
@@ -699,15 +695,42 @@ _HEALTH = """log AS (SELECT e.*, f.consecutive_http_failures AS stored, f.url AS
     with_ci(
         """SELECT f.id_product, f.competitor_id, f.url, CAST(coalesce(s.price, f.competitor_price) AS DOUBLE) AS competitor_price,
       CAST(coalesce(s.run, f.consecutive_http_failures) AS INTEGER) AS consecutive_http_failures,
-      coalesce(s.st, 0) AS last_http_status, coalesce(s.fails, 0) AS failures, coalesce(s.dead, false) AS removed
+      coalesce(s.st, 0) AS last_http_status, coalesce(s.fails, 0) AS failures, coalesce(s.seen, 0) AS observations,
+      coalesce(s.dead, false) AS removed, coalesce(s.err_at, '') AS last_http_error_at, coalesce(s.err, '') AS last_http_error_message
       FROM finals f LEFT JOIN health h USING (id_product, competitor_id)""",
         URL_EVENTS,
         _HEALTH,
     ),
 )
 def _(spark, sf):
-    out = as_report(R.url_health(fx.finals(spark, sf), fx.url_events(spark, sf)))
-    return out.withColumn("last_http_status", F.coalesce("last_http_status", F.lit(0)))
+    out = R.url_health(fx.finals(spark, sf), fx.url_events(spark, sf))
+    stamp = F.date_format("last_http_error_at", "yyyy-MM-dd HH:mm:ss")
+    out = as_report(out.withColumn("last_http_error_at", stamp))
+    return out.fillna(0, ["last_http_status"]).fillna("", ["last_http_error_at", "last_http_error_message"])
+
+
+@query(
+    "a20_price_counters",
+    with_ci(
+        """, known AS (SELECT count(*) AS n FROM url_events e WHERE id_product > 0 AND (price IS NOT NULL OR http_status IS NOT NULL)
+        AND EXISTS (SELECT 1 FROM finals f WHERE f.id_product = e.id_product AND f.competitor_id = e.competitor_id)),
+      usable AS (SELECT count(*) AS n FROM url_events WHERE id_product > 0 AND (price IS NOT NULL OR http_status IS NOT NULL)),
+      done AS (SELECT coalesce(sum(s.seen), 0)::BIGINT AS updated, coalesce(sum(s.fails), 0)::BIGINT AS failures,
+        count(*) FILTER (WHERE s.dead) AS removed, count(*) FILTER (WHERE s.dead AND EXISTS (SELECT 1 FROM tests t
+          WHERE t.id_product = h.id_product AND t.competitor_id = h.competitor_id)) AS gone FROM health h)
+      SELECT 'inserted' AS counter, '' AS reason, 0::BIGINT AS n UNION ALL SELECT 'updated', '', updated FROM done
+      UNION ALL SELECT 'failures', '', failures FROM done UNION ALL SELECT 'removed', '', removed FROM done
+      UNION ALL SELECT 'gone', '', gone FROM done
+      UNION ALL SELECT 'ignored', 'invalid', (SELECT count(*) FROM url_events) - n FROM usable
+      UNION ALL SELECT 'ignored', 'no final url', usable.n - known.n FROM usable, known
+      UNION ALL SELECT 'ignored', 'url replaced or removed', known.n - updated - failures FROM known, done""",
+        URL_EVENTS,
+        _HEALTH,
+    ),
+)
+def _(spark, sf):
+    finals, events = fx.finals(spark, sf), fx.url_events(spark, sf)
+    return R.price_counters(finals, fx.tests(spark, sf), events, R.url_health(finals, events))
 
 
 @query(

@@ -82,7 +82,9 @@ INCOMING = f"""incoming AS (SELECT event_id AS seq, user_id AS id_product, CAST(
 URL_EVENTS = f"""url_events AS (SELECT event_id AS seq, ts AS event_at, CAST(user_id % 4 + 1 AS INTEGER) AS competitor_id,
   user_id AS id_product, {URL.format(c='(user_id % 4 + 1)', p='user_id')} AS url,
   CASE event_type WHEN 'error' THEN 404 WHEN 'signup' THEN 410 WHEN 'purchase' THEN 500 END AS http_status,
-  CASE WHEN event_type IN ('view','click') THEN CAST(value AS DECIMAL(12,2)) END AS price FROM events)"""
+  CASE WHEN event_type IN ('view','click') THEN CAST(value AS DECIMAL(12,2)) END AS price,
+  CASE event_type WHEN 'error' THEN substr(trim(repeat(' HTTP 404 ' || CAST(event_id AS VARCHAR), 20)), 1, 255)
+    WHEN 'purchase' THEN 'HTTP 500' ELSE '' END AS error FROM events)"""
 
 BASE = [COMP, HISTORY, FINALS, TESTS, FEED]
 

@@ -18,10 +18,15 @@ from .imports import NOW, _catalogue, _stamps_as_text
 from .registry import SQL, query
 
 
-def _stream(spark, sf, name):
-    """The table's file as a stream (a pattern, since file streams read folders or patterns)."""
-    schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
+def _stream(spark, sf, name, order):
+    """The whole table as a stream of three micro-batches in the order of a column."""
+    rows, folder = fx.table(spark, sf, name), work_path(spark, f"{name}-files")
+    number = F.unix_timestamp(order) if order == "ts" else F.col(order)
+    low, high = rows.select(number.alias("v")).approxQuantile("v", [0.3, 0.7], 0.01)
+    part = F.when(number <= low, 0).when(number <= high, 1).otherwise(2)
+    for i in range(3):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return flows.read_stream(spark, folder, rows.schema, 1)
 
 
 def _folders(spark, label):
@@ -39,7 +44,7 @@ def _folders(spark, label):
 )
 def _(spark, sf):
     target, checkpoint = _folders(spark, "scrape-windows")
-    seen = fx.url_events(spark, sf, _stream(spark, sf, "events")).where("price IS NOT NULL")
+    seen = fx.url_events(spark, sf, _stream(spark, sf, "events", "ts")).where("price IS NOT NULL")
     flows.stream_recent_scrapes(seen.withColumnRenamed("event_at", "observed_at"), target, checkpoint)
     out = flows.latest_version(spark, target, ["window_start", "window_end", "competitor_id"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "competitor_id", "n")
@@ -50,7 +55,8 @@ def _(spark, sf):
     with_ci(
         """SELECT f.id_product, f.competitor_id, CAST(coalesce(s.price, f.competitor_price) AS DOUBLE) AS competitor_price,
       CAST(coalesce(s.run, f.consecutive_http_failures) AS INTEGER) AS consecutive_http_failures,
-      coalesce(s.st, 0) AS last_http_status, coalesce(s.fails, 0) AS failures, coalesce(s.dead, false) AS removed
+      coalesce(s.st, 0) AS last_http_status, coalesce(s.fails, 0) AS failures, coalesce(s.seen, 0) AS observations,
+      coalesce(s.dead, false) AS removed, coalesce(s.err, '') AS last_http_error_message
       FROM finals f LEFT JOIN health h USING (id_product, competitor_id)""",
         URL_EVENTS,
         _HEALTH,
@@ -59,15 +65,15 @@ def _(spark, sf):
 def _(spark, sf):
     target, checkpoint = _folders(spark, "url-health")
     finals = fx.finals(spark, sf)
-    flows.stream_url_health(fx.url_events(spark, sf, _stream(spark, sf, "events")), finals, target, checkpoint)
+    flows.stream_url_health(fx.url_events(spark, sf, _stream(spark, sf, "events", "event_id")), finals, target, checkpoint)
     out = as_report(flows.health_state(spark, finals, target))
-    return out.drop("url").withColumn("last_http_status", F.coalesce("last_http_status", F.lit(0)))
+    return out.drop("url", "last_http_error_at").fillna(0, ["last_http_status"]).fillna("", ["last_http_error_message"])
 
 
 @query("w3_streamed_import", SQL["s6_incremental_import"].replace("AND line_id > 0", ""))
 def _(spark, sf):
     target, checkpoint = _folders(spark, "stream-fact")
-    lines = fx.invoice_lines(spark, sf, _stream(spark, sf, "lineitem"))
+    lines = fx.invoice_lines(spark, sf, _stream(spark, sf, "lineitem", "l_orderkey"))
     flows.stream_import(lines, _catalogue(spark, sf), target, checkpoint, fx.AS_OF, NOW, version="line_version")
     return _stamps_as_text(fact_store.read_fact(spark, target).drop("invoice_month"))
 
@@ -82,7 +88,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     target, checkpoint = _folders(spark, "observations")
-    events = fx.url_events(spark, sf, _stream(spark, sf, "events"))
+    events = fx.url_events(spark, sf, _stream(spark, sf, "events", "event_id"))
     flows.stream_observations(
         events.select("competitor_id", "id_product", "url", "price", F.col("event_at").alias("observed_at")), target, checkpoint
     )

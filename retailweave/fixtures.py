@@ -431,6 +431,10 @@ def url_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
         _page_url(competitor, F.col("user_id")).alias("url"),
         F.when(kind == "error", 404).when(kind == "signup", 410).when(kind == "purchase", 500).alias("http_status"),
         F.when(kind.isin("view", "click"), F.col("value").cast(MONEY)).alias("price"),
+        F.when(kind == "error", F.repeat(F.concat(F.lit(" HTTP 404 "), F.col("event_id").cast("string")), 20))
+        .when(kind == "signup", " ")
+        .when(kind == "purchase", "HTTP 500")
+        .alias("error"),
     )
 
 

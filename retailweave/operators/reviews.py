@@ -193,6 +193,8 @@ def ingest_prices(finals: DataFrame, observations: DataFrame) -> tuple[DataFrame
         "competitor_price": F.coalesce("n.price", "competitor_price"),
         "consecutive_http_failures": F.when(hit, 0).otherwise(F.col("consecutive_http_failures")),
         "last_http_status": F.when(~hit, F.col("last_http_status")),
+        "last_http_error_at": F.when(~hit, F.col("last_http_error_at")),
+        "last_http_error_message": F.when(~hit, F.col("last_http_error_message")),
         "updated_at": F.coalesce("n_at", "updated_at"),
     }
     merged = finals.join(batch, PAIR, "left")
@@ -208,6 +210,38 @@ def ingest_prices(finals: DataFrame, observations: DataFrame) -> tuple[DataFrame
     return out, history
 
 
+def usable_event() -> Column:
+    """An event that names a product and a url, and has a price or a status."""
+    named = (F.col("id_product") > 0) & (F.trim(F.coalesce("url", F.lit(""))) != "")
+    return F.coalesce(named, F.lit(False)) & (F.col("price").isNotNull() | F.col("http_status").isNotNull())
+
+
+def price_counters(finals: DataFrame, tests: DataFrame, events: DataFrame, health: DataFrame) -> DataFrame:
+    """(counter, reason, n) of a price and failure log, given its `url_health`.
+
+    Counters are inserted (never: prices only touch known urls), updated, failures, removed, gone and ignored, this one
+    with its reasons: invalid events, no final url, or a url that was replaced or removed before.
+    """
+    read = events.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable_event()).alias("usable")).first()
+    known = events.where(usable_event()).join(finals.select(*PAIR), PAIR, "left_semi").count()
+    done = health.agg(
+        F.sum("observations").alias("updated"), F.sum("failures").alias("failures"), F.count_if("removed").alias("removed")
+    ).first()
+    gone = health.where("removed").join(tests.select(*PAIR), PAIR, "left_semi").count()
+    updated, failures = done["updated"] or 0, done["failures"] or 0
+    rows = [
+        ("inserted", "", 0),
+        ("updated", "", updated),
+        ("failures", "", failures),
+        ("removed", "", done["removed"]),
+        ("gone", "", gone),
+        ("ignored", "invalid", read["all"] - read["usable"]),
+        ("ignored", "no final url", read["usable"] - known),
+        ("ignored", "url replaced or removed", known - updated - failures),
+    ]
+    return finals.sparkSession.createDataFrame(rows, "counter string, reason string, n bigint")
+
+
 def url_health(
     finals: DataFrame, events: DataFrame, threshold: int = GONE_AFTER, chunk_rows: int | None = None
 ) -> DataFrame:
@@ -215,8 +249,12 @@ def url_health(
 
     A failure counts only against the current url (the last observed one, else the stored one). Status 404 or 410
     adds one, any other failure and every observation starts again at 0. The run that reaches `threshold` removes
-    the final url, and later events of the pair find nothing.
+    the final url, and later events of the pair find nothing. Time and message (`event_at`, `error`) of the last
+    failure stay until an observation clears them.
     """
+    events = ensure_columns(events, {"event_at": "timestamp", "error": "string"})
+    at_type = events.schema["event_at"].dataType.simpleString()
+    finals = ensure_columns(finals, {"last_http_error_at": at_type, "last_http_error_message": "string"})
     scan = {} if chunk_rows is None else {"chunk_rows": chunk_rows}
     stored = finals.select(
         *PAIR,
@@ -224,9 +262,10 @@ def url_health(
         F.col("competitor_price").alias("stored_price"),
         F.col("consecutive_http_failures").alias("stored_run"),
         F.col("last_http_status").alias("stored_status"),
+        F.col("last_http_error_at").cast(at_type).alias("stored_error_at"),
+        F.col("last_http_error_message").alias("stored_error"),
     )
-    usable = (F.col("id_product") > 0) & (F.trim(F.coalesce("url", F.lit(""))) != "")
-    log = events.where(usable & (F.col("price").isNotNull() | F.col("http_status").isNotNull())).join(stored, PAIR)
+    log = events.where(usable_event()).join(stored, PAIR)
     observed = F.col("price").isNotNull()
     log = previous_values(log, PAIR, "seq", {"seen_url": F.when(observed, F.trim("url"))}, **scan)
     log = log.where(observed | (F.trim("url") == F.coalesce("seen_url", "stored_url")))
@@ -237,9 +276,18 @@ def url_health(
     end = log.where(F.col("run") >= threshold).groupBy(*PAIR).agg(F.min("seq").alias("end_seq"))
     log = log.join(end, PAIR, "left").where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq")))
     last = log.groupBy(*PAIR).agg(
-        F.max_by(F.struct("run", "http_status"), "seq").alias("last"),
+        F.max_by(
+            F.struct(
+                "run",
+                "http_status",
+                F.when(~observed, F.col("event_at")).alias("error_at"),
+                F.when(~observed, clipped("error", LENGTHS["message"])).alias("error"),
+            ),
+            "seq",
+        ).alias("last"),
         F.max_by(F.struct(F.trim("url").alias("url"), "price"), F.when(observed, F.col("seq"))).alias("obs"),
         F.count_if(~observed).alias("failures"),
+        F.count_if(observed).alias("observations"),
         F.max(F.col("end_seq").isNotNull()).alias("removed"),
     )
     return stored.join(last, PAIR, "left").select(
@@ -248,16 +296,24 @@ def url_health(
         F.coalesce("obs.price", "stored_price").alias("competitor_price"),
         F.coalesce("last.run", "stored_run").alias("consecutive_http_failures"),
         F.when(F.col("last").isNotNull(), F.col("last.http_status")).otherwise(F.col("stored_status")).alias("last_http_status"),
+        F.when(F.col("last").isNotNull(), F.col("last.error_at")).otherwise(F.col("stored_error_at")).alias("last_http_error_at"),
+        F.when(F.col("last").isNotNull(), F.col("last.error")).otherwise(F.col("stored_error")).alias("last_http_error_message"),
+        F.coalesce("observations", F.lit(0)).alias("observations"),
         F.coalesce("failures", F.lit(0)).alias("failures"),
         F.coalesce("removed", F.lit(False)).alias("removed"),
     )
 
 
+HEALTH_COLUMNS = (
+    "url", "competitor_price", "consecutive_http_failures", "last_http_status", "last_http_error_at", "last_http_error_message",
+)
+
+
 def apply_url_health(finals: DataFrame, tests: DataFrame, health: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(finals without the removed ones, tests with their pages marked gone)."""
     keep = health.where("NOT removed").select(
         *PAIR,
-        *[F.col(c).alias(f"n_{c}") for c in ("url", "competitor_price", "consecutive_http_failures", "last_http_status")],
+        *[F.col(c).alias(f"n_{c}") for c in HEALTH_COLUMNS],
     )
     new_finals = finals.join(keep, PAIR).select(
         *[F.col(f"n_{c}").alias(c) if f"n_{c}" in keep.columns else F.col(c) for c in finals.columns]
@@ -560,6 +616,14 @@ def gone_redirects(fetches: DataFrame, competitors: DataFrame) -> DataFrame:
     return rows.select("competitor_id", "id_product", "url", "final_url", gone.alias("gone"))
 
 
+def mark_gone_redirects(tests: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Tests with the page status of redirected product pages set to gone (see `gone_redirects`)."""
+    dead = redirects.where("gone").select(*PAIR).distinct().withColumn("__gone", F.lit("gone"))
+    status = F.coalesce("__gone", "competitor_page_status").alias("competitor_page_status")
+    rows = tests.join(dead, PAIR, "left")
+    return rows.select(*[status if c == "competitor_page_status" else F.col(c) for c in tests.columns])
+
+
 def image_repair_set(tests: DataFrame, competitor_ids: Sequence[int]) -> DataFrame:
     """Pending tests with a live page and no image, newest first."""
     return tests.where(
@@ -717,9 +781,15 @@ def recent_scrapes(history: DataFrame, competitors: DataFrame, as_of: dt.datetim
 
 
 def product_dossier(
-    hits: DataFrame, reference: DataFrame, finals: DataFrame, tests: DataFrame, competitors: DataFrame
+    hits: DataFrame,
+    reference: DataFrame,
+    finals: DataFrame,
+    tests: DataFrame,
+    competitors: DataFrame,
+    snapshots: DataFrame | None = None,
 ) -> DataFrame:
-    """Search hits with reference price and their lists of finals, rejected and postponed tests."""
+    """Search hits with reference price and their lists of finals, rejected and postponed tests; with `snapshots`
+    (see `product_snapshots`) also their category path and image."""
     ids = hits.select("id_product")
     final_rows = finals_with_title(
         finals.join(ids, "id_product", "left_semi"), tests.join(ids, "id_product", "left_semi")
@@ -731,4 +801,6 @@ def product_dossier(
     for status in ("rejected", "postponed"):
         found = reviews_by_product(tests.join(ids, "id_product", "left_semi"), competitors, status)
         out = out.join(found.withColumnRenamed("reviews", status), "id_product", "left")
+    if snapshots is not None:
+        out = out.join(snapshots.select("id_product", "category_path", "source_image_url"), "id_product", "left")
     return out

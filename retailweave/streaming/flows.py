@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.reviews import GONE_AFTER, url_health
+from ..operators.reviews import GONE_AFTER, HEALTH_COLUMNS, url_health
 from ..plans.import_job import Catalogue, fact_rows
-from ..session import path_exists
+from ..session import hadoop_path, path_exists, remove_path
 from ..sources import fact_store
-from ..sources.incremental import latest_per_key
+from ..sources.incremental import ensure_columns, latest_per_key
 from ..sources.observations import valid_observations
 
 BATCH = "stream_batch"
@@ -85,39 +85,101 @@ def stream_recent_scrapes(
 PAIR = ["id_product", "competitor_id"]
 
 
-def health_state(spark: SparkSession, finals: DataFrame, target: str, before: int | None = None) -> DataFrame:
-    """Current health of every final url: the newest version written by a micro-batch, else the stored row."""
-    columns = [
-        *PAIR, "url", "competitor_price", "consecutive_http_failures", "last_http_status", "failures", "removed", BATCH,
-    ]
-    start = finals.withColumns(
-        {"failures": F.lit(0).cast("bigint"), "removed": F.lit(False), BATCH: F.lit(-1).cast("bigint")}
-    ).select(*columns)
-    if path_exists(spark, target):
-        written = spark.read.parquet(target).withColumn(BATCH, F.col(BATCH).cast("bigint")).select(*columns)
-        start = start.unionByName(written if before is None else written.where(F.col(BATCH) < before))
-    return latest_per_key(start, PAIR, [F.col(BATCH).desc()]).drop(BATCH)
+HEALTH_BUCKETS = 64
+_BUCKET = "bucket"
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*PAIR), F.lit(buckets)).cast("int")
+
+
+def _generations(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Micro-batches that have written each bucket, oldest first; at most a few entries a bucket."""
+    if not path_exists(spark, target):
+        return {}
+    root, fs = hadoop_path(spark, target)
+    found: dict[int, list[int]] = {}
+    for folder in fs.listStatus(root):
+        if folder.getPath().getName().startswith(f"{_BUCKET}="):
+            number = int(folder.getPath().getName().split("=")[1])
+            names = [x.getPath().getName() for x in fs.listStatus(folder.getPath())]
+            found[number] = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}="))
+    return found
+
+
+def _folder(target: str, bucket: int, batch: int) -> str:
+    return f"{target.rstrip('/')}/{_BUCKET}={bucket}/{BATCH}={batch}"
+
+
+def health_state(
+    spark: SparkSession,
+    finals: DataFrame,
+    target: str,
+    before: int | None = None,
+    only: list[int] | None = None,
+    buckets: int = HEALTH_BUCKETS,
+) -> DataFrame:
+    """Current health of every final url: the newest state of its bucket (before a micro-batch), else the stored row."""
+    columns = [*PAIR, *HEALTH_COLUMNS, "observations", "failures", "removed"]
+    stored = ensure_columns(finals, {"last_http_error_at": "timestamp", "last_http_error_message": "string"})
+    stored = stored.withColumns(
+        {"observations": F.lit(0).cast("bigint"), "failures": F.lit(0).cast("bigint"), "removed": F.lit(False)}
+    )
+    newest = {
+        b: max(g for g in known if before is None or g < before)
+        for b, known in _generations(spark, target).items()
+        if any(before is None or g < before for g in known)
+    }
+    own = _bucket(buckets)
+    stored = stored.where(~own.isin(*newest)) if newest else stored
+    stored = stored if only is None else stored.where(own.isin(*only))
+    stored = stored.select(*columns)
+    paths = [_folder(target, b, g) for b, g in newest.items() if only is None or b in only]
+    return stored.unionByName(spark.read.schema(stored.schema).parquet(*paths)) if paths else stored
 
 
 def stream_url_health(
-    events: DataFrame, finals: DataFrame, target: str, checkpoint: str, threshold: int = GONE_AFTER
+    events: DataFrame,
+    finals: DataFrame,
+    target: str,
+    checkpoint: str,
+    threshold: int = GONE_AFTER,
+    buckets: int = HEALTH_BUCKETS,
 ) -> None:
-    """Consecutive-failure tracking. Each micro-batch takes the state of the pairs it touches, runs the batch
-    operator on it and writes their new versions; a removed pair finds nothing any more.
+    """Consecutive-failure tracking. The state is kept in `buckets` by pair. Each micro-batch takes the state of the
+    buckets it touches, runs the batch operator on it and writes their next generation; a removed pair finds nothing
+    any more. Only the generation before is kept besides, for a micro-batch that is replayed.
 
     The batch operator's chunked scans order a pair's events by `seq` and split a busy pair over tasks, which a
     per-key state handler would fold in one.
     """
+    finals = ensure_columns(
+        finals, {"last_http_error_at": events.schema["event_at"].dataType.simpleString(), "last_http_error_message": "string"}
+    )
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select(*PAIR).distinct()
-        known = health_state(spark, finals, target, before=batch_id).join(touched, PAIR, "left_semi")
+        touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]  # a few numbers
+        if not touched:
+            return
+        known = health_state(spark, finals, target, batch_id, touched, buckets)
         alive = known.where("NOT removed")
-        new = url_health(alive.drop("failures", "removed"), batch, threshold)
-        earlier = alive.select(*PAIR, F.col("failures").alias("earlier"))
-        out = new.join(earlier, PAIR).withColumn("failures", F.col("failures") + F.col("earlier")).drop("earlier")
-        out.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{BATCH}={batch_id}")
+        new = url_health(alive.drop("observations", "failures", "removed"), batch, threshold)
+        earlier = alive.select(*PAIR, F.col("observations").alias("o"), F.col("failures").alias("f"))
+        new = new.join(earlier, PAIR).withColumns({"observations": F.col("observations") + F.col("o"), "failures": F.col("failures") + F.col("f")})
+        out = new.select(*known.columns).unionByName(known.where("removed"))
+        (
+            out.withColumns({_BUCKET: _bucket(buckets), BATCH: F.lit(batch_id)})
+            .repartition(_BUCKET)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(_BUCKET, BATCH)
+            .parquet(target)
+        )
+        for bucket, known_batches in _generations(spark, target).items():
+            older = [g for g in known_batches if g < batch_id]
+            for stale in older[:-1]:
+                remove_path(spark, _folder(target, bucket, stale))
 
     query = (
         events.writeStream.foreachBatch(step)

@@ -197,3 +197,10 @@ def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     context = SimpleNamespace(getConf=lambda: conf, master="spark://x:1", applicationId="a", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         session.shared_root(SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def test_gone_redirects_mark_the_pages(spark):
+    tests = spark.createDataFrame([(1, 4, "ok"), (2, 4, "ok"), (1, 3, "gone")], "id_product long, competitor_id int, competitor_page_status string")
+    found = spark.createDataFrame([(1, 4, True), (1, 4, True), (2, 4, False)], "id_product long, competitor_id int, gone boolean")
+    got = sorted(map(tuple, R.mark_gone_redirects(tests, found).collect()))
+    assert got == [(1, 3, "gone"), (1, 4, "gone"), (2, 4, "ok")]
