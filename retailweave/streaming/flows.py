@@ -167,7 +167,8 @@ def stream_url_health(
         new = url_health(alive.drop("observations", "failures", "removed"), batch, threshold)
         earlier = alive.select(*PAIR, F.col("observations").alias("o"), F.col("failures").alias("f"))
         new = new.join(earlier, PAIR).withColumns({"observations": F.col("observations") + F.col("o"), "failures": F.col("failures") + F.col("f")})
-        out = new.select(*known.columns).unionByName(known.where("removed"))
+        new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known.schema])  # the state's own types
+        out = new.unionByName(known.where("removed"))
         (
             out.withColumns({_BUCKET: _bucket(buckets), BATCH: F.lit(batch_id)})
             .repartition(_BUCKET)
