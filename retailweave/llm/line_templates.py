@@ -45,7 +45,10 @@ def _masked(text: Column) -> Column:
     The patterns are tried only on texts that need them, and enter a token only at its start.
     """
     even = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n ?", "\n")
-    even = F.when(text.rlike(r"[\t\r]|  |^ | $|\n | \n"), F.btrim(even, F.lit(" "))).otherwise(text)
+    uneven = text.startswith(" ") | text.endswith(" ")
+    for mark in ("\t", "\r", "  ", "\n ", " \n"):
+        uneven = uneven | text.contains(mark)
+    even = F.when(uneven, F.btrim(even, F.lit(" "))).otherwise(text)
     digits = F.regexp_replace(even, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")
     return F.when(text.rlike("[0-9]"), digits).otherwise(even)
 
@@ -134,7 +137,7 @@ def drop_recurring_lines(
     left = F.filter(both, lambda x: ~F.array_contains(F.col(f"{name}keys"), _key(x["masked"])))
     touched = F.col(f"{name}keys").isNotNull() & F.col(text).isNotNull()
     rows = rows.withColumn(f"{name}left", F.when(touched, F.transform(left, lambda x: x["line"])))
-    n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(whole - F.length(F.translate(text, "\n", "")) + 1)
+    n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(whole - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
     rows = rows.withColumn(f"{name}lines", n_lines)
     cut = F.when(touched, F.col(f"{name}lines") - F.size(f"{name}left")).otherwise(0)
     cleaned = F.when(touched, F.array_join(f"{name}left", "\n")).otherwise(F.col(text))
