@@ -107,13 +107,25 @@ _LISTINGS = f"""listings AS (SELECT CAST(p_partkey % 4 + 1 AS INTEGER) AS compet
       list_distinct({words(norm('query'))}) AS ws FROM (SELECT DISTINCT query FROM queries))),
   hits AS (SELECT competitor_id, query, url, tn, any_value(qn) AS qn FROM qw JOIN lwords USING (word)
     GROUP BY competitor_id, query, url, tn HAVING count(*) = any_value(need)),
-  page AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY competitor_id, query ORDER BY
-    contains(' ' || tn || ' ', ' ' || qn || ' ') DESC, length(tn), url) AS rn FROM hits) WHERE rn <= 10),
   cands AS (SELECT id_product, competitor_id, url, min(position) AS position, arg_min(query, position) AS matched_query
-    FROM queries JOIN page USING (query) GROUP BY 1, 2, 3)"""
+    FROM queries JOIN hits USING (query) GROUP BY 1, 2, 3)"""
+_BY_TEXT = f"""shared AS (SELECT q.id_product, position, query FROM queries q JOIN feed f USING (id_product)
+    WHERE query NOT IN (trim(reference), trim(ean13)) AND NOT (trim(reference) <> '' AND query = trim(trim(manufacturer_name) || ' ' || trim(reference)))),
+  texts AS (SELECT id_product, min(id_product) OVER (PARTITION BY b, n, q) AS head FROM (
+    SELECT f.id_product, any_value({norm('manufacturer_name')}) AS b, any_value({norm('product_name')}) AS n,
+      coalesce(string_agg(position || ':' || query, chr(1) ORDER BY position), '') AS q FROM feed f LEFT JOIN shared USING (id_product) GROUP BY 1))"""
 
 
-@query("m4_candidates", with_ci("SELECT * FROM cands", _queries_sql("base"), _LISTINGS))
+@query(
+    "m4_candidates",
+    with_ci(
+        """SELECT head AS id_product, competitor_id, url, min(position) AS position, arg_min(query, position) AS matched_query
+      FROM texts JOIN shared USING (id_product) JOIN hits USING (query) WHERE head = id_product GROUP BY 1, 2, 3""",
+        _queries_sql("base"),
+        _LISTINGS,
+        _BY_TEXT,
+    ),
+)
 def _(spark, sf):
     return X.generate_candidates(fx.match_products(spark, sf), fx.listings(spark, sf))
 
@@ -130,17 +142,24 @@ _BASE = f"""CAST({_IN.format('ean', 't', 100)} + CASE WHEN reference <> '' AND c
   + CASE WHEN contains(t, 'search') THEN 5 ELSE 0 END AS INTEGER)"""
 
 
-def _pairs(spark, sf, order="base"):
-    products, listings = fx.match_products(spark, sf), fx.listings(spark, sf)
-    return X.attach_facts(X.generate_candidates(products, listings, order), products, listings)
+def _best(spark, sf, kind="base", k=None):
+    return X.best_candidates(fx.match_products(spark, sf), fx.listings(spark, sf), kind, k)
+
+
+def _top(score: str, k: int, keep: str = "true") -> str:
+    """Brute force: the best k of all pairs that the queries reach."""
+    return f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id_product, competitor_id
+      ORDER BY score DESC, position, url) AS rn FROM (SELECT *, {score} AS score FROM cpairs) WHERE {keep}) WHERE rn <= {k}"""
 
 
 @query(
     "m5_base_scores",
-    with_ci(f"SELECT id_product, competitor_id, url, {_BASE} AS score FROM cpairs", _queries_sql("base"), _LISTINGS, _PAIRS),
+    with_ci(
+        f"SELECT id_product, competitor_id, url, score FROM ({_top(_BASE, 12)})", _queries_sql("base"), _LISTINGS, _PAIRS
+    ),
 )
 def _(spark, sf):
-    return X.score_candidates(_pairs(spark, sf), "base").select("id_product", "competitor_id", "url", "score")
+    return _best(spark, sf, k=12).select("id_product", "competitor_id", "url", "score")
 
 
 _VE = "(CASE WHEN length({0}) IN (8,12,13,14) AND NOT regexp_full_match({0}, '0+') THEN {0} ELSE '' END)"
@@ -156,15 +175,14 @@ _INDEX = f"""greatest(0, least(100, CAST(CASE WHEN {_EAN} <> '' AND {_EAN} = {_C
 @query(
     "m6_index_scores",
     with_ci(
-        f"SELECT * FROM (SELECT id_product, competitor_id, url, {_INDEX} AS score FROM cpairs) WHERE score >= 90",
+        f"SELECT id_product, competitor_id, url, score FROM ({_top(_INDEX, 5, 'score >= 90')})",
         _queries_sql("index"),
         _LISTINGS,
         _PAIRS,
     ),
 )
 def _(spark, sf):
-    out = X.score_candidates(_pairs(spark, sf, "index"), "index")
-    return out.select("id_product", "competitor_id", "url", "score")
+    return _best(spark, sf, "index").select("id_product", "competitor_id", "url", "score")
 
 
 def _model_pairs(spark, sf):
@@ -353,13 +371,19 @@ _VERIFY = f"""SELECT id_product, competitor_id, url, evidence, evidence <> '' AS
     WHEN r <> '' AND contains(pt, r) AND shows THEN 'title_reference'
     WHEN t <> '' AND contains(pt, t) AND (b = '' OR shows) THEN 'title' ELSE '' END AS evidence
   FROM (SELECT *, b = '' OR m = '' OR contains(m, b) OR contains(b, m) AS ok, b <> '' AND (contains(pt, b) OR contains(px, b)) AS shows
-    FROM (SELECT *, CASE WHEN len(url) % 3 = 0 THEN r ELSE '' END AS pr, CASE WHEN len(url) % 2 = 0 THEN t ELSE q END AS pt, b AS px FROM cpairs)))"""
+    FROM (SELECT *, CASE WHEN len(url) % 3 = 0 THEN r ELSE '' END AS pr, CASE WHEN len(url) % 2 = 0 THEN t ELSE q END AS pt, b AS px FROM ranked)))"""
+
+
+_RANKED = f"""scored AS (SELECT *, {_BASE} AS score FROM cpairs),
+  ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id_product, competitor_id ORDER BY score DESC, position, url)
+    AS INTEGER) AS rank FROM scored) WHERE rank <= 5)"""
+_RANK_CTES = (_queries_sql("base"), _LISTINGS, _PAIRS, _RANKED)
 
 
-@query("m16_verify_listings", with_ci(_VERIFY, _queries_sql("base"), _LISTINGS, _PAIRS))
+@query("m16_verify_listings", with_ci(_VERIFY, *_RANK_CTES))
 def _(spark, sf):
     n = F.length("url")
-    pairs = _pairs(spark, sf).withColumns(
+    pairs = _best(spark, sf).withColumns(
         {
             "page_reference": F.when(n % 3 == 0, F.replace(F.col("supplier_reference"), F.lit("-"), F.lit(" "))).otherwise(""),
             "page_title": F.when(n % 2 == 0, F.col("c_title")).otherwise(F.col("matched_query")),
@@ -400,14 +424,9 @@ def _(spark, sf):
 
 # --- ranking and decisions ----------------------------------------------------------------------------
 
-_RANKED = f"""scored AS (SELECT *, {_BASE} AS score FROM cpairs),
-  ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id_product, competitor_id ORDER BY score DESC, position, url)
-    AS INTEGER) AS rank FROM scored) WHERE rank <= 5)"""
-_RANK_CTES = (_queries_sql("base"), _LISTINGS, _PAIRS, _RANKED)
-
 
 def _ranked(spark, sf):
-    return X.rank_candidates(X.score_candidates(_pairs(spark, sf), "base"))
+    return _best(spark, sf)
 
 
 @query("m18_ranked_candidates", with_ci("SELECT id_product, competitor_id, url, score, rank FROM ranked", *_RANK_CTES))

@@ -12,10 +12,10 @@ import pandas as pd
 
 from ..functions import measures as M
 from ..functions import text as T
+from ..session import written
 from ..sources.incremental import top_k_per
 
 # Thresholds, word lists and weights of the scorers.
-SEARCH_PAGE = 10
 WORD_BLOCK = 50_000  # our own: listings of one word a task looks through
 TOP = {"base": 5, "index": 5, "tokens": 3, "signature": 3}
 INDEX_KEEP = 90
@@ -80,13 +80,15 @@ def listing_words(listings: DataFrame) -> DataFrame:
     return listings.select("competitor_id", "url", T.normalize_text("title").alias("title_norm"), F.array_distinct(found).alias("found_by"))
 
 
-def search_listings(queries: DataFrame, listings: DataFrame, page: int = SEARCH_PAGE, block_rows: int = WORD_BLOCK) -> DataFrame:
-    """Site search: per competitor and distinct query, one page of the listings that hold every word of it.
+def search_listings(
+    queries: DataFrame, listings: DataFrame, page: int | None = None, block_rows: int = WORD_BLOCK
+) -> DataFrame:
+    """Site search: per competitor and distinct query, the listings that hold every word of it; with `page`, as a site
+    that shows so many would, the first ones.
 
     A query is looked up by its rarest word only. The listings of a word that fills more than `block_rows` are cut
     into blocks and its queries repeated per block, so a word of a third of the catalogue neither multiplies pairs
-    nor lands in one task. Ranking keeps the best page per query before the shuffle. The page size belongs to the
-    question, as on a real site.
+    nor lands in one task. Ranking keeps the best page per query before the shuffle.
     """
     asked = queries.select("query").distinct().withColumn("query_norm", T.normalize_text("query"))
     asked = asked.withColumn("needs", F.array_distinct(T.words("query_norm"))).where(F.size("needs") > 0)
@@ -110,6 +112,8 @@ def search_listings(queries: DataFrame, listings: DataFrame, page: int = SEARCH_
         "block", F.coalesce(F.pmod(F.xxhash64("url"), F.col("blocks")).cast("int"), F.lit(0))
     )
     hits = keyed.join(spread, ["competitor_id", "word", "block"]).where(F.size(F.array_except("needs", "found_by")) == 0)
+    if page is None:
+        return hits.select("competitor_id", "query", "url")
     order = [
         T.holds_phrase(F.col("title_norm"), F.col("query_norm")).desc(),
         F.length("title_norm"),
@@ -118,17 +122,132 @@ def search_listings(queries: DataFrame, listings: DataFrame, page: int = SEARCH_
     return top_k_per(hits, ["competitor_id", "query"], order, page).select("competitor_id", "query", "url")
 
 
-def generate_candidates(
-    products: DataFrame, listings: DataFrame, order: str = "base", page: int = SEARCH_PAGE
-) -> DataFrame:
-    """Listings each product's queries reach, once per url with the first query that found it."""
-    queries = expand_queries(products, order)
-    found = queries.join(search_listings(queries, listings, page), "query")
+def _first_found(found: DataFrame) -> DataFrame:
+    """Once per pair and url, with the first query that found it."""
     return found.groupBy(*PAIR, "url").agg(F.min(F.struct("position", "query")).alias("first")).select(
         *PAIR, "url", F.col("first.position").alias("position"), F.col("first.query").alias("matched_query")
     )
 
 
+def _by_text(products: DataFrame, order: str) -> DataFrame:
+    """Products with their `text_id`, the same for all that read alike but for reference and ean, and their queries
+    split into `own` ones, which hold the reference or ean, and `shared` ones."""
+    clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    reference, ean, brand = (clean(c) for c in ("supplier_reference", "ean", "brand"))
+    branded = F.when(reference != "", F.trim(F.concat_ws(" ", brand, reference))).otherwise("")
+    numbered = F.transform(query_list(order), lambda q, i: F.struct(i.alias("position"), q.alias("query")))
+    names = F.array(reference, ean, branded)
+    rows = products.withColumns({"__queries": numbered, "__names": names})
+    rows = rows.withColumns(
+        {
+            "own": F.filter("__queries", lambda q: F.array_contains("__names", q["query"])),
+            "shared": F.filter("__queries", lambda q: ~F.array_contains("__names", q["query"])),
+            # a reference of signs alone is found in every title, so it belongs to the text
+            "signs": F.when(T.normalize_text("supplier_reference") == "", F.coalesce("supplier_reference", F.lit(""))).otherwise(""),
+        }
+    )
+    text = F.to_json(F.struct(T.normalize_text("brand"), T.normalize_text("name"), "shared", "signs"))
+    return rows.withColumn("text_id", F.md5(text)).drop("__queries", "__names")
+
+
+def _texts(by_text: DataFrame) -> DataFrame:
+    """One product per text, without ean and, but for signs, without reference."""
+    first = by_text.groupBy("text_id").agg(F.min_by(F.struct("brand", "name", "signs", "shared"), "id_product").alias("f"))
+    return first.select(
+        F.col("text_id").alias("id_product"),
+        F.col("f.signs").alias("supplier_reference"),
+        F.lit("").alias("ean"),
+        "f.brand",
+        "f.name",
+        F.lit(None).cast("double").alias("source_price"),
+        F.col("f.shared").alias("shared"),
+    )
+
+
+def generate_candidates(products: DataFrame, listings: DataFrame, order: str = "base") -> DataFrame:
+    """Listings each text's shared queries reach, once per url with the first query that found it.
+
+    A row stands for all products of the text (`id_product` is the smallest of them): pairing every one of them with
+    every listing of their name would grow with the square of a name's products. `best_candidates` works per product.
+    """
+    by_text = _by_text(products, order)
+    heads = by_text.groupBy("text_id").agg(F.min("id_product").alias("head"))
+    found = _text_hits(_texts(by_text), listings, order)
+    return found.join(heads, F.col("id_product") == F.col("text_id")).select(
+        F.col("head").alias("id_product"), "competitor_id", "url", "position", "matched_query"
+    )
+
+
+def _text_hits(texts: DataFrame, listings: DataFrame, order: str) -> DataFrame:
+    queries = texts.select("id_product", F.explode("shared").alias("q")).select("id_product", "q.position", "q.query")
+    return _first_found(queries.join(search_listings(queries, listings), "query"))
+
+
+def _shown_evidence(by_text: DataFrame, listings: DataFrame) -> DataFrame:
+    """(id_product, competitor_id, url): titles that show a product's ean or reference anywhere, and equal eans.
+
+    Needles meet the parts of titles of their own length by an equi-join; their lengths are a short list.
+    """
+    needles = by_text.select(
+        "id_product", F.explode(F.array(F.coalesce("ean", F.lit("")), T.normalize_text("supplier_reference"))).alias("needle")
+    ).where("needle <> ''").distinct()
+    lengths = [r[0] for r in needles.select(F.length("needle")).distinct().collect()]
+    titles = listings.select("competitor_id", "url", T.normalize_text("title").alias("title"))
+    parts = titles.select(
+        "competitor_id", "url", "title", F.explode(F.array(*map(F.lit, sorted(lengths))) if lengths else F.array().cast("array<int>")).alias("n")
+    ).where(F.length("title") >= F.col("n"))
+    starts = F.sequence(F.lit(1), F.length("title") - F.col("n") + 1)
+    parts = parts.select(
+        "competitor_id", "url", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("title", i, F.col("n"))))).alias("needle")
+    )
+    shown = needles.join(parts, "needle").select(*PAIR, "url")
+    mine = by_text.select("id_product", T.valid_ean("ean").alias("e")).where("e <> ''")
+    theirs = listings.select("competitor_id", "url", T.valid_ean("ean").alias("e")).where("e <> ''")
+    return shown.union(mine.join(theirs, "e").select(*PAIR, "url")).distinct()
+
+
+def best_candidates(
+    products: DataFrame, listings: DataFrame, kind: str = "base", k: int | None = None
+) -> DataFrame:
+    """The best k listings by score per product and competitor, out of all that its queries reach, with the facts
+    of both sides, `score` and `rank`; for the kinds whose score rests on text, reference and ean (base, index).
+
+    Scored once per text: a listing that shows neither reference nor ean scores alike for all products of a text, so
+    the text's best ones serve them all. Listings that a product's own queries reach, or that show its reference or
+    ean, are scored for the product. A product may replace entries of the text's list by its own, so this list is as
+    much longer than k as any product has such entries.
+    """
+    if kind not in ("base", "index"):
+        raise ValueError(f"the score of {kind} depends on prices")
+    k = TOP[kind] if k is None else k
+    by_text = _by_text(products, kind)
+    texts = _texts(by_text)
+    spark = products.sparkSession
+    text_hits = written(spark, _text_hits(texts, listings, kind), "match-text-hits")
+    of_product = by_text.select("id_product", "text_id")
+
+    own = by_text.select("id_product", F.explode("own").alias("q")).select("id_product", "q.position", "q.query")
+    own = own.join(search_listings(own, listings), "query").select(*PAIR, "url", "position", "query")
+    shown = _shown_evidence(by_text, listings).unionByName(own.select(*PAIR, "url")).distinct().join(of_product, "id_product")
+    shared = text_hits.select(
+        F.col("id_product").alias("text_id"), "competitor_id", "url", "position", F.col("matched_query").alias("query")
+    )
+    shown = shown.join(shared, ["text_id", "competitor_id", "url"]).select(*PAIR, "url", "position", "query")
+    special = written(spark, _first_found(own.unionByName(shown)), "match-special")
+    longest = special.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 0
+
+    columns = [*PAIR, "url", "position", "matched_query", "score"]
+    scored = score_candidates(attach_facts(special, products, listings), kind).select(*columns)
+    text_scored = score_candidates(attach_facts(text_hits, texts.drop("shared"), listings), kind).select(*columns)
+    order = [F.col("score").desc(), F.col("position"), F.col("url")]
+    lists = top_k_per(text_scored, PAIR, order, k + longest).drop("rank").withColumnRenamed("id_product", "text_id")
+    lists = written(spark, lists, "match-lists")
+    alike = of_product.join(lists, "text_id").select(*columns)
+    alike = alike.join(special.select(*PAIR, "url"), [*PAIR, "url"], "left_anti")
+    ranked = top_k_per(scored.unionByName(alike), PAIR, order, k)
+    return plain(attach_facts(ranked, products, listings))
+
+
 PRODUCT_KEYS = {"brand": "brand", "name": "name", "reference": "supplier_reference"}
 LISTING_KEYS = {"title": "c_title", "manufacturer": "c_brand", "hit_reference": "c_reference"}
 QUERY_KEYS = {"query": "matched_query"}

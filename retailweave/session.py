@@ -48,6 +48,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop, True)
 
 
+def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: worked out once, and again from disk if an executor is lost."""
+    path = work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_root(df.sparkSession)
