@@ -229,223 +229,6 @@ def train(
     return fit(positive, _sampled(rows, ids, doc_id, text, sample))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.margin(x))
-
-
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-
-def _basis(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / scale, -8, 8)
-    return np.hstack([z, z * z / 8])
-
-
-class _Adam:
-    def __init__(self, size: int, rate: float):
-        self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
-
-    def step(self, gradient: np.ndarray) -> np.ndarray:
-        self.t += 1
-        self.m = 0.9 * self.m + 0.1 * gradient
-        self.v = 0.999 * self.v + 0.001 * gradient**2
-        return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, groups: int = GROUPS) -> float:
-    """Share of positives among the unlabelled rows, from the scores of a positive-against-unlabelled classifier.
-
-    Groups are quantiles of the positives' scores. In a group without negatives the unlabelled rows' share is the prior
-    times the positives' share. Negatives crowd into the groups of low scores, so the median ratio is free of them.
-    """
-    edges = np.unique(np.quantile(positive, np.linspace(0, 1, groups + 1)[1:-1]))
-    held = np.bincount(np.searchsorted(edges, positive, side="right"), minlength=len(edges) + 1)
-    found = np.bincount(np.searchsorted(edges, unlabelled, side="right"), minlength=len(edges) + 1)
-    ratio = (found / len(unlabelled))[held > 0] / (held / len(positive))[held > 0]
-    return float(np.clip(np.median(ratio), 0.05, 0.98))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = STEPS, rate: float = RATE) -> Model:
-    """Minimises the non-negative risk over all given rows at once; the result depends on them alone."""
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = _basis(positive, mean, scale), _basis(unlabelled, mean, scale)
-    width = p.shape[1]
-
-    def descend(gradient_of) -> tuple[np.ndarray, float]:
-        theta, adam = np.zeros(width + 1), _Adam(width + 1, rate)
-        for _ in range(steps):
-            gradient = gradient_of(theta[:-1], theta[-1])
-            gradient[:-1] += 1e-3 * theta[:-1]
-            theta = theta - adam.step(gradient)
-        return theta[:-1], float(theta[-1])
-
-    def mean_gradient(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(x.T @ slope, slope.sum()) / len(x)
-
-    def plain(w: np.ndarray, b: float) -> np.ndarray:  # positives against unlabelled
-        return mean_gradient(p, _sigmoid(p @ w + b) - 1) + mean_gradient(u, _sigmoid(u @ w + b))
-
-    first_w, first_b = descend(plain)
-    prior = estimate_prior(p @ first_w + first_b, u @ first_w + first_b)
-
-    def non_negative(w: np.ndarray, b: float) -> np.ndarray:
-        zp, zu = p @ w + b, u @ w + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = mean_gradient(u, _sigmoid(zu)) - prior * mean_gradient(p, _sigmoid(zp))
-        if negative < 0:
-            return -of_negative
-        return prior * mean_gradient(p, _sigmoid(zp) - 1) + of_negative
-
-    w, b = descend(non_negative)
-    return Model(mean, scale, w, b, prior)
-
-
-def _sampled(rows: DataFrame, ids: DataFrame, doc_id: str, text: str, sample: int) -> np.ndarray:
-    """Features of the rows of the `sample` ids with the smallest md5.
-
-    Only ids are sorted and joined; the picked ones, no more than `sample`, are broadcast, so texts are not shuffled.
-    """
-    order = F.md5(F.col(doc_id).cast("string"))
-    picked = ids.where(F.col(doc_id).isNotNull()).select(doc_id).orderBy(order, doc_id).limit(sample)
-    mine = rows.join(F.broadcast(picked), doc_id, "left_semi").select(text)
-    kept = _feature_rows(mine, text, "__f").select("__f").collect()
-    return np.array(sorted(r["__f"] for r in kept), float).reshape(-1, len(FEATURES))
-
-
-def train(
-    docs: DataFrame,
-    labels: DataFrame,
-    *,
-    usable: Column | None = None,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    label: str = "quality",
-    sample: int = SAMPLE,
-) -> Model | None:
-    """Fits on documents that are `usable` (default all); None without positives."""
-    rows = docs.select(F.col(doc_id), F.col(text))
-    if usable is not None:
-        rows = rows.where(usable)
-    good = labels.where(F.col(label) == 1).select(F.col(doc_id)).distinct()
-    positive = _sampled(rows.join(good, doc_id, "left_semi"), doc_id, text, sample)
-    if not len(positive):
-        return None
-    return fit(positive, _sampled(rows, doc_id, text, sample))
-
-
-def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.margin(x))
-
-
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-
-def _basis(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / scale, -8, 8)
-    return np.hstack([z, z * z / 8])
-
-
-class _Adam:
-    def __init__(self, size: int, rate: float):
-        self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
-
-    def step(self, gradient: np.ndarray) -> np.ndarray:
-        self.t += 1
-        self.m = 0.9 * self.m + 0.1 * gradient
-        self.v = 0.999 * self.v + 0.001 * gradient**2
-        return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, groups: int = GROUPS) -> float:
-    """Share of positives among the unlabelled rows, from the scores of a positive-against-unlabelled classifier.
-
-    Groups are quantiles of the positives' scores. In a group that holds positives only, its share of the unlabelled
-    rows is the prior times its share of the positives; other groups hold more. The groups in which the ratio is
-    least give the estimate: their pooled ratio over the lower half, which evens out chance.
-    """
-    edges = np.unique(np.quantile(positive, np.linspace(0, 1, groups + 1)[1:-1]))
-    held = np.bincount(np.searchsorted(edges, positive, side="right"), minlength=len(edges) + 1).astype(float)
-    found = np.bincount(np.searchsorted(edges, unlabelled, side="right"), minlength=len(edges) + 1).astype(float)
-    ratio = (found / len(unlabelled)) / np.maximum(held / len(positive), 1e-9)
-    low = np.argsort(ratio, kind="stable")[: max(1, len(ratio) // 2)]
-    pooled = (found[low].sum() / len(unlabelled)) / max(held[low].sum() / len(positive), 1e-9)
-    return float(np.clip(pooled, 0.05, 0.98))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = STEPS, rate: float = RATE) -> Model:
-    """Minimises the non-negative risk over all given rows at once; the result depends on them alone."""
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = _basis(positive, mean, scale), _basis(unlabelled, mean, scale)
-    width = p.shape[1]
-
-    def descend(gradient_of) -> tuple[np.ndarray, float]:
-        theta, adam = np.zeros(width + 1), _Adam(width + 1, rate)
-        for _ in range(steps):
-            gradient = gradient_of(theta[:-1], theta[-1])
-            gradient[:-1] += 1e-3 * theta[:-1]
-            theta = theta - adam.step(gradient)
-        return theta[:-1], float(theta[-1])
-
-    def mean_gradient(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(x.T @ slope, slope.sum()) / len(x)
-
-    def plain(w: np.ndarray, b: float) -> np.ndarray:  # positives against unlabelled
-        return mean_gradient(p, _sigmoid(p @ w + b) - 1) + mean_gradient(u, _sigmoid(u @ w + b))
-
-    first_w, first_b = descend(plain)
-    prior = estimate_prior(p @ first_w + first_b, u @ first_w + first_b)
-
-    def non_negative(w: np.ndarray, b: float) -> np.ndarray:
-        zp, zu = p @ w + b, u @ w + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = mean_gradient(u, _sigmoid(zu)) - prior * mean_gradient(p, _sigmoid(zp))
-        if negative < 0:
-            return -of_negative
-        return prior * mean_gradient(p, _sigmoid(zp) - 1) + of_negative
-
-    w, b = descend(non_negative)
-    return Model(mean, scale, w, b, prior)
-
-
-def _sampled(rows: DataFrame, doc_id: str, text: str, sample: int) -> np.ndarray:
-    """Features of the `sample` rows with the smallest md5 of their id; only ids are sorted, not texts."""
-    order = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    last = rows.select(order.alias("o")).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
-    if last is None:
-        return np.empty((0, len(FEATURES)))
-    kept = _feature_rows(rows.where(order <= last).select(text), text, "__f").select("__f").collect()
-    return np.array(sorted(r["__f"] for r in kept), float)
-
-
-def train(
-    docs: DataFrame,
-    labels: DataFrame,
-    *,
-    usable: Column | None = None,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    label: str = "quality",
-    sample: int = SAMPLE,
-) -> Model | None:
-    """Fits on documents that are `usable` (default all); None without positives."""
-    rows = docs.select(F.col(doc_id), F.col(text))
-    if usable is not None:
-        rows = rows.where(usable)
-    order = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    good = labels.where(F.col(label) == 1).select(F.col(doc_id)).distinct()
-    picked = rows.join(good, doc_id, "left_semi").select(doc_id, text, order.alias("__o")).orderBy("__o", text).limit(sample)
-    others = rows.select(doc_id, text, order.alias("__o")).orderBy("__o", text).limit(sample)
-    both = [_feature_rows(x.select(doc_id, text), text, "__f") for x in (picked, others)]
-    positive, unlabelled = (
-        np.array([r["__f"] for r in x.select("__f").collect()], float).reshape(-1, len(FEATURES)) for x in both
-    )
-    return fit(positive, unlabelled) if len(positive) else None
-
-
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", result: str = "score") -> DataFrame:
     """Adds `result` (0 to 1) to every document."""
     docs = clear_of(docs, result)
