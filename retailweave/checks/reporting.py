@@ -37,11 +37,11 @@ CUR = within("current")
 
 
 def _fact(spark, sf, filters=STD, periods=None):
-    return fx.fact(spark, sf, periods or {"current": filters.period})
+    """The whole fact: the periods are the operators' to apply."""
+    return fx.fact(spark, sf)
 
 
-def _all(spark, sf):
-    return fx.fact(spark, sf, C.home_periods(STD))
+_all = _fact
 
 
 # --- filters ------------------------------------------------------------------------------------------
@@ -644,7 +644,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     periods = STD.comparison_periods()
-    rows = apply_filters(fx.fact(spark, sf, periods), STD, periods)
+    rows = apply_filters(fx.fact(spark, sf), STD, periods)
     keys = {"channel_name": L.channel(), "is_occ": L.is_occasion()}
     return A.as_report(A.multi_period(rows, periods, keys, ("total", "margin", "qty", "lines", "invoices")))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import comparisons as C
 from ..operators.aggregates import as_report
 from ..plans.home_report import digest, home_report
 from ..session import work_path
@@ -117,5 +116,4 @@ _PARTS = (
     ),
 )
 def _(spark, sf):
-    fact = fx.fact(spark, sf, C.home_periods(reporting.STD))
-    return digest(home_report(spark, fact, reporting.STD, reporting.TARGET))
+    return digest(home_report(spark, fx.fact(spark, sf), reporting.STD, reporting.TARGET))
