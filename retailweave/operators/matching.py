@@ -341,13 +341,15 @@ def _index_score() -> Column:
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """difflib's similarity of two short strings, by Arrow batches."""
+    """difflib's similarity of two short strings, by Arrow batches, once per distinct pair."""
 
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)])
+        pairs = list(zip(left, right))
+        known = {pair: SequenceMatcher(None, *pair).ratio() for pair in set(pairs)}
+        return pd.Series([known[pair] for pair in pairs])
 
     return ratio(a, b)
 
