@@ -289,6 +289,59 @@ def _(spark, sf):
     )
 
 
+def _gap_points(steps, near=()) -> str:
+    cases = [f"WHEN g <= {high} THEN {points}" for high, points in near] + [f"WHEN g >= {low} THEN {points}" for low, points in steps]
+    return f"(CASE {' '.join(cases)} ELSE 0 END)"
+
+
+_YEAR_POINTS = f"""(CASE WHEN {year('n')} <> {year('t')} AND {guitar("(n || ' ' || t)")} THEN
+    CASE WHEN contains(b, 'gibson') OR contains(m, 'gibson') THEN -40 ELSE -25 END ELSE 0 END)"""
+_PRICED = f"""{_MODELS.replace("ELSE p_brand END AS c_brand FROM (", "ELSE p_brand END AS c_brand, p_partkey % 4 + 1 AS competitor_id, CAST(p_partkey % 21 AS DOUBLE) / 20 AS ratio, CAST(p_retailprice AS DECIMAL(12,2)) AS source_price, CAST(CAST(p_retailprice AS DECIMAL(12,2)) * (1 + CAST(p_size - 25 AS DECIMAL(4,0)) * CAST(0.02 AS DECIMAL(4,2))) AS DECIMAL(12,2)) AS c_price FROM (", 1)},
+  pn AS (SELECT *, CASE WHEN c_price > 0 AND source_price > 0 THEN abs(CAST(c_price AS DOUBLE) - CAST(source_price AS DOUBLE)) / CAST(source_price AS DOUBLE) END AS g FROM mn)"""
+_ACCESSORY = f"len(list_filter({{0}}, lambda w: list_contains({sql_list(X.TITLE_ACCESSORIES)}, w))) > 0"
+
+
+@query(
+    "m7_token_points",
+    f"""WITH {_PRICED}, tk AS (SELECT *, {tokens('n')} AS q, {tokens('t')} AS tt, {tokens('m')} AS mm FROM pn
+      WHERE NOT {any_in('t', ('b stock', 'bstock', 'bundle'))}),
+    cm AS (SELECT *, list_filter(q, lambda w: list_contains(tt, w)) AS c FROM tk
+      WHERE len(mm) = 0 OR len({tokens('b')}) = 0 OR list_has_any(mm, {tokens('b')})),
+    st AS (SELECT *, len(list_filter(c, lambda w: NOT list_contains({sql_list(X.GENERIC_TOKENS)}, w) AND length(w) > 3
+      AND NOT regexp_full_match(w, '[0-9]+'))) AS strong FROM cm),
+    fi AS (SELECT *, len(c) / len(q) * 45.0 + len(c) / len(tt) * 10.0 + ratio * 10.0
+      + CASE WHEN strong > 0 THEN least(30, strong * 10) WHEN len(c) > 0 THEN -18 ELSE -25 END
+      - CASE WHEN {_ACCESSORY.format('tt')} THEN 35 ELSE 0 END
+      + CASE WHEN len(mm) > 0 AND len({words('b')}) > 0 THEN CASE WHEN list_has_any(mm, {words('b')}) THEN 20 ELSE -20 END ELSE 0 END
+      + CASE WHEN n <> '' AND contains(t, n) THEN 20 ELSE 0 END AS first FROM st),
+    sc AS (SELECT *, CASE WHEN strong = 0 AND ratio < 0.55 THEN least(first, 55.0) WHEN strong > 0 AND ratio < 0.45 THEN first - 10 ELSE first END
+      + CASE WHEN list_contains(q, 'lh') AND list_contains(tt, 'lh') THEN 12 WHEN list_contains(q, 'lh') OR list_contains(tt, 'lh') THEN -15 ELSE 0 END
+      + {_gap_points(((0.50, -40), (0.35, -30), (0.20, -15)))} + {_YEAR_POINTS} AS s FROM fi)
+    SELECT id_product, CAST(competitor_id AS INTEGER) AS competitor_id,
+      CASE WHEN len(q) = 0 OR len(tt) = 0 THEN 0 ELSE CAST(greatest(0, least(100, round_even(s, 0))) AS INTEGER) END AS score FROM sc""",
+)
+def _(spark, sf):
+    ratio = (F.col("id_product") % 21).cast("double") / 20
+    return X.score_candidates(_model_pairs(spark, sf), "tokens", ratio).select("id_product", "competitor_id", "score")
+
+
+@query(
+    "m8_signature_points",
+    f"""WITH {_PRICED}, sg AS (SELECT *, {signature('n', 'b', 'signature')} AS qs, {signature('t', "(CASE WHEN c_brand <> '' THEN m ELSE b END)", 'signature')} AS ts FROM pn),
+    sc AS (SELECT *, CASE WHEN b <> '' AND m <> '' THEN CASE WHEN contains(m, b) OR contains(b, m) THEN 20 ELSE -10 END ELSE 0 END
+      + CASE WHEN qs <> '' AND ts <> '' AND qs = ts THEN 55
+        WHEN qs <> '' AND ts <> '' THEN CAST(round_even(ratio * 35, 0) AS INTEGER) - CASE WHEN ratio < 0.45 THEN 10 ELSE 0 END
+        WHEN qs <> '' OR ts <> '' THEN -8 ELSE 0 END
+      + CASE WHEN n <> '' AND contains(t, n) THEN 10 ELSE 0 END + CASE WHEN b <> '' AND contains(t, b) THEN 5 ELSE 0 END
+      - CASE WHEN {_ACCESSORY.format(words('t'))} THEN 35 ELSE 0 END
+      + {_gap_points(((0.50, -35), (0.35, -25), (0.20, -15)), ((0.05, 10), (0.15, 5)))} + {_YEAR_POINTS} AS s FROM sg)
+    SELECT id_product, CAST(competitor_id AS INTEGER) AS competitor_id, CAST(greatest(0, least(100, s)) AS INTEGER) AS score FROM sc""",
+)
+def _(spark, sf):
+    ratio = (F.col("id_product") % 21).cast("double") / 20
+    return X.score_candidates(_model_pairs(spark, sf), "signature", ratio).select("id_product", "competitor_id", "score")
+
+
 _ALIAS = "map(" + sql_list(T.COLOR_ALIASES) + ", " + sql_list(T.COLOR_ALIASES.values()) + ")"
 _COLOR = f"""CASE WHEN len(list_filter({words('n')}, lambda w: list_contains({sql_list(T.COLOR_ALIASES)}, w))) > 0
     THEN {_ALIAS}[list_filter(list_reverse({words('n')}), lambda w: list_contains({sql_list(T.COLOR_ALIASES)}, w))[1]]

@@ -368,7 +368,7 @@ def _year_points() -> Column:
     return T.year_penalty(F.col("__core"), F.col("__title"), F.col("__brand"), F.col("__manufacturer"))
 
 
-def _score_tokens(df: DataFrame) -> DataFrame:
+def _score_tokens(df: DataFrame, ratio: Column | None) -> DataFrame:
     rows = df.withColumn("__core", T.normalize_text(T.core_name("name"))).withColumns(
         {
             "__q": T.meaningful_tokens("__core"),
@@ -382,7 +382,7 @@ def _score_tokens(df: DataFrame) -> DataFrame:
             "__strong": F.filter(
                 "__common", lambda w: ~w.isin(*GENERIC_TOKENS) & (F.length(w) > 3) & ~w.rlike(r"^\d+$")
             ),
-            "__ratio": sequence_ratio(F.array_join("__q", " "), F.array_join("__t", " ")),
+            "__ratio": sequence_ratio(F.array_join("__q", " "), F.array_join("__t", " ")) if ratio is None else ratio,
             "__left": F.array_contains("__q", "lh"),
             "__c_left": F.array_contains("__t", "lh"),
         }
@@ -414,13 +414,13 @@ def _score_tokens(df: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.when(empty, 0).otherwise(_clamped(score)))
 
 
-def _score_signature(df: DataFrame) -> DataFrame:
+def _score_signature(df: DataFrame, ratio: Column | None) -> DataFrame:
     rows = df.withColumn("__core", T.normalize_text(T.core_name("name")))
     seller = F.when(F.coalesce("c_brand", F.lit("")) != "", F.col("__manufacturer")).otherwise(F.col("__brand"))
     rows = rows.withColumn("__seller", seller).withColumns(
         {"__qs": T.model_signature("__core", "__brand"), "__ts": T.model_signature("__title", "__seller")}
     )
-    rows = rows.withColumn("__ratio", sequence_ratio(F.col("__qs"), F.col("__ts")))
+    rows = rows.withColumn("__ratio", sequence_ratio(F.col("__qs"), F.col("__ts")) if ratio is None else ratio)
     brand, seller_norm = F.col("__brand"), F.col("__manufacturer")
     same_brand = F.contains(seller_norm, brand) | F.contains(brand, seller_norm)
     branded = F.when((brand != "") & (seller_norm != ""), F.when(same_brand, 20).otherwise(-10)).otherwise(0)
@@ -443,17 +443,18 @@ def _score_signature(df: DataFrame) -> DataFrame:
     return rows.withColumn("score", _clamped(score))
 
 
-def score_candidates(pairs: DataFrame, kind: str = "base") -> DataFrame:
-    """Score of every candidate pair (see `attach_facts`). The index form drops scores below its floor."""
+def score_candidates(pairs: DataFrame, kind: str = "base", ratio: Column | None = None) -> DataFrame:
+    """Score of every candidate pair (see `attach_facts`). The index form drops scores below its floor. The tokens and
+    signature forms compare texts by difflib, or take the `ratio` given."""
     rows = _normalized(pairs)
     if kind == "base":
         rows = rows.withColumn("score", _base_score())
     elif kind == "index":
         rows = rows.withColumn("score", _index_score()).where(F.col("score") >= INDEX_KEEP)
     elif kind == "tokens":
-        rows = _score_tokens(drop_b_stock(rows).where(brand_overlap("brand", "c_brand")))
+        rows = _score_tokens(drop_b_stock(rows).where(brand_overlap("brand", "c_brand")), ratio)
     else:
-        rows = _score_signature(rows)
+        rows = _score_signature(rows, ratio)
     return plain(rows)
 
 
