@@ -83,6 +83,14 @@ def last_observed(history: DataFrame) -> DataFrame:
     return history.groupBy("competitor_id", "id_product", "url").agg(F.max("observed_at").alias("last_scraped_at"))
 
 
+def merge_last_observed(known: DataFrame, observations: DataFrame) -> DataFrame:
+    """A kept `last_observed` table after new observations, without reading the history again."""
+    new = last_observed(observations)
+    return known.unionByName(new).groupBy("competitor_id", "id_product", "url").agg(
+        F.max("last_scraped_at").alias("last_scraped_at")
+    )
+
+
 def price_worklist(
     finals: DataFrame,
     competitors: DataFrame,
@@ -90,9 +98,18 @@ def price_worklist(
     competitor_id: int,
     after_id: int = 0,
     limit: int = BATCH_DEFAULT,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Final urls to price again: never scraped first, then oldest; ids above the cursor, then wrapping round."""
-    seen = last_observed(of_competitor(history, competitor_id))
+    """Final urls to price again: never scraped first, then oldest; ids above the cursor, then wrapping round.
+
+    With `known`, a kept `last_observed` table, the history is not read; else only that of final urls is aggregated.
+    """
+    keys = ["competitor_id", "id_product", "url"]
+    if known is None:
+        wanted = of_competitor(finals, competitor_id).select(*keys)
+        seen = last_observed(of_competitor(history, competitor_id).join(wanted, keys, "left_semi"))
+    else:
+        seen = of_competitor(known, competitor_id)
     wrapped = F.col("id_product") <= after_id
     return (
         of_competitor(finals, competitor_id)

@@ -86,7 +86,7 @@ def test_exclusion_keeps_null_products(spark):
 
 def test_image_path_and_slug(spark):
     assert column(spark, ["1234", "7"], L.image_path("v")) == ["1/2/3/4", "7"]
-    assert column(spark, [" Stars Music! ", "!!", "A"], L.slug("v")) == ["stars-music", "competitor", "a"]
+    assert column(spark, [" Blue Notes! ", "!!", "A"], L.slug("v")) == ["blue-notes", "competitor", "a"]
 
 
 def test_delta_guards_and_formats(spark):

@@ -204,3 +204,13 @@ def test_gone_redirects_mark_the_pages(spark):
     found = spark.createDataFrame([(1, 4, True), (1, 4, True), (2, 4, False)], "id_product long, competitor_id int, gone boolean")
     got = sorted(map(tuple, R.mark_gone_redirects(tests, found).collect()))
     assert got == [(1, 3, "gone"), (1, 4, "gone"), (2, 4, "ok")]
+
+
+def test_kept_last_observations_give_the_same_work_list(spark, sf):
+    from retailweave.operators import feed as feeds
+
+    history, finals, shops = fx.price_history(spark, sf), fx.finals(spark, sf), fx.competitors(spark)
+    early = F.col("observed_at") < F.lit("1998-01-01").cast("timestamp_ntz")
+    known = feeds.merge_last_observed(feeds.last_observed(history.where(early)), history.where(~early))
+    a = feeds.price_worklist(finals, shops, history, 4, after_id=300, limit=100).collect()
+    assert a and a == feeds.price_worklist(finals, shops, history.limit(0), 4, after_id=300, limit=100, known=known).collect()
