@@ -215,7 +215,7 @@ def best_candidates(
     Scored once per text: a listing that shows neither reference nor ean scores alike for all products of a text, so
     the text's best ones serve them all. Listings that a product's own queries reach, or that show its reference or
     ean, are scored for the product. A product may replace entries of the text's list by its own, so this list is as
-    much longer than k as any product has such entries.
+    much longer than k as any of the text's products has such entries.
     """
     if kind not in ("base", "index"):
         raise ValueError(f"the score of {kind} depends on prices")
@@ -234,13 +234,18 @@ def best_candidates(
     )
     shown = shown.join(shared, ["text_id", "competitor_id", "url"]).select(*PAIR, "url", "position", "query")
     special = written(spark, _first_found(own.unionByName(shown)), "match-special")
-    longest = special.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 0
+    replaced = special.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).join(of_product, "id_product")
+    replaced = replaced.groupBy("text_id", "competitor_id").agg(F.max("n").alias("more"))
+    replaced = written(spark, replaced, "match-replaced")
+    longest = replaced.agg(F.max("more")).first()[0] or 0
 
     columns = [*PAIR, "url", "position", "matched_query", "score"]
     scored = score_candidates(attach_facts(special, products, listings), kind).select(*columns)
     text_scored = score_candidates(attach_facts(text_hits, texts.drop("shared"), listings), kind).select(*columns)
     order = [F.col("score").desc(), F.col("position"), F.col("url")]
-    lists = top_k_per(text_scored, PAIR, order, k + longest).drop("rank").withColumnRenamed("id_product", "text_id")
+    lists = top_k_per(text_scored, PAIR, order, k + longest).withColumnRenamed("id_product", "text_id")
+    lists = lists.join(replaced, ["text_id", "competitor_id"], "left")
+    lists = lists.where(F.col("rank") <= k + F.coalesce("more", F.lit(0))).drop("rank", "more")
     lists = written(spark, lists, "match-lists")
     alike = of_product.join(lists, "text_id").select(*columns)
     alike = alike.join(special.select(*PAIR, "url"), [*PAIR, "url"], "left_anti")
