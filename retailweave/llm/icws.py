@@ -12,11 +12,15 @@ family, counted through its first member. As only shingles above the floor need
 count-min sketch (2 rows of 2^18 cells, mean corrected): 4 MB at any input size, whose error against the floor falls
 with the number of documents.
 
-Work. Documents with the same words are one content from the start. Each bucket's members are compared with its
-smallest content; then members of one bucket that are still in different groups are compared with each other. So a
-group of thousands of copies takes as many comparisons as it has members, while no candidate pair of different groups
-is left out. Sample agreement (`AGREEMENT` of the samples) comes before texts are compared: a pair at the threshold
-falls below it with a probability under 1 in 10,000.
+Work. Documents with the same words are one content from the start. Each bucket's members are compared with its leader,
+the content that shares the most buckets with others (in a group of edited copies that is the one closest to all, as a
+rule their original), and with the next `NEIGHBOURS` ones in a hashed order. Then members of one bucket that these links
+leave in different groups are compared with each other. So a group of thousands of copies takes a few comparisons for
+each of its members, while no candidate pair of different groups is left out. Before texts are compared, a pair must agree in `AGREEMENT` of its samples, which a pair at the threshold
+fails with a probability under 1 in 10,000, and then in its bins: elements (shingle, occurrence), kept with the
+probability of their idf, are dealt into `BINS` bins by hash, and a bin holds its smallest hash. The share of equal bins
+estimates the weighted similarity, for short texts by a near full count; a pair may fall short by `SLACK` standard
+errors of a sample of so many of its elements.
 
 Defined cases: null and empty texts, and those without words, are never near anything and stay; rows with the same id
 and words are one document; null ids come last; an empty table gives an empty one; other columns pass through.
@@ -43,6 +47,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 AGREEMENT = 0.55
+BINS, SLACK = 256, 2.5
+NEIGHBOURS, RING = 3, 1000
 FLOOR = 1 / 256
 LEAST_WEIGHT = 0.05
 SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 2, 18, 1024
@@ -85,8 +91,28 @@ class Idf:
 
 def weighted_set(text: bytes | None, hashes: WordHashes, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of a text in ascending order, and their weights."""
+    keys, counts, shares = _counted_set(text, hashes, idf)
+    return keys, counts * shares
+
+
+def _counted_set(text: bytes | None, hashes: WordHashes, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, counts = np.unique(shingles(hashes.of(words(text)), SHINGLE), return_counts=True)
-    return keys, counts * idf.of(keys).astype(np.float64)
+    return keys, counts, idf.of(keys).astype(np.float64)
+
+
+def bins(keys: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, int]:
+    """Smallest 15-bit hash of the kept elements in each bin, -1 for none; and the number of kept elements."""
+    if counts.max(initial=1) > 1:
+        occurrence = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        keys, shares = np.repeat(keys, counts), np.repeat(shares, counts)
+        keys = keys + occurrence.astype(np.uint64) * _ONE
+    elements = mix(keys ^ _TWO)
+    elements = mix(elements[(elements >> np.uint64(11)).astype(np.float64) * 2.0**-53 < shares])
+    out = np.full(BINS, 1 << 15, np.int32)
+    places = (elements >> np.uint64(48)).astype(np.int64) % BINS
+    np.minimum.at(out, places, ((elements >> np.uint64(32)) & np.uint64(0x7FFF)).astype(np.int32))
+    out[out == 1 << 15] = -1
+    return out.astype(np.int16), len(elements)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -136,9 +162,12 @@ def signatures(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, sample
     return out
 
 
-def _signed_batch(texts: list[bytes | None], hashes: WordHashes, idf: Idf, samples: int) -> list[np.ndarray]:
-    """Samples of each text, worked out in chunks of sets that fit the processor's cache."""
+def _signed_batch(
+    texts: list[bytes | None], hashes: WordHashes, idf: Idf, samples: int
+) -> tuple[list[np.ndarray], list[tuple[np.ndarray, int]]]:
+    """Samples and bins of each text, worked out in chunks of sets that fit the processor's cache."""
     out: list[np.ndarray] = []
+    binned: list[tuple[np.ndarray, int]] = []
     sets: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -152,13 +181,14 @@ def _signed_batch(texts: list[bytes | None], hashes: WordHashes, idf: Idf, sampl
             held = 0
 
     for text in texts:
-        one = weighted_set(text, hashes, idf)
-        sets.append(one)
-        held += len(one[0])
+        keys, counts, shares = _counted_set(text, hashes, idf)
+        binned.append(bins(keys, counts, shares))
+        sets.append((keys, counts * shares))
+        held += len(keys)
         if held >= _CHUNK:
             flush()
     flush()
-    return out
+    return out, binned
 
 
 def _band_keys(signed: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -212,33 +242,43 @@ def _sketch(rows: DataFrame, first_members: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells = WordHashes(), np.zeros(SKETCH_ROWS << SKETCH_BITS, np.float32)
+        held: dict[int, list[np.ndarray]] = {}  # by the rows that share a document
+
+        def add_up(n: int) -> None:
+            places = np.concatenate(held.pop(n))
+            cells[:] += np.bincount(places, minlength=len(cells)).astype(np.float32) / np.float32(n)
+
         for batch in batches:
             wanted, weights = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for text, content, n in zip(utf8(batch.column(0)), wanted, weights, strict=True):
                 found = words(text)
                 if _content(found) != content:
                     continue  # another text under the same id
-                for at in _cells(np.unique(shingles(hashes.of(found), SHINGLE))):
-                    np.add.at(cells, at, np.float32(1 / n))
-        blocks = cells.reshape(-1, SKETCH_BLOCK)
-        some = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int64()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "cells"]
-        )
+                held.setdefault(n, []).extend(_cells(np.unique(shingles(hashes.of(found), SHINGLE))))
+                if sum(map(len, held[n])) > _CHUNK * 8:
+                    add_up(n)
+        for n in list(held):
+            add_up(n)
+        # per block the filled cells and what they count
+        filled = [(i, np.flatnonzero(block).astype(np.int16), block) for i, block in enumerate(cells.reshape(-1, SKETCH_BLOCK))]
+        filled = [(i, at.tobytes(), block[at].tobytes()) for i, at, block in filled if len(at)]
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        columns = [pa.array([f[c] for f in filled], kind) for c, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "places", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(cells, np.float32).astype(np.float64)
-                sums[block] = sums[block] + more if block in sums else more
+            for block, places, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault(block, np.zeros(SKETCH_BLOCK))
+                own[np.frombuffer(places, np.int16)] += np.frombuffer(cells, np.float32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
             names=["block", "cells"],
         )
 
     mine = rows.join(first_members, "doc").select("text", "content", "rows")
-    parts = mine.mapInArrow(count, "block long, cells binary")
+    parts = mine.mapInArrow(count, "block long, places binary, cells binary")
     summed = parts.repartition("block").mapInArrow(add, "block long, cells binary").collect()  # 4 MB at any size
     sketch = np.zeros(SKETCH_ROWS << SKETCH_BITS).reshape(-1, SKETCH_BLOCK)
     for row in summed:
@@ -247,7 +287,7 @@ def _sketch(rows: DataFrame, first_members: DataFrame) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
-    """(content, samples, buckets) of every content."""
+    """(content, samples, bins, elements, buckets) of every text that has words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weights = WordHashes(), idf.value
@@ -255,28 +295,44 @@ def _signed(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
             texts = [t for t in utf8(batch.column(0)) if words(t)]
             if not texts:
                 continue
-            signed = np.array(_signed_batch(texts, hashes, weights, bands * per_band))
+            drawn, binned = _signed_batch(texts, hashes, weights, bands * per_band)
+            signed = np.array(drawn)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([_content(words(t)) for t in texts], pa.binary()),
                     pa.array(list(signed.view(np.int32)), pa.list_(pa.int32())),
+                    pa.array([b for b, _ in binned], pa.list_(pa.int16())),
+                    pa.array([n for _, n in binned], pa.int32()),
                     pa.array(list(_band_keys(signed, bands, per_band)), pa.list_(pa.int64())),
                 ],
-                names=["content", "samples", "buckets"],
+                names=["content", "samples", "bins", "elements", "buckets"],
             )
 
-    found = rows.select("text").mapInArrow(scan, "content binary, samples array<int>, buckets array<bigint>")
-    return found.dropDuplicates(["content"])
+    return rows.select("text").mapInArrow(
+        scan, "content binary, samples array<int>, bins array<smallint>, elements int, buckets array<bigint>"
+    )
 
 
-def _agreement(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+def _may_be_near(least: int, similarity: float):
+    """Of rows with samples and bins of both sides: the pairs worth comparing."""
+    same = F.aggregate(F.zip_with("samples_a", "samples_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    # filled bins count 65536, equal ones 1 more
+    both = F.zip_with("bins_a", "bins_b", lambda x, y: F.when((x >= 0) | (y >= 0), 65536 + (x == y).cast("int")).otherwise(0))
+    counted = F.aggregate(both, F.lit(0), lambda n, x: n + x)
+    spread = SLACK * (similarity * (1 - similarity)) ** 0.5
+    all_elements = F.greatest(F.col("elements_a") + F.col("elements_b"), F.lit(1)) / (1 + similarity)
 
+    def near_enough(c):
+        filled = F.floor(c / 65536)
+        unseen = F.greatest(F.lit(0.0), 1 - filled / all_elements)
+        return c % 65536 + 1 + spread * F.sqrt(filled * unseen) >= similarity * filled
 
-def _verified(rows: DataFrame, contents: DataFrame, pairs: DataFrame, idf, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are as similar as asked for."""
-    ends = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
-    wanted = ends.join(contents.select("content", "doc"), "content")
+    near = F.transform(F.array(counted), near_enough)
+    return F.when(same >= least, F.get(near, F.lit(0))).otherwise(False)
+
+
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(content, text) of the wanted (content, doc), one row each."""
 
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +341,11 @@ def _verified(rows: DataFrame, contents: DataFrame, pairs: DataFrame, idf, simil
             yield batch.filter(pa.array(same, pa.bool_()))
 
     texts = rows.join(wanted, "doc").select("content", "text").mapInArrow(own_text, "content binary, text string")
-    texts = _written(rows.sparkSession, texts, "icws-texts")
+    return texts.dropDuplicates(["content"])
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, idf, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts are as similar as asked for."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weights = WordHashes(), idf.value
@@ -331,34 +391,58 @@ def near_duplicates(
     idf = spark.sparkContext.broadcast(Idf(_sketch(rows, first_members), families))
 
     signed = _written(spark, _signed(rows, idf, bands, rows_per_band), "icws-signed")
+    # from here on only contents that share a bucket with another one
     buckets = signed.select("content", F.explode("buckets").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("content").alias("leader"), F.count(F.lit(1)).alias("n"))
-    leaders = _written(spark, leaders.where("n > 1").select("bucket", "leader"), "icws-leaders")
-    crowded = buckets.join(leaders, "bucket")
+    common = buckets.groupBy("bucket").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi")
+    common = _written(spark, common.select("bucket"), "icws-common")
+    shared = _written(spark, buckets.join(common, "bucket").distinct(), "icws-shared")
+    sizes = _written(spark, shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "icws-sizes")
+    own_buckets = shared.groupBy("content").agg(F.collect_list("bucket").alias("buckets"))
+    slim = signed.drop("buckets").join(own_buckets, "content").dropDuplicates(["content"])
+    signed = _written(spark, slim, "icws-slim")
+    texts = _written(spark, _texts(rows, signed.select("content").join(contents, "content")), "icws-texts")
+    shared = shared.join(sizes, "bucket")
+    degrees = shared.groupBy("content").agg(F.struct(F.sum("n").alias("degree"), "content").alias("own"))
+    degrees = _written(spark, degrees, "icws-degrees")
+    shared = _written(spark, shared.join(degrees, "content"), "icws-ranked")
+    leaders = _written(spark, shared.groupBy("bucket").agg(F.max("own").alias("lead")), "icws-leaders")
+    crowded = shared.join(leaders, "bucket").withColumn("leader", F.col("lead.content"))
 
     least = int(np.ceil(AGREEMENT * bands * rows_per_band))
-    samples_a = signed.select(F.col("content").alias("a"), F.col("samples").alias("samples_a"))
-    samples_b = signed.select(F.col("content").alias("b"), F.col("samples").alias("samples_b"))
-    starred = crowded.where("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
-    starred = starred.join(samples_b, "b").join(samples_a, "a").where(_agreement("samples_a", "samples_b") >= least)
+    near = _may_be_near(least, similarity)
+    samples_a = signed.select(F.col("content").alias("a"), F.col("samples").alias("samples_a"), F.col("bins").alias("bins_a"), F.col("elements").alias("elements_a"))
+    samples_b = signed.select(F.col("content").alias("b"), F.col("samples").alias("samples_b"), F.col("bins").alias("bins_b"), F.col("elements").alias("elements_b"))
+    starred = crowded.where("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b"))
+    part = F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / RING))
+    ring = Window.partitionBy("bucket", "part").orderBy("turn")
+    turned = shared.select("bucket", "content", part.alias("part"), F.xxhash64("content", "bucket").alias("turn"))
+    following = F.array_compact(F.array(*[F.lead("content", i).over(ring) for i in range(1, NEIGHBOURS + 1)]))
+    next_ones = turned.select(F.col("content").alias("a"), following.alias("b")).select("a", F.explode("b").alias("b"))
+    starred = starred.union(next_ones).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    starred = starred.join(samples_b, "b").join(samples_a, "a").where(near)
     starred = _written(spark, starred.select("a", "b"), "icws-starred")
-    links = _written(spark, _verified(rows, contents, starred, idf, similarity), "icws-links")
+    links = _written(spark, _verified(texts, starred, idf, similarity), "icws-links")
 
     # within a bucket, whatever is still apart
-    group = links.groupBy(F.col("b").alias("content")).agg(F.min("a").alias("g"))
-    grouped = crowded.join(group, "content", "left").select("bucket", "content", F.coalesce("g", "content").alias("g"))
+    group = connected_components(links).select(F.col("node").alias("content"), F.col("component").alias("g"))
+    grouped = shared.join(group, "content", "left").select("bucket", "content", F.coalesce("g", "content").alias("g"))
     grouped = _written(spark, grouped, "icws-grouped")
     mixed = grouped.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
     apart = grouped.join(_written(spark, mixed, "icws-mixed"), "bucket").join(
-        signed.select("content", "samples"), "content"
+        signed.select("content", "samples", "bins", "elements", "buckets"), "content"
     )
     apart = _written(spark, apart, "icws-apart")
-    left = apart.select("bucket", F.col("content").alias("a"), F.col("g").alias("g_a"), F.col("samples").alias("samples_a"))
-    right = apart.select("bucket", F.col("content").alias("b"), F.col("g").alias("g_b"), F.col("samples").alias("samples_b"))
-    near = left.join(right, "bucket").where("g_a <> g_b and a < b").where(_agreement("samples_a", "samples_b") >= least)
-    crossed = near.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti")
+    left, right = (
+        apart.select("bucket", *[F.col(c).alias(f"{n}_{s}") for c, n in (("content", "c"), ("g", "g"), ("samples", "samples"), ("bins", "bins"), ("elements", "elements"), ("buckets", "buckets"))])
+        for s in ("a", "b")
+    )
+    left, right = left.withColumnRenamed("c_a", "a"), right.withColumnRenamed("c_b", "b")
+    # a pair is looked at in the first of its common buckets
+    first = F.col("bucket") == F.array_min(F.array_intersect("buckets_a", "buckets_b"))
+    crossed = left.join(right, "bucket").where("g_a <> g_b and a < b").where(near).where(first)
+    crossed = crossed.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti")
     crossed = _written(spark, crossed, "icws-crossed")
-    links = links.union(_verified(rows, contents, crossed, idf, similarity))
+    links = links.union(_verified(texts, crossed, idf, similarity))
 
     components = connected_components(links)
     placed = contents.join(components.select(F.col("node").alias("content"), "component"), "content", "left")
