@@ -7,9 +7,10 @@ point is then sent down. Points are compared within leaves, over as many trees a
 threshold near `MISS`, by cosine in double precision.
 
 Groups of copies are not expanded. Equal vectors are one point from the start. Points are then gathered into balls by a
-few passes over unspilled trees: all members lie within half the threshold's angle of the ball's centre, so by the
-triangle inequality all of them are linked to each other. The forest holds the balls' centres. Two balls whose angle and
-radii leave no doubt are linked as a whole, or not at all; only balls on the edge have their members compared.
+few passes over unspilled trees: all members lie within a third of the threshold's angle of the ball's centre, so by the
+triangle inequality all of them are linked to each other, and balls whose centres are as close as that are linked as a
+whole. The forest holds the balls' centres. Two balls whose angle and radii leave no doubt are linked as a whole, or not
+at all; only balls on the edge have their members compared.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
 different lengths never link; a null id is an id after all others; rows that repeat an id are vectors of their own; an
@@ -264,7 +265,7 @@ def near_vectors(
     points = _written(spark, points.select("node", "id", "n", _unit(F.col("e")).alias("v")), "forest-nodes")
 
     limit = math.acos(similarity)
-    balls = _balls(points, limit / 2 - _EPS, leaf_size)
+    balls = _balls(points, limit / 3 - _EPS, leaf_size)
     balls = _written(spark, balls.join(points, "node"), "forest-balls")
     mass = balls.groupBy("centre").agg(F.sum("n").alias("mass"))
     mass = _written(spark, mass, "forest-mass")
