@@ -168,16 +168,26 @@ def _(spark, sf):
     return W.search_products(fx.feed(spark, sf), " Ring ", 200)
 
 
+def _review_list(status: str) -> str:
+    return f"""coalesce((SELECT string_agg(c.name || ':' || t.url || ':' || CAST(score AS VARCHAR), '|' ORDER BY last_tested_at DESC, competitor_id DESC)
+      FROM tests t JOIN comp c ON c.id = t.competitor_id WHERE t.id_product = h.id_product AND validation_status = '{status}'), '')"""
+
+
 @query(
     "j12_product_dossier",
     with_ci(
-        """SELECT h.id_product, CAST(price AS DOUBLE) AS reference_price,
-      CAST((SELECT count(*) FROM finals x WHERE x.id_product = h.id_product) AS INTEGER) AS n_finals,
-      CAST((SELECT count(*) FROM tests t WHERE t.id_product = h.id_product AND validation_status = 'rejected') AS INTEGER) AS n_rejected,
-      CAST((SELECT count(*) FROM tests t WHERE t.id_product = h.id_product AND validation_status = 'postponed') AS INTEGER) AS n_postponed
-      FROM hits h LEFT JOIN ref_price r ON r.id_product = h.id_product""",
+        f"""SELECT h.id_product, CAST(price AS DOUBLE) AS reference_price, category_path, 'https://shop.example.com/img/p/' || {_PATH} || '/' ||
+      CAST(id_image AS VARCHAR) || '-large_default.jpg' AS source_image_url,
+      coalesce((SELECT string_agg(CAST(x.competitor_id AS VARCHAR) || ':' || x.url || ':' || coalesce(t.competitor_title, ''), '|' ORDER BY x.competitor_id, x.url)
+        FROM finals x LEFT JOIN tests t USING (id_product, competitor_id) WHERE x.id_product = h.id_product), '') AS finals,
+      {_review_list('rejected')} AS rejected, {_review_list('postponed')} AS postponed
+      FROM hits h LEFT JOIN ref_price r ON r.id_product = h.id_product LEFT JOIN cat_paths ON id_category = h.id_product
+      LEFT JOIN main_image m ON m.id_product = h.id_product""",
         REFERENCE,
         _SEARCH_SQL.format(q="brand#1", n=20),
+        CATEGORIES,
+        IMAGES,
+        recursive=True,
     ),
 )
 def _(spark, sf):
@@ -187,12 +197,20 @@ def _(spark, sf):
         fx.finals(spark, sf),
         fx.tests(spark, sf),
         fx.competitors(spark),
+        _snapshots(spark, sf),
     )
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+
+    def listed(name, *parts):
+        entry = lambda r: F.concat_ws(":", *[F.coalesce(r[p].cast("string"), F.lit("")) for p in parts])
+        return F.coalesce(F.array_join(F.transform(name, entry), "|"), F.lit("")).alias(name)
+
     return out.select(
         "id_product",
         F.col("reference_price").cast("double").alias("reference_price"),
-        *[F.greatest(size(c), F.lit(0)).alias(f"n_{c}") for c in ("finals", "rejected", "postponed")],
+        "category_path",
+        "source_image_url",
+        listed("finals", "competitor_id", "url", "competitor_title"),
+        *[listed(c, "competitor", "url", "score") for c in ("rejected", "postponed")],
     )
 
 
@@ -815,19 +833,19 @@ def _(spark, sf):
 @query(
     "i6_reviewed_history",
     with_ci(
-        """SELECT h.competitor_id, h.id_product, h.source, count(*) AS n, CAST(sum(h.price) AS DOUBLE) AS total FROM (
-        SELECT competitor_id, id_product, source, price FROM history h WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE
+        """SELECT competitor_id, id_product, url, source, CAST(price AS DOUBLE) AS price, CAST(observed_at AS DATE) AS observed_at FROM (
+        SELECT competitor_id, id_product, url, source, price, observed_at FROM history h WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE
           v.rejected_seq IS NOT NULL AND v.id_product = h.id_product AND v.competitor_id = h.competitor_id AND h.id_product > 0)
-        UNION ALL SELECT competitor_id, id_product, 'review', k.competitor_price FROM known k JOIN verdicts v
+        UNION ALL SELECT competitor_id, id_product, k.url, 'review', k.competitor_price, k.decided_at FROM known k JOIN verdicts v
           USING (id_product, competitor_id) WHERE v.verdict = 'valid' AND k.status = 'valid'
-          AND (v.rejected_seq IS NULL OR k.seq > v.rejected_seq) AND k.id_product > 0) h GROUP BY 1, 2, 3""",
+          AND (v.rejected_seq IS NULL OR k.seq > v.rejected_seq) AND k.id_product > 0)""",
         _DECISIONS,
     ),
 )
 def _(spark, sf):
-    state = R.apply_reviews(_state(spark, sf), _decisions(spark, sf))
-    out = state.history.groupBy("competitor_id", "id_product", "source")
-    return as_report(out.agg(F.count("*").alias("n"), F.sum("price").alias("total")))
+    history = R.apply_reviews(_state(spark, sf), _decisions(spark, sf)).history
+    out = history.select("competitor_id", "id_product", "url", "source", F.col("price").cast("double").alias("price"), "observed_at")
+    return _day(out, "observed_at")
 
 
 @query(
