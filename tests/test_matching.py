@@ -237,3 +237,32 @@ def test_page_prices_follow_the_site_rules(spark):
     pages = spark.createDataFrame([r[:4] for r in rows], "page_id long, url string, profile string, html string")
     got = {r["page_id"]: r["price"] for r in P.extract_page_prices(pages).collect()}
     assert got == {r[0]: r[4] for r in rows}
+
+
+def test_best_candidates_look_at_every_listing(spark):
+    """The only listing with the right reference has the longest of 50 titles; brute force over all pairs agrees."""
+    products = spark.createDataFrame(
+        [(1, "AB-77", "", "Acme", "Solid tone box", 10.0), (2, "", "", "Acme", "Solid tone box", 11.0), (3, "--", "4006381333931", "Acme", "Solid tone box", 12.0)],
+        "id_product long, supplier_reference string, ean string, brand string, name string, source_price double",
+    )
+    rows = [(1, f"u{i:02d}", f"acme solid tone box {'x' * i}", "", "", "Acme", "", 9.0) for i in range(49)]
+    rows.append((1, "u99", "acme solid tone box " + "y" * 60 + " zab 77b", "", "", "Acme", "", 9.0))
+    rows.append((1, "v1", "something else", "", "4006381333931", "Acme", "", 9.0))
+    rows.append((2, "w1", "tone box solid 4006381333931", "AB-77", "", "", "", 9.0))
+    listings = spark.createDataFrame(
+        rows, "competitor_id int, url string, title string, reference string, ean string, brand string, breadcrumb string, price double"
+    )
+    got = {}
+    for r in X.best_candidates(products, listings, "base", 5).collect():
+        got.setdefault((r["id_product"], r["competitor_id"]), []).append((r["rank"], r["url"], r["score"]))
+    queries = X.expand_queries(products)
+    pairs = queries.join(X.search_listings(queries, listings), "query").groupBy("id_product", "competitor_id", "url").agg(
+        F.min(F.struct("position", "query")).alias("f")
+    )
+    pairs = pairs.select("id_product", "competitor_id", "url", "f.position", F.col("f.query").alias("matched_query"))
+    brute = X.rank_candidates(X.score_candidates(X.attach_facts(pairs, products, listings), "base"), 5)
+    want = {}
+    for r in brute.collect():
+        want.setdefault((r["id_product"], r["competitor_id"]), []).append((r["rank"], r["url"], r["score"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sorted(got[1, 1])[0][1] == "u99"
