@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from ..session import work_path
 from .columns import free_prefix
 from .graph import connected_components
-from .words import WordHashes, mix, shingles, utf8, words
+from .words import WordHashes, mix, shingles, slices, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -222,7 +222,7 @@ def _memberships(rows: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             contents, families = [], []
             for text in utf8(batch.column(1)):
                 found = words(text)
@@ -248,7 +248,7 @@ def _sketch(rows: DataFrame, first_members: DataFrame) -> np.ndarray:
             places = np.concatenate(held.pop(n))
             cells[:] += np.bincount(places, minlength=len(cells)).astype(np.float32) / np.float32(n)
 
-        for batch in batches:
+        for batch in slices(batches):
             wanted, weights = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for text, content, n in zip(utf8(batch.column(0)), wanted, weights, strict=True):
                 found = words(text)
@@ -268,7 +268,7 @@ def _sketch(rows: DataFrame, first_members: DataFrame) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for block, places, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = sums.setdefault(block, np.zeros(SKETCH_BLOCK))
                 own[np.frombuffer(places, np.int16)] += np.frombuffer(cells, np.float32)
@@ -291,7 +291,7 @@ def _signed(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weights = WordHashes(), idf.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t for t in utf8(batch.column(0)) if words(t)]
             if not texts:
                 continue
@@ -335,7 +335,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(content, text) of the wanted (content, doc), one row each."""
 
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             wanted = batch.column(0).to_pylist()
             same = [_content(words(t)) == c for t, c in zip(utf8(batch.column(1)), wanted, strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
@@ -350,7 +350,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, idf, similarity: float) -> Dat
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weights = WordHashes(), idf.value
         last, held = None, None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             names, left, right = batch.column(0).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3))
             for name, a, b in zip(names, left, right, strict=True):
@@ -471,7 +471,7 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     place = docs.columns.index(text)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             contents = pa.array([_content(words(t)) for t in utf8(batch.column(place))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, contents], names=[*batch.schema.names, f"{name}content"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import clear_of, free_prefix
-from .words import mix, utf8, words
+from .words import mix, slices, utf8, words
 
 WINDOW = 10
 PART_BYTES = 64 << 20
@@ -125,7 +125,7 @@ def _scan(docs: DataFrame, index: WindowIndex, text: str, result: str) -> DataFr
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for value in utf8(batch.column(place)):
                 found = words(value)
@@ -204,7 +204,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", h
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = [s.value for s in shared]
-        for batch in batches:
+        for batch in slices(batches):
             texts, keep = utf8(batch.column(place)), []
             hits = batch.column(batch.num_columns - 1).field("n_hit").to_pylist()
             for i, n_hit in enumerate(hits):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import clear_of
-from .words import utf8
+from .words import slices, utf8
 
 SAMPLE = 20_000
 STEPS = 600
@@ -104,7 +104,7 @@ def _feature_rows(docs: DataFrame, text: str, result: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(result, T.ArrayType(T.DoubleType()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = pa.array([list(map(float, features(t))) for t in utf8(batch.column(place))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, result])
 
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", result: s
     schema = T.StructType([*docs.schema.fields, T.StructField(result, T.DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if model is None or not batch.num_rows:
                 values = np.full(batch.num_rows, 0.5)
             else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,8 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
+_SLICE_ROWS = 1024
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -23,6 +24,13 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows a thousand at a time, so that a task's Python objects stay few whatever the batch holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE_ROWS):
+            yield batch.slice(at, _SLICE_ROWS)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """Values of a string column as UTF-8 bytes, without decoding them."""
     if isinstance(column, pa.ChunkedArray):
