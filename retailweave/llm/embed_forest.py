@@ -3,8 +3,13 @@
 A tree splits its points at the median of their projections on a random direction; points within `SPILL` of the median
 rank go to both sides, so close pairs are seldom parted. Splitting goes on, in rounds of `ROUND_DEPTH` levels, until
 every leaf has `LEAF` points at most. The medians of a round are taken from a sample of `SAMPLE` points a node; every
-point is then sent down. Points are compared within leaves, over as many trees as keep the chance to miss a pair at the
-threshold near `MISS`, by cosine in double precision.
+point is then sent down. Points are compared within leaves, by cosine in double precision.
+
+How many trees it takes depends on the vectors: within a dense group projections lie close together, and a split parts
+far more of its pairs. So the miss is measured. For `PROBES` of the points a partner at the threshold's angle is made up
+and sent down beside the points; `KEPT_PER_LEVEL` only gives the number of trees to begin with. Trees are added until in
+each eighth of the first tree's space the share of partners that never shared a leaf with their point is `MISS` or less. Where that
+would take as many comparisons as all pairs have, all pairs are compared instead, in blocks of `BLOCK` points.
 
 Groups of copies are not expanded. Equal vectors are one point from the start. Points are then gathered into balls by a
 few passes over unspilled trees: all members lie within a third of the threshold's angle of the ball's centre, so by the
@@ -39,6 +44,8 @@ SAMPLE = 1024
 ROUND_DEPTH = 6
 MISS = 0.01
 KEPT_PER_LEVEL = 0.92
+PROBES = 2048
+BLOCK = 1024
 LAST_ID = 2**63 - 1
 _EPS = 1e-9
 _ASSIGNED = "tree int, leaf string, node binary, v array<double>, radius double"
@@ -132,11 +139,15 @@ def _send_down(seed: int):
     return send
 
 
-def _forest(points: DataFrame, trees: int, spill: float, seed: int, leaf_size: int) -> DataFrame:
-    """(tree, leaf, node, v, radius): every point in its leaves, of `leaf_size` points at most."""
+def _forest(points: DataFrame, trees: range, spill: float, seed: int, leaf_size: int) -> DataFrame:
+    """(tree, leaf, node, v, radius): every point in its leaves, of `leaf_size` points at most.
+
+    Probes (radius below 0) go down with the points and have no say in the splits.
+    """
     spark = points.sparkSession
+    real = F.col("radius") >= 0
     rows = points.select(
-        F.explode(F.array(*map(F.lit, range(trees)))).alias("tree"),
+        F.explode(F.array(*map(F.lit, trees))).alias("tree"),
         F.concat(F.size("v").cast("string"), F.lit(":")).alias("leaf"),
         "node",
         "v",
@@ -145,7 +156,7 @@ def _forest(points: DataFrame, trees: int, spill: float, seed: int, leaf_size: i
     done: DataFrame | None = None
     last = None
     while True:
-        sizes = rows.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("points"))
+        sizes = rows.groupBy("tree", "leaf").agg(F.count(F.when(real, 1)).alias("points"))
         sizes = _written(spark, sizes.where(F.col("points") > leaf_size), "forest-sizes")
         crowded = sizes.agg(F.count(F.lit(1)).alias("n"), F.max("points").alias("m")).first()
         # a round that parts nothing more: points on one spot as far as directions tell
@@ -157,7 +168,7 @@ def _forest(points: DataFrame, trees: int, spill: float, seed: int, leaf_size: i
         big = rows.join(sizes, ["tree", "leaf"])
         draw = F.pmod(F.xxhash64("node", "tree", F.lit(seed)), F.lit(1 << 30)) < F.lit(SAMPLE << 30) / F.col("points")
         limits = (
-            big.where(draw)
+            big.where(draw & real)
             .select("tree", "leaf", "node", "v")
             .groupBy("tree", "leaf")
             .applyInPandas(lambda f: _fit(f, seed, spill), "tree int, leaf string, low array<double>, high array<double>")
@@ -197,7 +208,7 @@ def _balls(points: DataFrame, reach: float, leaf_size: int) -> DataFrame:
     seed = 0
     while count:
         seed += 1
-        leaves = _forest(centres, 1, 0.0, -seed, leaf_size)
+        leaves = _forest(centres, range(1), 0.0, -seed, leaf_size)
         moved = leaves.groupBy("tree", "leaf").applyInPandas(
             lambda f: _gather(f, reach), "node binary, centre binary, bound double"
         )
@@ -215,14 +226,18 @@ def _balls(points: DataFrame, reach: float, leaf_size: int) -> DataFrame:
 
 
 def _close(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs of balls in a leaf that are linked as a whole (`sure`) or may have linked members."""
+    """Pairs of balls in a leaf, or of two blocks, that are linked as a whole (`sure`) or may have linked members."""
     frame = frame.sort_values("node", ignore_index=True)
     x, radius, nodes = np.stack(frame["v"].to_numpy()), frame["radius"].to_numpy(), frame["node"].to_numpy()
     limit = math.acos(similarity)
     cosine = x @ x.T
     reach = radius[:, None] + radius[None, :]
     near = np.cos(np.minimum(limit + reach + 1e-6, math.pi))
-    i, j = np.nonzero(np.triu(cosine >= near, 1))
+    close = np.triu(cosine >= near, 1)
+    if "block" in frame and frame["block"].nunique() > 1:
+        block = frame["block"].to_numpy()
+        close &= block[:, None] != block[None, :]
+    i, j = np.nonzero(close)
     found = np.array([np.dot(x[a], x[b]) for a, b in zip(i, j, strict=True)])
     angle, both = np.arccos(np.clip(found, -1, 1)), reach[i, j]
     sure = np.where(both == 0, found >= similarity, angle + both <= limit - _EPS)
@@ -238,6 +253,90 @@ def _tree_count(points: int, leaf_size: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - KEPT_PER_LEVEL**depth))
 
 
+# --- how much the trees miss -----------------------------------------------------------------------------------------
+
+
+def _probes(balls: DataFrame, count: int, similarity: float) -> DataFrame:
+    """(node, v, radius): made-up partners at the threshold's angle, `node` their ball's centre and the member they belong to.
+
+    A partner lies in a ball of its own, so it is moved on by the radius of its point's ball.
+    """
+    limit = math.acos(similarity)
+
+    def aside(v: np.ndarray, angle: float, rng: np.random.Generator) -> np.ndarray:
+        other = rng.standard_normal(len(v))
+        other -= (other @ v) * v
+        length = np.linalg.norm(other)
+        return v * math.cos(angle) + other / length * math.sin(angle) if length > 1e-6 else v
+
+    def partners(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for node, v, radius in zip(frame["node"], frame["v"], frame["radius"], strict=True):
+                rng = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(bytes(node))))
+                found.append(aside(aside(np.asarray(v), limit, rng), radius, rng).tolist())
+            yield pd.DataFrame({"node": frame["node"], "v": found, "radius": -1.0})
+
+    drawn = F.pmod(F.xxhash64("node", F.lit("probe")), F.lit(1 << 30)) < F.lit((PROBES << 30) // max(count, 1))
+    own = balls.where(drawn).select(F.concat("centre", "node").alias("node"), "v", "radius")
+    return own.mapInPandas(partners, "node binary, v array<double>, radius double")
+
+
+def _met(leaves: DataFrame) -> DataFrame:
+    """Nodes of the probes that share a leaf with their ball's centre."""
+    probes = leaves.where("radius < 0").select("tree", "leaf", F.col("node").alias("probe"), F.expr("substring(node, 1, 16)").alias("node"))
+    return leaves.where("radius >= 0").select("tree", "leaf", "node").join(probes, ["tree", "leaf", "node"]).select("probe").distinct()
+
+
+def _all_blocks(centres: DataFrame, count: int, similarity: float) -> DataFrame:
+    """All pairs of centres, block by block."""
+    blocks = math.ceil(count / BLOCK)
+    dealt = centres.select("*", F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).alias("block"), F.size("v").alias("width"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    return dealt.groupBy("width", "one", "two").applyInPandas(
+        lambda f: _close(f, similarity), "a binary, b binary, sure boolean"
+    )
+
+
+def _near_centres(
+    balls: DataFrame, centres: DataFrame, similarity: float, leaf_size: int, trees: int | None
+) -> DataFrame:
+    """(a, b, sure): pairs of balls that are linked or may have linked members."""
+    spark, kinds = centres.sparkSession, "a binary, b binary, sure boolean"
+    count = centres.count()
+    wanted, grown = trees or _tree_count(count, leaf_size), 0
+    measured = trees is None and count > leaf_size
+    points = centres
+    if measured:
+        probes = _written(spark, _probes(balls, balls.count(), similarity), "forest-probes")
+        points = centres.union(probes)
+        region = lost = None
+    pairs: DataFrame | None = None
+    while True:
+        leaves = _forest(points, range(grown, wanted), SPILL, 1, leaf_size)
+        if measured:
+            leaves = _written(spark, leaves, "forest-leaves")
+            if region is None:
+                # an eighth: the first three levels of the first tree
+                eighth = F.floor((F.ascii(F.substring(F.substring_index("leaf", ":", -1), 1, 1)) - 48) / 8)
+                region = leaves.where("radius < 0 and tree = 0").groupBy(F.col("node").alias("probe")).agg(F.min(eighth).alias("region"))
+                lost = _written(spark, region, "forest-regions")
+                whole = {r["region"]: r["count"] for r in lost.groupBy("region").count().collect()}
+            lost = _written(spark, lost.join(_met(leaves), "probe", "left_anti"), "forest-lost")
+            missed = {r["region"]: r["count"] for r in lost.groupBy("region").count().collect()}
+            miss = max((missed.get(r, 0) / n for r, n in whole.items()), default=0.0)
+            copies = leaves.where("radius >= 0").count() / (count * (wanted - grown))
+        found = leaves.where("radius >= 0").groupBy("tree", "leaf").applyInPandas(lambda f: _close(f, similarity), kinds)
+        grown = wanted
+        if not measured or miss <= MISS:
+            return found if pairs is None else pairs.union(found)
+        wanted = math.ceil(grown * min(4.0, max(1.25, math.log(MISS) / math.log(min(miss, 0.99)))))
+        if wanted * copies * leaf_size * 0.7 >= count:
+            return _all_blocks(centres, count, similarity)
+        pairs = found if pairs is None else pairs.union(found)
+
+
 # --- the operator ----------------------------------------------------------------------------------------------------
 
 
@@ -271,11 +370,7 @@ def near_vectors(
     mass = _written(spark, mass, "forest-mass")
     centres = balls.where("node = centre").select("node", "v", "radius")
     centres = _written(spark, centres, "forest-centres")
-    count = centres.count()
-    leaves = _forest(centres, trees or _tree_count(count, leaf_size), SPILL, 1, leaf_size)
-    pairs = leaves.groupBy("tree", "leaf").applyInPandas(
-        lambda f: _close(f, similarity), "a binary, b binary, sure boolean"
-    )
+    pairs = _near_centres(balls, centres, similarity, leaf_size, trees)
     pairs = _written(spark, pairs.groupBy("a", "b").agg(F.min("sure").alias("sure")), "forest-pairs")
 
     sure = pairs.where("sure").select("a", "b")

@@ -63,6 +63,26 @@ def test_forest_finds_the_links(spark, leaf_size):
     assert all(r["kept"] == (r["component_id"] == r["id"]) for r in found)
 
 
+def test_forest_finds_the_links_of_a_dense_group(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+
+    def aside(v, cosine):
+        other = rng.standard_normal(64)
+        other -= (other @ v) * v
+        return v * cosine + other / np.linalg.norm(other) * (1 - cosine**2) ** 0.5
+
+    # mutual cosine 0.8, each tenth one with a partner just above the threshold
+    group = [aside(centre, 0.8**0.5) for _ in range(4000)]
+    x = np.array(group + [aside(v, 0.905) for v in group[::10]], np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    found = embed_forest.near_vectors(spark.createDataFrame(rows, VECTOR), leaf_size=128).collect()
+    want = brute(x)[0].sum()
+    got = sum(r["n_links"] for r in found)
+    assert want >= 800 and 0.97 * want <= got <= want
+
+
 def test_vectors_defined_cases(spark):
     rows = [
         (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 1), (3, [0.0, 0.0], 0), (4, None, 0), (5, [1.0, None], 0), (6, [float("nan"), 1.0], 0),
