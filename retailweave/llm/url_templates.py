@@ -5,8 +5,9 @@ mixed with digits) are generalised into wildcards by their form. The tree is the
 parent, literal branches whose evidence and shape agree with their siblings' become one wildcard branch. Branches agree
 if what follows them is spread over the same forms (total variation of at most `SHAPE_GAP` against all siblings) and
 their labelled shares of bad urls do not differ by more than `Z` standard errors from that of their siblings; a branch
-without labels only ever merges with branches without labels, since nothing is known of it. A template is rejected if
-its smoothed share of bad urls, (bad + PRIOR * share of all) / (labelled + PRIOR), is `REJECT` or more.
+without labels merges on its shape alone, so what is known of its siblings carries over to it. A template is rejected if
+its smoothed share of bad urls, (bad + PRIOR * NEUTRAL) / (labelled + PRIOR), is `REJECT` or more: without evidence a
+template has the neutral share, whatever the rest of the table is like.
 
 Labels come from rules (host, path, verdict): a rule fits its host and all subdomains if the path starts with its own,
 the longest rule wins. Where a rule fits, its verdict stands; elsewhere the url's template decides.
@@ -35,6 +36,7 @@ DEPTH = 4
 SHAPE_GAP = 0.25
 Z = 1.96
 PRIOR = 20
+NEUTRAL = 0.5
 REJECT = 0.9
 WILD = "<*>"
 REST = "<**>"
@@ -105,23 +107,17 @@ def _merged(rows: DataFrame, level: int, depth: int, shape_gap: float, z: float)
     branches = forms.groupBy("host", "parent", "segment").agg(
         F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     )
-    known = F.col("labelled") > 0
-    # siblings are those with labels, or those without
-    pools = branches.groupBy("host", "parent", known.alias("known")).agg(
+    pools = branches.groupBy("host", "parent").agg(
         F.sum("n").alias("pool_n"),
         F.sum("labelled").alias("pool_labelled"),
         F.sum("bad").alias("pool_bad"),
         F.count(F.lit(1)).alias("siblings"),
     )
-    pool_forms = (
-        forms.join(branches.select("host", "parent", "segment", known.alias("known")), ["host", "parent", "segment"])
-        .groupBy("host", "parent", "known", "form")
-        .agg(F.sum("n").alias("pool_form_n"))
-    )
-    joined = branches.withColumn("known", known).join(pools, ["host", "parent", "known"])
+    pool_forms = forms.groupBy("host", "parent", "form").agg(F.sum("n").alias("pool_form_n"))
+    joined = branches.join(pools, ["host", "parent"])
     spread = (
-        joined.select("host", "parent", "known", "segment", "n", "pool_n")
-        .join(pool_forms, ["host", "parent", "known"])
+        joined.select("host", "parent", "segment", "n", "pool_n")
+        .join(pool_forms, ["host", "parent"])
         .join(forms.select("host", "parent", "segment", "form", F.col("n").alias("form_n")), ["host", "parent", "segment", "form"], "left")
         .groupBy("host", "parent", "segment")
         .agg(
@@ -132,14 +128,12 @@ def _merged(rows: DataFrame, level: int, depth: int, shape_gap: float, z: float)
     pooled = F.col("pool_bad") / F.col("pool_labelled")
     error = F.sqrt(pooled * (1 - pooled) / F.col("labelled"))
     own_share = F.col("bad") / F.col("labelled")
-    same_labels = ~F.col("known") | (F.abs(own_share - pooled) <= z * error + 1e-9)
+    same_labels = (F.col("labelled") == 0) | (F.abs(own_share - pooled) <= z * error + 1e-9)
     agree = (F.col("siblings") > 1) & (F.col("gap") / 2 <= shape_gap) & same_labels
-    wild = joined.where(agree).select("host", "parent", "segment", "known")
-    # the wildcard says whether its branches are labelled, so the two never mix
-    name = F.when(F.col("known"), F.lit(WILD)).otherwise(F.lit("<?>"))
+    wild = joined.where(agree).select("host", "parent", "segment", F.lit(True).alias("wild"))
     rows = rows.join(wild, ["host", "parent", "segment"], "left")
-    renamed = F.concat(F.slice("t", 1, level), F.array(name), F.slice("t", level + 2, depth + 1))
-    rows = rows.withColumn("t", F.when(F.col("known").isNotNull(), renamed).otherwise(F.col("t")))
+    renamed = F.concat(F.slice("t", 1, level), F.array(F.lit(WILD)), F.slice("t", level + 2, depth + 1))
+    rows = rows.withColumn("t", F.when(F.col("wild"), renamed).otherwise(F.col("t")))
     return rows.select("host", "t", "n", "labelled", "bad", "raw")
 
 
@@ -166,9 +160,8 @@ def judge_templates(
     path = work_path(spark, "url-templates")
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
-    total = rows.agg((F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("s")).first()["s"] or 0.0
     merged = rows.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = (F.col("bad") + prior * total) / (F.col("labelled") + prior)
+    purity = (F.col("bad") + prior * NEUTRAL) / (F.col("labelled") + prior)
     merged = merged.select("host", "t", purity.alias("purity"))
     judged = rows.select("host", "raw", "t").join(merged, ["host", "t"])
     verdict = F.when(F.col("purity") >= reject, "block").otherwise("allow")

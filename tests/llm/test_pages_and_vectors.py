@@ -213,6 +213,18 @@ def test_templates_learn_bad_branches(spark):
     assert any(t.startswith("/tag/<*>") for t in found) and not any(t.startswith("/tag/a") for t in found)
 
 
+def test_labels_carry_over_by_shape_and_only_by_evidence(spark):
+    rows = [("h", f"/{branch}/{i}.html", 1) for branch in "abcdef" for i in range(50)]
+    rows += [("h", f"/{branch}/{i}.html", None) for branch in "uvw" for i in range(50)]  # alike, without labels
+    rows += [("h", f"/other/page/{i}/x", None) for i in range(20)]  # another shape
+    rows += [("elsewhere", f"/{branch}/{i}.html", None) for branch in "ab" for i in range(50)]
+    urls = spark.createDataFrame(rows, "host string, path string, label int")
+    found = {(r["host"], r["raw"][0]): r for r in url_templates.judge_templates(urls).collect()}
+    assert {found["h", b]["verdict"] for b in "abcdefuvw"} == {"block"}
+    assert found["h", "other"]["verdict"] == "allow"
+    assert {(found["elsewhere", b]["verdict"], found["elsewhere", b]["purity"]) for b in "ab"} == {("allow", 0.5)}
+
+
 def test_urls_defined_cases(spark):
     rows = [(1, "http://a.net/x"), (1, "http://a.net/x"), (2, None), (None, "x"), (3, "http://a.com/" + "seg/" * 5000)]
     table = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "'v' AS verdict", "2 AS judged", "3 AS __u")
