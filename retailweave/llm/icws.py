@@ -20,7 +20,8 @@ each of its members, while no candidate pair of different groups is left out. Be
 fails with a probability under 1 in 10,000, and then in its bins: elements (shingle, occurrence), kept with the
 probability of their idf, are dealt into `BINS` bins by hash, and a bin holds its smallest hash. The share of equal bins
 estimates the weighted similarity, for short texts by a near full count; a pair may fall short by `SLACK` standard
-errors of a sample of so many of its elements.
+errors, which hold both the sampling into bins and the thinning by idf. Where the thinning's variance is more than `THINNED`
+of a text's weight (frequent shingles), bins say too little: the pair goes straight to the exact comparison.
 
 Defined cases: null and empty texts, and those without words, are never near anything and stay; rows with the same id
 and words are one document; null ids come last; an empty table gives an empty one; other columns pass through.
@@ -48,6 +49,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 AGREEMENT = 0.55
 BINS, SLACK = 256, 2.5
+THINNED = 0.1
 NEIGHBOURS, RING = 3, 1000
 FLOOR = 1 / 256
 LEAST_WEIGHT = 0.05
@@ -115,6 +117,11 @@ def bins(keys: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> tuple[np.n
     return out.astype(np.int16), len(elements)
 
 
+def thinning(counts: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
+    """Expected number of kept elements, and its variance."""
+    return float((counts * shares).sum()), float((counts * shares * (1 - shares)).sum())
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     shared = np.minimum(a[1][i], b[1][j]).sum()
@@ -164,10 +171,10 @@ def signatures(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, sample
 
 def _signed_batch(
     texts: list[bytes | None], hashes: WordHashes, idf: Idf, samples: int
-) -> tuple[list[np.ndarray], list[tuple[np.ndarray, int]]]:
-    """Samples and bins of each text, worked out in chunks of sets that fit the processor's cache."""
+) -> tuple[list[np.ndarray], list[tuple[np.ndarray, int, float, float]]]:
+    """Samples and (bins, kept elements, their expectation and variance) of each text, in chunks that fit the processor's cache."""
     out: list[np.ndarray] = []
-    binned: list[tuple[np.ndarray, int]] = []
+    binned: list[tuple[np.ndarray, int, float, float]] = []
     sets: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -182,7 +189,7 @@ def _signed_batch(
 
     for text in texts:
         keys, counts, shares = _counted_set(text, hashes, idf)
-        binned.append(bins(keys, counts, shares))
+        binned.append((*bins(keys, counts, shares), *thinning(counts, shares)))
         sets.append((keys, counts * shares))
         held += len(keys)
         if held >= _CHUNK:
@@ -287,7 +294,7 @@ def _sketch(rows: DataFrame, first_members: DataFrame) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
-    """(content, samples, bins, elements, buckets) of every text that has words."""
+    """(content, samples, bins, elements, mass, thinned, buckets) of every text that has words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weights = WordHashes(), idf.value
@@ -301,15 +308,18 @@ def _signed(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:
                 [
                     pa.array([_content(words(t)) for t in texts], pa.binary()),
                     pa.array(list(signed.view(np.int32)), pa.list_(pa.int32())),
-                    pa.array([b for b, _ in binned], pa.list_(pa.int16())),
-                    pa.array([n for _, n in binned], pa.int32()),
+                    pa.array([b[0] for b in binned], pa.list_(pa.int16())),
+                    pa.array([b[1] for b in binned], pa.int32()),
+                    pa.array([b[2] for b in binned], pa.float32()),
+                    pa.array([b[3] for b in binned], pa.float32()),
                     pa.array(list(_band_keys(signed, bands, per_band)), pa.list_(pa.int64())),
                 ],
-                names=["content", "samples", "bins", "elements", "buckets"],
+                names=["content", "samples", "bins", "elements", "mass", "thinned", "buckets"],
             )
 
     return rows.select("text").mapInArrow(
-        scan, "content binary, samples array<int>, bins array<smallint>, elements int, buckets array<bigint>"
+        scan,
+        "content binary, samples array<int>, bins array<smallint>, elements int, mass float, thinned float, buckets array<bigint>",
     )
 
 
@@ -319,16 +329,22 @@ def _may_be_near(least: int, similarity: float):
     # filled bins count 65536, equal ones 1 more
     both = F.zip_with("bins_a", "bins_b", lambda x, y: F.when((x >= 0) | (y >= 0), 65536 + (x == y).cast("int")).otherwise(0))
     counted = F.aggregate(both, F.lit(0), lambda n, x: n + x)
-    spread = SLACK * (similarity * (1 - similarity)) ** 0.5
+    # the variance is largest if what the two do not share is thinned as much as it can be
+    thinned = F.col("thinned_a") + F.col("thinned_b")
+    unshared = F.least(thinned, (F.col("mass_a") + F.col("mass_b")) * ((1 - similarity) / (1 + similarity)))
+    variance = (1 - similarity) ** 2 * (thinned - unshared) / 2 + similarity**2 * unshared
+    too_thin = (F.col("thinned_a") > THINNED * F.col("mass_a")) | (F.col("thinned_b") > THINNED * F.col("mass_b"))
     all_elements = F.greatest(F.col("elements_a") + F.col("elements_b"), F.lit(1)) / (1 + similarity)
 
     def near_enough(c):
         filled = F.floor(c / 65536)
         unseen = F.greatest(F.lit(0.0), 1 - filled / all_elements)
-        return c % 65536 + 1 + spread * F.sqrt(filled * unseen) >= similarity * filled
+        part = F.least(F.lit(1.0), filled / all_elements)
+        spread = F.sqrt(similarity * (1 - similarity) * filled * unseen + variance * part * part)
+        return c % 65536 + 1 + SLACK * spread >= similarity * filled
 
     near = F.transform(F.array(counted), near_enough)
-    return F.when(same >= least, F.get(near, F.lit(0))).otherwise(False)
+    return F.when(same < least, False).when(too_thin, True).otherwise(F.get(near, F.lit(0)))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -410,8 +426,10 @@ def near_duplicates(
 
     least = int(np.ceil(AGREEMENT * bands * rows_per_band))
     near = _may_be_near(least, similarity)
-    samples_a = signed.select(F.col("content").alias("a"), F.col("samples").alias("samples_a"), F.col("bins").alias("bins_a"), F.col("elements").alias("elements_a"))
-    samples_b = signed.select(F.col("content").alias("b"), F.col("samples").alias("samples_b"), F.col("bins").alias("bins_b"), F.col("elements").alias("elements_b"))
+    drawn = ("samples", "bins", "elements", "mass", "thinned")
+    samples_a, samples_b = (
+        signed.select(F.col("content").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in drawn]) for s in ("a", "b")
+    )
     starred = crowded.where("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b"))
     part = F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / RING))
     ring = Window.partitionBy("bucket", "part").orderBy("turn")
@@ -429,11 +447,11 @@ def near_duplicates(
     grouped = _written(spark, grouped, "icws-grouped")
     mixed = grouped.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
     apart = grouped.join(_written(spark, mixed, "icws-mixed"), "bucket").join(
-        signed.select("content", "samples", "bins", "elements", "buckets"), "content"
+        signed.select("content", *drawn, "buckets"), "content"
     )
     apart = _written(spark, apart, "icws-apart")
     left, right = (
-        apart.select("bucket", *[F.col(c).alias(f"{n}_{s}") for c, n in (("content", "c"), ("g", "g"), ("samples", "samples"), ("bins", "bins"), ("elements", "elements"), ("buckets", "buckets"))])
+        apart.select("bucket", *[F.col(c).alias(f"{n}_{s}") for c, n in (("content", "c"), ("g", "g"), *zip(drawn, drawn, strict=True), ("buckets", "buckets"))])
         for s in ("a", "b")
     )
     left, right = left.withColumnRenamed("c_a", "a"), right.withColumnRenamed("c_b", "b")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -178,6 +179,30 @@ def test_near_duplicates_match_brute_force(spark):
     assert {r["doc"] for r in found if r["kept"]} == set(want)
 
 
+def test_pairs_of_frequent_shingles_reach_the_comparison(spark):
+    rng = random.Random(8)
+    idf = icws.Idf(np.zeros(icws.SKETCH_ROWS << icws.SKETCH_BITS), 1)
+    idf.weights = np.full_like(idf.weights, 0.15)
+    rows = []
+    for i in range(300):
+        parts = prose(rng, 150).split()
+        rows.append((2 * i, " ".join(parts)))
+        for at in (20, 70, 120):  # 131 of 161 shingles stay
+            parts[at] = "x" + prose(rng, 1)
+        rows.append((2 * i + 1, " ".join(parts)))
+    table = spark.createDataFrame(rows, "doc long, text string")
+    signed = icws._signed(table, SimpleNamespace(value=idf), icws.BANDS, icws.ROWS)
+    numbers = {icws._content(words(t.encode())): d for d, t in rows}
+    number = spark.createDataFrame([(bytearray(c), d // 2, d % 2) for c, d in numbers.items()], "content binary, pair long, side long")
+    signed = signed.join(number, "content")
+    left, right = (
+        signed.where(F.col("side") == i).drop("side", "content").withColumnsRenamed({c: f"{c}_{s}" for c in signed.columns if c != "pair"})
+        for i, s in enumerate("ab")
+    )
+    least = int(np.ceil(icws.AGREEMENT * icws.BANDS * icws.ROWS))
+    assert left.join(right, "pair").where(icws._may_be_near(least, icws.SIMILARITY)).count() >= 299
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(1, 2**63, 400).astype(np.uint64))
