@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_forest, html_blocks, icws, leaks, line_templates, pfair, pii, pu_quality, token_counts, url_templates
+from . import embed_forest, fim, html_blocks, icws, leaks, line_rules, line_templates, merkle, pfair, pii, pu_quality, token_counts, url_templates
 from .registry import query
 
 
@@ -219,3 +219,154 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("line_dedup.text", F.lit("")).alias("text"),
         "line_dedup.kept",
     )
+
+
+_HASHED = "('0x' || substr(digest, {at}, 8))::BIGINT"
+FIM_SQL = rf"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+    FROM documents
+), drawn AS (
+    SELECT *, len(u)::BIGINT AS n, {_HASHED.format(at=1)} AS h1, {_HASHED.format(at=9)} AS h2,
+           {_HASHED.format(at=17)} AS h3, {_HASHED.format(at=25)} AS h4 FROM units
+), cuts AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), parts AS (
+    SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op11_fill_in_middle", FIM_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = fim.fill_in_middle(docs)
+    output, form = F.col("fim.output"), F.col("fim.form")
+    return cut.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fim.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+_TAMPERED = r"""list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, y: CASE WHEN y >= 0 THEN xor(x, y)
+    WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"""
+
+
+def _counted_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _merkle_sql(levels: int = 10) -> str:
+    """The trees level by level; a level leaves trees of one node as they are. `levels` bounds the SQL, not the operator."""
+
+    def climb(name: str, first: str, tree: str) -> str:
+        ctes = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            ctes.append(
+                f"""{name}r{k} AS (SELECT {tree}, pos // 8 AS up, list(h ORDER BY pos) AS run, sum(count(*)) OVER (PARTITION BY {tree}) AS total
+                FROM {name}{k} GROUP BY {tree}, pos // 8),
+                {name}{k + 1} AS (SELECT {tree}, up AS pos, CASE WHEN total > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {name}r{k})"""
+            )
+        return ", ".join(ctes)
+
+    def fold(name: str, rows: str, tree: str, out: str) -> str:
+        ctes, last = [], rows
+        for k in range(levels):
+            at = f"({out}_pos % 8 + 1)"
+            ctes.append(
+                f"""{out}{k} AS (SELECT p.* EXCLUDE ({out}_pos, proof, f),  {out}_pos // 8 AS {out}_pos,
+                proof || CASE WHEN total > 1 THEN array_to_string(run[:{at} - 1], '') || array_to_string(run[{at} + 1:], '') ELSE '' END AS proof,
+                CASE WHEN total > 1 THEN sha256(array_to_string(run[:{at} - 1], '') || f || array_to_string(run[{at} + 1:], '')) ELSE f END AS f
+                FROM {last} p JOIN {name}r{k} r ON r.{tree} IS NOT DISTINCT FROM p.{tree} AND r.up = {out}_pos // 8)"""
+            )
+            last = f"{out}{k}"
+        return ", ".join(ctes)
+
+    leaf = " || ".join(map(_counted_sql, ("doc_id", "source", "lang", "n_chars")))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH hashed AS (
+        SELECT doc_id, lang, sha256({leaf} || {_counted_sql('text')}) AS leaf,
+               CASE WHEN xor({_TAMPERED}, 4294967295) % 3 = 0 THEN sha256({leaf} || {_counted_sql(lower)})
+                    ELSE sha256({leaf} || {_counted_sql('text')}) END AS claimed
+        FROM documents
+    ), placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+    {climb('g', 'SELECT lang, pos, leaf AS h FROM placed', 'lang')},
+    subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, 1 AS top FROM g{levels}),
+    {climb('t', 'SELECT top, pos, subroot AS h FROM subroots', 'top')},
+    low AS (SELECT doc_id, lang, leaf, pos AS a_pos, '' AS proof, claimed AS f FROM placed),
+    {fold('g', 'low', 'lang', 'a')},
+    high AS (SELECT a.doc_id, a.lang, a.leaf, s.subroot, s.top, s.pos AS b_pos, a.proof, a.f
+             FROM a{levels - 1} a JOIN subroots s ON a.lang IS NOT DISTINCT FROM s.lang),
+    {fold('t', 'high', 'top', 'b')}
+    SELECT doc_id, leaf, subroot, (SELECT h FROM t{levels}) AS root, sha256(proof) AS proof_sha256, f AS folded_root,
+           f = (SELECT h FROM t{levels}) AS verified
+    FROM b{levels - 1}
+    """
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*columns)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", upper, upper.lower()))
+    claimed = [F.coalesce(tampered, F.col("text")) if c == "text" else F.col(c) for c in columns]
+    manifest = merkle.build_manifest(docs.withColumn("claimed", merkle.leaf_digest(claimed)), columns, keep=["claimed"])
+    proofs = merkle.prove(manifest, "claimed").withColumnRenamed("id", "doc_id")
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+RULES_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS ls FROM docs),
+windows AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times
+    FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words))
+), repeated AS (
+    SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM windows WHERE times > 1) GROUP BY r
+), lines AS (
+    SELECT r, source, t, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+           trim(regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
+    FROM (SELECT r, source, t, unnest(ls) AS l FROM words)
+), worded AS (SELECT * FROM lines WHERE n > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT t) AS documents FROM docs GROUP BY source),
+common AS (
+    SELECT l.source, line FROM (SELECT source, line, count(DISTINCT t) AS held_by FROM worded GROUP BY source, line) l
+    JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+    WHERE held_by >= {line_rules.MIN_DOCS} AND held_by > documents * {line_rules.SHARE}::DOUBLE
+), removed AS (
+    SELECT r, sum(n) AS words, count(*) AS lines FROM worded l JOIN common c ON l.line = c.line AND l.source IS NOT DISTINCT FROM c.source GROUP BY r
+), figures AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+           coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.lines, 0)::BIGINT AS n_common_lines,
+           (len(w) - coalesce(removed.words, 0))::BIGINT AS left_words
+    FROM words LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN removed USING (r)
+), judged AS (SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+SELECT *, NOT base_failed AND left_words >= n_words * {line_rules.RESIDUE}::DOUBLE AS kept FROM judged
+"""
+
+
+@query("op13_line_rules", RULES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", "rules.*")
