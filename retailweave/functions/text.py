@@ -83,20 +83,24 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def fold_accents(col: Column | str) -> Column:
     """ASCII form of a text, character by character; characters without one are dropped.
 
-    Characters with longer forms are looked up one by one, only in texts that have any.
+    Texts of ASCII alone, which most are, are left as they are. Characters with longer forms are looked up one by one,
+    only in texts that have any.
     """
     single, target, longer = _folding()
     rare = "[" + "".join(longer) + "]"
     forms = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
 
+    def beyond_ascii(text: Column) -> Column:
+        return F.octet_length(text) > F.length(text)
+
     def fold(text: Column) -> Column:
         found = F.transform(F.regexp_extract_all(text, F.lit(rare), F.lit(0)), lambda c: forms[c])
         around = F.zip_with(F.split(text, rare, -1), found, lambda t, f: F.concat(t, F.coalesce(f, F.lit(""))))
-        return F.when(text.rlike(rare), F.array_join(around, "")).otherwise(text)
+        return F.when(beyond_ascii(text) & text.rlike(rare), F.array_join(around, "")).otherwise(text)
 
     # a one-element transform: each step's text is worked out once, however often it is looked at
     plain = F.get(F.transform(F.array(F.translate(_c(col), single, target)), fold), F.lit(0))
-    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+    return F.when(beyond_ascii(_c(col)), F.regexp_replace(plain, r"[^\x00-\x7F]", "")).otherwise(_c(col))
 
 
 def normalize_text(col: Column | str) -> Column:
