@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -80,6 +80,17 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(target), longer
 
 
+def _character_class(characters: Iterable[str]) -> str:
+    """A class of runs: a match looks at each of them, so runs are faster than single characters."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"{chr(low)}-{chr(high)}" for low, high in runs) + "]"
+
+
 def fold_accents(col: Column | str) -> Column:
     """ASCII form of a text, character by character; characters without one are dropped.
 
@@ -87,8 +98,10 @@ def fold_accents(col: Column | str) -> Column:
     only in texts that have any.
     """
     single, target, longer = _folding()
-    rare = "[" + "".join(longer) + "]"
-    forms = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    rare = _character_class(longer)
+    # one literal, which Spark turns into a constant map once: plans stay small however often text is folded
+    listed = "\x01".join(f"{char}\x02{form}" for char, form in longer.items())
+    forms = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
 
     def beyond_ascii(text: Column) -> Column:
         return F.octet_length(text) > F.length(text)
