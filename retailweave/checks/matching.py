@@ -75,6 +75,7 @@ _QUERY_LISTS = {
     "index": "[e, r, trim(b || ' ' || r), s, n]",
     "tokens": "[r, e, n, s, n]",
     "signature": "[n]",
+    "stock": "[n]",
 }
 
 
@@ -119,8 +120,12 @@ _BY_TEXT = f"""shared AS (SELECT q.id_product, position, query FROM queries q JO
 @query(
     "m4_candidates",
     with_ci(
-        """SELECT head AS id_product, competitor_id, url, min(position) AS position, arg_min(query, position) AS matched_query
-      FROM texts JOIN shared USING (id_product) JOIN hits USING (query) WHERE head = id_product GROUP BY 1, 2, 3""",
+        """SELECT id_product, competitor_id, url, min(position) AS position, arg_min(matched_query, position) AS matched_query FROM (
+      SELECT c.* FROM cands c SEMI JOIN (SELECT q.id_product, competitor_id, url FROM queries q ANTI JOIN shared s
+        ON q.id_product = s.id_product AND q.position = s.position JOIN hits USING (query)) o
+        ON c.id_product = o.id_product AND c.competitor_id = o.competitor_id AND c.url = o.url
+      UNION ALL SELECT head, competitor_id, url, position, query FROM texts JOIN shared USING (id_product) JOIN hits USING (query)
+      WHERE head = id_product) GROUP BY 1, 2, 3""",
         _queries_sql("base"),
         _LISTINGS,
         _BY_TEXT,
@@ -301,9 +306,8 @@ _PRICED = f"""{_MODELS.replace("ELSE p_brand END AS c_brand FROM (", "ELSE p_bra
 _ACCESSORY = f"len(list_filter({{0}}, lambda w: list_contains({sql_list(X.TITLE_ACCESSORIES)}, w))) > 0"
 
 
-@query(
-    "m7_token_points",
-    f"""WITH {_PRICED}, tk AS (SELECT *, {tokens('n')} AS q, {tokens('t')} AS tt, {tokens('m')} AS mm FROM pn
+def _token_ctes(pairs: str) -> str:
+    return f"""tk AS (SELECT *, {tokens('n')} AS q, {tokens('t')} AS tt, {tokens('m')} AS mm FROM {pairs}
       WHERE NOT {any_in('t', ('b stock', 'bstock', 'bundle'))}),
     cm AS (SELECT *, list_filter(q, lambda w: list_contains(tt, w)) AS c FROM tk
       WHERE len(mm) = 0 OR len({tokens('b')}) = 0 OR list_has_any(mm, {tokens('b')})),
@@ -316,30 +320,32 @@ _ACCESSORY = f"len(list_filter({{0}}, lambda w: list_contains({sql_list(X.TITLE_
       + CASE WHEN n <> '' AND contains(t, n) THEN 20 ELSE 0 END AS first FROM st),
     sc AS (SELECT *, CASE WHEN strong = 0 AND ratio < 0.55 THEN least(first, 55.0) WHEN strong > 0 AND ratio < 0.45 THEN first - 10 ELSE first END
       + CASE WHEN list_contains(q, 'lh') AND list_contains(tt, 'lh') THEN 12 WHEN list_contains(q, 'lh') OR list_contains(tt, 'lh') THEN -15 ELSE 0 END
-      + {_gap_points(((0.50, -40), (0.35, -30), (0.20, -15)))} + {_YEAR_POINTS} AS s FROM fi)
-    SELECT id_product, CAST(competitor_id AS INTEGER) AS competitor_id,
-      CASE WHEN len(q) = 0 OR len(tt) = 0 THEN 0 ELSE CAST(greatest(0, least(100, round_even(s, 0))) AS INTEGER) END AS score FROM sc""",
-)
-def _(spark, sf):
-    ratio = (F.col("id_product") % 21).cast("double") / 20
-    return X.score_candidates(_model_pairs(spark, sf), "tokens", ratio).select("id_product", "competitor_id", "score")
+      + {_gap_points(((0.50, -40), (0.35, -30), (0.20, -15)))} + {_YEAR_POINTS} AS s FROM fi),
+    sf AS (SELECT *, CASE WHEN len(q) = 0 OR len(tt) = 0 THEN 0 ELSE CAST(greatest(0, least(100, round_even(s, 0))) AS INTEGER) END AS score FROM sc)"""
 
 
-@query(
-    "m8_signature_points",
-    f"""WITH {_PRICED}, sg AS (SELECT *, {signature('n', 'b', 'signature')} AS qs, {signature('t', "(CASE WHEN c_brand <> '' THEN m ELSE b END)", 'signature')} AS ts FROM pn),
+def _signature_ctes(pairs: str) -> str:
+    return f"""sg AS (SELECT *, {signature('n', 'b', 'signature')} AS qs, {signature('t', "(CASE WHEN c_brand <> '' THEN m ELSE b END)", 'signature')} AS ts FROM {pairs}),
     sc AS (SELECT *, CASE WHEN b <> '' AND m <> '' THEN CASE WHEN contains(m, b) OR contains(b, m) THEN 20 ELSE -10 END ELSE 0 END
       + CASE WHEN qs <> '' AND ts <> '' AND qs = ts THEN 55
         WHEN qs <> '' AND ts <> '' THEN CAST(round_even(ratio * 35, 0) AS INTEGER) - CASE WHEN ratio < 0.45 THEN 10 ELSE 0 END
         WHEN qs <> '' OR ts <> '' THEN -8 ELSE 0 END
       + CASE WHEN n <> '' AND contains(t, n) THEN 10 ELSE 0 END + CASE WHEN b <> '' AND contains(t, b) THEN 5 ELSE 0 END
       - CASE WHEN {_ACCESSORY.format(words('t'))} THEN 35 ELSE 0 END
-      + {_gap_points(((0.50, -35), (0.35, -25), (0.20, -15)), ((0.05, 10), (0.15, 5)))} + {_YEAR_POINTS} AS s FROM sg)
-    SELECT id_product, CAST(competitor_id AS INTEGER) AS competitor_id, CAST(greatest(0, least(100, s)) AS INTEGER) AS score FROM sc""",
-)
-def _(spark, sf):
-    ratio = (F.col("id_product") % 21).cast("double") / 20
-    return X.score_candidates(_model_pairs(spark, sf), "signature", ratio).select("id_product", "competitor_id", "score")
+      + {_gap_points(((0.50, -35), (0.35, -25), (0.20, -15)), ((0.05, 10), (0.15, 5)))} + {_YEAR_POINTS} AS s FROM sg),
+    sf AS (SELECT *, CAST(greatest(0, least(100, s)) AS INTEGER) AS score FROM sc)"""
+
+
+_POINT_CTES = {"tokens": _token_ctes, "signature": _signature_ctes}
+for _id, _kind in (("m7_token_points", "tokens"), ("m8_signature_points", "signature")):
+
+    @query(
+        _id,
+        f"WITH {_PRICED}, {_POINT_CTES[_kind]('pn')} SELECT id_product, CAST(competitor_id AS INTEGER) AS competitor_id, score FROM sf",
+    )
+    def _(spark, sf, kind=_kind):
+        ratio = (F.col("id_product") % 21).cast("double") / 20
+        return X.score_candidates(_model_pairs(spark, sf), kind, ratio).select("id_product", "competitor_id", "score")
 
 
 _ALIAS = "map(" + sql_list(T.COLOR_ALIASES) + ", " + sql_list(T.COLOR_ALIASES.values()) + ")"
@@ -487,6 +493,60 @@ def _(spark, sf):
     return _ranked(spark, sf).select("id_product", "competitor_id", "url", "score", "rank")
 
 
+#: Brute force over all pairs that the queries reach, with a stated similarity of the texts in place of difflib's.
+_SIMILAR = """pn AS (SELECT * EXCLUDE (q), m AS c_brand, CAST(length(c_title) % 21 AS DOUBLE) / 20 AS ratio, CASE WHEN c_price > 0 AND source_price > 0
+    THEN abs(c_price - CAST(source_price AS DOUBLE)) / CAST(source_price AS DOUBLE) END AS g FROM cpairs)"""
+
+
+def _priced_ranking(kind: str) -> tuple[str, ...]:
+    return (
+        f"""SELECT id_product, competitor_id, url, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+          PARTITION BY id_product, competitor_id ORDER BY score DESC, position, url) AS rn FROM sf) WHERE rn <= {X.TOP[kind]}""",
+        _queries_sql(kind),
+        _LISTINGS,
+        _PAIRS,
+        _SIMILAR,
+        _POINT_CTES[kind]("pn"),
+    )
+
+
+def _text_ranking(kind: str, score: str, keep: str) -> tuple[str, ...]:
+    top = _top(score, X.TOP[kind], keep).replace("EXCLUDE (rn)", "EXCLUDE (rn), CAST(rn AS INTEGER) AS rank")
+    return f"SELECT id_product, competitor_id, url, score, rank FROM ({top})", _queries_sql(kind), _LISTINGS, _PAIRS
+
+
+def _title_ratio():
+    return (F.length("c_title") % 21).cast("double") / 20
+
+
+for _kind in ("tokens", "signature"):
+
+    @query(f"m18_ranked_{_kind}", with_ci(*_priced_ranking(_kind)))
+    def _(spark, sf, kind=_kind):
+        ranked = X.best_candidates(fx.match_products(spark, sf), fx.listings(spark, sf), kind, ratio=_title_ratio())
+        return ranked.select("id_product", "competitor_id", "url", "score", "rank")
+
+
+_SITE_RANKINGS = {
+    "index": _text_ranking("index", _INDEX, "score >= 90"),
+    "stock": _text_ranking("stock", _BASE, "true"),
+    "tokens": _priced_ranking("tokens"),
+    "signature": _priced_ranking("signature"),
+}
+
+
+@query(
+    "m18_ranked_by_site",
+    " UNION ALL ".join(
+        f"SELECT *, '{profile}' AS profile FROM ({with_ci(*_SITE_RANKINGS[profile])}) WHERE competitor_id = {number}"
+        for number, _, _, profile in fx.COMPETITORS
+    ),
+)
+def _(spark, sf):
+    ranked = X.best_by_site(fx.match_products(spark, sf), fx.listings(spark, sf), fx.competitors(spark), _title_ratio())
+    return ranked.select("id_product", "competitor_id", "url", "score", "rank", "profile")
+
+
 @query(
     "m19_decisions",
     with_ci(

@@ -14,12 +14,18 @@ from ..functions import measures as M
 from ..functions import text as T
 from ..session import written
 from ..sources.incremental import top_k_per
+from .gram_index import substring_pairs
+from .price_bands import best_priced, clamped, price_points, priced_score
 
 # Thresholds, word lists and weights of the scorers.
 WORD_BLOCK = 50_000  # our own: listings of one word a task looks through
-TOP = {"base": 5, "index": 5, "tokens": 3, "signature": 3}
+TOP = {"base": 5, "stock": 5, "index": 5, "tokens": 3, "signature": 3}
 INDEX_KEEP = 90
 NOT_FOUND_BELOW, MATCHED_ABOVE, SELECTED_MATCH = 30, 90, 95
+PRICE_STEPS = {  # kind: (gap from, points), widest first, then (gap up to, points), nearest first
+    "tokens": (((0.50, -40), (0.35, -30), (0.20, -15)), ()),
+    "signature": (((0.50, -35), (0.35, -25), (0.20, -15)), ((0.05, 10), (0.15, 5))),
+}
 PRICE_CAPS = {  # profile: (ratio from, score cap), widest first
     "signature": ((0.45, 20), (0.30, 60), (0.20, 80)),
     "tokens": ((0.45, 20), (0.30, 65), (0.20, 82)),
@@ -165,17 +171,20 @@ def _texts(by_text: DataFrame) -> DataFrame:
 
 
 def generate_candidates(products: DataFrame, listings: DataFrame, order: str = "base") -> DataFrame:
-    """Listings each text's shared queries reach, once per url with the first query that found it.
+    """Listings that a product's queries reach, once per url with the first query that found it.
 
-    A row stands for all products of the text (`id_product` is the smallest of them): pairing every one of them with
-    every listing of their name would grow with the square of a name's products. `best_candidates` works per product.
+    What a product's own queries (reference, ean, brand with reference) find is listed for the product. What the
+    queries it shares with all products of its text find is listed once per text, for the smallest of them: pairing
+    every product with every listing of its name would grow with the square of a name's products. `best_candidates`
+    ranks both per product.
     """
     by_text = _by_text(products, order)
     heads = by_text.groupBy("text_id").agg(F.min("id_product").alias("head"))
-    found = _text_hits(_texts(by_text), listings, order)
-    return found.join(heads, F.col("id_product") == F.col("text_id")).select(
-        F.col("head").alias("id_product"), "competitor_id", "url", "position", "matched_query"
-    )
+    text_hits = written(products.sparkSession, _text_hits(_texts(by_text), listings, order), "match-text-hits")
+    own = written(products.sparkSession, _own_hits(by_text, listings), "match-own-hits")
+    shared = _hits_of_texts(text_hits).join(heads, "text_id").withColumnRenamed("head", "id_product")
+    rows = _with_shared_hits(own, by_text, text_hits).unionByName(shared.select(*PAIR, "url", "position", "query"))
+    return _first_found(rows)
 
 
 def _text_hits(texts: DataFrame, listings: DataFrame, order: str) -> DataFrame:
@@ -183,74 +192,121 @@ def _text_hits(texts: DataFrame, listings: DataFrame, order: str) -> DataFrame:
     return _first_found(queries.join(search_listings(queries, listings), "query"))
 
 
-def _shown_evidence(by_text: DataFrame, listings: DataFrame) -> DataFrame:
-    """(id_product, competitor_id, url): titles that show a product's ean or reference anywhere, and equal eans.
+def _hits_of_texts(text_hits: DataFrame) -> DataFrame:
+    return text_hits.select(
+        F.col("id_product").alias("text_id"), "competitor_id", "url", "position", F.col("matched_query").alias("query")
+    )
 
-    Needles meet the parts of titles of their own length by an equi-join; their lengths are a short list.
-    """
+
+def _own_hits(by_text: DataFrame, listings: DataFrame) -> DataFrame:
+    own = by_text.select("id_product", F.explode("own").alias("q")).select("id_product", "q.position", "q.query")
+    return own.join(search_listings(own, listings), "query").select(*PAIR, "url", "position", "query")
+
+
+def _with_shared_hits(own: DataFrame, by_text: DataFrame, text_hits: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Hits of own queries, and for the same listings (or those in `more`) the hits of the product's shared queries."""
+    pairs = own.select(*PAIR, "url")
+    pairs = (pairs if more is None else pairs.unionByName(more)).distinct()
+    pairs = pairs.join(by_text.select("id_product", "text_id"), "id_product")
+    shared = pairs.join(_hits_of_texts(text_hits), ["text_id", "competitor_id", "url"])
+    return own.unionByName(shared.select(*PAIR, "url", "position", "query"))
+
+
+def _shown_evidence(by_text: DataFrame, listings: DataFrame) -> DataFrame:
+    """(id_product, competitor_id, url): titles that show a product's ean or reference anywhere, and equal eans."""
     needles = by_text.select(
         "id_product", F.explode(F.array(F.coalesce("ean", F.lit("")), T.normalize_text("supplier_reference"))).alias("needle")
     ).where("needle <> ''").distinct()
-    lengths = [r[0] for r in needles.select(F.length("needle")).distinct().collect()]
-    titles = listings.select("competitor_id", "url", T.normalize_text("title").alias("title"))
-    parts = titles.select(
-        "competitor_id", "url", "title", F.explode(F.array(*map(F.lit, sorted(lengths))) if lengths else F.array().cast("array<int>")).alias("n")
-    ).where(F.length("title") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.length("title") - F.col("n") + 1)
-    parts = parts.select(
-        "competitor_id", "url", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("title", i, F.col("n"))))).alias("needle")
-    )
-    shown = needles.join(parts, "needle").select(*PAIR, "url")
+    titles = listings.select("competitor_id", "url", T.normalize_text("title").alias("text"))
+    shown = needles.join(substring_pairs(needles, titles, ["competitor_id", "url"]), "needle").select(*PAIR, "url")
     mine = by_text.select("id_product", T.valid_ean("ean").alias("e")).where("e <> ''")
     theirs = listings.select("competitor_id", "url", T.valid_ean("ean").alias("e")).where("e <> ''")
     return shown.union(mine.join(theirs, "e").select(*PAIR, "url")).distinct()
 
 
 def best_candidates(
-    products: DataFrame, listings: DataFrame, kind: str = "base", k: int | None = None
+    products: DataFrame, listings: DataFrame, kind: str = "base", k: int | None = None, ratio: Column | None = None
 ) -> DataFrame:
     """The best k listings by score per product and competitor, out of all that its queries reach, with the facts
-    of both sides, `score` and `rank`; for the kinds whose score rests on text, reference and ean (base, index).
+    of both sides, `score` and `rank`.
 
-    Scored once per text: a listing that shows neither reference nor ean scores alike for all products of a text, so
-    the text's best ones serve them all. Listings that a product's own queries reach, or that show its reference or
-    ean, are scored for the product. A product may replace entries of the text's list by its own, so this list is as
-    much longer than k as any of the text's products has such entries.
+    Scored once per text. The base and index scores rest on reference and ean besides, the tokens and signature scores
+    on the product's price (`price_bands`); the latter compare texts by difflib, or by the `ratio` given.
     """
-    if kind not in ("base", "index"):
-        raise ValueError(f"the score of {kind} depends on prices")
     k = TOP[kind] if k is None else k
     by_text = _by_text(products, kind)
     texts = _texts(by_text)
+    text_hits = written(products.sparkSession, _text_hits(texts, listings, kind), "match-text-hits")
+    find = _best_by_price if kind in PRICE_STEPS else _best_by_text
+    ranked = find(products, listings, by_text, texts, text_hits, kind, k, ratio)
+    return plain(attach_facts(ranked, products, listings))
+
+
+RANKED = [*PAIR, "url", "position", "matched_query", "score"]
+
+
+def _order() -> list[Column]:
+    return [F.col("score").desc(), F.col("position"), F.col("url")]
+
+
+def _best_by_text(products, listings, by_text, texts, text_hits, kind, k, ratio) -> DataFrame:
+    """A listing that shows neither reference nor ean scores alike for all products of a text, so the text's best ones
+    serve them all. Listings that a product's own queries reach, or that show its reference or ean, are scored for the
+    product and replace entries of the text's list, which is longer than k by the most that any product replaces.
+    """
     spark = products.sparkSession
-    text_hits = written(spark, _text_hits(texts, listings, kind), "match-text-hits")
     of_product = by_text.select("id_product", "text_id")
-
-    own = by_text.select("id_product", F.explode("own").alias("q")).select("id_product", "q.position", "q.query")
-    own = own.join(search_listings(own, listings), "query").select(*PAIR, "url", "position", "query")
-    shown = _shown_evidence(by_text, listings).unionByName(own.select(*PAIR, "url")).distinct().join(of_product, "id_product")
-    shared = text_hits.select(
-        F.col("id_product").alias("text_id"), "competitor_id", "url", "position", F.col("matched_query").alias("query")
-    )
-    shown = shown.join(shared, ["text_id", "competitor_id", "url"]).select(*PAIR, "url", "position", "query")
-    special = written(spark, _first_found(own.unionByName(shown)), "match-special")
+    own = written(spark, _own_hits(by_text, listings), "match-own-hits")
+    special = _with_shared_hits(own, by_text, text_hits, _shown_evidence(by_text, listings))
+    special = written(spark, _first_found(special), "match-special")
     replaced = special.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).join(of_product, "id_product")
     replaced = replaced.groupBy("text_id", "competitor_id").agg(F.max("n").alias("more"))
-    replaced = written(spark, replaced, "match-replaced")
     longest = replaced.agg(F.max("more")).first()[0] or 0
 
-    columns = [*PAIR, "url", "position", "matched_query", "score"]
-    scored = score_candidates(attach_facts(special, products, listings), kind).select(*columns)
-    text_scored = score_candidates(attach_facts(text_hits, texts.drop("shared"), listings), kind).select(*columns)
-    order = [F.col("score").desc(), F.col("position"), F.col("url")]
-    lists = top_k_per(text_scored, PAIR, order, k + longest).withColumnRenamed("id_product", "text_id")
-    lists = lists.join(replaced, ["text_id", "competitor_id"], "left")
-    lists = lists.where(F.col("rank") <= k + F.coalesce("more", F.lit(0))).drop("rank", "more")
-    lists = written(spark, lists, "match-lists")
-    alike = of_product.join(lists, "text_id").select(*columns)
+    scored = score_candidates(attach_facts(special, products, listings), kind).select(*RANKED)
+    text_scored = score_candidates(attach_facts(text_hits, texts.drop("shared"), listings), kind).select(*RANKED)
+    text_scored = text_scored.withColumnRenamed("id_product", "text_id").join(replaced, ["text_id", "competitor_id"], "left")
+    text_scored = written(spark, text_scored.withColumn("more", F.coalesce("more", F.lit(0))), "match-text-scores")
+    lists, low, high = None, 0, 0
+    while True:  # lists of about the same length share a fixed limit, which ranking applies before the shuffle
+        part = top_k_per(text_scored.where(F.col("more").between(low, high)), ["text_id", "competitor_id"], _order(), k + high)
+        lists = part if lists is None else lists.unionByName(part)
+        if high >= longest:
+            break
+        low, high = high + 1, max(2 * k, 4 * high)
+    lists = written(spark, lists.where(F.col("rank") <= k + F.col("more")).drop("rank", "more"), "match-lists")
+    alike = of_product.join(lists, "text_id").select(*RANKED)
     alike = alike.join(special.select(*PAIR, "url"), [*PAIR, "url"], "left_anti")
-    ranked = top_k_per(scored.unionByName(alike), PAIR, order, k)
-    return plain(attach_facts(ranked, products, listings))
+    return top_k_per(scored.unionByName(alike), PAIR, _order(), k)
+
+
+def _best_by_price(products, listings, by_text, texts, text_hits, kind, k, ratio) -> DataFrame:
+    """Texts are compared once per text and listing; `best_priced` finds each price's best. A listing that a product's
+    own queries reach too scores the same, only its place among the queries may be earlier."""
+    spark = products.sparkSession
+    kept = ["position", "matched_query", "similarity", "year_points", "c_price"]
+    rows = similar_candidates(attach_facts(text_hits, texts.drop("shared"), listings), kind, ratio)
+    rows = rows.select(F.col("id_product").alias("text_id"), "competitor_id", "url", *kept)
+    rows = written(spark, rows, "match-similarity")
+    priced = by_text.select("id_product", "text_id", F.col("source_price").cast("double").alias("source_price"))
+    shared = best_priced(rows, priced, *PRICE_STEPS[kind], k)
+    own = _first_found(_with_shared_hits(_own_hits(by_text, listings), by_text, text_hits))
+    own = score_candidates(attach_facts(own, products, listings), kind, ratio)
+    both = shared.select(*RANKED).unionByName(own.select(*RANKED))
+    first = both.groupBy(*PAIR, "url").agg(F.min(F.struct("position", "matched_query", "score")).alias("f"))
+    return top_k_per(first.select(*PAIR, "url", "f.position", "f.matched_query", "f.score"), PAIR, _order(), k)
+
+
+def best_by_site(products: DataFrame, listings: DataFrame, competitors: DataFrame, ratio: Column | None = None) -> DataFrame:
+    """`best_candidates` of every competitor by the queries, score and list length of its `profile`."""
+    profile = F.when(F.col("profile").isin(*TOP), F.col("profile")).otherwise("base")
+    sites = competitors.select(F.col("id").alias("competitor_id"), profile.alias("profile"))
+    out = None
+    for kind in TOP:
+        known = listings.join(sites.where(F.col("profile") == kind), "competitor_id", "left_semi")
+        part = best_candidates(products, known, kind, ratio=ratio).withColumn("profile", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 PRODUCT_KEYS = {"brand": "brand", "name": "name", "reference": "supplier_reference"}
@@ -320,10 +376,6 @@ def _base_score() -> Column:
     )
 
 
-def _clamped(score: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.rint(score).cast("int")))
-
-
 def _index_score() -> Column:
     title = F.col("__title")
     ean, hit_ean = T.valid_ean("ean"), T.valid_ean("c_ean")
@@ -342,7 +394,7 @@ def _index_score() -> Column:
         - _points(T.contains_any(title, INDEX_ACCESSORIES), 35)
         - _points(T.contains_any(title, INDEX_USED_MARKS), 50)
     )
-    return _clamped(score)
+    return clamped(score)
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
@@ -359,21 +411,11 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def _price_points(steps: tuple[tuple[float, int], ...], near: tuple[tuple[float, int], ...] = ()) -> Column:
-    gap = M.price_ratio("c_price", "source_price")
-    out = F.lit(0)
-    for low, points in reversed(steps):
-        out = F.when(gap >= low, points).otherwise(out)
-    for high, points in reversed(near):
-        out = F.when(gap <= high, points).otherwise(out)
-    return F.when(gap.isNull(), 0).otherwise(out)
-
-
 def _year_points() -> Column:
     return T.year_penalty(F.col("__core"), F.col("__title"), F.col("__brand"), F.col("__manufacturer"))
 
 
-def _score_tokens(df: DataFrame, ratio: Column | None) -> DataFrame:
+def _similar_tokens(df: DataFrame, ratio: Column | None) -> DataFrame:
     rows = df.withColumn("__core", T.normalize_text(T.core_name("name"))).withColumns(
         {
             "__q": T.meaningful_tokens("__core"),
@@ -414,12 +456,16 @@ def _score_tokens(df: DataFrame, ratio: Column | None) -> DataFrame:
         .when(F.col("__left") | F.col("__c_left"), -15)
         .otherwise(0)
     )
-    score = capped + hands + _price_points(((0.50, -40), (0.35, -30), (0.20, -15))) + _year_points()
-    empty = (F.size("__q") == 0) | (F.size("__t") == 0)
-    return rows.withColumn("score", F.when(empty, 0).otherwise(_clamped(score)))
+    empty = (F.size("__q") == 0) | (F.size("__t") == 0)  # scores 0, and no price or year adds to it
+    return rows.withColumns(
+        {
+            "similarity": F.when(empty, 0.0).otherwise(capped + hands),
+            "year_points": F.when(empty, 0).otherwise(_year_points()),
+        }
+    )
 
 
-def _score_signature(df: DataFrame, ratio: Column | None) -> DataFrame:
+def _similar_signature(df: DataFrame, ratio: Column | None) -> DataFrame:
     rows = df.withColumn("__core", T.normalize_text(T.core_name("name")))
     seller = F.when(F.coalesce("c_brand", F.lit("")) != "", F.col("__manufacturer")).otherwise(F.col("__brand"))
     rows = rows.withColumn("__seller", seller).withColumns(
@@ -442,24 +488,32 @@ def _score_signature(df: DataFrame, ratio: Column | None) -> DataFrame:
         + _points(_inside("__core", "__title"), 10)
         + _points(_inside("__brand", "__title"), 5)
         - _points(F.exists(T.words("__title"), lambda w: w.isin(*TITLE_ACCESSORIES)), 35)
-        + _price_points(((0.50, -35), (0.35, -25), (0.20, -15)), near=((0.05, 10), (0.15, 5)))
-        + _year_points()
     )
-    return rows.withColumn("score", _clamped(score))
+    return rows.withColumns({"similarity": score.cast("double"), "year_points": _year_points()})
+
+
+def similar_candidates(pairs: DataFrame, kind: str, ratio: Column | None = None) -> DataFrame:
+    """What the tokens and signature scores owe to text alone, as `similarity` and `year_points`; prices are not read.
+    Texts are compared by difflib, or by the `ratio` given."""
+    rows = _normalized(pairs)
+    if kind == "tokens":
+        rows = _similar_tokens(drop_b_stock(rows).where(brand_overlap("brand", "c_brand")), ratio)
+    else:
+        rows = _similar_signature(rows, ratio)
+    return plain(rows)
 
 
 def score_candidates(pairs: DataFrame, kind: str = "base", ratio: Column | None = None) -> DataFrame:
-    """Score of every candidate pair (see `attach_facts`). The index form drops scores below its floor. The tokens and
-    signature forms compare texts by difflib, or take the `ratio` given."""
+    """Score of every candidate pair (see `attach_facts`). The index form drops scores below its floor."""
+    if kind in PRICE_STEPS:
+        points = price_points("c_price", "source_price", *PRICE_STEPS[kind])
+        score = priced_score(F.col("similarity"), points, F.col("year_points"))
+        return similar_candidates(pairs, kind, ratio).withColumn("score", score).drop("similarity", "year_points")
     rows = _normalized(pairs)
-    if kind == "base":
+    if kind != "index":  # sites that are asked by name alone are scored like the base ones
         rows = rows.withColumn("score", _base_score())
-    elif kind == "index":
-        rows = rows.withColumn("score", _index_score()).where(F.col("score") >= INDEX_KEEP)
-    elif kind == "tokens":
-        rows = _score_tokens(drop_b_stock(rows).where(brand_overlap("brand", "c_brand")), ratio)
     else:
-        rows = _score_signature(rows, ratio)
+        rows = rows.withColumn("score", _index_score()).where(F.col("score") >= INDEX_KEEP)
     return plain(rows)
 
 
