@@ -82,10 +82,26 @@ def expand_queries(products: DataFrame, order: str = "base") -> DataFrame:
 
 def listing_words(listings: DataFrame) -> DataFrame:
     """Listings with the distinct words a site search can find them by."""
+    if "__found_by" in listings.columns:
+        return listings.select("competitor_id", "url", F.col("__title").alias("title_norm"), F.col("__found_by").alias("found_by"))
     found = T.words(T.normalize_text(F.concat_ws(" ", "title", "reference", "ean")))
     return listings.select("competitor_id", "url", T.normalize_text("title").alias("title_norm"), F.array_distinct(found).alias("found_by"))
 
 
+def _prepared(products: DataFrame, listings: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Both catalogues as tables with all that is worked out per product and per listing: texts and queries, text keys,
+    words. Spread by key, so that the pair work that follows is even whatever files the catalogues come in."""
+    spark = products.sparkSession
+    mine = _by_text(_with_keys(products, PRODUCT_KEYS), order)
+    found = T.words(T.normalize_text(F.concat_ws(" ", "title", "reference", "ean")))
+    keys = {"title": "title", "manufacturer": "brand", "hit_reference": "reference"}
+    theirs = _with_keys(listings, keys).withColumn("__found_by", F.array_distinct(found))
+    return (
+        written(spark, mine.repartition("id_product"), "match-products"),
+        written(spark, theirs.repartition("competitor_id", "url"), "match-listings"),
+    )
+
+
 def search_listings(
     queries: DataFrame, listings: DataFrame, page: int | None = None, block_rows: int = WORD_BLOCK
 ) -> DataFrame:
@@ -143,22 +159,23 @@ def _by_text(products: DataFrame, order: str) -> DataFrame:
     branded = F.when(reference != "", F.trim(F.concat_ws(" ", brand, reference))).otherwise("")
     numbered = F.transform(query_list(order), lambda q, i: F.struct(i.alias("position"), q.alias("query")))
     names = F.array(reference, ean, branded)
-    rows = products.withColumns({"__queries": numbered, "__names": names})
+    rows = _with_keys(products, PRODUCT_KEYS).withColumns({"__queries": numbered, "__names": names})
     rows = rows.withColumns(
         {
             "own": F.filter("__queries", lambda q: F.array_contains("__names", q["query"])),
             "shared": F.filter("__queries", lambda q: ~F.array_contains("__names", q["query"])),
             # a reference of signs alone is found in every title, so it belongs to the text
-            "signs": F.when(T.normalize_text("supplier_reference") == "", F.coalesce("supplier_reference", F.lit(""))).otherwise(""),
+            "signs": F.when(F.col("__reference") == "", F.coalesce("supplier_reference", F.lit(""))).otherwise(""),
         }
     )
-    text = F.to_json(F.struct(T.normalize_text("brand"), T.normalize_text("name"), "shared", "signs"))
+    text = F.to_json(F.struct("__brand", "__name", "shared", "signs"))
     return rows.withColumn("text_id", F.md5(text)).drop("__queries", "__names")
 
 
 def _texts(by_text: DataFrame) -> DataFrame:
     """One product per text, without ean and, but for signs, without reference."""
-    first = by_text.groupBy("text_id").agg(F.min_by(F.struct("brand", "name", "signs", "shared"), "id_product").alias("f"))
+    kept = F.struct("brand", "name", "signs", "shared", "__brand", "__name")
+    first = by_text.groupBy("text_id").agg(F.min_by(kept, "id_product").alias("f"))
     return first.select(
         F.col("text_id").alias("id_product"),
         F.col("f.signs").alias("supplier_reference"),
@@ -166,7 +183,10 @@ def _texts(by_text: DataFrame) -> DataFrame:
         "f.brand",
         "f.name",
         F.lit(None).cast("double").alias("source_price"),
-        F.col("f.shared").alias("shared"),
+        "f.shared",
+        "f.__brand",
+        "f.__name",
+        F.lit("").alias("__reference"),
     )
 
 
@@ -178,7 +198,7 @@ def generate_candidates(products: DataFrame, listings: DataFrame, order: str = "
     every product with every listing of its name would grow with the square of a name's products. `best_candidates`
     ranks both per product.
     """
-    by_text = _by_text(products, order)
+    by_text, listings = _prepared(products, listings, order)
     heads = by_text.groupBy("text_id").agg(F.min("id_product").alias("head"))
     text_hits = written(products.sparkSession, _text_hits(_texts(by_text), listings, order), "match-text-hits")
     own = written(products.sparkSession, _own_hits(by_text, listings), "match-own-hits")
@@ -215,9 +235,9 @@ def _with_shared_hits(own: DataFrame, by_text: DataFrame, text_hits: DataFrame,
 def _shown_evidence(by_text: DataFrame, listings: DataFrame) -> DataFrame:
     """(id_product, competitor_id, url): titles that show a product's ean or reference anywhere, and equal eans."""
     needles = by_text.select(
-        "id_product", F.explode(F.array(F.coalesce("ean", F.lit("")), T.normalize_text("supplier_reference"))).alias("needle")
+        "id_product", F.explode(F.array(F.coalesce("ean", F.lit("")), "__reference")).alias("needle")
     ).where("needle <> ''").distinct()
-    titles = listings.select("competitor_id", "url", T.normalize_text("title").alias("text"))
+    titles = listings.select("competitor_id", "url", F.col("__title").alias("text"))
     shown = needles.join(substring_pairs(needles, titles, ["competitor_id", "url"]), "needle").select(*PAIR, "url")
     mine = by_text.select("id_product", T.valid_ean("ean").alias("e")).where("e <> ''")
     theirs = listings.select("competitor_id", "url", T.valid_ean("ean").alias("e")).where("e <> ''")
@@ -234,7 +254,8 @@ def best_candidates(
     on the product's price (`price_bands`); the latter compare texts by difflib, or by the `ratio` given.
     """
     k = TOP[kind] if k is None else k
-    by_text = _by_text(products, kind)
+    by_text, listings = _prepared(products, listings, kind)
+    products = by_text.drop("text_id", "own", "shared", "signs")
     texts = _texts(by_text)
     text_hits = written(products.sparkSession, _text_hits(texts, listings, kind), "match-text-hits")
     find = _best_by_price if kind in PRICE_STEPS else _best_by_text
@@ -331,6 +352,7 @@ def attach_facts(candidates: DataFrame, products: DataFrame, listings: DataFrame
         F.col("brand").alias("c_brand"),
         F.col("breadcrumb").alias("c_breadcrumb"),
         F.col("price").alias("c_price"),
+        *[c for c in ("__title", "__manufacturer", "__hit_reference") if c in listings.columns],
     )
     mine = _with_keys(products, PRODUCT_KEYS)
     return candidates.join(mine, "id_product").join(_with_keys(theirs, LISTING_KEYS), ["competitor_id", "url"])
