@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.prices import parse_price
 from ..functions.urls import canonical_url
 from ..operators import matching as X
+from ..operators.hash_search import near_hashes
 from ..operators import pages as P
 from .competitor_sql import URL, with_ci
 from .fact_sql import CODE
@@ -764,3 +765,27 @@ def _(spark, sf):
     hashes = _hashes(spark, sf)
     pairs = hashes.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
     return X.hamming_pairs(pairs, hashes, hashes).select("id_a", "id_b", "distance")
+
+
+def _image_copies(spark, sf):
+    """Every image as it is, with a sixteenth of its values turned round, and some once more."""
+    vectors = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    turned = F.transform("v", lambda x, i: F.when(i % 16 == F.col("vec_id") % 16, -x).otherwise(x))
+    copies = vectors.select(F.col("vec_id"), F.explode(F.array("v", turned, F.when(F.col("vec_id") % 5 == 0, F.col("v")))).alias("v"))
+    return copies.where("v is not null").select(F.col("vec_id").alias("id"), X.average_hash("v").alias("hash"))
+
+
+_COPIES = """embeddings AS (SELECT vec_id, unnest([v, list_transform(v, lambda x, i: CASE WHEN (i - 1) % 16 = vec_id % 16 THEN -x ELSE x END)]
+      || CASE WHEN vec_id % 5 = 0 THEN [v] ELSE [] END) AS embedding
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM main.embeddings))"""
+
+
+#: Every hash against every hash.
+@query(
+    "m29_near_hashes",
+    f"""WITH {_COPIES}, {_HASH}, d AS (SELECT hash, count(*) AS n FROM hashes GROUP BY hash)
+    SELECT a.hash AS hash_a, b.hash AS hash_b, a.n AS n_a, b.n AS n_b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance
+    FROM d a JOIN d b ON a.hash < b.hash OR (a.hash = b.hash AND a.n > 1) WHERE bit_count(xor(a.hash, b.hash)) <= 6""",
+)
+def _(spark, sf):
+    return near_hashes(_image_copies(spark, sf), 6)

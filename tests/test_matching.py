@@ -6,7 +6,9 @@ import difflib
 import itertools
 import random
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from retailweave import fixtures as fx
@@ -14,6 +16,9 @@ from retailweave.functions import text as T
 from retailweave.operators import feed as W
 from retailweave.operators import matching as X
 from retailweave.operators import pages as P
+from retailweave.operators.gram_index import substring_pairs
+from retailweave.operators.hash_search import near_hashes
+from retailweave.operators.price_bands import best_priced
 from test_functions import normal
 
 
@@ -266,3 +271,68 @@ def test_best_candidates_look_at_every_listing(spark):
         want.setdefault((r["id_product"], r["competitor_id"]), []).append((r["rank"], r["url"], r["score"]))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert sorted(got[1, 1])[0][1] == "u99"
+
+
+@pytest.mark.parametrize("limit,crowded,block", [(0, 2000, 1000), (3, 2000, 1000), (5, 8, 5), (9, 20, 1000)])
+def test_near_hashes_equal_all_pairs(spark, limit, crowded, block):
+    """Clusters around a few hashes, one hash many times, and hashes that share most of their bits."""
+    rng = random.Random(limit)
+    rows = []
+    for centre in [rng.getrandbits(64) for _ in range(6)] + [0, (1 << 64) - 1]:
+        for _ in range(25):
+            flips = sum(1 << b for b in rng.sample(range(64), rng.randrange(12)))
+            rows.append(centre ^ flips)
+    rows += [rows[3]] * 40 + [rng.getrandbits(12) for _ in range(60)] + [rng.getrandbits(64) for _ in range(50)]
+    signed = [h - (1 << 64) if h >> 63 else h for h in rows]
+    hashes = spark.createDataFrame([(i, h) for i, h in enumerate([*signed, None])], "id long, hash long")
+    counts = Counter(signed)
+    bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    want = {(a, b, counts[a], counts[b], bits(a, b)) for a in counts for b in counts if a < b and bits(a, b) <= limit}
+    want |= {(a, a, n, n, 0) for a, n in counts.items() if n > 1}
+    got = [tuple(r) for r in near_hashes(hashes, limit, crowded=crowded, block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("block_rows", [3, 50_000])
+def test_substring_pairs_equal_contains(spark, block_rows):
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice("ab 1") for _ in range(rng.randrange(30)))) for i in range(80)] + [(80, None), (3, "abab"), (81, "é1 ab")]
+    needles = ["a", "b1", "ab ", "1 ab", "é", "zz", "abab", "a" * 9, "", *{t[:n] for _, t in texts[:30] for n in (5, 9, 17)}]
+    table = spark.createDataFrame(texts, "key long, text string")
+    wanted = spark.createDataFrame([(n,) for n in [*needles, "ab "]], "needle string")
+    got = Counter((r["needle"], r["key"]) for r in substring_pairs(wanted, table, ["key"], block_rows=block_rows).collect())
+    assert got == Counter((n, k) for n in set(needles) - {""} for k, t in texts if t and n in t)
+
+
+@pytest.mark.parametrize("kind", ["tokens", "signature"])
+def test_priced_ranking_equals_all_pairs(spark, kind):
+    """Many products and listings of one text at all prices: the best k of every pair scored on its own."""
+    rng = random.Random(3)
+    prices = [round(rng.choice([10, 100, 1000]) * rng.uniform(0.4, 2.2), 2) for _ in range(60)] + [None, 0.0, -3.0, 100.0, 100.0]
+    products = [(i, f"t{i % 2}", p) for i, p in enumerate(prices)] + [(900, "t9", 5.0)]
+    rows = []
+    for i in range(400):
+        price = rng.choice([*prices, round(100 * rng.uniform(0.4, 2.2), 2)])
+        similarity = float(rng.choice([-20, 0, 12.5, 40, 70.25, 95, 110]))
+        rows.append((f"t{i % 2}", i % 3, f"u{i}", rng.randrange(3), f"q{i}", similarity, rng.choice([0, 0, -25]), price))
+    texts = spark.createDataFrame(
+        rows, "text_id string, competitor_id int, url string, position int, matched_query string, similarity double, year_points int, c_price double"
+    )
+    mine = spark.createDataFrame(products, "id_product long, text_id string, source_price double")
+    steps, k = X.PRICE_STEPS[kind], X.TOP[kind]
+    got = {tuple(r) for r in best_priced(texts, mine, *steps, k).collect()}
+
+    def points(c, x):
+        if not (c and x and c > 0 and x > 0):
+            return 0
+        gap = abs(c - x) / x
+        return next((p for g, p in steps[1] if gap <= g), None) or next((p for g, p in steps[0] if gap >= g), 0)
+
+    want = set()
+    for i, text, x in products:
+        for site in range(3):
+            scored = [
+                (-clamp(s + points(c, x) + y), pos, url, q) for t, m, url, pos, q, s, y, c in rows if t == text and m == site
+            ]
+            want |= {(i, site, url, pos, q, -score) for score, pos, url, q in sorted(scored)[:k]}
+    assert got == want
