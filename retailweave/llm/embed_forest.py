@@ -1,15 +1,17 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-A tree splits its points at the median of their projections on a random direction; points within `SPILL` of the median
-rank go to both sides, so close pairs are seldom parted. Splitting goes on, in rounds of `ROUND_DEPTH` levels, until
-every leaf has `LEAF` points at most. The medians of a round are taken from a sample of `SAMPLE` points a node; every
-point is then sent down. Points are compared within leaves, by cosine in double precision.
-
-How many trees it takes depends on the vectors: within a dense group projections lie close together, and a split parts
-far more of its pairs. So the miss is measured. For `PROBES` of the points a partner at the threshold's angle is made up
-and sent down beside the points; `KEPT_PER_LEVEL` only gives the number of trees to begin with. Trees are added until in
-each eighth of the first tree's space the share of partners that never shared a leaf with their point is `MISS` or less. Where that
-would take as many comparisons as all pairs have, all pairs are compared instead, in blocks of `BLOCK` points.
+A tree splits its points at the median of their projections on a random direction. Points near the median go to both
+sides: how near is read off the node. A pair at the threshold's angle lies a normal gap of known width apart on any
+direction, so from a sample of the node's projections follows the share of such pairs that a spill would part, and the
+least of `SPILLS` is taken that keeps `KEPT_PER_LEVEL` of them. Dense nodes, whose projections lie close together, so get
+more spill than loose ones. Splitting goes on, in rounds of `ROUND_DEPTH` levels, until every leaf has `LEAF` points at
+most or is dense: no spill keeps enough, as the node is not wider than the pairs it must not part. Points are compared
+within leaves, by cosine in double precision; leaves beyond `BLOCK` points are cut into blocks, each compared with each.
+
+How many trees it takes depends on the depth that the vectors lead to, so the miss is measured. For `PROBES` of the points
+a partner at the threshold's angle is made up and sent down beside the points. Trees are added, `BATCH` at a time, until
+in each eighth of the first tree's space the share of partners that never shared a leaf with their point is `MISS` or
+less. A batch's tables are removed when its pairs are written.
 
 Groups of copies are not expanded. Equal vectors are one point from the start. Points are then gathered into balls by a
 few passes over unspilled trees: all members lie within a third of the threshold's angle of the ball's centre, so by the
@@ -18,8 +20,8 @@ whole. The forest holds the balls' centres. Two balls whose angle and radii leav
 at all; only balls on the edge have their members compared.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
-different lengths never link; a null id is an id after all others; rows that repeat an id are vectors of their own; an
-empty table gives an empty one.
+different lengths never link; a null id is an id after all others, so a component has it only if it has no other, and then
+component_id is null; rows that repeat an id are vectors of their own; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,27 +36,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import remove_path, work_path
 from .graph import connected_components
 
 SIMILARITY = 0.9
 LEAF = 512
-SPILL = 0.05
+SPILLS = (0.0, 0.02, 0.05, 0.08, 0.12, 0.16, 0.2, 0.25)
 SAMPLE = 1024
 ROUND_DEPTH = 6
 MISS = 0.01
 KEPT_PER_LEVEL = 0.92
 PROBES = 2048
+BATCH = 4
 BLOCK = 1024
 LAST_ID = 2**63 - 1
 _EPS = 1e-9
 _ASSIGNED = "tree int, leaf string, node binary, v array<double>, radius double"
 
 
-def _written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    path = work_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class _Tables:
+    """Tables in the shared folder that are removed together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = work_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        while self.paths:
+            remove_path(self.spark, self.paths.pop())
 
 
 def _valid(vector: Column) -> Column:
@@ -65,12 +79,21 @@ def _valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & some, F.lit(False))
 
 
+def _bound(value: Column, body) -> Column:
+    """`body` of the value, which is worked out once however often the body looks at it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unit(vector: Column) -> Column:
     """Scaled to its largest component first, so squares neither overflow nor vanish."""
     largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    scaled = F.transform(vector, lambda x: x.cast("double") / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(scaled, lambda x: x / norm)
+    scaled = _bound(largest, lambda m: F.transform(vector, lambda x: x.cast("double") / m))
+
+    def divided(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return _bound(norm, lambda n: F.transform(v, lambda x: x / n))
+
+    return _bound(scaled, divided)
 
 
 # --- trees -----------------------------------------------------------------------------------------------------------
@@ -87,8 +110,27 @@ def _rows(column: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _fit(frame: pd.DataFrame, seed: int, spill: float) -> pd.DataFrame:
-    """Lower and upper limits of a round's inner nodes, from a node's sample."""
+def _normal_above(x: np.ndarray) -> np.ndarray:
+    """Share of a standard normal beyond x."""
+    return 0.5 * np.vectorize(math.erfc, otypes=[float])(x / math.sqrt(2))
+
+
+def _limits(p: np.ndarray, gap: float) -> tuple[float, float] | None:
+    """Where a node with these projections is split: the least spill that keeps enough pairs of this gap."""
+    for spill in SPILLS:
+        low, high = np.quantile(p, (0.5 - spill, 0.5 + spill))
+        # a pair is parted if one point lies below the spill and the other beyond it
+        parted = _normal_above((high - p[p < low]) / gap).sum() + _normal_above((p[p > high] - low) / gap).sum()
+        if parted <= (1 - KEPT_PER_LEVEL) * len(p):
+            return low, high
+    return None
+
+
+def _fit(frame: pd.DataFrame, seed: int, gap: float | None) -> pd.DataFrame:
+    """Lower and upper limits of a round's inner nodes, from a node's sample; none if the node is dense.
+
+    A dense inner node is passed on whole, for the next round to find.
+    """
     tree, leaf = int(frame["tree"].iloc[0]), frame["leaf"].iloc[0]
     x = np.stack(frame.sort_values("node")["v"].to_numpy())
     projected = x @ _directions(tree, leaf, seed, x.shape[1]).T
@@ -99,7 +141,11 @@ def _fit(frame: pd.DataFrame, seed: int, spill: float) -> pd.DataFrame:
         own = members.get(node, np.array([], int))
         p = projected[own, node]
         if len(p):
-            low[node], high[node] = np.quantile(p, (0.5 - spill, 0.5 + spill))
+            found = (np.median(p),) * 2 if gap is None else _limits(p, gap)
+            if found is None and node == 0:
+                return pd.DataFrame({"tree": [tree], "leaf": [leaf], "low": [[]], "high": [[]]})
+            # below all points: nothing goes to the lower child
+            low[node], high[node] = (-np.inf, -np.inf) if found is None else found
         members[2 * node + 1], members[2 * node + 2] = own[p <= high[node]], own[p > low[node]]
     return pd.DataFrame({"tree": [tree], "leaf": [leaf], "low": [low.tolist()], "high": [high.tolist()]})
 
@@ -139,12 +185,14 @@ def _send_down(seed: int):
     return send
 
 
-def _forest(points: DataFrame, trees: range, spill: float, seed: int, leaf_size: int) -> DataFrame:
-    """(tree, leaf, node, v, radius): every point in its leaves, of `leaf_size` points at most.
+def _forest(
+    points: DataFrame, trees: range, gap: float | None, seed: int, leaf_size: int, tables: _Tables
+) -> DataFrame:
+    """(tree, leaf, node, v, radius, points): every point in its leaves and the points there, `leaf_size` at most where a
+    leaf is not dense. Without a gap there is no spill.
 
     Probes (radius below 0) go down with the points and have no say in the splits.
     """
-    spark = points.sparkSession
     real = F.col("radius") >= 0
     rows = points.select(
         F.explode(F.array(*map(F.lit, trees))).alias("tree"),
@@ -157,25 +205,26 @@ def _forest(points: DataFrame, trees: range, spill: float, seed: int, leaf_size:
     last = None
     while True:
         sizes = rows.groupBy("tree", "leaf").agg(F.count(F.when(real, 1)).alias("points"))
-        sizes = _written(spark, sizes.where(F.col("points") > leaf_size), "forest-sizes")
-        crowded = sizes.agg(F.count(F.lit(1)).alias("n"), F.max("points").alias("m")).first()
-        # a round that parts nothing more: points on one spot as far as directions tell
-        if not crowded["n"] or last == (crowded["n"], crowded["m"]):
-            return rows if done is None else done.union(rows)
-        last = (crowded["n"], crowded["m"])
-        full = rows.join(sizes.select("tree", "leaf"), ["tree", "leaf"], "left_anti")
-        done = full if done is None else done.union(full)
-        big = rows.join(sizes, ["tree", "leaf"])
+        sizes = tables.written(sizes, "forest-sizes")
+        small = rows.join(sizes.where(F.col("points") <= leaf_size), ["tree", "leaf"])
+        done = small if done is None else done.unionByName(small)
+        big = rows.join(sizes.where(F.col("points") > leaf_size), ["tree", "leaf"])
+        state = tuple(sizes.where(F.col("points") > leaf_size).agg(F.count(F.lit(1)), F.max("points")).first())
+        if not state[0] or state == last:  # nothing is left, or points on one spot as far as directions tell
+            return done.unionByName(big)
+        last = state
         draw = F.pmod(F.xxhash64("node", "tree", F.lit(seed)), F.lit(1 << 30)) < F.lit(SAMPLE << 30) / F.col("points")
         limits = (
             big.where(draw & real)
             .select("tree", "leaf", "node", "v")
             .groupBy("tree", "leaf")
-            .applyInPandas(lambda f: _fit(f, seed, spill), "tree int, leaf string, low array<double>, high array<double>")
+            .applyInPandas(lambda f: _fit(f, seed, gap), "tree int, leaf string, low array<double>, high array<double>")
         )
-        limits = _written(spark, limits, "forest-limits")
-        sent = rows.join(limits, ["tree", "leaf"]).select("tree", "leaf", "node", "v", "radius", "low", "high")
-        rows = _written(spark, sent.mapInArrow(_send_down(seed), _ASSIGNED), "forest-points")
+        limits = tables.written(limits, "forest-limits")
+        dense = F.size("low") == 0
+        done = done.unionByName(big.join(limits.where(dense).select("tree", "leaf"), ["tree", "leaf"], "left_semi"))
+        sent = rows.join(limits.where(~dense), ["tree", "leaf"]).select("tree", "leaf", "node", "v", "radius", "low", "high")
+        rows = tables.written(sent.mapInArrow(_send_down(seed), _ASSIGNED), "forest-points")
 
 
 # --- balls -----------------------------------------------------------------------------------------------------------
@@ -199,30 +248,36 @@ def _gather(frame: pd.DataFrame, reach: float) -> pd.DataFrame:
     return pd.DataFrame({"node": frame["node"], "centre": frame["node"].to_numpy()[owner], "bound": bound})
 
 
-def _balls(points: DataFrame, reach: float, leaf_size: int) -> DataFrame:
-    """(node, centre, radius of the ball), by passes until a pass gathers less than a tenth of the balls."""
+def _balls(points: DataFrame, reach: float, leaf_size: int) -> tuple[DataFrame, _Tables]:
+    """(node, centre, radius of the ball), by passes until a pass gathers less than a tenth of the balls; and its tables."""
     spark = points.sparkSession
     centres = points.select("node", "v", F.lit(0.0).alias("radius"))
     owners = points.select("node", F.col("node").alias("centre"))
     count = points.count()
-    seed = 0
+    seed, older = 0, _Tables(spark)
     while count:
         seed += 1
-        leaves = _forest(centres, range(1), 0.0, -seed, leaf_size)
-        moved = leaves.groupBy("tree", "leaf").applyInPandas(
+        scratch, tables = _Tables(spark), _Tables(spark)
+        leaves = _forest(centres, range(1), None, -seed, leaf_size, scratch)
+        # points that no direction parts may be many: a ball is as good from any share of them
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("points") / BLOCK)).alias("part")
+        moved = leaves.select("tree", "leaf", part, "node", "v", "radius").groupBy("tree", "leaf", "part").applyInPandas(
             lambda f: _gather(f, reach), "node binary, centre binary, bound double"
         )
-        moved = _written(spark, moved, "balls-moved")
+        moved = scratch.written(moved, "balls-moved")
         radii = moved.groupBy("centre").agg(F.max("bound").alias("radius"))
         centres = centres.select("node", "v").join(radii.withColumnRenamed("centre", "node"), "node")
-        centres = _written(spark, centres.select("node", "v", "radius"), "balls-centres")
+        centres = tables.written(centres.select("node", "v", "radius"), "balls-centres")
         step = moved.select(F.col("node").alias("centre"), F.col("centre").alias("next"))
         owners = owners.join(step, "centre").select("node", F.col("next").alias("centre"))
-        owners = _written(spark, owners, "balls-owners")
+        owners = tables.written(owners, "balls-owners")
+        scratch.remove()
+        older.remove()
+        older = tables
         before, count = count, centres.count()
         if count > 0.9 * before:
             break
-    return owners.join(centres.select(F.col("node").alias("centre"), "radius"), "centre")
+    return owners.join(centres.select(F.col("node").alias("centre"), "radius"), "centre"), older
 
 
 def _close(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -288,53 +343,56 @@ def _met(leaves: DataFrame) -> DataFrame:
     return leaves.where("radius >= 0").select("tree", "leaf", "node").join(probes, ["tree", "leaf", "node"]).select("probe").distinct()
 
 
-def _all_blocks(centres: DataFrame, count: int, similarity: float) -> DataFrame:
-    """All pairs of centres, block by block."""
-    blocks = math.ceil(count / BLOCK)
-    dealt = centres.select("*", F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).alias("block"), F.size("v").alias("width"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def _compared(leaves: DataFrame, similarity: float, leaf_size: int) -> DataFrame:
+    """(a, b, sure) of all leaves; those beyond a block's size, which only dense leaves are, block by block."""
+    kinds = "a binary, b binary, sure boolean"
+    most = max(leaf_size, BLOCK)
+    blocks = F.ceil(F.col("points") / most).cast("int")
+    dealt = leaves.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit("block")), blocks)})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    return dealt.groupBy("width", "one", "two").applyInPandas(
-        lambda f: _close(f, similarity), "a binary, b binary, sure boolean"
-    )
+    dealt = dealt.select("tree", "leaf", "one", "two", "block", "node", "v", "radius")
+    return dealt.groupBy("tree", "leaf", "one", "two").applyInPandas(lambda f: _close(f, similarity), kinds)
 
 
 def _near_centres(
-    balls: DataFrame, centres: DataFrame, similarity: float, leaf_size: int, trees: int | None
+    balls: DataFrame, centres: DataFrame, similarity: float, leaf_size: int, trees: int | None, tables: _Tables
 ) -> DataFrame:
     """(a, b, sure): pairs of balls that are linked or may have linked members."""
-    spark, kinds = centres.sparkSession, "a binary, b binary, sure boolean"
+    spark = centres.sparkSession
     count = centres.count()
+    gap = 2 * math.sin(math.acos(similarity) / 2)  # of unit vectors at the threshold, on directions of unit variance
     wanted, grown = trees or _tree_count(count, leaf_size), 0
     measured = trees is None and count > leaf_size
-    points = centres
+    points, lost, whole, miss = centres, None, {}, 0.0
     if measured:
-        probes = _written(spark, _probes(balls, balls.count(), similarity), "forest-probes")
+        probes = tables.written(_probes(balls, balls.count(), similarity), "forest-probes")
         points = centres.union(probes)
-        region = lost = None
     pairs: DataFrame | None = None
-    while True:
-        leaves = _forest(points, range(grown, wanted), SPILL, 1, leaf_size)
+    while grown < wanted:
+        rounds, batch = _Tables(spark), _Tables(spark)
+        numbers = range(grown, min(grown + BATCH, wanted))
+        leaves = batch.written(_forest(points, numbers, gap, 1, leaf_size, rounds), "forest-leaves")
+        rounds.remove()
+        found = _compared(leaves.where("radius >= 0"), similarity, leaf_size)
+        found = tables.written(found.groupBy("a", "b").agg(F.min("sure").alias("sure")), "forest-found")
+        pairs = found if pairs is None else pairs.union(found)
+        grown = numbers.stop
         if measured:
-            leaves = _written(spark, leaves, "forest-leaves")
-            if region is None:
+            if lost is None:
                 # an eighth: the first three levels of the first tree
                 eighth = F.floor((F.ascii(F.substring(F.substring_index("leaf", ":", -1), 1, 1)) - 48) / 8)
                 region = leaves.where("radius < 0 and tree = 0").groupBy(F.col("node").alias("probe")).agg(F.min(eighth).alias("region"))
-                lost = _written(spark, region, "forest-regions")
+                lost = tables.written(region, "forest-regions")
                 whole = {r["region"]: r["count"] for r in lost.groupBy("region").count().collect()}
-            lost = _written(spark, lost.join(_met(leaves), "probe", "left_anti"), "forest-lost")
-            missed = {r["region"]: r["count"] for r in lost.groupBy("region").count().collect()}
-            miss = max((missed.get(r, 0) / n for r, n in whole.items()), default=0.0)
-            copies = leaves.where("radius >= 0").count() / (count * (wanted - grown))
-        found = leaves.where("radius >= 0").groupBy("tree", "leaf").applyInPandas(lambda f: _close(f, similarity), kinds)
-        grown = wanted
-        if not measured or miss <= MISS:
-            return found if pairs is None else pairs.union(found)
-        wanted = math.ceil(grown * min(4.0, max(1.25, math.log(MISS) / math.log(min(miss, 0.99)))))
-        if wanted * copies * leaf_size * 0.7 >= count:
-            return _all_blocks(centres, count, similarity)
-        pairs = found if pairs is None else pairs.union(found)
+            lost = tables.written(lost.join(_met(leaves), "probe", "left_anti"), "forest-lost")
+            if grown == wanted:
+                missed = {r["region"]: r["count"] for r in lost.groupBy("region").count().collect()}
+                miss = max((missed.get(r, 0) / n for r, n in whole.items()), default=0.0)
+                if miss > MISS:
+                    wanted = math.ceil(grown * min(4.0, max(1.25, math.log(MISS) / math.log(min(miss, 0.99)))))
+        batch.remove()
+    return pairs
 
 
 # --- the operator ----------------------------------------------------------------------------------------------------
@@ -357,21 +415,23 @@ def near_vectors(
     valid = _valid(F.col("e"))
     node = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), F.col("e"))), 16, "0") for i in (1, 2)]))
     rows = rows.select("id", F.when(valid, node).alias("node"), F.when(valid, F.col("e")).alias("e"))
-    members = _written(spark, rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("rows")), "forest-members")
+    tables, kept = _Tables(spark), _Tables(spark)
+    members = kept.written(rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("rows")), "forest-members")
     points = rows.where("node is not null").groupBy("node").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("e").alias("e")
     )
-    points = _written(spark, points.select("node", "id", "n", _unit(F.col("e")).alias("v")), "forest-nodes")
+    points = tables.written(points.select("node", "id", "n", _unit(F.col("e")).alias("v")), "forest-nodes")
 
     limit = math.acos(similarity)
-    balls = _balls(points, limit / 3 - _EPS, leaf_size)
-    balls = _written(spark, balls.join(points, "node"), "forest-balls")
+    balls, gathered = _balls(points, limit / 3 - _EPS, leaf_size)
+    balls = tables.written(balls.join(points, "node"), "forest-balls")
+    gathered.remove()
     mass = balls.groupBy("centre").agg(F.sum("n").alias("mass"))
-    mass = _written(spark, mass, "forest-mass")
+    mass = tables.written(mass, "forest-mass")
     centres = balls.where("node = centre").select("node", "v", "radius")
-    centres = _written(spark, centres, "forest-centres")
-    pairs = _near_centres(balls, centres, similarity, leaf_size, trees)
-    pairs = _written(spark, pairs.groupBy("a", "b").agg(F.min("sure").alias("sure")), "forest-pairs")
+    centres = tables.written(centres, "forest-centres")
+    pairs = _near_centres(balls, centres, similarity, leaf_size, trees, tables)
+    pairs = tables.written(pairs.groupBy("a", "b").agg(F.min("sure").alias("sure")), "forest-pairs")
 
     sure = pairs.where("sure").select("a", "b")
     ways = sure.union(sure.select("b", "a")).toDF("centre", "other")
@@ -383,7 +443,7 @@ def near_vectors(
     far = balls.select(F.col("centre").alias("b"), F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("v").alias("v_y"))
     cosine = F.aggregate(F.zip_with("v_x", "v_y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     single = edge.join(own, "a").join(far, "b").where(cosine >= similarity).select("a", "b", "x", "y", "n_x", "n_y")
-    single = _written(spark, single, "forest-edge-links")
+    single = tables.written(single, "forest-edge-links")
     singles = single.select(F.col("x").alias("node"), F.col("n_y").alias("n")).union(single.select("y", "n_x"))
     singles = singles.groupBy("node").agg(F.sum("n").alias("extra"))
 
@@ -392,14 +452,15 @@ def near_vectors(
     placed = placed.join(components.withColumnRenamed("node", "centre"), "centre", "left")
     links = F.col("mass") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("extra", F.lit(0))
     placed = placed.select("node", "id", links.alias("n_links"), F.coalesce("component", "centre").alias("component"))
-    placed = _written(spark, placed, "forest-placed")
-    least = _written(spark, placed.groupBy("component").agg(F.min("id").alias("component_id")), "forest-components")
-    named = placed.join(least, "component").select("node", "n_links", "component_id")
+    placed = tables.written(placed, "forest-placed")
+    least = tables.written(placed.groupBy("component").agg(F.min("id").alias("component_id")), "forest-components")
+    named = kept.written(placed.join(least, "component").select("node", "n_links", "component_id"), "forest-named")
+    tables.remove()
     out = members.join(named, "node", "left").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     component = F.coalesce("component_id", "id")
     return out.select(
         F.when(F.col("id") < LAST_ID, F.col("id")).alias("id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
+        F.when(component < LAST_ID, component).alias("component_id"),
         (component == F.col("id")).alias("kept"),
     )
