@@ -126,12 +126,12 @@ def _limits(p: np.ndarray, gap: float) -> tuple[float, float] | None:
     return None
 
 
-def _fit(frame: pd.DataFrame, seed: int, gap: float | None) -> pd.DataFrame:
+def _fit(frame: pd.DataFrame, seed: int, gap: float | None, leaf_size: int) -> pd.DataFrame:
     """Lower and upper limits of a round's inner nodes, from a node's sample; none if the node is dense.
 
-    A dense inner node is passed on whole, for the next round to find.
+    An inner node that is small enough already is passed on whole, and so is a dense one, for the next round to find.
     """
-    tree, leaf = int(frame["tree"].iloc[0]), frame["leaf"].iloc[0]
+    tree, leaf, points = int(frame["tree"].iloc[0]), frame["leaf"].iloc[0], int(frame["points"].iloc[0])
     x = np.stack(frame.sort_values("node")["v"].to_numpy())
     projected = x @ _directions(tree, leaf, seed, x.shape[1]).T
     inner = projected.shape[1]
@@ -140,7 +140,9 @@ def _fit(frame: pd.DataFrame, seed: int, gap: float | None) -> pd.DataFrame:
     for node in range(inner):
         own = members.get(node, np.array([], int))
         p = projected[own, node]
-        if len(p):
+        if node and points * len(p) <= leaf_size * len(x):
+            low[node] = high[node] = -np.inf
+        elif len(p):
             found = (np.median(p),) * 2 if gap is None else _limits(p, gap)
             if found is None and node == 0:
                 return pd.DataFrame({"tree": [tree], "leaf": [leaf], "low": [[]], "high": [[]]})
@@ -159,10 +161,11 @@ def _send_down(seed: int):
             places: dict[tuple[int, str], list[int]] = {}
             for i, key in enumerate(zip(trees, leaves, strict=True)):
                 places.setdefault(key, []).append(i)
+            taken, to_tree, to_leaf = [], [], []
+            every = _rows(batch.column(3)) if len({len(v) for v in batch.column(3)}) == 1 else None
             for (tree, leaf), own in places.items():
-                part = batch.take(pa.array(own))
-                x = _rows(part.column(3))
-                low, high = (np.array(part.column(c)[0].as_py()) for c in (5, 6))
+                x = every[own] if every is not None else _rows(batch.column(3).take(pa.array(own)))
+                low, high = (np.array(batch.column(c)[own[0]].as_py()) for c in (5, 6))
                 projected = x @ _directions(tree, leaf, seed, x.shape[1]).T
                 members = {0: np.arange(len(x))}
                 for node in range(len(low)):
@@ -171,16 +174,15 @@ def _send_down(seed: int):
                     members[2 * node + 1], members[2 * node + 2] = mine[p <= high[node]], mine[p > low[node]]
                 for node, mine in members.items():
                     if len(mine):
-                        out = part.take(pa.array(mine)).select(["node", "v", "radius"])
-                        name = f"{leaf}{chr(48 + node - len(low))}"
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([tree] * len(mine), pa.int32()),
-                                pa.array([name] * len(mine), pa.string()),
-                                *out.columns,
-                            ],
-                            names=["tree", "leaf", "node", "v", "radius"],
-                        )
+                        taken.append(np.array(own)[mine])
+                        to_tree += [tree] * len(mine)
+                        to_leaf += [f"{leaf}{chr(48 + node - len(low))}"] * len(mine)
+            if taken:
+                out = batch.take(pa.array(np.concatenate(taken))).select(["node", "v", "radius"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to_tree, pa.int32()), pa.array(to_leaf, pa.string()), *out.columns],
+                    names=["tree", "leaf", "node", "v", "radius"],
+                )
 
     return send
 
@@ -216,9 +218,9 @@ def _forest(
         draw = F.pmod(F.xxhash64("node", "tree", F.lit(seed)), F.lit(1 << 30)) < F.lit(SAMPLE << 30) / F.col("points")
         limits = (
             big.where(draw & real)
-            .select("tree", "leaf", "node", "v")
+            .select("tree", "leaf", "node", "v", "points")
             .groupBy("tree", "leaf")
-            .applyInPandas(lambda f: _fit(f, seed, gap), "tree int, leaf string, low array<double>, high array<double>")
+            .applyInPandas(lambda f: _fit(f, seed, gap, leaf_size), "tree int, leaf string, low array<double>, high array<double>")
         )
         limits = tables.written(limits, "forest-limits")
         dense = F.size("low") == 0
@@ -280,25 +282,31 @@ def _balls(points: DataFrame, reach: float, leaf_size: int) -> tuple[DataFrame,
     return owners.join(centres.select(F.col("node").alias("centre"), "radius"), "centre"), older
 
 
-def _close(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
+def _close(table: pa.Table, similarity: float) -> pa.Table:
     """Pairs of balls in a leaf, or of two blocks, that are linked as a whole (`sure`) or may have linked members."""
-    frame = frame.sort_values("node", ignore_index=True)
-    x, radius, nodes = np.stack(frame["v"].to_numpy()), frame["radius"].to_numpy(), frame["node"].to_numpy()
+    x, radius, nodes = _rows(table["v"]), table["radius"].to_numpy(), table["node"].to_pylist()
+    block = table["block"].to_numpy()
     limit = math.acos(similarity)
-    cosine = x @ x.T
-    reach = radius[:, None] + radius[None, :]
-    near = np.cos(np.minimum(limit + reach + 1e-6, math.pi))
-    close = np.triu(cosine >= near, 1)
-    if "block" in frame and frame["block"].nunique() > 1:
-        block = frame["block"].to_numpy()
-        close &= block[:, None] != block[None, :]
-    i, j = np.nonzero(close)
-    found = np.array([np.dot(x[a], x[b]) for a, b in zip(i, j, strict=True)])
-    angle, both = np.arccos(np.clip(found, -1, 1)), reach[i, j]
+    # first by the widest balls there are, then pair by pair
+    near = math.cos(min(limit + 2 * radius.max() + 1e-6, math.pi))
+    i, j = np.nonzero(np.triu(x @ x.T >= near, 1))
+    if block.min() != block.max():
+        across = block[i] != block[j]
+        i, j = i[across], j[across]
+    starts = range(0, len(i), 1 << 14)
+    found = [np.einsum("ij,ij->i", x[i[at : at + (1 << 14)]], x[j[at : at + (1 << 14)]]) for at in starts]
+    found = np.concatenate(found) if found else np.zeros(0)
+    angle, both = np.arccos(np.clip(found, -1, 1)), radius[i] + radius[j]
     sure = np.where(both == 0, found >= similarity, angle + both <= limit - _EPS)
-    maybe = ~sure & (both > 0) & (angle - both <= limit + _EPS)
-    keep = sure | maybe
-    return pd.DataFrame({"a": nodes[i][keep], "b": nodes[j][keep], "sure": sure[keep]})
+    keep = sure | (both > 0) & (angle - both <= limit + _EPS)
+    pairs = [sorted((nodes[p], nodes[q])) for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True)]
+    return pa.table(
+        {
+            "a": pa.array([p for p, _ in pairs], pa.binary()),
+            "b": pa.array([q for _, q in pairs], pa.binary()),
+            "sure": pa.array(sure[keep]),
+        }
+    )
 
 
 def _tree_count(points: int, leaf_size: int) -> int:
@@ -352,7 +360,7 @@ def _compared(leaves: DataFrame, similarity: float, leaf_size: int) -> DataFrame
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     dealt = dealt.select("tree", "leaf", "one", "two", "block", "node", "v", "radius")
-    return dealt.groupBy("tree", "leaf", "one", "two").applyInPandas(lambda f: _close(f, similarity), kinds)
+    return dealt.groupBy("tree", "leaf", "one", "two").applyInArrow(lambda t: _close(t, similarity), kinds)
 
 
 def _near_centres(
