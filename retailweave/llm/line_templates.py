@@ -1,12 +1,17 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame operations only.
 
 A line's tokens are its runs of anything but blank, tab and carriage return. Tokens with a digit are variable fields and
-read `<*>`. The tree's first level is the token count, the next ones the first `DEPTH` tokens. Lines that are the same
-after masking are one template. In a leaf that holds several, lines are compared cell by cell: a line has `CELLS` cells
-of one or more tokens in a row (fewer cells if it has fewer tokens). A cell takes what more than half of the leaf's masked
-lines have there, else it is a variable field; lines that agree with this in `SIMILARITY` of their cells or more share
-the leaf's template. A template recurs if enough documents have it: `min_docs` of them for lines of `long_tokens`
-tokens or more, `short_docs` for shorter ones. Lines under `min_tokens` tokens say too little and never count.
+read `<*>`; a line with fewer than `min_tokens` other tokens, or no more of them than variable ones (a row of a number
+table), says too little and never counts. The tree's first level is the token count, the next ones the first `DEPTH`
+tokens. Lines that are the same after masking are one template. In a leaf that holds several, lines are compared by the
+tokens after the leading ones, which all of the leaf share anyway, in `CELLS` cells of one or more tokens in a row (fewer
+if there are fewer tokens). A cell takes what more than half of the leaf's masked lines have there, else it is a variable
+field, as is a cell of nothing but `<*>`. Lines that agree with `CONSTANT` cells and `SIMILARITY` of all cells or more
+share the leaf's template.
+
+A template recurs if enough documents have it. Lines equal after masking need `min_docs` documents if they have
+`long_tokens` tokens or more, `short_docs` if fewer; a leaf's template with fields that vary proves less and needs
+`wide_times` as many. Both are counted, so equal lines count as such whatever else their leaf holds.
 
 A recurring template stays in the first document that has it (smallest id) and is dropped from all others, so each
 passage is still there once. A document goes altogether if lines were dropped from it and less than `residue` of its
@@ -31,10 +36,12 @@ from .columns import clear_of, free_prefix
 DEPTH = 3
 CELLS = 16
 SIMILARITY = 0.6
+CONSTANT = 3
 MIN_TOKENS = 3
 LONG_TOKENS = 8
 MIN_DOCS = 2
 SHORT_DOCS = 5
+WIDE_TIMES = 2
 RESIDUE = 0.2
 LAST_ID = 2**63 - 1
 
@@ -63,24 +70,33 @@ def _line_index(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth:
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"),
         F.explode(F.split(_masked(F.col(text)), "\n", -1)).alias("line"),
     )
+    # constant tokens of each cell; 42, the hash of none, is a variable cell
     cells = (
-        f"transform(sequence(0, least(size(t), {CELLS}) - 1), c -> hash(slice(t, c * size(t) div least(size(t), {CELLS}) + 1, "
-        f"(c + 1) * size(t) div least(size(t), {CELLS}) - c * size(t) div least(size(t), {CELLS}))))"
+        f"if(size(u) = 0, array(), transform(sequence(0, least(size(u), {CELLS}) - 1), c -> nullif(hash(array_remove(slice(u, "
+        f"c * size(u) div least(size(u), {CELLS}) + 1, (c + 1) * size(u) div least(size(u), {CELLS}) - c * size(u) div "
+        f"least(size(u), {CELLS})), '<*>')), 42)))"
     )
-    # the one-element array binds the tokens, which are used several times
+    # one-element arrays bind the tokens, and those after the leading ones, which are used several times
     parsed = F.expr(
         "transform(array(split(line, ' ', -1)), t -> named_struct('n', size(t), "
-        f"'leaf', xxhash64(size(t), slice(t, 1, {depth})), 'cells', {cells}))[0]"
+        f"'leaf', xxhash64(size(t), slice(t, 1, {depth})), 'cells', "
+        f"transform(array(slice(t, {depth + 1}, size(t))), u -> {cells})[0]))[0]"
     )
     some = F.length("line") >= 2 * min_tokens - 1
-    lines = lines.where(some).select("doc", _key(F.col("line")).alias("key"), parsed.alias("p"))
-    return lines.where(F.col("p.n") >= min_tokens).select("doc", "key", "p.leaf", "p.n", "p.cells")
+    lines = lines.where(some).select("doc", "line", _key(F.col("line")).alias("key"), parsed.alias("p"))
+    fields = F.when(
+        F.contains("line", F.lit("<*>")), (F.length("line") - F.length(F.replace("line", F.lit("<*>"), F.lit("")))) / 3
+    ).otherwise(0)
+    constant = F.col("p.n") - fields
+    lines = lines.where((constant >= min_tokens) & (constant > fields))
+    return lines.select("doc", "key", "p.leaf", "p.n", "p.cells")
 
 
 def _leaf_templates(index: DataFrame, similarity: float) -> DataFrame:
     """(key, template): masked lines that share their leaf's template with other masked lines."""
     crowded = index.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("leaf")
-    distinct = index.join(crowded, "leaf", "left_semi").select("key", "leaf", "cells").dropDuplicates(["key"])
+    distinct = index.where(F.size("cells") >= CONSTANT).join(crowded, "leaf", "left_semi")
+    distinct = distinct.select("key", "leaf", "cells").dropDuplicates(["key"])
     cells = distinct.select("leaf", F.posexplode("cells").alias("at", "cell"))
     counted = cells.groupBy("leaf", "at", "cell").agg(F.count(F.lit(1)).alias("c"))
     agreed = counted.groupBy("leaf", "at").agg(F.max(F.struct("c", "cell")).alias("top"), F.sum("c").alias("all"))
@@ -89,7 +105,7 @@ def _leaf_templates(index: DataFrame, similarity: float) -> DataFrame:
     templates = templates.select("leaf", F.transform("t", lambda x: x["cell"]).alias("template"))
     same = F.zip_with("cells", "template", lambda a, b: F.when(a == b, 1).otherwise(0))
     agreement = F.aggregate(same, F.lit(0), lambda a, x: a + x)
-    matched = distinct.join(templates, "leaf").where(agreement >= F.size("cells") * similarity)
+    matched = distinct.join(templates, "leaf").where(agreement >= F.greatest(F.lit(CONSTANT), F.size("cells") * similarity))
     return matched.select("key", F.col("leaf").alias("template"))
 
 
@@ -104,23 +120,25 @@ def dropped_lines(
     long_tokens: int = LONG_TOKENS,
     min_docs: int = MIN_DOCS,
     short_docs: int = SHORT_DOCS,
+    wide_times: int = WIDE_TIMES,
 ) -> DataFrame:
     """(doc, keys): per document the masked lines that recur elsewhere and are not its to keep."""
     spark = docs.sparkSession
     index = _written(spark, _line_index(docs, doc_id, text, min_tokens, depth), "line-index")
     matched = _written(spark, _leaf_templates(index, similarity), "line-templates")
-    kinds = index.join(matched, "key", "left").select(
-        "doc", "key", "n", F.coalesce("template", "key").alias("kind"), F.col("template").isNotNull().alias("wide")
-    )
+    same = index.select("doc", "key", "n", F.col("key").alias("kind"), F.lit(False).alias("wide"))
+    fits = index.join(matched, "key").select("doc", "key", "n", F.col("template").alias("kind"), F.lit(True).alias("wide"))
+    kinds = same.unionByName(fits)
     # a template counts a document once, however many of its lines fit
     once = kinds.groupBy("kind", "wide", "doc").agg(F.max("n").alias("n"))
     recurring = once.groupBy("kind", "wide").agg(
         F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")
     )
     enough = F.when(F.col("n") >= long_tokens, F.lit(min_docs)).otherwise(F.lit(short_docs))
+    enough = F.when(F.col("wide"), enough * wide_times).otherwise(enough)
     recurring = _written(spark, recurring.where(F.col("docs") >= enough).select("kind", "wide", "first"), "recurring-lines")
     gone = kinds.join(recurring, ["kind", "wide"]).where("doc <> first")
-    return gone.groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    return gone.groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
 
 def drop_recurring_lines(

@@ -177,24 +177,28 @@ lines AS (
 ), masked AS (SELECT *, regexp_replace(even, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM lines),
 tokens AS (SELECT *, CASE WHEN m = '' THEN []::VARCHAR[] ELSE string_split(m, ' ') END AS tk FROM masked),
 counted AS (SELECT *, len(tk) AS n, array_to_string([len(tk)::VARCHAR] || tk[1:{line_templates.DEPTH}], ' ') AS leaf FROM tokens),
-index AS (SELECT DISTINCT doc, m, leaf, n, tk FROM counted WHERE n >= {line_templates.MIN_TOKENS}),
-kinds AS (SELECT DISTINCT m, leaf, n, tk, least(n, {line_templates.CELLS}) AS k FROM index),
+fields AS (SELECT *, len(list_filter(tk, lambda x: x = '<*>')) AS f FROM counted),
+index AS (SELECT DISTINCT doc, m, leaf, n, tk[{line_templates.DEPTH} + 1:] AS u FROM fields WHERE n - f >= {line_templates.MIN_TOKENS} AND n - f > f),
+kinds AS (SELECT DISTINCT m, leaf, n, u, least(len(u), {line_templates.CELLS}) AS k FROM index),
 crowded AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1),
 members AS (
-    SELECT m, leaf, k, list_transform(range(k), lambda c: array_to_string(tk[c * n // k + 1:(c + 1) * n // k], ' ')) AS cells
-    FROM kinds JOIN crowded USING (leaf)
+    SELECT m, leaf, k, list_transform(range(k), lambda c: nullif(array_to_string(
+        list_filter(u[c * len(u) // k + 1:(c + 1) * len(u) // k], lambda x: x <> '<*>'), ' '), '')) AS cells
+    FROM kinds JOIN crowded USING (leaf) WHERE k >= {line_templates.CONSTANT}
 ),
 spread AS (SELECT m, leaf, k, unnest(cells) AS cell, unnest(range(1, k + 1)) AS pos FROM members),
 tops AS (SELECT leaf, pos, cell, count(*) AS c, sum(count(*)) OVER (PARTITION BY leaf, pos) AS everyone FROM spread GROUP BY leaf, pos, cell),
-agreed AS (SELECT leaf, pos, cell FROM tops WHERE c * 2 > everyone),
+agreed AS (SELECT leaf, pos, cell FROM tops WHERE c * 2 > everyone AND cell IS NOT NULL),
 wide AS (
     SELECT m, s.leaf FROM spread s LEFT JOIN agreed a ON s.leaf = a.leaf AND s.pos = a.pos AND s.cell = a.cell
-    GROUP BY m, s.leaf HAVING count(a.cell) >= max(k) * {line_templates.SIMILARITY}
+    GROUP BY m, s.leaf HAVING count(a.cell) >= greatest({line_templates.CONSTANT}, max(k) * {line_templates.SIMILARITY})
 ), named AS (
-    SELECT doc, i.m, n, coalesce('leaf ' || w.leaf, 'line ' || i.m) AS kind FROM index i LEFT JOIN wide w ON i.m = w.m
+    SELECT doc, m, n, 'line ' || m AS kind, false AS wide FROM index
+    UNION ALL SELECT doc, i.m, n, 'leaf ' || w.leaf, true FROM index i JOIN wide w ON i.m = w.m
 ), recurring AS (
-    SELECT kind, min(doc) AS first FROM named GROUP BY kind
-    HAVING count(DISTINCT doc) >= CASE WHEN max(n) >= {line_templates.LONG_TOKENS} THEN {line_templates.MIN_DOCS} ELSE {line_templates.SHORT_DOCS} END
+    SELECT kind, min(doc) AS first FROM named GROUP BY kind, wide
+    HAVING count(DISTINCT doc) >= CASE WHEN wide THEN {line_templates.WIDE_TIMES} ELSE 1 END
+        * CASE WHEN max(n) >= {line_templates.LONG_TOKENS} THEN {line_templates.MIN_DOCS} ELSE {line_templates.SHORT_DOCS} END
 ), gone AS (SELECT DISTINCT doc, m FROM named JOIN recurring USING (kind) WHERE doc <> first),
 rebuilt AS (
     SELECT r, count(*) AS n_lines, count(gone.m) AS n_dropped,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 from types import SimpleNamespace
 
 import duckdb
@@ -482,6 +482,90 @@ def test_short_lines_need_more_documents(spark):
     assert (few, many) == (0, 5)
 
 
+def test_distinct_lines_stay(spark):
+    rng = random.Random(3)
+    cities = "rome oslo bonn lima cairo delhi paris quito".split()
+    rows = [(i, f"Visit our shop {c}\nsome other text of document number {prose(rng, 1)}") for i, c in enumerate(cities)]
+    rows += [(50 + i, " ".join(str(rng.randrange(10_000)) for _ in range(8)) + "\n" + prose(rng, 30)) for i in range(6)]
+    rows += [(80 + i, "the first words of this line are " + prose(rng, 12)) for i in range(30)]
+    found = line_templates.drop_recurring_lines(documents(spark, rows)).collect()
+    assert {r["doc_id"]: (r["line_dedup"]["text"], r["line_dedup"]["n_dropped"]) for r in found} == {d: (t, 0) for d, t in rows}
+
+
+def plain_templates(rows):
+    """{doc: masked lines that go}, from the rules as the module states them."""
+    L = line_templates
+    lines = [(d, line) for d, text in rows for line in plain_masked(text)]
+    index = {(d, line) for d, line in lines if counts(line.split(" "))}
+    leaves = defaultdict(set)
+    for _, line in index:
+        tokens = line.split(" ")
+        if len(tokens) - L.DEPTH >= L.CONSTANT:
+            leaves[len(tokens), tuple(tokens[: L.DEPTH])].add(line)
+    wide = {}
+    for leaf, members in leaves.items():
+        if len(members) < 2:
+            continue
+        cells = {m: plain_cells(m.split(" ")[L.DEPTH :]) for m in members}
+        tops = []
+        for column in zip(*cells.values(), strict=True):
+            value, n = Counter(column).most_common(1)[0]
+            tops.append(value if value and 2 * n > len(column) else None)
+        for m, own in cells.items():
+            agreed = sum(a == b for a, b in zip(own, tops, strict=True) if b)
+            if agreed >= max(L.CONSTANT, L.SIMILARITY * len(own)):
+                wide[m] = leaf
+    kinds = [((line, False), d, line) for d, line in index] + [((wide[m], True), d, m) for d, m in index if m in wide]
+    holders, longest = defaultdict(set), Counter()
+    for kind, d, line in kinds:
+        holders[kind].add(d)
+        longest[kind] = max(longest[kind], len(line.split(" ")))
+    gone = defaultdict(set)
+    for kind, d, line in kinds:
+        need = (L.MIN_DOCS if longest[kind] >= L.LONG_TOKENS else L.SHORT_DOCS) * (L.WIDE_TIMES if kind[1] else 1)
+        if len(holders[kind]) >= need and d != min(holders[kind]):
+            gone[d].add(line)
+    return gone
+
+
+def plain_masked(text):
+    even = [" ".join(regex.findall(r"[^ \t\r]+", line)) for line in text.split("\n")]
+    return [" ".join("<*>" if regex.search("[0-9]", t) else t for t in line.split(" ")) for line in even]
+
+
+def plain_cells(tokens):
+    n = len(tokens)
+    k = min(n, line_templates.CELLS)
+    return [" ".join(t for t in tokens[c * n // k : (c + 1) * n // k] if t != "<*>") for c in range(k)]
+
+
+def counts(tokens):
+    fields = tokens.count("<*>")
+    return len(tokens) - fields >= line_templates.MIN_TOKENS and len(tokens) - fields > fields
+
+
+def test_line_templates_match_brute_force(spark):
+    rng = random.Random(21)
+    shapes = ["a b c {} d e f", "a b c x {} y z w v", "one two three {} {} four five six seven", "k l {} m", "p q r s t u v w x y z {} {} b c d e f g h i j"]
+    rows = []
+    for d in range(40):
+        lines = []
+        for _ in range(rng.randrange(1, 7)):
+            shape = rng.choice(shapes)
+            lines.append(shape.format(*[rng.choice(["n1", "77", "red", "blue", "x"]) for _ in range(shape.count("{"))]))
+            if rng.random() < 0.3:
+                lines.append(prose(rng, rng.randrange(1, 12)))
+        rows.append((d, "\n".join(lines)))
+    gone = plain_templates(rows)
+    found = line_templates.drop_recurring_lines(documents(spark, rows)).collect()
+    got = {r["doc_id"]: r["line_dedup"]["text"] for r in found}
+    want = {
+        d: "\n".join(line for line, m in zip(text.split("\n"), plain_masked(text), strict=True) if m not in gone[d])
+        for d, text in rows
+    }
+    assert got == want and sum(map(len, gone.values())) > 20
+
+
 def test_line_dedup_defined_cases(spark, odd, empty):
     found = line_templates.drop_recurring_lines(odd)
     assert found.columns == [*odd.columns, "line_dedup"]
