@@ -70,17 +70,18 @@ def _line_index(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth:
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"),
         F.explode(F.split(_masked(F.col(text)), "\n", -1)).alias("line"),
     )
-    # constant tokens of each cell; 42, the hash of none, is a variable cell
+    # constant tokens of each cell; 42, the hash of none, is a variable cell, which only lines with fields have
+    rest, count = f"(size(t) - {depth})", f"least(size(t) - {depth}, {CELLS})"
+    cell = f"slice(t, {depth} + c * {rest} div {count} + 1, (c + 1) * {rest} div {count} - c * {rest} div {count})"
+    each = f"transform(sequence(0, {count} - 1), c -> %s)"
     cells = (
-        f"if(size(u) = 0, array(), transform(sequence(0, least(size(u), {CELLS}) - 1), c -> nullif(hash(array_remove(slice(u, "
-        f"c * size(u) div least(size(u), {CELLS}) + 1, (c + 1) * size(u) div least(size(u), {CELLS}) - c * size(u) div "
-        f"least(size(u), {CELLS})), '<*>')), 42)))"
+        f"if({rest} < {CONSTANT}, array(), if(contains(line, '<*>'), "
+        f"{each % f"nullif(hash(array_remove({cell}, '<*>')), 42)"}, {each % f'hash({cell})'}))"
     )
-    # one-element arrays bind the tokens, and those after the leading ones, which are used several times
+    # the one-element array binds the tokens, which are used several times
     parsed = F.expr(
         "transform(array(split(line, ' ', -1)), t -> named_struct('n', size(t), "
-        f"'leaf', xxhash64(size(t), slice(t, 1, {depth})), 'cells', "
-        f"transform(array(slice(t, {depth + 1}, size(t))), u -> {cells})[0]))[0]"
+        f"'leaf', xxhash64(size(t), slice(t, 1, {depth})), 'cells', {cells}))[0]"
     )
     some = F.length("line") >= 2 * min_tokens - 1
     lines = lines.where(some).select("doc", "line", _key(F.col("line")).alias("key"), parsed.alias("p"))
