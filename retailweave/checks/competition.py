@@ -13,6 +13,7 @@ from ..operators import boards as B
 from ..operators import feed as W
 from ..operators import reviews as R
 from ..operators.aggregates import as_report
+from ..session import work_path
 from .competitor_sql import CATEGORIES, IMAGES, INCOMING, REFERENCE, SNAPSHOT, URL, URL_EVENTS, with_ci
 from .registry import query
 
@@ -168,6 +169,13 @@ def _(spark, sf):
     return W.search_products(fx.feed(spark, sf), " Ring ", 200)
 
 
+@query("o7_indexed_search", with_ci(f"SELECT {SNAPSHOT} FROM hits f", _SEARCH_SQL.format(q="d#1", n=20)))
+def _(spark, sf):
+    feed, index = fx.feed(spark, sf), work_path(spark, "search-index")
+    W.write_search_index(feed, index)
+    return W.search_products(feed, "D#1", 20, index)
+
+
 def _review_list(status: str) -> str:
     return f"""coalesce((SELECT string_agg(c.name || ':' || t.url || ':' || CAST(score AS VARCHAR), '|' ORDER BY last_tested_at DESC, competitor_id DESC)
       FROM tests t JOIN comp c ON c.id = t.competitor_id WHERE t.id_product = h.id_product AND validation_status = '{status}'), '')"""

@@ -11,6 +11,7 @@ from ..functions import labels as L
 from ..session import cut_lineage
 from ..sources.incremental import latest_per_key
 from .filters import like_pattern
+from .gram_index import rows_with_parts, write_index
 
 # Fixed values.
 BATCH_MIN, BATCH_MAX, BATCH_DEFAULT = 1, 200, 50
@@ -258,15 +259,39 @@ def product_snapshots(
     )
 
 
-def search_products(feed: DataFrame, query: str, limit: int = 20) -> DataFrame:
+SEARCHED = ("reference", "ean13", "manufacturer_name", "product_name")
+
+
+def write_search_index(feed: DataFrame, path: str) -> None:
+    """Stores the parts of what `search_products` looks through."""
+    write_index(feed, "id_product", SEARCHED, path)
+
+
+def _from_index(feed: DataFrame, index: str, needle: str) -> DataFrame:
+    """Rows that may match: those with all parts of the longest run between wildcards, and the row of that id."""
+    run = max(re.split(r"[%_\\]", needle.lower()), key=len)
+    keys = rows_with_parts(feed.sparkSession, index, run, feed.schema["id_product"].dataType.simpleString())
+    if keys is None:
+        return feed
+    keys = keys.select(F.col("key").alias("id_product"))
+    if re.fullmatch("[0-9]{1,18}", needle):
+        own = feed.where(F.col("id_product") == int(needle)).select("id_product")
+        keys = keys.unionByName(own)
+    return feed.join(keys, "id_product", "left_semi")
+
+
+def search_products(feed: DataFrame, query: str, limit: int = 20, index: str | None = None) -> DataFrame:
     """Products whose reference, code, brand or name holds the needle (case-insensitive, LIKE wildcards kept),
-    or whose id it is; name hits first, newest first."""
+    or whose id it is; name hits first, newest first. With the folder of a `write_search_index` only rows that it
+    points at are looked through."""
     needle = query.strip()
     if not needle:
         return feed.limit(0).select(*snapshot_columns())
+    if index is not None:
+        feed = _from_index(feed, index, needle)
     pattern = like_pattern(needle)
     hit = F.lit(False)
-    for name in ("reference", "ean13", "manufacturer_name", "product_name"):
+    for name in SEARCHED:
         hit = hit | F.coalesce(F.lower(F.trim(F.col(name))).like(pattern), F.lit(False))
     if re.fullmatch("[0-9]{1,18}", needle):
         hit = hit | (F.col("id_product") == int(needle))

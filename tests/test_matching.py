@@ -336,3 +336,11 @@ def test_priced_ranking_equals_all_pairs(spark, kind):
             ]
             want |= {(i, site, url, pos, q, -score) for score, pos, url, q in sorted(scored)[:k]}
     assert got == want
+
+
+def test_indexed_search_equals_the_scan(spark, sf, tmp_path):
+    feed, index = fx.feed(spark, sf), str(tmp_path / "index")
+    W.write_search_index(feed, index)
+    for needle in ("ring", "brand#1 ", "d#2", "17", "a", "%", "b_a", "x-occas-1%5", "no such", "0000000000012", "", "\\"):
+        scan = W.search_products(feed, needle, 50).collect()
+        assert W.search_products(feed, needle, 50, index).collect() == scan
