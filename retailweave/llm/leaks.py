@@ -7,7 +7,8 @@ The windows travel to the executors as one broadcast. Its size is checked: an in
 benchmark text, and a larger benchmark is dealt into as many parts as that needs, each with a scan of its own whose
 hits are joined to the documents.
 
-Defined cases: null and empty texts have no words and no hits; items without words have no window; repeated items and
+Defined cases: null and empty texts have no words and no hits; items without words have no window; the windows of items
+with a null id hit words like any others, but name no item; repeated items and
 documents count as often as they are there; an empty benchmark hits nothing; other columns pass through as they are, but for
 one with the result's name, which the result replaces.
 """
@@ -89,7 +90,7 @@ class WindowIndex:
                 if owners:
                     hit[i : i + size] = True
                     items.update(owners)
-        return hit, items
+        return hit, items - {None}
 
 
 def _runs(hit: np.ndarray) -> list[list[int]]:
@@ -100,12 +101,11 @@ def _runs(hit: np.ndarray) -> list[list[int]]:
 def _parts(benchmark: DataFrame, item: str, text: str, n: int, part_bytes: int) -> list[WindowIndex]:
     """Indexes of the whole benchmark, each of at most `part_bytes` of text (or of one item that is larger)."""
     rows = benchmark.select(F.col(item).cast("long").alias("item"), F.encode(F.col(text), "UTF-8").alias("text"))
-    rows = rows.where("item is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-total // part_bytes) or 1
     indexes = []
     for part in range(count):
-        mine = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(count)) == part)
+        mine = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == part)
         indexes.append(WindowIndex(((r["item"], r["text"] and bytes(r["text"])) for r in mine.toLocalIterator()), n))
     return indexes
 
@@ -130,7 +130,7 @@ def _scan(docs: DataFrame, index: WindowIndex, text: str, result: str) -> DataFr
             for value in utf8(batch.column(place)):
                 found = words(value)
                 hit, items = index.hits(found)
-                out.append((len(found), int(hit.sum()), _runs(hit) if items else [], sorted(items)))
+                out.append((len(found), int(hit.sum()), _runs(hit) if hit.any() else [], sorted(items)))
             names = arrow.names
             hits = pa.array([dict(zip(names, r, strict=True)) for r in out], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, result])
@@ -159,7 +159,7 @@ def find_leaks(
     texts = docs.select(F.col(text).alias("text"), key.alias("k")).dropDuplicates(["k"])
     found = None
     for index in parts:
-        one = _scan(texts, index, "text", "h").where("size(h.items) > 0").select("k", "h.spans", "h.items")
+        one = _scan(texts, index, "text", "h").where("h.n_hit > 0").select("k", "h.spans", "h.items")
         found = one if found is None else found.unionByName(one)
     found = found.groupBy("k").agg(
         F.flatten(F.collect_list("spans")).alias("spans"),

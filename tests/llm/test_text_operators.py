@@ -95,6 +95,16 @@ def test_cut_documents_hold_no_leak(spark):
     assert {r["doc_id"] for r in whole.collect()} == {d for d, t in rows if plain_leaks(t, items)[1] == 0}
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 40])
+def test_items_without_an_id_hit_words(spark, part_bytes):
+    benchmark = spark.createDataFrame([(None, "one two three"), (None, "six seven eight"), (4, "eight nine")], "item_id long, text string")
+    docs = documents(spark, [(1, "zero one two three four"), (2, "six seven eight nine ten"), (3, "one three")])
+    found = {r["doc_id"]: r["leak"] for r in leaks.find_leaks(docs, benchmark, part_bytes=part_bytes).collect()}
+    assert [(found[i]["n_hit"], found[i]["items"]) for i in (1, 2, 3)] == [(3, []), (4, [4]), (0, [])]
+    left = {r["doc_id"]: r["text"] for r in leaks.remove_leaks(docs, benchmark, part_bytes=part_bytes).collect()}
+    assert "two" not in left[1] and left[3] == "one three"
+
+
 def test_leaks_defined_cases(spark, odd, empty):
     benchmark = spark.createDataFrame([(1, "one short line"), (None, "a text")], "item_id long, text string")
     found = leaks.find_leaks(odd, benchmark)
