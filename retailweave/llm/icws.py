@@ -26,7 +26,7 @@ thinning variance of half the weight. Where it is more than `THINNED` of a text'
 bins say too little: the pair goes straight to the exact comparison.
 
 Defined cases: null and empty texts, and those without words, are never near anything and stay; rows with the same id
-and words are one document; null ids come last; an empty table gives an empty one; other columns pass through.
+and words are one document; null ids come last (any number of them: a text is found again by id and hash); an empty table gives an empty one; other columns pass through.
 """
 
 from __future__ import annotations
@@ -225,7 +225,8 @@ def _written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 
 def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).alias("text"))
+    return rows.withColumn("mark", F.xxhash64("text"))
 
 
 def _content(found: list[bytes]) -> bytes | None:
@@ -233,7 +234,11 @@ def _content(found: list[bytes]) -> bytes | None:
 
 
 def _memberships(rows: DataFrame) -> DataFrame:
-    """(doc, content, family, rows): contents by their words; null for texts without any."""
+    """(doc, content, family, rows, mark, marked): contents by their words; null for texts without any.
+
+    `mark` is the hash of one of the texts with these words, `marked` the rows that have it: (doc, mark) finds a
+    member's text again, also where many rows share an id or have none.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -244,12 +249,15 @@ def _memberships(rows: DataFrame) -> DataFrame:
                 contents.append(_content(found))
                 families.append(int(shingles(hashes.of(found), SHINGLE).min().view(np.int64)) if found else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(contents, pa.binary()), pa.array(families, pa.int64())],
-                names=["doc", "content", "family"],
+                [batch.column(0), batch.column(2), pa.array(contents, pa.binary()), pa.array(families, pa.int64())],
+                names=["doc", "mark", "content", "family"],
             )
 
-    found = rows.mapInArrow(scan, "doc long, content binary, family long")
-    return found.groupBy("doc", "content", "family").agg(F.count(F.lit(1)).alias("rows"))
+    found = rows.mapInArrow(scan, "doc long, mark long, content binary, family long")
+    same = found.groupBy("doc", "content", "family", "mark").agg(F.count(F.lit(1)).alias("n"))
+    own = F.min(F.struct("mark", "n")).alias("own")
+    members = same.groupBy("doc", "content", "family").agg(F.sum("n").alias("rows"), own)
+    return members.select("doc", "content", "family", "rows", F.col("own.mark").alias("mark"), F.col("own.n").alias("marked"))
 
 
 def _sketch(rows: DataFrame, first_members: DataFrame) -> np.ndarray:
@@ -292,7 +300,7 @@ def _sketch(rows: DataFrame, first_members: DataFrame) -> np.ndarray:
             names=["block", "cells"],
         )
 
-    mine = rows.join(first_members, "doc").select("text", "content", "rows")
+    mine = rows.join(first_members, ["doc", "mark"]).select("text", "content", "marked")
     parts = mine.mapInArrow(count, "block long, places binary, cells binary")
     summed = parts.repartition("block").mapInArrow(add, "block long, cells binary").collect()  # 4 MB at any size
     sketch = np.zeros(SKETCH_ROWS << SKETCH_BITS).reshape(-1, SKETCH_BLOCK)
@@ -356,7 +364,7 @@ def _may_be_near(least: int, similarity: float):
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(content, text) of the wanted (content, doc), one row each."""
+    """(content, text) of the wanted (content, doc, mark), one row each."""
 
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -364,7 +372,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             same = [_content(words(t)) == c for t, c in zip(utf8(batch.column(1)), wanted, strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    texts = rows.join(wanted, "doc").select("content", "text").mapInArrow(own_text, "content binary, text string")
+    texts = rows.join(wanted, ["doc", "mark"]).select("content", "text").mapInArrow(own_text, "content binary, text string")
     return texts.dropDuplicates(["content"])
 
 
@@ -408,9 +416,10 @@ def near_duplicates(
     rows = _plain(docs, doc_id, text)
     members = _written(spark, _memberships(rows), "icws-members")
     worded = members.where("content is not null")
-    contents = worded.groupBy("content").agg(F.min("doc").alias("doc"))
+    contents = worded.groupBy("content").agg(F.min(F.struct("doc", "mark")).alias("m")).select("content", "m.*")
 
-    first_members = worded.groupBy("family").agg(F.min(F.struct("doc", "content", "rows")).alias("m")).select("m.*")
+    first = F.min(F.struct("doc", "content", "mark", "marked")).alias("m")
+    first_members = worded.groupBy("family").agg(first).select("m.*")
     families = worded.select("family").distinct().count()
     idf = spark.sparkContext.broadcast(Idf(_sketch(rows, first_members), families))
 
@@ -471,13 +480,13 @@ def near_duplicates(
     links = links.union(_verified(texts, crossed, idf, similarity))
 
     components = connected_components(links)
-    placed = contents.join(components.select(F.col("node").alias("content"), "component"), "content", "left")
+    placed = contents.drop("mark").join(components.select(F.col("node").alias("content"), "component"), "content", "left")
     placed = placed.withColumn("component", F.coalesce("component", "content"))
     placed = _written(spark, placed, "icws-placed")
     heads = placed.groupBy("component").agg(F.min(F.struct("doc", "content")).alias("head"))
     heads = _written(spark, heads, "icws-heads")
     named = placed.join(heads, "component").select("content", "head")
-    out = members.join(named, "content", "left")
+    out = members.drop("mark", "marked").join(named, "content", "left")
     alone = F.col("content").isNull()
     return out.select(
         "doc",
