@@ -153,15 +153,30 @@ def signatures(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, sample
     lengths = np.diff(np.append(starts, len(keys)))
     log_weights = np.log(weights).astype(np.float32)
     out = np.empty((len(starts), samples), np.uint32)
+    # buffers of all rounds; table places are below 2^16, so they can be read as signed
+    h, part = np.empty((2, len(keys)), np.uint64)
+    r, log_c, beta, level, log_a = np.empty((5, len(keys)), np.float32)
     for i in range(samples):
-        h = (keys ^ np.uint64(_wrapped(i + 1, _TWO))) * _ONE
-        h = (h ^ (h >> np.uint64(32))) * _TWO
-        h ^= h >> np.uint64(29)
-        r = gamma[h & low16]
-        log_c = log_gamma[(h >> np.uint64(16)) & low16]
-        beta = (h >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
-        level = np.floor(log_weights / r + beta)
-        log_a = log_c - r * (level - beta + 1)
+        np.bitwise_xor(keys, np.uint64(_wrapped(i + 1, _TWO)), out=h)
+        h *= _ONE
+        h ^= np.right_shift(h, np.uint64(32), out=part)
+        h *= _TWO
+        h ^= np.right_shift(h, np.uint64(29), out=part)
+        np.bitwise_and(h, low16, out=part)
+        gamma.take(part.view(np.int64), out=r, mode="clip")
+        np.right_shift(h, np.uint64(16), out=part)
+        part &= low16
+        log_gamma.take(part.view(np.int64), out=log_c, mode="clip")
+        np.copyto(beta, np.right_shift(h, np.uint64(32), out=part), casting="unsafe")
+        beta *= np.float32(2.0**-32)
+        np.divide(log_weights, r, out=level)
+        level += beta
+        np.floor(level, out=level)
+        # log_c - r * (level - beta + 1)
+        np.subtract(level, beta, out=log_a)
+        log_a += np.float32(1)
+        log_a *= r
+        np.subtract(log_c, log_a, out=log_a)
         least = np.minimum.reduceat(log_a, starts)
         places = np.flatnonzero(log_a == np.repeat(least, lengths))
         owner = np.searchsorted(starts, places, side="right") - 1
