@@ -189,10 +189,11 @@ def test_near_duplicates_match_brute_force(spark):
     assert {r["doc"] for r in found if r["kept"]} == set(want)
 
 
-def test_pairs_of_frequent_shingles_reach_the_comparison(spark):
+@pytest.mark.parametrize("weight", [0.15, 0.6])  # above and below THINNED
+def test_pairs_of_frequent_shingles_reach_the_comparison(spark, weight):
     rng = random.Random(8)
     idf = icws.Idf(np.zeros(icws.SKETCH_ROWS << icws.SKETCH_BITS), 1)
-    idf.weights = np.full_like(idf.weights, 0.15)
+    idf.weights = np.full_like(idf.weights, weight)
     rows = []
     for i in range(300):
         parts = prose(rng, 150).split()
@@ -213,6 +214,17 @@ def test_pairs_of_frequent_shingles_reach_the_comparison(spark):
     assert left.join(right, "pair").where(icws._may_be_near(least, icws.SIMILARITY)).count() >= 299
 
 
+def test_rows_without_id_meet_their_own_text_only(spark):
+    rng = random.Random(4)
+    rows = [(None, prose(rng, 30)) for _ in range(60)] + [(None, "one text that comes three times in all")] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = icws._plain(table, "doc_id", "text")
+    members = icws._memberships(plain).select("doc", "mark", "content", "marked")
+    met = plain.join(members, ["doc", "mark"]).collect()
+    assert len(met) == len(rows) and sorted(r["marked"] for r in met) == [1] * 60 + [3] * 3
+    assert icws.drop_near_duplicates(table).count() == 61
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(1, 2**63, 400).astype(np.uint64))
