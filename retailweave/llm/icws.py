@@ -21,8 +21,8 @@ fails with a probability under 1 in 10,000, and then in its bins: elements (shin
 probability of their idf, are dealt into `BINS` bins by hash, and a bin holds its smallest hash. The share of equal bins
 estimates the weighted similarity, for short texts by a near full count; a pair may fall short by `SLACK` standard
 errors, which hold both the sampling into bins and the thinning by idf. Of simulated pairs at the threshold (30 to 800
-shingles, idf 0.05 to 1 in any mixture, differences in the frequent or in the rare ones) 1 in 1,000 fails at most up to a
-thinning variance of half the weight. Where it is more than `THINNED` of a text's weight (frequent shingles throughout),
+shingles, idf 0.05 to 1 in mixtures of two values, differences in the frequent or in the rare ones) 1 in 1,000 or fewer fail
+on average up to a thinning variance of half the weight. Where it is more than `THINNED` of a text's weight (frequent shingles throughout),
 bins say too little: the pair goes straight to the exact comparison.
 
 Defined cases: null and empty texts, and those without words, are never near anything and stay; rows with the same id
