@@ -18,14 +18,15 @@ from .registry import SQL, query
 
 
 def _stream(spark, sf, name, order):
-    """The whole table as a stream of three micro-batches in the order of a column."""
+    """The whole table as a stream of three micro-batches in the order of a column, each of as many files as cores."""
     rows, folder = fx.table(spark, sf, name), work_path(spark, f"{name}-files")
     number = F.unix_timestamp(order) if order == "ts" else F.col(order)
     low, high = rows.select(number.alias("v")).approxQuantile("v", [0.3, 0.7], 0.01)
     part = F.when(number <= low, 0).when(number <= high, 1).otherwise(2)
+    files = spark.sparkContext.defaultParallelism
     for i in range(3):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return flows.read_stream(spark, folder, rows.schema, 1)
+        rows.where(part == i).repartition(files).write.mode("append").parquet(folder)
+    return flows.read_stream(spark, folder, rows.schema, files)
 
 
 def _folders(spark, label):
