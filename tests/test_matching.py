@@ -40,6 +40,26 @@ def test_search_equals_brute_force_with_a_hot_word(spark):
     assert got == want
 
 
+def joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return Counter(re.findall(r"(BroadcastHash|SortMerge|BroadcastNestedLoop)Join", plan))
+
+
+def test_tables_that_grow_are_not_sent_through_the_driver(spark):
+    """Compressed tables of a few MB hold hundreds of MB of rows; only the few crowded words and parts may be sent."""
+    products = spark.createDataFrame([(1, "A-1", "", "b", "n", 1.0)], "id_product long, supplier_reference string, ean string, brand string, name string, source_price double")
+    listings = spark.createDataFrame(
+        [(1, "u", "b n A-1", "", "", "b", "", 1.0)],
+        "competitor_id int, url string, title string, reference string, ean string, brand string, breadcrumb string, price double",
+    )
+    queries = products.select(F.col("name").alias("query"))
+    assert joins(X.search_listings(queries, listings))["BroadcastHash"] <= 1
+    assert joins(substring_pairs(queries.toDF("needle"), listings, ["competitor_id", "url"], text="title"))["BroadcastHash"] <= 1
+    pairs = products.select("id_product", F.lit(1).alias("competitor_id"), F.lit("u").alias("url"))
+    assert joins(X.attach_facts(pairs, products, listings))["BroadcastHash"] == 0
+    assert joins(X.merge_selections(pairs.withColumns({"rank": F.lit(1), "score": F.lit(9)}), pairs.withColumns({"best_index": F.lit(0), "confidence": F.lit(9)})))["BroadcastHash"] == 0
+
+
 def variants(token, rules):
     for a, b in rules:
         token = token.replace(a, b)
