@@ -132,6 +132,12 @@ def article_facts(enriched: DataFrame) -> DataFrame:
     )
 
 
+def trade_ins(articles: DataFrame) -> DataFrame:
+    """(product_id) of the articles whose lines the standing exclusion keeps out."""
+    ids = articles.select(F.col("IDART").alias("product_id"), L.text_or_empty("REF_FOU").alias("supplier_reference"))
+    return ids.where(~L.not_excluded()).select("product_id")
+
+
 def accept(line_part: DataFrame, article_part: DataFrame) -> DataFrame:
     """Lines beside their article (left join), without trade-ins."""
     joined = line_part.join(article_part, "product_id", "left")

@@ -133,6 +133,25 @@ def test_mapped_fact_agrees_with_the_direct_adapter(spark, sf):
     assert mapped.select(*keys).exceptAll(direct).isEmpty() and direct.exceptAll(mapped.select(*keys)).isEmpty()
 
 
+def test_lines_are_ranked_without_article_texts(spark, sf):
+    mapped = job.fact_rows(fx.invoice_lines(spark, sf), _catalogue(spark, sf), fx.AS_OF, EARLY, version="line_version")
+    plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+    assert "article_name" not in plan[plan.index("Window [") :].split("Relation")[0] and plan.index("Join LeftOuter") < plan.index("Window [")
+
+
+def test_a_trade_in_neither_replaces_a_line_nor_counts(spark, sf):
+    catalogue = _catalogue(spark, sf)
+    both = fx.articles(spark, sf).groupBy().agg(
+        F.min(F.when(F.col("REF_FOU").startswith("REPRISE"), F.col("IDART"))), F.min(F.when(F.col("REF_FOU").startswith("REF-"), F.col("IDART")))
+    ).first()
+    line = fx.invoice_lines(spark, sf).where("Q_FAC <> 0").limit(1)
+    first = line.withColumns({"IDART": F.lit(both[1]), "v": F.lit(1)})
+    later = line.withColumns({"IDART": F.lit(both[0]), "v": F.lit(2)})
+    for max_rows in (None, 1):
+        got = job.fact_rows(first.unionByName(later), catalogue, fx.AS_OF, EARLY, max_rows=max_rows, version="v").collect()
+        assert [r["product_id"] for r in got] == [both[1]]
+
+
 def test_totals_agree_across_breakdowns(spark, sf):
     fact = fx.fact(spark, sf, report_periods(STD)).cache()
     total = A.period_summary(fact, STD).first()
