@@ -16,6 +16,7 @@ from retailweave.functions import text as T
 from retailweave.operators import feed as W
 from retailweave.operators import matching as X
 from retailweave.operators import pages as P
+from retailweave.operators import price_bands
 from retailweave.operators.gram_index import substring_pairs
 from retailweave.operators.hash_search import near_hashes
 from retailweave.operators.price_bands import best_priced
@@ -364,3 +365,31 @@ def test_indexed_search_equals_the_scan(spark, sf, tmp_path):
     for needle in ("ring", "brand#1 ", "d#2", "17", "a", "%", "b_a", "x-occas-1%5", "no such", "0000000000012", "", "\\"):
         scan = W.search_products(feed, needle, 50).collect()
         assert W.search_products(feed, needle, 50, index).collect() == scan
+
+
+def test_priced_ranking_opens_few_bands(spark, monkeypatch):
+    """What is looked at grows with products times bands, also where all candidates score alike: neither with the
+    product of a text's products and listings nor with products that share a price."""
+
+    def asked(prices, copies, n):
+        rows = [("t", 1, f"u{i:05d}", 0, "q", 50.0, 0, 100 + i * 100 / n) for i in range(n)]
+        texts = spark.createDataFrame(
+            rows, "text_id string, competitor_id int, url string, position int, matched_query string, similarity double, year_points int, c_price double"
+        )
+        mine = spark.range(prices * copies).selectExpr("id AS id_product", "'t' AS text_id", f"100 + id % {prices} * 100D / {prices} AS source_price")
+        counts = Counter()
+
+        def counted(spark, df, label, write=price_bands.written):
+            out = write(spark, df, label)
+            counts[label] += out.count()
+            return out
+
+        monkeypatch.setattr(price_bands, "written", counted)
+        found = price_bands.best_priced(texts, mine, *X.PRICE_STEPS["signature"], 3).count()
+        monkeypatch.undo()
+        assert found == prices * copies * 3
+        return counts["price-asked"]
+
+    first = asked(50, 1, 800)
+    assert 0 < first == asked(50, 3, 800)
+    assert asked(50, 1, 3200) < 1.5 * first
