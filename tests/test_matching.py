@@ -393,3 +393,17 @@ def test_priced_ranking_opens_few_bands(spark, monkeypatch):
     first = asked(50, 1, 800)
     assert 0 < first == asked(50, 3, 800)
     assert asked(50, 1, 3200) < 1.5 * first
+
+
+def test_texts_are_cut_into_tokens_once_per_product_and_listing(spark):
+    products = spark.createDataFrame([(1, "A-1", "", "b", "n", 1.0)], "id_product long, supplier_reference string, ean string, brand string, name string, source_price double")
+    listings = spark.createDataFrame(
+        [(1, "u", "b n A-1", "", "", "b", "", 1.0)],
+        "competitor_id int, url string, title string, reference string, ean string, brand string, breadcrumb string, price double",
+    )
+    pairs = products.select("id_product", F.lit(1).alias("competitor_id"), F.lit("u").alias("url"), F.lit("n").alias("matched_query"))
+    for kind, marks in (("tokens", ("gaucher", "19\\d{2}")), ("signature", ("mkiii", "19\\d{2}"))):
+        rows = X.similar_candidates(X.attach_facts(pairs, products, listings, kind), kind, F.lit(0.5))
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "gaucher" not in plan.split("Join")[0] and "19\\d{2}" not in plan.split("Join")[0]
+        assert all(mark in plan for mark in marks)
