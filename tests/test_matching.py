@@ -407,3 +407,29 @@ def test_texts_are_cut_into_tokens_once_per_product_and_listing(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "gaucher" not in plan.split("Join")[0] and "19\\d{2}" not in plan.split("Join")[0]
         assert all(mark in plan for mark in marks)
+
+
+def test_one_product_with_many_own_listings_lengthens_no_others_list(spark, monkeypatch):
+    """The first product's reference is in most titles; the others of its text need the text's best ones alone."""
+
+    def further(n):
+        products = [(i, "A-1" if i == 0 else f"B{i}x", "", "b", "ring", 1.0) for i in range(n)]
+        listings = [(1, f"u{i:04d}", f"b ring A-1{i:03d}", "", "", "b", "", 1.0) for i in range(n)]
+        mine = spark.createDataFrame(products, "id_product long, supplier_reference string, ean string, brand string, name string, source_price double")
+        theirs = spark.createDataFrame(
+            listings, "competitor_id int, url string, title string, reference string, ean string, brand string, breadcrumb string, price double"
+        )
+        counts = Counter()
+
+        def counted(spark, df, label, write=X.written):
+            out = write(spark, df, label)
+            counts[label] += out.count()
+            return out
+
+        monkeypatch.setattr(X, "written", counted)
+        found = {(r["id_product"], r["url"], r["rank"]) for r in X.best_candidates(mine, theirs).collect()}
+        monkeypatch.undo()
+        assert found == {(p, f"u{i:04d}", i + 1) for p in range(n) for i in range(5)}
+        return counts["match-further"]
+
+    assert 0 < further(60) <= 55
