@@ -84,12 +84,13 @@ def _line_index(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth:
         f"'leaf', xxhash64(size(t), slice(t, 1, {depth})), 'cells', {cells}))[0]"
     )
     some = F.length("line") >= 2 * min_tokens - 1
-    lines = lines.where(some).select("doc", "line", _key(F.col("line")).alias("key"), parsed.alias("p"))
     fields = F.when(
         F.contains("line", F.lit("<*>")), (F.length("line") - F.length(F.replace("line", F.lit("<*>"), F.lit("")))) / 3
     ).otherwise(0)
-    constant = F.col("p.n") - fields
-    lines = lines.where((constant >= min_tokens) & (constant > fields))
+    # tokens counted by their blanks: a test of the parsed line would make Spark parse it twice
+    constant = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1 - fields
+    lines = lines.where(some & (constant >= min_tokens) & (constant > fields))
+    lines = lines.select("doc", _key(F.col("line")).alias("key"), parsed.alias("p"))
     return lines.select("doc", "key", "p.leaf", "p.n", "p.cells")
 
 

@@ -596,3 +596,10 @@ def test_line_dedup_defined_cases(spark, odd, empty):
     # both rows of id 1 are one document, so nothing of it recurs
     assert found.where("doc_id = 1 and line_dedup.n_dropped > 0").count() == 0
     assert line_templates.drop_recurring_lines(empty).count() == 0
+
+
+def test_lines_are_parsed_once(spark):
+    """A filter on parsed values would be pushed below the projection and parse every line a second time."""
+    docs = spark.createDataFrame([(1, "a b c d e\n1 2 3 x y")], "doc_id long, text string")
+    plan = line_templates._line_index(docs, "doc_id", "text", 3, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("named_struct(") == 1 and not [x for x in plan.splitlines() if "Filter" in x and "named_struct(" in x]
