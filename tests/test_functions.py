@@ -176,3 +176,10 @@ def test_collated_columns_group_and_match_without_case_and_accents(spark):
     loose = T.collated(df, ["channel"])
     assert sorted(r["s"] for r in loose.groupBy("channel").agg(F.sum("n").alias("s")).collect()) == [3, 3]
     assert loose.where(F.col("channel") == "ÉCOLE").count() == 2 and df.where(F.col("channel") == "ÉCOLE").count() == 0
+
+
+def test_only_runs_beyond_ascii_are_folded(spark):
+    long = "plain words of a text " * 200 + "Brûlée\x01№ ½"
+    assert column(spark, [long, "é", "éa", "aé", "日本", ""], T.normalize_text("v")) == [normal(long), "e", "ea", "ae", "", ""]
+    plan = spark.createDataFrame([("a",)], "v string").select(T.fold_accents("v"))._jdf.queryExecution().analyzed().toString()
+    assert "translate(array_join(regexp_extract_all(v" in plan and "translate(v" not in plan
