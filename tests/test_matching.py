@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retailweave import fixtures as fx
+from retailweave.checks import load_registry
 from retailweave.functions import text as T
 from retailweave.operators import feed as W
 from retailweave.operators import matching as X
@@ -433,3 +434,11 @@ def test_one_product_with_many_own_listings_lengthens_no_others_list(spark, monk
         return counts["match-further"]
 
     assert 0 < further(60) <= 55
+
+
+def test_costly_scores_are_dealt_over_the_cores(spark, sf):
+    """A catalogue of a few MB comes in one file and task, whose rows are scored one after the other."""
+    runs = load_registry()[0]
+    for name in ("m7_token_points", "m7_token_scores", "m8_signature_points", "m9_meaningful_tokens"):
+        plan = runs[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert re.search(r"Exchange hashpartitioning\(id_product#\d+L?, ", plan), name
