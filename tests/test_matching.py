@@ -18,7 +18,7 @@ from retailweave.operators import feed as W
 from retailweave.operators import matching as X
 from retailweave.operators import pages as P
 from retailweave.operators import price_bands
-from retailweave.operators.gram_index import substring_pairs
+from retailweave.operators.gram_index import rows_with_part, substring_pairs, write_index
 from retailweave.operators.hash_search import near_hashes
 from retailweave.operators.price_bands import best_priced
 from test_functions import normal
@@ -442,3 +442,14 @@ def test_costly_scores_are_dealt_over_the_cores(spark, sf):
     for name in ("m7_token_points", "m7_token_scores", "m8_signature_points", "m9_meaningful_tokens"):
         plan = runs[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         assert re.search(r"Exchange hashpartitioning\(id_product#\d+L?, ", plan), name
+
+
+def test_index_stores_a_part_once_per_block(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"name {i % 3}") for i in range(300)] + [(None, "name 1")], "k long, v string")
+    write_index(rows, "k", ["v"], str(tmp_path / "i"), block_rows=100)
+    stored = spark.read.parquet(str(tmp_path / "i"))
+    parts = {t[i : i + n] for t in ("name 0", "name 1", "name 2") for n in (1, 2, 4) for i in range(len(t) - n + 1)}
+    assert stored.count() <= 4 * len(parts) and {r["part"] for r in stored.collect()} == parts
+    assert sorted(r["key"] for r in rows_with_part(spark, str(tmp_path / "i"), "name").collect()) == list(range(300))
+    assert sorted(r["key"] for r in rows_with_part(spark, str(tmp_path / "i"), "e 2").collect()) == []
+    assert sorted(r["key"] for r in rows_with_part(spark, str(tmp_path / "i"), "2").collect()) == list(range(2, 300, 3))
