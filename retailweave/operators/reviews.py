@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..session import written
 from ..sources.incremental import ensure_columns, latest_per_key, upsert
 from ..sources.observations import append_observations, decimal_price, delete_observations, valid_observations
 from .scan import previous_values, run_length
@@ -222,8 +223,10 @@ def price_counters(finals: DataFrame, tests: DataFrame, events: DataFrame, healt
     Counters are inserted (never: prices only touch known urls), updated, failures, removed, gone and ignored, this one
     with its reasons: invalid events, no final url, or a url that was replaced or removed before.
     """
+    spark = finals.sparkSession
     read = events.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable_event()).alias("usable")).first()
-    known = events.where(usable_event()).join(finals.select(*PAIR), PAIR, "left_semi").count()
+    health = written(spark, health.select(*PAIR, "observations", "failures", "removed"), "url-health")  # a row per final url
+    known = events.where(usable_event()).join(health.select(*PAIR), PAIR, "left_semi").count()
     done = health.agg(
         F.sum("observations").alias("updated"), F.sum("failures").alias("failures"), F.count_if("removed").alias("removed")
     ).first()
@@ -239,7 +242,7 @@ def price_counters(finals: DataFrame, tests: DataFrame, events: DataFrame, healt
         ("ignored", "no final url", read["usable"] - known),
         ("ignored", "url replaced or removed", known - updated - failures),
     ]
-    return finals.sparkSession.createDataFrame(rows, "counter string, reason string, n bigint")
+    return spark.createDataFrame(rows, "counter string, reason string, n bigint")
 
 
 def url_health(

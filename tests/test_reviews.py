@@ -214,3 +214,19 @@ def test_kept_last_observations_give_the_same_work_list(spark, sf):
     known = feeds.merge_last_observed(feeds.last_observed(history.where(early)), history.where(~early))
     a = feeds.price_worklist(finals, shops, history, 4, after_id=300, limit=100).collect()
     assert a and a == feeds.price_worklist(finals, shops, history.limit(0), 4, after_id=300, limit=100, known=known).collect()
+
+
+def test_price_counters_work_health_out_once(spark):
+    worked_out = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def removed(n):
+        worked_out.add(1)
+        return n > 1
+
+    pairs = spark.createDataFrame([(1, 1), (2, 1)], "id_product long, competitor_id int")
+    events = spark.createDataFrame([(1, 1, "u", 2.0, None), (3, 1, "u", 2.0, None)], "id_product long, competitor_id int, url string, price double, http_status int")
+    health = pairs.withColumns({"observations": F.col("id_product"), "failures": F.lit(0).cast("long")})
+    rows = R.price_counters(pairs, pairs, events, health.withColumn("removed", removed("observations"))).collect()
+    assert {(r["counter"], r["reason"]): r["n"] for r in rows}[("ignored", "no final url")] == 1
+    assert worked_out.value == 2
