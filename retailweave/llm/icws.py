@@ -16,8 +16,12 @@ Work. Documents with the same words are one content from the start. Each bucket'
 the content that shares the most buckets with others (in a group of edited copies that is the one closest to all, as a
 rule their original), and with the next `NEIGHBOURS` ones in a hashed order. Then members of one bucket that these links
 leave in different groups are compared with each other. So a group of thousands of copies takes a few comparisons for
-each of its members, while no candidate pair of different groups is left out. Before texts are compared, a pair must agree in `AGREEMENT` of its samples, which a pair at the threshold
-fails with a probability under 1 in 10,000, and then in its bins: elements (shingle, occurrence), kept with the
+each of its members, while no candidate pair of different groups is left out. These pairs never become rows: a bucket's
+largest group and its other members are dealt into blocks of `BLOCK_ROWS` contents or `BLOCK_BYTES` of text, each block of
+the others meets every block in a task that holds the two, and only links that join groups leave it. The largest group
+never meets itself, so rows grow with the others' blocks, of which a bucket below the bounds has one. Before texts are
+compared, a pair must agree in `AGREEMENT` of its samples, which a pair at the threshold fails with a probability under 1
+in 10,000, and, for leaders and neighbours, then in its bins: elements (shingle, occurrence), kept with the
 probability of their idf, are dealt into `BINS` bins by hash, and a bin holds its smallest hash. The share of equal bins
 estimates the weighted similarity, for short texts by a near full count; a pair may fall short by `SLACK` standard
 errors, which hold both the sampling into bins and the thinning by idf. Of simulated pairs at the threshold (30 to 800
@@ -53,6 +57,7 @@ AGREEMENT = 0.55
 BINS, SLACK = 256, 2.5
 THINNED = 0.5
 NEIGHBOURS, RING = 3, 1000
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 22
 FLOOR = 1 / 256
 LEAST_WEIGHT = 0.05
 SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 2, 18, 1024
@@ -413,6 +418,133 @@ def _verified(texts: DataFrame, pairs: DataFrame, idf, similarity: float) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary").distinct()
 
 
+def _meetings(apart: DataFrame) -> DataFrame:
+    """(bucket, i, j, own, content, g): the rows of apart, (bucket, content, g, chars), once for each pair of blocks (i, j)
+    that their own block is part of. Two members of different groups meet in exactly one of them."""
+    groups = apart.groupBy("bucket", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    whole = groups.groupBy("bucket").agg(
+        F.max(F.struct("n", "chars", "g")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars")
+    )
+
+    def blocks(n, chars):
+        return F.ceil(F.greatest(n / BLOCK_ROWS, chars / BLOCK_BYTES, F.lit(1.0)))
+
+    one = blocks(F.col("n"), F.col("chars")) == 1
+    whole = whole.select(
+        "bucket",
+        F.when(~one, F.col("top.g")).alias("top"),
+        F.when(one, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars"))).alias("others"),
+        F.when(one, 0).otherwise(blocks(F.col("top.n"), F.col("top.chars"))).alias("tops"),
+    )
+    in_top = F.col("g").eqNullSafe(F.col("top"))
+    turn = F.xxhash64("content")
+    own = F.when(in_top, F.col("others") + F.pmod(turn, F.greatest("tops", F.lit(1)))).otherwise(F.pmod(turn, "others"))
+    last = F.when(in_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    placed = apart.join(whole, "bucket").withColumns({"own": own.cast("long"), "other": F.explode(F.sequence(F.lit(0), last))})
+    return placed.select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "g"
+    )
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (bucket, i, j) at a time, of rows sorted by these."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[:, start].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Sets:
+    """Weighted sets of the texts of one task, worked out when first asked for."""
+
+    def __init__(self, texts: list[bytes], hashes: WordHashes, idf: Idf):
+        self.texts, self.hashes, self.idf = texts, hashes, idf
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self.held:
+            self.held[i] = weighted_set(self.texts[i], self.hashes, self.idf)
+        return self.held[i]
+
+    def near(self, a: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of the others, whose weighted Jaccard similarity with `a` is large enough."""
+        keys, weights = self[a]
+        sets = [self[b] for b in others.tolist()]
+        starts = np.cumsum([0, *[len(k) for k, _ in sets[:-1]]])
+        every, own = np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets])
+        places = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+        shared = np.add.reduceat(np.where(keys[places] == every, np.minimum(weights[places], own), 0), starts)
+        total = weights.sum() + np.add.reduceat(own, starts) - shared
+        short = shared - similarity * total
+        # sums in another order may differ in their last digits
+        for i in np.flatnonzero(np.abs(short) <= 1e-9 * total):
+            short[i] = 0 if weighted_jaccard(self[a], sets[i]) >= similarity else -1
+        return others[short >= 0]
+
+
+def _joining_links(
+    at: tuple[int, int, int], own: np.ndarray, groups: np.ndarray, samples: np.ndarray, bands: int, least: int, similarity: float, sets: _Sets
+) -> list[tuple[int, int]]:
+    """Links between the groups of the meeting (bucket, i, j), as few as join what any of its pairs joins."""
+    bucket, i, j = at
+    buckets = _band_keys(samples, bands, samples.shape[1] // bands)
+    label, found = groups.copy(), []
+    second = np.flatnonzero(own == j)
+    for a in np.flatnonzero(own == i).tolist():
+        others = second if i < j else np.arange(a + 1, len(own))
+        others = others[label[others] != label[a]]
+        others = others[(samples[others] == samples[a]).sum(axis=1) >= least]
+        if not len(others):
+            continue
+        # a pair is looked at in the first of its common buckets
+        first = (buckets[others] == buckets[a]).argmax(axis=1)
+        others = others[buckets[a][first] == bucket]
+        if not len(others):
+            continue
+        for b in sets.near(a, others, similarity).tolist():
+            if label[b] != label[a]:
+                found.append((a, b))
+                label[label == label[b]] = label[a]
+    return found
+
+
+def _crossed(meetings: DataFrame, signed: DataFrame, texts: DataFrame, idf, bands: int, least: int, similarity: float) -> DataFrame:
+    """(a, b): links that join the groups of each bucket, found among all its pairs of different groups."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, weights = WordHashes(), idf.value
+        for met in _met(batches):
+            met = met.combine_chunks()
+            own = met.column("own").to_numpy()
+            names, groups = met.column("content").to_pylist(), met.column("g").to_pylist()
+            numbers = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+            if len(numbers) == 1:
+                continue
+            labels = np.array([numbers[g] for g in groups])
+            drawn = met.column("samples").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(len(own), -1)
+            sets = _Sets(utf8(met.column("text")), hashes, weights)
+            at = tuple(met.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+            links = _joining_links(at, own, labels, drawn, bands, least, similarity, sets)
+            if links:
+                sides = [pa.array([names[link[s]] for link in links], pa.binary()) for s in (0, 1)]
+                yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
+    rows = meetings.join(signed.select("content", "samples"), "content").join(texts, "content")
+    rows = rows.select("bucket", "i", "j", "own", "content", "g", "samples", "text").repartition("bucket", "i", "j")
+    return rows.sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -445,8 +577,7 @@ def near_duplicates(
     common = _written(spark, common.select("bucket"), "icws-common")
     shared = _written(spark, buckets.join(common, "bucket").distinct(), "icws-shared")
     sizes = _written(spark, shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "icws-sizes")
-    own_buckets = shared.groupBy("content").agg(F.collect_list("bucket").alias("buckets"))
-    slim = signed.drop("buckets").join(own_buckets, "content").dropDuplicates(["content"])
+    slim = signed.drop("buckets").join(shared.select("content").distinct(), "content").dropDuplicates(["content"])
     signed = _written(spark, slim, "icws-slim")
     texts = _written(spark, _texts(rows, signed.select("content").join(contents, "content")), "icws-texts")
     shared = shared.join(sizes, "bucket")
@@ -478,21 +609,11 @@ def near_duplicates(
     grouped = shared.join(group, "content", "left").select("bucket", "content", F.coalesce("g", "content").alias("g"))
     grouped = _written(spark, grouped, "icws-grouped")
     mixed = grouped.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
-    apart = grouped.join(_written(spark, mixed, "icws-mixed"), "bucket").join(
-        signed.select("content", *drawn, "buckets"), "content"
-    )
+    lengths = texts.select("content", F.octet_length("text").alias("chars"))
+    apart = grouped.join(_written(spark, mixed, "icws-mixed"), "bucket").join(lengths, "content")
     apart = _written(spark, apart, "icws-apart")
-    left, right = (
-        apart.select("bucket", *[F.col(c).alias(f"{n}_{s}") for c, n in (("content", "c"), ("g", "g"), *zip(drawn, drawn, strict=True), ("buckets", "buckets"))])
-        for s in ("a", "b")
-    )
-    left, right = left.withColumnRenamed("c_a", "a"), right.withColumnRenamed("c_b", "b")
-    # a pair is looked at in the first of its common buckets
-    first = F.col("bucket") == F.array_min(F.array_intersect("buckets_a", "buckets_b"))
-    crossed = left.join(right, "bucket").where("g_a <> g_b and a < b").where(first).where(near)
-    crossed = crossed.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti")
-    crossed = _written(spark, crossed, "icws-crossed")
-    links = links.union(_verified(texts, crossed, idf, similarity))
+    crossed = _crossed(_meetings(apart), signed, texts, idf, bands, least, similarity)
+    links = links.union(_written(spark, crossed, "icws-crossed"))
 
     components = connected_components(links)
     placed = contents.drop("mark").join(components.select(F.col("node").alias("content"), "component"), "content", "left")

@@ -189,6 +189,37 @@ def test_near_duplicates_match_brute_force(spark):
     assert {r["doc"] for r in found if r["kept"]} == set(want)
 
 
+@pytest.mark.parametrize("block", [5, 1024])
+def test_crowds_near_the_threshold_make_no_pair_rows(spark, monkeypatch, block):
+    rng = random.Random(3)
+    rows = []
+    for i in range(140):  # edits of one text, which share 0.7 to 0.9 of its shingles
+        parts = prose(random.Random(9), 160).split()
+        for at in rng.sample(range(len(parts)), rng.choice([2, 3, 3, 4])):
+            parts[at] = f"x{i}"
+        rows.append((i, " ".join(parts)))
+    made, write = {}, icws._written
+    monkeypatch.setattr(icws, "_written", lambda s, df, label: made.setdefault(label, write(s, df, label)))
+    monkeypatch.setattr(icws, "BLOCK_ROWS", block, raising=False)
+    found = {r["doc"]: r["component"] for r in icws.near_duplicates(documents(spark, rows)).collect()}
+    hashes, sketch = WordHashes(), np.zeros(icws.SKETCH_ROWS << icws.SKETCH_BITS)
+    sets = [np.unique(shingles(hashes.of(words(t.encode())), 5)) for _, t in rows]
+    families = {int(s.min()): i for i, s in reversed(list(enumerate(sets)))}
+    for i in families.values():
+        for cells in icws._cells(sets[i]):
+            np.add.at(sketch, cells, 1)
+    idf = icws.Idf(sketch, len(families))
+    weighted = [icws.weighted_set(t.encode(), hashes, idf) for _, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows))]
+    links = [p for p in pairs if icws.weighted_jaccard(weighted[p[0]], weighted[p[1]]) >= icws.SIMILARITY]
+    assert found == dict(enumerate(components_of(len(rows), links)))
+    contents = made["icws-apart"].select("content").distinct().count()
+    assert contents > 20 and made["icws-crossed"].count() < contents
+    if block == 5:  # 20 contents in a meeting or a few more
+        meetings = icws._meetings(made["icws-apart"]).groupBy("bucket", "i", "j").count()
+        assert meetings.agg(F.max("count")).first()[0] < 40 and meetings.where("j > i").count() > 0
+
+
 @pytest.mark.parametrize("weight", [0.15, 0.6])  # above and below THINNED
 def test_pairs_of_frequent_shingles_reach_the_comparison(spark, weight):
     rng = random.Random(8)
