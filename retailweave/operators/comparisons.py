@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import labels as L
 from ..functions import measures as M
+from ..session import written
 from ..sources.incremental import top_k_per
 from .aggregates import brand_name_carry, multi_period
 from .filters import Filters, apply_filters
@@ -465,8 +466,20 @@ def mover_class(delta: Column | str) -> Column:
     return F.when(value.isNull(), "delta-neutral").when(value > 0, "delta-up").otherwise("delta-down")
 
 
+#: What filters, brands, channels and baskets read.
+ALERT_COLUMNS = (
+    "invoice_date", "invoice_number", "product_id", "product_code", "product_name", "rayon_name", "family_name",
+    "subfamily_name", "brand_id", "brand_name", "supplier_reference", "channel_name", "total_ht",
+)
+
+
 def alerts(fact: DataFrame, filters: Filters) -> DataFrame:
-    """Three gainers, three losers, four channel and four basket anomalies, in display form."""
+    """Three gainers, three losers, four channel and four basket anomalies, in display form. The rows of their periods
+    are worked out once and written: the three lists would each build the fact again."""
+    chosen = filters.comparison_periods()
+    periods = {name: chosen[name] for name in (*CURRENT_VS_YEAR, "previous_month")}
+    rows = apply_filters(fact, filters, periods).select(*[c for c in ALERT_COLUMNS if c in fact.columns])
+    fact = written(fact.sparkSession, rows, "alert-base")
     brands = brand_movers(fact, filters).select(
         F.concat(F.lit("brand_"), F.col("kind")).alias("alert"),
         F.col("brand_name").alias("label"),

@@ -10,6 +10,9 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from retailweave import fixtures as fx
+from retailweave.operators import comparisons as C
+from retailweave.operators.filters import Filters
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -31,3 +34,10 @@ def test_query(spark, con, sf, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_alerts_build_the_fact_once(spark):
+    """The three lists read one written table of their periods, not the star tables again."""
+    fact = fx.fact(spark, "/root/testdata/sf0.001")
+    files = C.alerts(fact, Filters(fx.START, fx.END)).inputFiles()
+    assert files and all("alert-base" in f for f in files)
