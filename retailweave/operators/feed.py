@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled
 from ..sources.incremental import latest_per_key
 from .filters import like_pattern
 from .gram_index import rows_with_parts, write_index
@@ -207,7 +207,7 @@ def category_paths(categories: DataFrame) -> DataFrame:
     )
     finished = None
     while True:
-        step = walks.join(nodes, F.col("at") == F.col("__id"), "left")
+        step = walks.join(shuffled(nodes), F.col("at") == F.col("__id"), "left")
         step = cut_lineage(
             step.select(
                 "id_category",
@@ -230,7 +230,7 @@ def category_paths(categories: DataFrame) -> DataFrame:
 def main_images(images: DataFrame, image_shop: DataFrame) -> DataFrame:
     """Cover of the shop first, else of the product; then position and id."""
     shop = image_shop.select("id_image", F.col("cover").alias("__shop_cover"))
-    ranked = images.join(shop, "id_image", "left").withColumn("__cover", F.coalesce("__shop_cover", "cover"))
+    ranked = images.join(shuffled(shop), "id_image", "left").withColumn("__cover", F.coalesce("__shop_cover", "cover"))
     order = [F.col("__cover").desc(), F.col("position"), F.col("id_image")]
     return latest_per_key(ranked, ["id_product"], order).select("id_product", "id_image")
 
@@ -252,9 +252,9 @@ def product_snapshots(
     rows = feed if ids is None else feed.join(ids.select("id_product"), "id_product", "left_semi")
     return (
         rows.where("id_product > 0")
-        .join(products.select("id_product", F.col("id_category_default").alias("id_category")), "id_product", "left")
-        .join(paths, "id_category", "left")
-        .join(images, "id_product", "left")
+        .join(shuffled(products.select("id_product", F.col("id_category_default").alias("id_category"))), "id_product", "left")
+        .join(shuffled(paths), "id_category", "left")
+        .join(shuffled(images), "id_product", "left")
         .select(*snapshot_columns(), "category_path", image_url(base_url).alias("source_image_url"))
     )
 
