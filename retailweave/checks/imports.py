@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from ..operators import feed as W
 from ..operators import fact_build as B
 from ..operators.aggregates import as_report
 from ..plans import import_job as job
-from ..session import work_path
+from ..session import heavy_writes, remove_path, work_path
 from ..sources import fact_store
 from ..sources import incremental as S
 from ..sources import observations as O
@@ -29,6 +30,19 @@ def _catalogue(spark, sf):
     return job.Catalogue(articles, **fx.dimensions(articles))
 
 
+@contextmanager
+def _source_lines(spark, sf):
+    """The raw lines as a stored table, which is what an import scans: several runs do not each build them."""
+    path = work_path(spark, "invoice-lines")
+    lines = fx.invoice_lines(spark, sf)
+    with heavy_writes(spark):
+        lines.write.option("compression", "zstd").parquet(path)
+    try:
+        yield spark.read.schema(lines.schema).parquet(path)
+    finally:
+        remove_path(spark, path)
+
+
 # --- scans --------------------------------------------------------------------------------------------
 
 
@@ -168,9 +182,10 @@ _IMPORTED = f"""WITH {_DIMS} SELECT * EXCLUDE (rn) FROM ({_FACT35.replace('SELEC
 def _(spark, sf):
     """Two runs into a new store: a backfill of the recent lines, then everything again since the first day."""
     target = work_path(spark, "fact-store")
-    lines, catalogue = fx.invoice_lines(spark, sf), _catalogue(spark, sf)
-    job.import_invoice_lines(spark, lines, catalogue, target, fx.AS_OF, NOW, since="2001-01-01", version="line_version")
-    job.import_invoice_lines(spark, lines, catalogue, target, fx.AS_OF, NOW, since="1990-01-01", version="line_version")
+    catalogue = _catalogue(spark, sf)
+    with _source_lines(spark, sf) as lines:
+        for since in ("2001-01-01", "1990-01-01"):
+            job.import_invoice_lines(spark, lines, catalogue, target, fx.AS_OF, NOW, since=since, version="line_version")
     return _stamps_as_text(fact_store.read_fact(spark, target).drop("invoice_month"))
 
 
@@ -178,11 +193,12 @@ def _(spark, sf):
 def _(spark, sf):
     """Three runs by the cursor into a new store: two of a limited number of rows, one of the rest."""
     target = work_path(spark, "fact-store")
-    lines, catalogue = fx.invoice_lines(spark, sf), _catalogue(spark, sf)
-    for max_rows in (1000, 2000, None):
-        job.import_invoice_lines(
-            spark, lines, catalogue, target, fx.AS_OF, NOW, max_rows=max_rows, version="line_version"
-        )
+    catalogue = _catalogue(spark, sf)
+    with _source_lines(spark, sf) as lines:
+        for max_rows in (1000, 2000, None):
+            job.import_invoice_lines(
+                spark, lines, catalogue, target, fx.AS_OF, NOW, max_rows=max_rows, version="line_version"
+            )
     return _stamps_as_text(fact_store.read_fact(spark, target).drop("invoice_month"))
 
 

@@ -84,29 +84,31 @@ def _number(name: str) -> Column:
 
 
 def line_facts(lines: DataFrame, as_of: dt.date, carry: Sequence[str] = ()) -> DataFrame:
-    """The part of a fact row that a line alone decides. Unusable lines leave before anything is joined."""
+    """The part of a fact row that a line alone decides. Unusable lines leave before anything is joined.
+
+    These rows are what moves, so what others of their columns give (invoice number and date) is left to `finish_fact`.
+    Columns of many values stand together before those of few: shuffled rows compress by runs of bytes.
+    """
     kept = lines.where(L.not_excluded("IDART", F.lit("")) & (_number("Q_FAC") != 0))
-    stamp = F.col("invoice_datetime")
-    return (
-        kept.withColumn("invoice_datetime", resolve_invoice_ts(as_of))
-        .select(
-            F.col("IDLigneFac").alias("source_line_id"),
-            F.col("IDFAC").alias("source_invoice_id"),
-            invoice_number().alias("invoice_number"),
-            stamp.cast("date").alias("invoice_date"),
-            stamp,
-            _number("IDART").alias("product_id"),
-            L.text_or_empty("CODE").alias("line_code"),
-            L.text_or_empty("DESIGNATION_PRODUIT").alias("line_name"),
-            L.int_or_null("IDCLI").alias("customer_id"),
-            L.text_or_empty("MODE_VENTE").alias("mode_vente"),
-            "WEB",
-            "SITE",
-            *[_number(source).alias(name) for name, source in LINE_MEASURES.items()],
-            L.text_or_empty("OrigineData").alias("raw_origin"),
-            L.text_or_empty("TypePiece").alias("raw_type_piece"),
-            *carry,
-        )
+    measures = {name: _number(source).alias(name) for name, source in LINE_MEASURES.items()}
+    amounts = ("unit_price_ttc", "total_ht", "total_ttc", "margin_ht")
+    return kept.select(
+        F.col("IDLigneFac").alias("source_line_id"),
+        F.col("IDFAC").alias("source_invoice_id"),
+        L.int_or_null("IDCLI").alias("customer_id"),
+        resolve_invoice_ts(as_of).alias("invoice_datetime"),
+        _number("IDART").alias("product_id"),
+        *[measures[name] for name in amounts],
+        *carry,
+        L.text_or_empty("CODE").alias("line_code"),
+        L.text_or_empty("DESIGNATION_PRODUIT").alias("line_name"),
+        F.when(_number("IDFAC") == 0, L.text_or_empty("NumFacPoste")).alias("post_number"),
+        L.text_or_empty("MODE_VENTE").alias("mode_vente"),
+        L.text_or_empty("TypePiece").alias("raw_type_piece"),
+        L.text_or_empty("OrigineData").alias("raw_origin"),
+        "WEB",
+        "SITE",
+        *[column for name, column in measures.items() if name not in amounts],
     )
 
 
@@ -138,16 +140,22 @@ def trade_ins(articles: DataFrame) -> DataFrame:
     return ids.where(~L.not_excluded()).select("product_id")
 
 
+def beside_articles(line_part: DataFrame, article_part: DataFrame) -> DataFrame:
+    """Lines beside their article; lines without one stay. A hot article is split by AQE."""
+    return line_part.join(article_part, "product_id", "left")
+
+
 def accept(line_part: DataFrame, article_part: DataFrame) -> DataFrame:
-    """Lines beside their article (left join), without trade-ins."""
-    joined = line_part.join(article_part, "product_id", "left")
-    return joined.where(L.not_excluded("product_id", "supplier_reference"))
+    """Lines beside their article, without trade-ins."""
+    return beside_articles(line_part, article_part).where(L.not_excluded("product_id", "supplier_reference"))
 
 
 def finish_fact(accepted: DataFrame, imported_at: dt.datetime, carry: Sequence[str] = ()) -> DataFrame:
     """The 35 fact columns; the article's code and name go before the line's own."""
     now = F.lit(imported_at.isoformat(sep=" ")).cast("timestamp_ntz")
     values = {
+        "invoice_number": invoice_number("source_invoice_id", "post_number"),
+        "invoice_date": F.col("invoice_datetime").cast("date"),
         "product_code": F.coalesce(L.blank_to_null("article_code"), F.col("line_code")),
         "product_name": F.coalesce(L.blank_to_null("article_name"), F.col("line_name")),
         "channel_code": L.resolve_channel("ray_id", "WEB", "SITE"),

@@ -2,17 +2,22 @@
 
 Lines above the cursor are appended: the store is neither read nor rewritten. Other batches look their ids up in the
 store's row groups that can hold them, by the files' id statistics, and rewrite the months of the lines found.
+
+Whole fact rows are wide, mostly by article texts, so an import moves narrow rows and completes them where they are written:
+a month has one file of each writing task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..session import path_exists, remove_path, work_path
-from .incremental import high_water_mark, upsert
+from ..session import heavy_writes, in_buckets, path_exists, remove_path
+from .incremental import high_water_mark
 
 KEY = "source_line_id"
 MONTH = "invoice_month"
@@ -47,8 +52,8 @@ def cursor(spark: SparkSession, path: str) -> int:
     return high_water_mark(read_fact(spark, path), KEY).first()[0]
 
 
-def _advance_cursor(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    top = max(cursor(spark, path), high_water_mark(batch, KEY).first()[0])
+def _advance_cursor(spark: SparkSession, path: str, top: int) -> None:
+    top = max(cursor(spark, path), top)
     spark.range(1).select(F.lit(top).cast("bigint").alias("high_water_mark")).coalesce(1).write.mode("overwrite").parquet(
         _cursor_path(path)
     )
@@ -64,67 +69,84 @@ def with_month(df: DataFrame) -> DataFrame:
 
 def _write(df: DataFrame, path: str, append: bool = False) -> None:
     columns = [f.name for f in schemas.FACT]
-    # One shuffle on (month, id block): a month is spread over several writers, so a busy month is no straggler.
-    block = F.floor(F.col(KEY) / 5_000_000)
     (
         with_month(df.select(*columns))
-        .repartition(MONTH, block)
         .sortWithinPartitions(MONTH, "invoice_date")
         .write.mode("append" if append else "overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy(MONTH)
         .parquet(path)
     )
 
 
-def upsert_fact(spark: SparkSession, path: str, incoming: DataFrame) -> int:
+def _by_block(df: DataFrame) -> DataFrame:
+    """Whole rows by (month, id block): a month is spread over several writers, so a busy month is no straggler."""
+    return with_month(df).repartition(MONTH, F.floor(F.col(KEY) / 5_000_000))
+
+
+def upsert_fact(
+    spark: SparkSession,
+    path: str,
+    incoming: DataFrame,
+    complete: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None,
+    by_key: bool = False,
+) -> int:
     """Merges rows (one per line id) into the store; returns their number.
 
     Rows that all lie above the cursor are appended. Else only the months that hold an incoming or a replaced line are
     rewritten, months that all their lines leave among them, all in one commit. A failed or repeated run leaves a
-    whole store behind. The batch's staging folder is removed at the end.
+    whole store behind.
+
+    `incoming` may hold less than fact rows: line id, invoice date and what `complete` makes fact rows of, one of each,
+    beside the columns it is told to carry. Only these narrow rows are kept as the batch and moved; the completed ones are
+    written by the tasks that complete them, which have to spread a month. `by_key` says that `incoming` comes out of a
+    shuffle by line id. The batch lies in buckets by line id, so to look it up in the store moves only the store's ids.
     """
-    staging = work_path(spark, "fact-batch")
-    with_month(incoming).write.parquet(staging)
-    batch = spark.read.schema(with_month(empty_fact(spark)).schema).parquet(staging)
-    ids = batch.agg(F.count(F.lit(1)).alias("n"), F.min(KEY).alias("low"), F.max(KEY).alias("high")).first()
-    if ids["n"]:
-        _merge(spark, path, batch, ids["low"], ids["high"])
-    remove_path(spark, staging)
+    rows = with_month(incoming)
+    with heavy_writes(spark), in_buckets(spark, rows if by_key else rows.repartition(KEY), "fact-batch", KEY) as batch:
+        ids = batch.agg(F.count(F.lit(1)).alias("n"), F.min(KEY).alias("low"), F.max(KEY).alias("high")).first()
+        if ids["n"]:
+            _merge(spark, path, batch, ids["low"], ids["high"], complete)
     return ids["n"]
 
 
-def _merge(spark: SparkSession, path: str, batch: DataFrame, low: int, high: int) -> None:
+def _merge(spark: SparkSession, path: str, batch: DataFrame, low: int, high: int, complete: Callable | None) -> None:
+    whole = complete or (lambda rows, carry: rows)
+    spread = (lambda rows: rows) if complete else _by_block
     unfinished = path_exists(spark, _pending_path(path))
     if not path_exists(spark, path) or not unfinished and low > cursor(spark, path):
         spark.range(1).write.mode("overwrite").parquet(_pending_path(path))
-        _write(batch, path, append=True)
-        _advance_cursor(spark, path, batch)
+        _write(spread(whole(batch, [])), path, append=True)
+        _advance_cursor(spark, path, high)
         remove_path(spark, _pending_path(path))
         return
 
     stored = read_fact(spark, path)
-    new_home = batch.select(KEY, F.col(MONTH).alias("new_month"))
-    within = stored.select(KEY, MONTH).where(F.col(KEY).between(low, high))
-    replaced = within.join(new_home, KEY).groupBy(MONTH).agg(
-        F.count(F.when(F.col(MONTH) != F.col("new_month"), 1)).alias("leaving")
+    known = stored.where(F.col(KEY).between(low, high)).select(
+        KEY, F.col(MONTH).alias("old_month"), F.struct(*KEPT).alias("kept")  # no struct: a new line
     )
+    found = batch.join(known, KEY).groupBy("old_month").agg(F.count(F.lit(1)).alias("n"))
     # Calendar months: a short list whatever the number of lines.
-    leaving = {r[MONTH]: r["leaving"] for r in replaced.collect()}
+    replaced = {r["old_month"]: r["n"] for r in found.collect()}
     arriving = {r[0] for r in batch.select(MONTH).distinct().collect()}
-    touched = sorted({*leaving, *arriving})
-    left = [m for m, n in leaving.items() if n and m not in arriving]
-    sizes = stored.where(F.col(MONTH).isin(*left)).groupBy(MONTH).count().collect() if left else []
-    emptied = [r[MONTH] for r in sizes if r["count"] == leaving[r[MONTH]]]
+    counts = stored.where(F.col(MONTH).isin(*sorted({*replaced, *arriving}))).groupBy(MONTH).count()
+    staying = {r[MONTH]: r["count"] - replaced.get(r[MONTH], 0) for r in counts.collect()}  # lines that the batch lacks
 
     columns = [f.name for f in schemas.FACT]
-    old = stored.where(F.col(MONTH).isin(*touched))
-    merged = upsert(old.select(*columns), batch.select(*columns), [KEY], KEPT)
+    new = whole(batch.join(known.drop("old_month"), KEY, "left"), ["kept"])
+    merged = new.withColumns({c: F.when(F.col("kept").isNotNull(), F.col(f"kept.{c}")).otherwise(F.col(c)) for c in KEPT})
+    merged = merged.select(*columns)
+    partial = sorted(m for m, n in staying.items() if n)
+    if partial:
+        others = stored.where(F.col(MONTH).isin(*partial)).join(batch.select(KEY), KEY, "left_anti")
+        merged = merged.unionByName(others.select(*columns))
+    emptied = sorted(m for m, n in staying.items() if not n and m not in arriving)
     if emptied:  # the dynamic overwrite replaces only months it has a row for
         marks = spark.createDataFrame([(m,) for m in emptied], "m string")
         day = F.to_date(F.concat("m", F.lit("-01")))
         nulls = {f.name: F.lit(None).cast(f.dataType) for f in schemas.FACT if f.name != "invoice_date"}
         merged = merged.unionByName(marks.select(day.alias("invoice_date"), *[c.alias(n) for n, c in nulls.items()]))
-    _write(merged, path)
-    _advance_cursor(spark, path, batch)
+    _write(spread(merged), path)
+    _advance_cursor(spark, path, high)
     remove_path(spark, _pending_path(path))

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.reviews import GONE_AFTER, HEALTH_COLUMNS, url_health
-from ..plans.import_job import Catalogue, fact_rows
+from ..plans.import_job import Catalogue, merge_lines
 from ..session import hadoop_path, path_exists, remove_path
-from ..sources import fact_store
 from ..sources.incremental import ensure_columns, latest_per_key
 from ..sources.observations import valid_observations
 
@@ -207,8 +206,7 @@ def stream_import(
     nothing."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = fact_rows(batch, catalogue, as_of, imported_at, version=version)
-        fact_store.upsert_fact(batch.sparkSession, target, rows)
+        merge_lines(batch.sparkSession, batch, catalogue, target, as_of, imported_at, version=version)
 
     query = (
         lines.writeStream.foreachBatch(load)

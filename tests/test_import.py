@@ -152,6 +152,51 @@ def test_a_trade_in_neither_replaces_a_line_nor_counts(spark, sf):
         assert [r["product_id"] for r in got] == [both[1]]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_merge_moves_its_batch_by_product_alone(spark, sf, tmp_path, monkeypatch):
+    """The batch is narrow and lies by line id; whole rows are made where they are written."""
+    target, seen = tmp_path / "fact", []
+    run(spark, sf, target, since="2001-01-01")
+    write, merge = fact_store._write, fact_store._merge
+    monkeypatch.setattr(fact_store, "_write", lambda df, *a, **kw: (seen.append(plan_of(df)), write(df, *a, **kw)))
+    monkeypatch.setattr(fact_store, "_merge", lambda spark, path, batch, *a: (seen.append(batch.columns), merge(spark, path, batch, *a)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run(spark, sf, target, LATE, since="1990-01-01")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    columns, plan = seen
+    assert not {"product_name", "rayon_name", "supplier_reference"} & set(columns)
+    assert "Bucketed: true" in plan and "FullOuter" not in plan and "REPARTITION" not in plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(source_line_id" in line]
+    assert len(moved) == 1  # the store's ids and stamps
+
+
+def test_a_later_import_keeps_first_stamps_and_the_lines_it_does_not_hold(spark, sf, tmp_path):
+    target = tmp_path / "fact"
+    run(spark, sf, target)
+    before = rows(spark, target)
+    run(spark, sf, target, LATE, since="2001-07-15")  # half a month of lines
+    after = rows(spark, target)
+    assert after.keys() == before.keys()
+    new = {k for k, row in after.items() if row["updated_at"] == LATE}
+    assert new == {k for k, row in before.items() if row["invoice_date"] >= dt.date(2001, 7, 15)}
+    assert any(row["invoice_month"] == "2001-07" and row["updated_at"] == EARLY for row in after.values())
+    assert all({**row, "updated_at": EARLY} == before[key] for key, row in after.items())
+
+
+def test_an_import_leaves_no_batch_table_and_no_setting(spark, sf, tmp_path):
+    names = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n, None) for n in names]
+    fact_store.upsert_fact(spark, str(tmp_path / "fact"), fact_line(spark, 1, "2001-01-05"))
+    run(spark, sf, tmp_path / "other", since="2001-07-01")
+    assert [spark.conf.get(n, None) for n in names] == before
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("fact_batch")]
+
+
 def test_totals_agree_across_breakdowns(spark, sf):
     fact = fx.fact(spark, sf, report_periods(STD)).cache()
     total = A.period_summary(fact, STD).first()
