@@ -14,7 +14,7 @@ from ..operators import feed as W
 from ..operators import fact_build as B
 from ..operators.aggregates import as_report
 from ..plans import import_job as job
-from ..session import heavy_writes, remove_path, work_path
+from ..session import SCRATCH, heavy_writes, remove_path, work_path
 from ..sources import fact_store
 from ..sources import incremental as S
 from ..sources import observations as O
@@ -36,7 +36,7 @@ def _source_lines(spark, sf):
     path = work_path(spark, "invoice-lines")
     lines = fx.invoice_lines(spark, sf)
     with heavy_writes(spark):
-        lines.write.option("compression", "zstd").parquet(path)
+        lines.write.options(**SCRATCH).parquet(path)
     try:
         yield spark.read.schema(lines.schema).parquet(path)
     finally:
